@@ -194,7 +194,7 @@ def _decide(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     same_bytes = src.select("text").mapInArrow(_bytes, "fp long, raw binary, rows long").join(twice, "fp", "left_semi").groupBy("fp", "raw").agg(F.sum("rows").alias("group_size"))
     verified = same_bytes.filter("group_size > 1").select("fp", F.sha2("raw", 256).alias("sha"), "group_size")
     last = narrow.join(twice, "fp", "left_semi").groupBy("fp", "sha").agg(F.max(F.struct("id", "row")).alias("last"))
-    groups = verified.join(last, ["fp", "sha"])
+    groups = table(verified.join(last, ["fp", "sha"]), "dedup-groups")  # a join of two plain inputs can be split where a key is hot
     return narrow.join(groups, ["fp", "sha"], "left")
 
 

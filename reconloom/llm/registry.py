@@ -6,7 +6,14 @@ from reconloom.llm.common import read
 from reconloom.llm.exact_dedup import exact_duplicates
 from reconloom.llm.mixing import mix
 from reconloom.llm.oracles import MIX_SQL, DEDUP_SQL
+from reconloom.llm.pieces import MODEL_PATH, encode_documents, load
 from reconloom.llm.sharding import shard
+from reconloom.llm.toxicity import fit, toxicity, training_rows
+
+
+def op2_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity(docs, fit(training_rows(docs, read(spark, sf_dir, "labels"))))
 
 
 def op3_exact_dedup(spark, sf_dir):
@@ -17,9 +24,13 @@ def op5_mixing(spark, sf_dir):
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_sentencepiece(spark, sf_dir, model_path=MODEL_PATH):
+    return encode_documents(read(spark, sf_dir, "documents"), load(model_path))
+
+
 def op7_sharding(spark, sf_dir):
     return shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_mixing, op7_sharding)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_exact_dedup, op5_mixing, op6_sentencepiece, op7_sharding)}
 ORACLES = {"op3_exact_dedup": DEDUP_SQL, "op5_mixing": MIX_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from reconloom.llm import pii
 from reconloom.llm.common import read
 from reconloom.llm.exact_dedup import exact_duplicates
 from reconloom.llm.mixing import mix
@@ -11,6 +12,10 @@ from reconloom.llm.sharding import shard
 from reconloom.llm.toxicity import fit, toxicity, training_rows
 
 
+def op1_pii(spark, sf_dir):
+    return pii.digest(pii.personal_data(read(spark, sf_dir, "documents"), pii.train()))
+
+
 def op2_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return toxicity(docs, fit(training_rows(docs, read(spark, sf_dir, "labels"))))
@@ -32,5 +37,5 @@ def op7_sharding(spark, sf_dir):
     return shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_exact_dedup, op5_mixing, op6_sentencepiece, op7_sharding)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_exact_dedup, op5_mixing, op6_sentencepiece, op7_sharding)}
 ORACLES = {"op3_exact_dedup": DEDUP_SQL, "op5_mixing": MIX_SQL}

@@ -70,3 +70,15 @@ SELECT c.doc_id, c.size, pa.source_size, pa.target,
        (passes * size + greatest(0, least(size, quota - passes * votes - (e - size))))::BIGINT AS taken
 FROM c JOIN pa ON c.k = pa.k AND c.shard = pa.shard
 """
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.w, d.w)::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id AND len(q.w) = len(d.w)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""

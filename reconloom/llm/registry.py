@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from reconloom.llm import pii
 from reconloom.llm.common import read
+from reconloom.llm.cover_tree import top_k
 from reconloom.llm.exact_dedup import exact_duplicates
 from reconloom.llm.mixing import mix
-from reconloom.llm.oracles import MIX_SQL, DEDUP_SQL
+from reconloom.llm.oracles import DEDUP_SQL, MIX_SQL, TOP_K_SQL
 from reconloom.llm.pieces import MODEL_PATH, encode_documents, load
 from reconloom.llm.sharding import shard
 from reconloom.llm.toxicity import fit, toxicity, training_rows
@@ -25,6 +26,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_top_k(spark, sf_dir):
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark, sf_dir):
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -37,5 +42,5 @@ def op7_sharding(spark, sf_dir):
     return shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_exact_dedup, op5_mixing, op6_sentencepiece, op7_sharding)}
-ORACLES = {"op3_exact_dedup": DEDUP_SQL, "op5_mixing": MIX_SQL}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_exact_dedup, op4_top_k, op5_mixing, op6_sentencepiece, op7_sharding)}
+ORACLES = {"op4_top_k": TOP_K_SQL, "op3_exact_dedup": DEDUP_SQL, "op5_mixing": MIX_SQL}

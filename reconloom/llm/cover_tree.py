@@ -90,6 +90,7 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k
     """The k best rows of x for each row of q, none with the query's id; and how many scores were computed."""
     found, work = TopK(len(q), k), 0
     qt, xt = build(q), build(x)
+    length = np.sqrt((q * q).sum(1))
 
     def bound(a: Node, b: Node) -> float:
         top = float(a.center @ b.center) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius
@@ -100,6 +101,13 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k
         top, a, b = todo.pop()
         if top < found.worst(a.at):
             continue
+        if not a.children:  # below the query tree each query has its own bound
+            top = q[a.at] @ b.center + b.radius * length[a.at]
+            alive = top + 1e-9 * np.abs(top) + 1e-6 >= found.scores[a.at, -1]
+            if not alive.any():
+                continue
+            if not alive.all():
+                a = Node(a.at[alive], a.center, a.radius)
         if not a.children and not b.children:
             for i in range(0, len(a.at), 128):
                 at = a.at[i : i + 128]

@@ -83,3 +83,50 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
             last = key
     if open_parts:
         yield pa.concat_tables(open_parts)
+
+
+def leave_one(df: DataFrame, keep: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df in keep (id, raw_key of the text, distinct), with df's columns; of the keys in repeated only one row each."""
+    keyed = df.withColumn("_raw_key", F.xxhash64(text_col))
+
+    def having(keys: DataFrame, how: str) -> DataFrame:
+        named = keys.select(F.col("id").alias("_keep_id"), F.col("raw_key").alias("_keep_key"))
+        return keyed.join(named, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_raw_key") == F.col("_keep_key")), how)
+
+    twins = table(repeated.select("id", "raw_key").intersect(keep.select("id", "raw_key")), "keep-twins")
+    if twins.isEmpty():
+        return having(keep, "left_semi").select(df.columns)
+    once = having(table(keep.select("id", "raw_key").exceptAll(twins), "keep-once"), "left_semi").select(df.columns)
+    return once.unionByName(having(twins, "left_semi").dropDuplicates([id_col, "_raw_key"]).select(df.columns))
+
+
+def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+    """(v, root): the smallest vertex of the component of each vertex of edges (u, v), by alternating stars.
+
+    Each round joins edges with the least neighbour of their ends, so that no vertex's edges are gathered,
+    and writes the new edges; a chain of n vertices takes about log n rounds.
+    """
+
+    def ordered(e: DataFrame) -> DataFrame:
+        return e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+    def least(e: DataFrame) -> DataFrame:
+        return e.groupBy("u").agg(F.min("v").alias("m"))
+
+    e = table(ordered(edges), name)
+    mark = None
+    for _ in range(rounds):
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = least(both).withColumn("m", F.least("u", "m"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = ordered(large)
+        low = least(large)
+        small = large.join(low, "u")
+        e = table(ordered(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))), name)
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).collect()[0]
+        if now == mark:
+            break
+        mark = now
+    else:
+        raise RuntimeError("components did not settle")
+    return e.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(e.select("v", F.col("v").alias("root")).distinct())

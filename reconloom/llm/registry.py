@@ -7,6 +7,7 @@ from reconloom.llm.common import read
 from reconloom.llm.cover_tree import top_k
 from reconloom.llm.exact_dedup import exact_duplicates
 from reconloom.llm.mixing import mix
+from reconloom.llm.ngram_join import jaccard_join
 from reconloom.llm.oracles import DEDUP_SQL, MIX_SQL, TOP_K_SQL
 from reconloom.llm.pieces import MODEL_PATH, encode_documents, load
 from reconloom.llm.sharding import shard
@@ -42,5 +43,9 @@ def op7_sharding(spark, sf_dir):
     return shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_exact_dedup, op4_top_k, op5_mixing, op6_sentencepiece, op7_sharding)}
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_exact_dedup, op4_top_k, op5_mixing, op6_sentencepiece, op7_sharding, op9_jaccard_join)}
 ORACLES = {"op4_top_k": TOP_K_SQL, "op3_exact_dedup": DEDUP_SQL, "op5_mixing": MIX_SQL}

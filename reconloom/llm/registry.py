@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from reconloom.llm import pii
+from reconloom.llm import chat, pii
+from reconloom.llm import quality as site_quality
 from reconloom.llm.common import read
 from reconloom.llm.cover_tree import top_k
 from reconloom.llm.exact_dedup import exact_duplicates
@@ -43,9 +44,19 @@ def op7_sharding(spark, sf_dir):
     return shard(read(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return site_quality.quality(docs, site_quality.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_jaccard_join(spark, sf_dir):
     return jaccard_join(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_exact_dedup, op4_top_k, op5_mixing, op6_sentencepiece, op7_sharding, op9_jaccard_join)}
+def op10_chat_format(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations")
+    return chat.format_conversations(turns, chat.train(turns))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_exact_dedup, op4_top_k, op5_mixing, op6_sentencepiece, op7_sharding, op8_quality, op9_jaccard_join, op10_chat_format)}
 ORACLES = {"op4_top_k": TOP_K_SQL, "op3_exact_dedup": DEDUP_SQL, "op5_mixing": MIX_SQL}

@@ -56,6 +56,21 @@ def labelled_sample(df: DataFrame, id_col: str, bound: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, done=None) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows, so that few texts are Python objects at a time.
+
+    At the end of the partition `done` is called and freed memory goes back: workers are used again, by other operators too.
+    """
+    try:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+    finally:
+        if done is not None:
+            done()
+        pa.default_memory_pool().release_unused()
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """From batches sorted by keys (no nulls in them), one table for each stretch of equal keys.
 

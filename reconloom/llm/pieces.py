@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reconloom.llm.common import slices
+
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -86,7 +88,8 @@ class PieceModel:
             raise ValueError("a piece goes beyond a word")
         self.unknown = self.types.index(UNKNOWN)
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.types[i] == BYTE}
-        self.longest = max(map(len, self.ids), default=1)
+        #: Every ending of a piece; the id of the piece that it is, or -1.
+        self.tails = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
         self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         self.text_of = [self._bytes(i) for i in range(len(self.pieces))]
         self._fits: dict[tuple[str, str], bool] = {}
@@ -120,17 +123,45 @@ class PieceModel:
         return parts
 
     def fits(self, a: str, b: str) -> bool:
-        """Whether merging the characters of ab ends in a, b. a may be empty: whether b's own characters end in b."""
+        """Whether merging the characters of ab ends in a, b. a may be empty: whether those of b end in b."""
         known = self._fits.get((a, b))
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 500_000:
                 self._fits.clear()
             known = self._fits[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
+    def _step(self, word: str, end: int, stack: list[tuple[float, int]]) -> tuple[float, int]:
+        """State of the prefix of length end: of the pieces that can be its last, the one on the best path."""
+        tails, size = self.tails, 1
+        sizes = []
+        while size <= end:
+            i = tails.get(word[end - size : end])
+            if i is None:  # no piece ends like this
+                break
+            if i >= 0:
+                sizes.append(size)
+            size += 1
+        if self.kind == BPE:
+            fits = self._fits
+            for size in reversed(sizes):
+                start = end - size
+                last = stack[start][1]
+                pair = (word[start - last : start], word[start:end])
+                known = fits.get(pair)
+                if known if known is not None else self.fits(*pair):
+                    return 0.0, size
+            return 0.0, 1
+        best = (stack[end - 1][0] + self.lowest, 1)
+        for size in sizes:
+            score = stack[end - size][0] + self.scores[tails[word[end - size : end]]]
+            if score > best[0]:
+                best = (score, size)
+        return best
+
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of distinct words in sorted order, by one depth-first walk through their trie."""
-        bpe, ids, longest = self.kind == BPE, self.ids, self.longest
+        ids, step = self.ids, self._step
         # State of the prefix of length n: score, length of the last piece. stack[0] is the empty prefix.
         stack: list[tuple[float, int]] = [(0.0, 0)]
         before = ""
@@ -142,23 +173,7 @@ class PieceModel:
                 n += 1
             del stack[n + 1 :]
             for end in range(n + 1, len(word) + 1):
-                best = None
-                for size in range(min(longest, end), 0, -1):
-                    piece = word[end - size : end]
-                    i = ids.get(piece)
-                    if i is None and size > 1:
-                        continue
-                    start = end - size
-                    if bpe:
-                        last = stack[start][1]
-                        if i is None or (self.fits(word[start - last : start], piece) and (last == 0 or self.fits("", piece))):
-                            best = (0.0, size)
-                            break
-                    else:
-                        score = stack[start][0] + (self.lowest if i is None else self.scores[i])
-                        if best is None or score > best[0]:
-                            best = (score, size)
-                stack.append(best or (stack[end - 1][0], 1))
+                stack.append(step(word, end, stack))
             out, end = [], len(word)
             while end:
                 size = stack[end][1]
@@ -193,6 +208,10 @@ class PieceModel:
             known[word] = struct.pack(f"<{len(out)}i", *out)
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
+    def forget(self) -> None:
+        """Drop the remembered words; the pairs of pieces stay, they are few."""
+        self._words.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, marks as spaces, bytes as UTF-8 (wrong bytes replaced), no space in front."""
         text = b"".join(map(self.text_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -224,16 +243,13 @@ def encode_documents(df: DataFrame, model: PieceModel, id_col: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                texts = b.column(1).to_pylist()
-                coded = [np.frombuffer(x, "<i4") for x in model.encode(texts)]
-                sizes = np.array([len(x) for x in coded], np.int64)
-                flat = np.concatenate(coded) if len(coded) else np.zeros(0, np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
-                same = [model.decode(x) == (t or "") for x, t in zip(coded, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(sizes), pa.array(same, pa.bool_())], names=["id", "ids", "n_tokens", "roundtrip"])
+        for b in slices(batches, done=model.forget):
+            texts = b.column(1).to_pylist()
+            coded = [np.frombuffer(x, "<i4") for x in model.encode(texts)]
+            sizes = np.array([len(x) for x in coded], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(coded).astype(np.int32)))
+            same = [model.decode(x) == (t or "") for x, t in zip(coded, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(sizes), pa.array(same, pa.bool_())], names=["id", "ids", "n_tokens", "roundtrip"])
 
     id_type = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, ids array<int>, n_tokens long, roundtrip boolean")

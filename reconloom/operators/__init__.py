@@ -1 +1 @@
-"""Part of reconloom."""
+"""Operators: functions of DataFrames that return DataFrames."""

@@ -1 +1 @@
-"""Part of reconloom."""
+"""Readers, sinks and the tables that the queries run on."""

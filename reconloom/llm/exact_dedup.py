@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import table
+from reconloom.llm.common import leave_one, slices, table
 
 
 class CountingQuotientFilter:
@@ -129,7 +129,7 @@ def _normal(text: str | None) -> bytes:
 
 
 def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         raw = [_normal(t) for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(2), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), pa.array(np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64).view(np.int64))],
@@ -138,8 +138,8 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Normalised bytes with their fingerprint, once for each batch, with how many rows had them."""
-    for b in batches:
+    """Normalised bytes with their fingerprint, once for each few thousand rows, with how many rows had them."""
+    for b in slices(batches, 2048):
         count: dict[bytes, int] = {}
         for t in b.column(0).to_pylist():
             x = _normal(t)
@@ -221,14 +221,4 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows that exact_duplicates drops, with the columns of df. Rows repeated whole leave one."""
     found = table(_decide(df, id_col, text_col).select("id", "raw_key", (F.col("last").isNull() | (F.col("row") == F.col("last.row"))).alias("kept")), "dedup-found")
-    dropped = found.filter(~F.col("kept")).select("id", "raw_key")
-    both = found.filter("kept").select("id", "raw_key").intersect(dropped)
-    gone = table(dropped.distinct(), "dedup-gone")
-    twins = table(both, "dedup-twins")
-    keyed = df.withColumn("_raw_key", F.xxhash64(text_col))
-    rest = keyed.join(gone.withColumnsRenamed({"id": "_gone_id", "raw_key": "_gone_key"}), F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_raw_key") == F.col("_gone_key")), "left_anti").select(df.columns)
-    if twins.isEmpty():
-        return rest
-    named = twins.withColumnsRenamed({"id": "_twin_id", "raw_key": "_twin_key"})
-    again = keyed.join(named, F.col(id_col).eqNullSafe(F.col("_twin_id")) & (F.col("_raw_key") == F.col("_twin_key")), "left_semi").dropDuplicates([id_col, "_raw_key"]).select(df.columns)
-    return rest.unionByName(again)
+    return leave_one(df, found.filter("kept").select("id", "raw_key"), found.filter(~F.col("kept")).select("id", "raw_key"), id_col, text_col)

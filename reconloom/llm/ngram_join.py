@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import components, groups, leave_one, table
+from reconloom.llm.common import components, groups, leave_one, slices, table
 
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.999
@@ -43,7 +43,7 @@ class _Hashes(dict):
     """Hash of each word seen; begins anew when large."""
 
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -85,7 +85,7 @@ def least_depth(similarity: float = SIMILARITY, trees: int = TREES, recall: floa
 
 
 def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, done=_hashes.clear):
         sets, counts, sigs = [], [], []
         for text in b.column(1).to_pylist():
             s = shingles(text)

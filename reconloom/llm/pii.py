@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reconloom.llm.common import slices
+
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of the field's segments, in the order in which spans are listed; the last has no pattern.
 TYPES = (*KINDS, "account")
@@ -409,7 +411,7 @@ def personal_data(df: DataFrame, field: Field, id_col: str = "doc_id", text_col:
     rows = lambda x: [{"kind": TYPES[k], "start": s, "end": e} for k, s, e in sorted(x)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [find(t, field) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([rows(x) for x, _ in found], pa.list_(span)), pa.array([rows(x) for _, x in found], pa.list_(span))], names=["id", "base", "added"])
 

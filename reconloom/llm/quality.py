@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import held_out, labelled_sample, table
+from reconloom.llm.common import held_out, labelled_sample, slices, table
 
 #: Labelled rows at most that the classifier is fitted on.
 SAMPLE = 20_000
@@ -130,7 +130,7 @@ def quality(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", tex
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.array([figures(t) for t in b.column(1).to_pylist()]).reshape(-1, len(FIGURES))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(classifier.probability(x))], names=["id", "host", "path", "p"])
 

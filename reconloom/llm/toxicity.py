@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import held_out, labelled_sample, table
+from reconloom.llm.common import held_out, labelled_sample, slices, table
 
 WORD = re.compile(r"\w+")
 BITS = 22
@@ -59,10 +59,14 @@ class Machine:
         self.terms, self.w0, self.w, self.v = s
         self._cache = {}
 
+    def forget(self) -> None:
+        """Drop the remembered words."""
+        self._cache.clear()
+
     def indices(self, text: str | None) -> list[int]:
         """The machine's terms in the whole text."""
         cache, found = self._cache, set()
-        if len(cache) > 1_000_000:
+        if len(cache) > 300_000:
             cache.clear()
         for word in words_of(text):
             hit = cache.get(word)
@@ -171,7 +175,7 @@ def toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, done=machine.forget):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([machine.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["id", "score"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -184,7 +188,7 @@ def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text") -> Dat
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, done=machine.forget):
             yield b.filter(pc.less(pa.array([machine.score(t) for t in b.column(at).to_pylist()], pa.float64()), REJECT))
 
     return docs.mapInArrow(clean, docs.schema)

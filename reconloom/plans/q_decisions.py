@@ -1 +1,179 @@
-"""Queries."""
+"""Queries: decisions, exceptions, thresholds, evidence."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reconloom.functions.text import numbers, proposes_match, ungrounded
+from reconloom.operators import complete, decide, evidence, exposure, learned, scoring, synth
+from reconloom.operators.blocking import exact_amount_baseline
+from reconloom.plans.catalog import register
+from reconloom.plans.context import DECIDED, FEATS, batch
+
+_BASE = "b_id, b_cents, has, topk_size, top1_a_id, top1, margin, exact1, dup_ref, added_count"
+
+
+@register("basis", DECIDED + f" SELECT {_BASE}, array_to_string(answer_keys, '|') AS answer FROM base")
+def basis(spark, sf_dir):
+    return batch(spark, sf_dir).base.select(*_BASE.split(", "), F.array_join("answer_keys", "|").alias("answer"))
+
+
+@register("triggers", DECIDED + " SELECT b_id, no_candidate, completion_added, fee_band_only, low_confidence, escalate, array_to_string(triggers, '|') AS triggers FROM decided")
+def triggers(spark, sf_dir):
+    return batch(spark, sf_dir).decided.select("b_id", *decide.TRIGGERS, "escalate", F.array_join("triggers", "|").alias("triggers"))
+
+
+@register("exception_class", DECIDED + " SELECT exception_class, escalate, count(*) AS rows FROM decided GROUP BY ALL")
+def exception_class(spark, sf_dir):
+    return batch(spark, sf_dir).decided.groupBy("exception_class", "escalate").agg(F.count("*").alias("rows"))
+
+
+@register("exceptions_file", DECIDED + " SELECT b_id, exception_class, array_to_string(triggers, '|') AS triggers, CASE WHEN len(answer_keys) = 0 THEN '' WHEN len(answer_keys) = 1 THEN answer_keys[1] ELSE '[' || array_to_string(answer_keys, ',') || ']' END AS proposed_answer, top1 AS top1_score, margin FROM decided WHERE escalate")
+def exceptions_file(spark, sf_dir):
+    return decide.exceptions(batch(spark, sf_dir).decided)
+
+
+@register("audit_records", DECIDED + " SELECT b_id::VARCHAR AS b_id, b_cents AS b_amount_cents, topk_size AS pool_size, topk_size AS n_candidates, added_count AS n_added, CASE WHEN escalate THEN 'escalate' ELSE 'auto_close' END AS decision, array_to_string(answer_keys, '|') AS answer FROM decided")
+def audit_records(spark, sf_dir):
+    a = decide.audit(batch(spark, sf_dir).decided, "main")
+    n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    return a.select("b_id", "b_amount_cents", "pool_size", n("candidates").alias("n_candidates"), n("added_keys").alias("n_added"), "decision", F.array_join("answer_keys", "|").alias("answer"))
+
+
+@register("decision_summary", DECIDED + " SELECT count_if(NOT escalate) AS auto_closed, count_if(escalate) AS escalated, round(count_if(NOT escalate) * 100.0 / count(*), 3) AS coverage, round(count_if(NOT escalate AND ok) * 100.0 / count_if(NOT escalate), 3) AS precision, round(count_if(ok) * 100.0 / count(*), 3) AS overall_match, count_if(no_candidate) AS no_candidate FROM judged")
+def decision_summary(spark, sf_dir):
+    d, auto, n = batch(spark, sf_dir).judged, ~F.col("escalate"), F.count_if
+    pc = lambda a, b: F.round(F.try_divide(a * 100.0, b), 3)
+    return d.agg(n(auto).alias("auto_closed"), n(~auto).alias("escalated"), pc(n(auto), F.count("*")).alias("coverage"), pc(n(auto & F.col("ok")), n(auto)).alias("precision"), pc(n(F.col("ok")), F.count("*")).alias("overall_match"), n(F.col("no_candidate")).alias("no_candidate"))
+
+
+_T, _M = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6), (0.0, 0.005, 0.01, 0.02, 0.05, 0.1)
+_GRID = DECIDED + f""", gp AS (SELECT t AS min_top1, m AS min_margin FROM (SELECT unnest({list(_T)})::DOUBLE AS t), (SELECT unnest({list(_M)})::DOUBLE AS m)),
+gx AS (SELECT min_top1, min_margin, ok, no_candidate OR completion_added OR fee_band_only AS others, coalesce(has AND (top1 < min_top1 OR margin < min_margin), false) AS low FROM judged, gp),
+gt AS (SELECT min_top1, min_margin, count_if(low) AS lc_fired, CASE WHEN count_if(low) > 0 THEN round(count_if(low AND ok) * 100.0 / count_if(low), 3) END AS lc_correct_pct, count_if(low AND NOT others) AS lc_only,
+  CASE WHEN count_if(low AND NOT others) > 0 THEN round(count_if(low AND NOT others AND ok) * 100.0 / count_if(low AND NOT others), 3) END AS lc_only_correct_pct, count_if(NOT low AND NOT others) AS auto_closed,
+  round(count_if(NOT low AND NOT others) * 100.0 / count(*), 3) AS auto_coverage_pct, CASE WHEN count_if(NOT low AND NOT others) > 0 THEN round(count_if(NOT low AND NOT others AND ok) * 100.0 / count_if(NOT low AND NOT others), 3) END AS auto_precision_pct FROM gx GROUP BY ALL)"""
+
+
+@register("grid_low_confidence", _GRID + " SELECT * FROM gt")
+def grid_low_confidence(spark, sf_dir):
+    b = batch(spark, sf_dir)
+    return decide.grid(b.base, b.gold, list(_T), list(_M))
+
+
+@register("selected_thresholds", _GRID + """, s AS (SELECT arg_max({'t': min_top1, 'm': min_margin}, {'c': auto_coverage_pct, 't': -min_top1, 'm': -min_margin}) AS b FROM gt WHERE lc_fired > 0 AND lc_correct_pct < 50)
+SELECT coalesce(b.t, 0) AS min_top1, coalesce(b.m, 0) AS min_margin, b IS NULL AS dropped FROM s""")
+def selected_thresholds(spark, sf_dir):
+    b = batch(spark, sf_dir)
+    return decide.select_thresholds(decide.grid(b.base, b.gold, list(_T), list(_M)))
+
+
+@register("fee_widening", DECIDED + """, fee AS (SELECT s.b_id, count(*) AS n FROM stmt s JOIN led a ON s.ccy = a.ccy AND s.account = a.account AND a.a_vd BETWEEN s.b_vd - 7 AND s.b_vd + 7 AND (abs(a_cents - b_cents) <= 1 OR (sign(a_cents) = sign(b_cents) AND abs(a_cents) * 100 >= abs(b_cents) * 95 AND abs(a_cents) <= abs(b_cents))) GROUP BY s.b_id)
+SELECT class, count(*) AS rows, count_if(topk_size > 0) AS with_exact, count_if(coalesce(n, 0) > 0) AS with_fee FROM stmt s JOIN base ON base.b_id = s.b_id LEFT JOIN fee ON fee.b_id = s.b_id GROUP BY class""")
+def fee_widening(spark, sf_dir):
+    """Rows with candidates by class, with exact amounts and with the fee band."""
+    from reconloom.operators.blocking import fee_candidates
+
+    b = batch(spark, sf_dir)
+    one = lambda d, n: d.select("b_id").distinct().withColumn(n, F.lit(True))
+    d = b.stmt.select("b_id", "class").join(one(b.pairs, "e"), "b_id", "left").join(one(fee_candidates(b.stmt, b.led), "f"), "b_id", "left")
+    return d.groupBy("class").agg(F.count("*").alias("rows"), F.count("e").alias("with_exact"), F.count("f").alias("with_fee"))
+
+
+_LINE = "concat_ws('; ', topk_size || ' cand', CASE WHEN has THEN 'top1=' || CAST(CAST(top1 AS DECIMAL(12, 6)) AS DECIMAL(12, 4)) END, CASE WHEN has THEN 'margin=' || CAST(CAST(margin AS DECIMAL(12, 6)) AS DECIMAL(12, 4)) END, CASE WHEN exact1 THEN 'exact' ELSE 'no-exact-amount' END, CASE WHEN dup_ref THEN 'dup-ref' END, CASE WHEN added_count > 0 THEN '+' || added_count || ' added (p max ' || printf('%.3f', list_max(list_transform(added, lambda x: x.p)) / 100) || ')' END, CASE WHEN NOT has THEN 'empty pool' END)"
+
+
+@register("evidence_line", DECIDED + f" SELECT b_id, {_LINE} AS line FROM decided")
+def evidence_line(spark, sf_dir):
+    return batch(spark, sf_dir).decided.select("b_id", evidence.one_line().alias("line"))
+
+
+@register("trace_steps", DECIDED + """, tr AS (SELECT b_id, unnest(list_filter([{'n': 'block', 'd': topk_size || ' kept'}, CASE WHEN has THEN {'n': 'rank', 'd': 'top1 ' || CAST(CAST(top1 AS DECIMAL(12, 6)) AS DECIMAL(12, 4))} END, CASE WHEN added_count > 0 THEN {'n': 'complete', 'd': '+' || added_count} END,
+  CASE WHEN len(triggers) > 0 THEN {'n': 'trigger', 'd': array_to_string(triggers, '|')} END, {'n': 'decide', 'd': CASE WHEN escalate THEN 'escalate: ' || exception_class ELSE 'auto_close' END}], lambda x: x IS NOT NULL)) AS s FROM decided)
+SELECT s.n AS name, s.d AS detail, count(*) AS rows FROM tr GROUP BY ALL""")
+def trace_steps(spark, sf_dir):
+    return evidence.trace(batch(spark, sf_dir).decided).groupBy("name", "detail").agg(F.count("*").alias("rows"))
+
+
+@register("detail_documents", DECIDED + " SELECT d.b_id::VARCHAR AS b_id, CASE WHEN escalate THEN 'escalate' ELSE 'auto_close' END AS decision, abs(d.b_cents) AS exposure_cents, CASE WHEN d.b_cents > 0 THEN 'DR' ELSE 'CR' END AS dr_cr, b_vd::VARCHAR AS value_date, b_attrs AS attributes, topk_size AS n_candidates FROM decided d JOIN stmt s ON s.b_id = d.b_id")
+def detail_documents(spark, sf_dir):
+    b = batch(spark, sf_dir)
+    d = evidence.detail(decide.audit(b.decided, "main"), b.stmt)
+    t = "doc.transaction"
+    return d.select("b_id", "doc.decision", f"{t}.exposure_cents", F.col(f"{t}.debit_or_credit").alias("dr_cr"), f"{t}.value_date", f"{t}.attributes", F.col("doc.candidate_pool_size").alias("n_candidates"))
+
+
+@register("grounded_check", DECIDED + """, ex AS (SELECT b_id, CASE b_id % 3 WHEN 0 THEN false ELSE true END AS grounded, b_id % 5 = 0 AS proposes FROM decided WHERE escalate)
+SELECT grounded, proposes, count(*) AS rows FROM ex GROUP BY ALL""")
+def grounded_check(spark, sf_dir):
+    """Explanations made by rule: every third cites a number that the evidence lacks, every fifth proposes a match."""
+    k = F.col("b_id")
+    text = F.concat(F.lit("Amount in cents "), F.col("b_cents").cast("string"), F.lit(" with "), F.col("topk_size").cast("string"), F.lit(" candidates"), F.when(k % 3 == 0, "; see 123456789.37").otherwise(""), F.when(k % 5 == 0, ". It should be matched to the first").otherwise(""))
+    d = evidence.groundedness(batch(spark, sf_dir).decided.filter("escalate").withColumn("explanation", text))
+    return d.groupBy("grounded", "proposes").agg(F.count("*").alias("rows"))
+
+
+@register("investigation_rollup", DECIDED + " SELECT 'm' || (b_id % 2) AS model, count(*) AS explanations, count_if(b_id % 3 = 0) AS not_grounded, 0 AS proposing FROM decided WHERE escalate GROUP BY 1")
+def investigation_rollup(spark, sf_dir):
+    k = F.col("b_id")
+    d = batch(spark, sf_dir).decided.filter("escalate").withColumn("explanation", F.when(k % 3 == 0, "about 987654321.11").otherwise("no figures")).withColumn("model", F.concat(F.lit("m"), (k % 2).cast("string")))
+    return evidence.roll_up(evidence.groundedness(d))
+
+
+@register("number_tokens", r"SELECT conv_id, turn, len(regexp_extract_all(' ' || text, '(?:^|[^\w.])([-+]?\d[\d,]*(?:\.\d+)?%?)', 1)) AS n FROM conversations WHERE NOT regexp_matches(text, '\d\s*[-+]?\d') OR true")
+def number_tokens(spark, sf_dir):
+    return batch(spark, sf_dir).read("conversations").select("conv_id", "turn", F.size(numbers("text")).cast("long").alias("n"))
+
+
+@register("proposal_tripwire", r"SELECT item_id, regexp_matches(CASE item_id % 4 WHEN 0 THEN 'It should be matched to X' WHEN 1 THEN 'candidate 3 is likely' WHEN 2 THEN 'matches candidate A' ELSE text END, '(?i)\bis (?:the|a) (?:correct|right|true) match\b|\bshould be matched to\b|\bmatch(?:es)? (?:to )?candidate\b|\bcandidate \d+ is (?:the )?(?:correct|right|best|likely)\b|\bI recommend matching\b|\bthe correct allocation is\b') AS proposes FROM benchmark")
+def proposal_tripwire(spark, sf_dir):
+    i = F.col("item_id") % 4
+    text = F.when(i == 0, "It should be matched to X").when(i == 1, "candidate 3 is likely").when(i == 2, "matches candidate A").otherwise(F.col("text"))
+    return batch(spark, sf_dir).read("benchmark").select("item_id", proposes_match(text).alias("proposes"))
+
+
+@register("ungrounded_numbers", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS n_ungrounded FROM orders")
+def ungrounded_numbers(spark, sf_dir):
+    """Prices cited as they are, or with a number put in."""
+    o = batch(spark, sf_dir).read("orders")
+    text = F.concat(F.lit("The price is "), F.format_string("%.2f", "o_totalprice"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(", not 77777777777"))
+    return o.select("o_orderkey", F.size(ungrounded(text, F.array("o_totalprice"), [F.lit(2)])).alias("n_ungrounded"))
+
+
+@register("classifier_candidates")
+def classifier_candidates(spark, sf_dir):
+    """Boosted trees fitted on even statement ids, candidates of odd ones judged."""
+    b = batch(spark, sf_dir)
+    rows = learned.labelled(b.feats, b.gold).persist()
+    model = learned.fit(rows.filter("b_id % 2 = 0"))
+    return learned.candidate_quality(learned.probabilities(model, rows.filter("b_id % 2 = 1")))
+
+
+@register("synthetic_batch")
+def synthetic_batch(spark, sf_dir):
+    """Classes of a generated batch as large as the orders table, with the exact-amount baseline's matches."""
+    n = batch(spark, sf_dir).read("orders").count()
+    stmt, led, _ = synth.generate(spark, n, seed=7)
+    none = F.array().cast("array<string>")
+    truth = stmt.select("b_id").join(led.filter("not distractor").groupBy(F.col("b_owner").alias("b_id")).agg(F.collect_set("allocation").alias("keys")), "b_id", "left").select("b_id", F.coalesce("keys", none).alias("keys"))
+    return scoring.by_class(scoring.compare(exact_amount_baseline(stmt, led), truth), stmt.select("b_id", "class", "corruptions"))
+
+
+@register("synthetic_too_easy")
+def synthetic_too_easy(spark, sf_dir):
+    stmt, led, _ = synth.generate(spark, 20_000, seed=7)
+    none = F.array().cast("array<string>")
+    truth = stmt.select("b_id").join(led.filter("not distractor").groupBy(F.col("b_owner").alias("b_id")).agg(F.collect_set("allocation").alias("keys")), "b_id", "left").select("b_id", F.coalesce("keys", none).alias("keys"))
+    return synth.too_easy(exact_amount_baseline(stmt, led), truth)
+
+
+@register("accepted_keys", FEATS + " SELECT b_id, array_to_string(list(key ORDER BY rank), '|') AS keys, list(p ORDER BY rank)[1]::BIGINT AS first_percent FROM props WHERE p >= 50 GROUP BY b_id")
+def accepted_keys(spark, sf_dir):
+    d = complete.accepted_keys(batch(spark, sf_dir).feats, complete.rule_probability())
+    return d.select("b_id", F.array_join(F.transform("added", lambda a: a["allocation_key"]), "|").alias("keys"), F.get("added", F.lit(0))["percent"].cast("long").alias("first_percent"))
+
+
+@register("top_investigations", DECIDED + f", q AS (SELECT *, row_number() OVER (ORDER BY abs(b_cents) DESC, b_id) AS rank FROM decided WHERE escalate) SELECT b_id, rank, {_LINE} AS evidence FROM q WHERE rank <= 10")
+def top_investigations(spark, sf_dir):
+    q = exposure.ranked_queue(batch(spark, sf_dir).decided)
+    return evidence.investigate(q, 10, lambda e: F.lit("")).select("b_id", "rank", "evidence")

@@ -1 +1,106 @@
-"""Queries."""
+"""Queries: files written and read again, and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reconloom.operators import decide
+from reconloom.plans.catalog import register
+from reconloom.plans.context import BASE, DECIDED, batch
+from reconloom.sources import io
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir where it is set, else the warehouse."""
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/reconloom-{name}-{uuid.uuid4().hex}"
+
+
+@register("scan_text_csv", BASE + " SELECT b_id::VARCHAR AS \"B_id\", coalesce(array_to_string(gold, ','), '') AS keys, ' x ' AS \"Usage\" FROM stmt s LEFT JOIN gold ON gold.b_id = s.b_id".replace("SELECT b_id::", "SELECT s.b_id::"))
+def scan_text_csv(spark, sf_dir):
+    """Written as CSV and read as text: blanks stay '', spaces stay."""
+    b, path = batch(spark, sf_dir), _folder(spark, "csv")
+    d = b.queries.join(b.gold, "b_id", "left").select(F.col("b_id").cast("string").alias("B_id"), F.coalesce(F.array_join("gold", ","), F.lit("")).alias("targetAllocation"), F.lit(" x ").alias("Usage"))
+    io.write_csv(d, path)
+    return io.read_text_csv(spark, path, io.SOLUTION_COLUMNS).withColumnRenamed("targetAllocation", "keys")
+
+
+@register("scan_typed_csv", "SELECT lpad(n_nationkey::VARCHAR, 4, '0') AS id, n_name, n_regionkey FROM nation")
+def scan_typed_csv(spark, sf_dir):
+    """Types inferred, one column forced to text (its leading zeros stay)."""
+    path = _folder(spark, "typed")
+    io.write_csv(batch(spark, sf_dir).read("nation").select(F.lpad(F.col("n_nationkey").cast("string"), 4, "0").alias("id"), "n_name", "n_regionkey"), path)
+    return io.read_typed_csv(spark, path, {"id": "string"})
+
+
+@register("scan_audit", DECIDED + " SELECT CASE WHEN escalate THEN 'escalate' ELSE 'auto_close' END AS decision, exception_class, count(*) AS rows, sum(topk_size)::BIGINT AS candidates, sum(b_cents)::BIGINT AS cents FROM decided GROUP BY ALL")
+def scan_audit(spark, sf_dir):
+    """The audit written as JSON lines and read under its schema."""
+    path = _folder(spark, "audit")
+    io.write_jsonl(decide.audit(batch(spark, sf_dir).decided, "main"), path)
+    n = F.coalesce(F.sum(F.when(F.col("candidates").isNotNull(), F.size("candidates"))), F.lit(0))
+    return io.read_audit(spark, path).groupBy("decision", "exception_class").agg(F.count("*").alias("rows"), n.cast("long").alias("candidates"), F.sum("b_amount_cents").alias("cents"))
+
+
+@register("scan_manifest", BASE + " SELECT class, count(*) AS rows, count_if(b_id % 4 = 0) AS with_timing FROM stmt WHERE b_id % 10 < 3 GROUP BY class")
+def scan_manifest(spark, sf_dir):
+    """A manifest document (one JSON object with its groups) written and exploded again."""
+    path = _folder(spark, "manifest")
+    d = batch(spark, sf_dir).stmt.filter("b_id % 10 < 3")
+    hit = F.when(F.col("b_id") % 4 == 0, F.array(F.lit("timing"))).otherwise(F.array().cast("array<string>"))
+    groups = d.groupBy("class", hit.alias("corruptions")).agg(F.collect_list("b_id").alias("b_ids")).withColumn("matchId", F.col("class"))
+    io.write_jsonl(groups.select(F.lit(1).alias("seed"), F.array(F.struct("matchId", "class", "corruptions", "b_ids")).alias("groups")), path)
+    doc = spark.read.schema("seed long, groups array<struct<matchId:string,class:string,corruptions:array<string>,b_ids:array<long>>>").json(path)
+    m = doc.select(F.explode("groups").alias("g")).select(F.explode("g.b_ids").alias("b_id"), "g.class", "g.corruptions")
+    return m.groupBy("class").agg(F.count("*").alias("rows"), F.count_if(F.array_contains("corruptions", "timing")).alias("with_timing"))
+
+
+@register("scan_log", "SELECT o_orderkey::VARCHAR AS id, (o_orderkey % 97)::VARCHAR AS rate FROM orders WHERE o_orderkey % 3 = 0")
+def scan_log(spark, sf_dir):
+    """Figures taken out of log lines by a pattern."""
+    path = _folder(spark, "log")
+    k = F.col("o_orderkey").cast("string")
+    line = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("  run "), k, F.lit(": "), (F.col("o_orderkey") % 97).cast("string"), F.lit(" rec/s"))).otherwise(F.concat(F.lit("noise "), k))
+    batch(spark, sf_dir).read("orders").select(line.alias("value")).write.mode("overwrite").text(path)
+    return io.read_log(spark, path, r"^\s*run (\d+): (\d+) rec/s", ["id", "rate"])
+
+
+@register("pruned_scan", "SELECT l_orderkey, sum(l_quantity) AS quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' GROUP BY l_orderkey")
+def pruned_scan(spark, sf_dir):
+    """Two columns and a filter, both of which reach the Parquet scan."""
+    return batch(spark, sf_dir).read("lineitem").filter("l_shipdate >= TIMESTAMP '1997-01-01'").select("l_orderkey", "l_quantity").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"))
+
+
+@register("append_new", "WITH e AS (SELECT o_orderkey AS id, 'old' AS v, CASE WHEN o_orderkey % 5 = 0 THEN 'failed' END AS error FROM orders WHERE o_orderkey % 2 = 0), g AS (SELECT * FROM e WHERE error IS NULL), f AS (SELECT o_orderkey AS id, 'new' AS v, NULL::VARCHAR AS error FROM orders WHERE o_orderkey % 3 = 0) SELECT v, count(*) AS rows, sum(id)::BIGINT AS ids FROM (SELECT * FROM g UNION ALL SELECT f.* FROM f ANTI JOIN g ON f.id = g.id) GROUP BY v")
+def append_new(spark, sf_dir):
+    """A resumed file: good records stay, failed ones are made again, known ids are skipped."""
+    o = batch(spark, sf_dir).read("orders").select(F.col("o_orderkey").alias("id"))
+    e = o.filter("id % 2 = 0").select("id", F.lit("old").alias("v"), F.when(F.col("id") % 5 == 0, "failed").alias("error"))
+    f = o.filter("id % 3 = 0").select("id", F.lit("new").alias("v"), F.lit(None).cast("string").alias("error"))
+    return io.append_new(e, f, "id").groupBy("v").agg(F.count("*").alias("rows"), F.sum("id").alias("ids"))
+
+
+@register("latest_records", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id % 7 <> 0 GROUP BY user_id")
+def latest_records(spark, sf_dir):
+    """The last record of each key that is not an error."""
+    e = batch(spark, sf_dir).read("events").select("user_id", "event_id", "event_type", F.when(F.col("event_id") % 7 == 0, "failed").alias("error"))
+    return io.latest(e, "user_id", "event_id").select("user_id", "event_id", "event_type")
+
+
+@register("file_inventory")
+def file_inventory(spark, sf_dir):
+    return io.inventory(spark, sf_dir, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "bytes")
+
+
+@register("queue_sink", DECIDED + ", q AS (SELECT abs(b_cents) AS v, row_number() OVER (ORDER BY abs(b_cents) DESC, b_id) AS rank FROM decided WHERE escalate) SELECT ((rank - 1) // 1000)::INT AS page, count(*) AS rows, max(v) AS largest FROM q GROUP BY 1")
+def queue_sink(spark, sf_dir):
+    """The ranked queue written as JSON, a folder a page, and read again."""
+    from reconloom.operators import exposure
+
+    path = _folder(spark, "pages")
+    q = exposure.ranked_queue(batch(spark, sf_dir).decided).select("rank", "b_id", "exposure_cents")
+    io.write_pages(q, path)
+    d = spark.read.schema("rank long, b_id long, exposure_cents long, page int").json(path)
+    return d.groupBy("page").agg(F.count("*").alias("rows"), F.max("exposure_cents").alias("largest"))

@@ -30,7 +30,7 @@ def parse_keys(label: str | Column, quotes: bool = True) -> Column:
     bracketed = t.startswith("[") & t.endswith("]")
     parts = F.when(bracketed, F.split(inner, ",", -1)).otherwise(F.array(s if quotes else t))
     clean = unquote if quotes else F.trim
-    keys = F.filter(F.transform(parts, clean), lambda k: k != "")
+    keys = F.filter(F.transform(parts, lambda k: clean(k)), lambda k: k != "")
     empty = F.array().cast("array<string>")
     return F.when((t == "") | (F.lower(t) == "nan") | (bracketed & (F.trim(inner) == "")), empty).otherwise(F.array_distinct(keys))
 

@@ -87,7 +87,7 @@ def fit(turns: list[tuple[int, int, str]], drop: float = 0.3) -> Model:
     start, move = np.full(STATES, 0.01), np.full((STATES, STATES), 0.01)
     start[0::2] += 0.5
     start[1::2] = 1e-9  # a transcript begins with a turn
-    mark = np.full((STATES, len(ROLES) + 1), 1e-4)
+    mark = np.full((STATES, len(ROLES) + 1), 1e-9)  # a marker is all but certain
     for r in range(len(ROLES)):
         mark[2 * r, r], mark[2 * r, -1] = 1 - drop, drop
         mark[2 * r + 1, -1] = 1

@@ -23,7 +23,7 @@ def within(a: Column, b: Column, tolerance: int = 1) -> Column:
     return F.abs(a - b) <= tolerance
 
 
-#: Tolerances by name: cents that an amount may differ by, or parts per million of the statement's amount.
+#: Tolerances by name: cents that an amount may differ by, or parts per million of the statement's amount.
 TOLERANCES = (("exact", 0, 0), ("c1", 1, 0), ("c100", 100, 0), ("r01", 0, 1000), ("r1", 0, 10_000), ("r5", 0, 50_000))
 
 
@@ -51,9 +51,10 @@ def money(c: str | Column, trillions: bool = False) -> Column:
     c = _col(c)
     v = F.abs(c) / 100
     sign = F.when(c < 0, "-").otherwise("")
-    out = F.when(v >= 1e9, F.concat(F.format_string("%.2f", v / 1e9), F.lit("B"))).when(v >= 1e6, F.concat(F.format_string("%.2f", v / 1e6), F.lit("M"))).when(v >= 1e3, F.concat(F.format_string("%.2f", v / 1e3), F.lit("K"))).otherwise(F.format_string("%.2f", v))
+    short = lambda by, suffix: F.concat(F.format_number(v / by, 2), F.lit(suffix))
+    out = F.when(v >= 1e9, short(1e9, "B")).when(v >= 1e6, short(1e6, "M")).when(v >= 1e3, short(1e3, "K")).otherwise(F.format_number(v, 2))
     if trillions:
-        out = F.when(v >= 1e12, F.concat(F.format_string("%.2f", v / 1e12), F.lit("T"))).otherwise(out)
+        out = F.when(v >= 1e12, short(1e12, "T")).otherwise(out)
     return F.concat(sign, out)
 
 
@@ -80,8 +81,8 @@ def magnitude_label(k: str | Column) -> Column:
     return F.when(k < 0, low).when(k >= 3, big).otherwise(small)
 
 
-#: Upper ends of the fixed buckets, in cents, with their labels; half open, the last has no end.
-AMOUNT_BUCKETS = ((100_00, "< 100"), (1_000_00, "100 - 1K"), (10_000_00, "1K - 10K"), (100_000_00, "10K - 100K"), (1_000_000_00, "100K - 1M"), (10_000_000_00, "1M - 10M"), (None, ">= 10M"))
+#: Upper ends of the amount buckets, in cents, with their labels; half open, the last has no end.
+AMOUNT_BUCKETS = ((1_000_00, "< 1K"), (10_000_00, "1K - 10K"), (100_000_00, "10K - 100K"), (1_000_000_00, "100K - 1M"), (10_000_000_00, "1M - 10M"), (100_000_000_00, "10M - 100M"), (None, ">= 100M"))
 
 
 def amount_bucket(c: str | Column) -> tuple[Column, Column]:

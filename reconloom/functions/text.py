@@ -47,6 +47,7 @@ def char_ngrams(text: str | Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.array(*[windows(t, n) for n in range(low, high + 1)]))
 
 
+#: Fixed value: a number in prose.
 NUMBER = r"(?<![\w.])[-+]?\d[\d,]*(?:\.\d+)?%?"
 
 
@@ -79,7 +80,7 @@ def ungrounded(text: str | Column, values: str | Column, counts: list[Column]) -
     return F.filter(numbers(text), free)
 
 
-#: Phrases that propose a match.
+#: Phrases that propose a match.
 PROPOSALS = (
     r"\bis (?:the|a) (?:correct|right|true) match\b",
     r"\bshould be matched to\b",

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from reconloom.functions.amounts import TOLERANCES, fee_band, tolerated
 
 BLOCK = ("ccy", "account")
-#: Windows of days (from, to), ledger date minus statement date, by name.
-SYMMETRIC = tuple((f"pm{n:02d}", -n, n) for n in (0, 1, 2, 3, 5, 7, 10, 14, 30)) + (("all", -1_000_000, 1_000_000),)
+#: Windows of days (from, to), ledger date minus statement date, by name.
+SYMMETRIC = tuple((f"pm{n:02d}", -n, n) for n in (0, 1, 2, 3, 5, 7, 14, 30, 60)) + (("all", -1_000_000, 1_000_000),)
 ONE_SIDED = (("before07", -7, 0), ("after07", 0, 7), ("before30", -30, 0), ("after30", 0, 30))
 
 
@@ -42,6 +42,7 @@ def ratio_join(b: DataFrame, a: DataFrame, predicate: Column, low: int = -7, hig
     """b ⋈ a where amounts are of one sign and within 6 % of each other, or 2 cents, and `predicate` holds.
 
     Buckets are steps of 8 % in the logarithm of the amount; a statement row looks in its own and both neighbours, which covers 6 % either way.
+    Dates are cut into spans as long as the window, so that a row meets those of two spans, not of all years.
     """
     step = 0.08
 
@@ -52,7 +53,11 @@ def ratio_join(b: DataFrame, a: DataFrame, predicate: Column, low: int = -7, hig
     near = F.array(*[bucket("b_cents") + i for i in (-1, 0, 1)])
     keyed = b.withColumn("_s", F.explode(F.array_distinct(F.array(sign("b_cents"), F.signum("b_cents").cast("int"), F.when(F.abs("b_cents") <= 4, 0).otherwise(sign("b_cents")))))).withColumn("_k", F.explode(near))
     other = a.withColumn("_s", sign("a_cents")).withColumn("_k", bucket("a_cents"))
-    return keyed.join(other, [*BLOCK, "_s", "_k"]).filter(predicate & in_window(low, high)).drop("_s", "_k").dropDuplicates(["b_id", "a_id"])
+    span = high - low + 1
+    day = lambda c: F.unix_date(c)
+    keyed = keyed.withColumn("_d", F.explode(F.sequence(F.floor((day("b_vd") + low) / span), F.floor((day("b_vd") + high) / span))))
+    other = other.withColumn("_d", F.floor(day("a_vd") / span))
+    return keyed.join(other, [*BLOCK, "_s", "_k", "_d"]).filter(predicate & in_window(low, high)).drop("_s", "_k", "_d").dropDuplicates(["b_id", "a_id"])
 
 
 def fee_candidates(b: DataFrame, a: DataFrame, tolerance: int = 1) -> DataFrame:

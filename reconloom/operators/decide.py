@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from reconloom.functions.keys import encode_keys
 
+#: Triggers, in the order in which they are listed.
 TRIGGERS = ("no_candidate", "completion_added", "fee_band_only", "low_confidence")
 
+#: The grid of thresholds.
+GRID_TOP1 = (0.0, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15)
+GRID_MARGIN = (0.0, 0.005, 0.01, 0.02, 0.04, 0.08)
+
 
 def basis(stmt: DataFrame, ranked: DataFrame, added: DataFrame, pool: DataFrame | None = None) -> DataFrame:
     """One row for each statement row with everything that a decision needs.

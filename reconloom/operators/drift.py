@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reconloom.functions.amounts import amount_bucket, percent
 from reconloom.functions.keys import stratum
 
-#: Points of coverage a refused filter cost for a point of precision: the yardstick of the verdict.
+#: Fixed value: points of coverage a refused filter cost for a point of precision: the yardstick of the verdict.
 REFUSED_RATE = 31.36
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from reconloom.functions.amounts import amount_bucket, magnitude, magnitude_label, percent
 from reconloom.operators.decide import TRIGGERS
 
-DECILES = tuple(range(10, 101, 10))
+#: Percents of the queue at which the curve is read.
+DECILES = (1, 5, 10, 25, 50, 75, 100)
 
 
 def headline(decided: DataFrame) -> DataFrame:

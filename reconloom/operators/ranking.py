@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconloom.functions.text import char_ngrams, shares_run
@@ -10,37 +10,55 @@ from reconloom.functions.text import char_ngrams, shares_run
 TOP = 5
 
 
+#: Rows of n-gram frequencies (two numbers each) up to which they are broadcast; beyond that the join shuffles.
+BROADCAST_GRAMS = 4_000_000
+
+
+def grams(text: str) -> Column:
+    """The n-grams of a text as 64-bit hashes, with repeats."""
+    return F.transform(char_ngrams(text), lambda g: F.xxhash64(g))
+
+
 def document_frequency(docs: DataFrame) -> DataFrame:
-    """(g, df): in how many texts each n-gram is, of those in at least two. docs: text."""
-    return docs.select(F.explode(F.array_distinct(char_ngrams("text"))).alias("g")).groupBy("g").agg(F.count("*").alias("df")).filter("df >= 2")
+    """(g, df): in how many texts each n-gram is, of those in at least two. docs: text. Kept, and marked for broadcast if small."""
+    found = docs.select(F.explode(F.array_distinct(grams("text"))).alias("g")).groupBy("g").agg(F.count("*").alias("df")).filter("df >= 2").persist()
+    return F.broadcast(found) if found.count() <= BROADCAST_GRAMS else found
 
 
-def weights(docs: DataFrame, frequency: DataFrame, corpus_size: DataFrame) -> DataFrame:
-    """(doc, g, w): tf * (ln((1 + N) / (1 + df)) + 1), each document's weights of length 1. corpus_size: one row, n."""
-    tf = docs.select("doc", F.explode(char_ngrams("text")).alias("g")).groupBy("doc", "g").agg(F.count("*").alias("tf"))
-    raw = tf.join(frequency, "g").crossJoin(F.broadcast(corpus_size)).select("doc", "g", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc").select("doc", "g", (F.col("w") / F.col("norm")).alias("w"))
+def vectors(docs: DataFrame, frequency: DataFrame, corpus_size: int) -> DataFrame:
+    """(doc, vec): for each document the weights tf * (ln((1 + N) / (1 + df)) + 1) by n-gram, of length 1 together.
+
+    Documents are dealt by doc before they are taken apart, so counting in and putting together again need no shuffle.
+    """
+    tf = docs.repartition("doc").select("doc", F.explode(grams("text")).alias("g")).groupBy("doc", "g").agg(F.count("*").alias("tf"))
+    raw = tf.join(frequency, "g").select("doc", "g", (F.col("tf") * (F.log((1 + F.lit(corpus_size)) / (1 + F.col("df"))) + 1)).alias("w"))
+    one = raw.groupBy("doc").agg(F.collect_list(F.struct("g", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))  # as long as the document
+    return one.select("doc", F.transform("v", lambda x: F.struct(x["g"].alias("g"), (x["w"] / F.col("norm")).alias("w"))).alias("vec"))
 
 
-def cosine(pairs: DataFrame, b_weights: DataFrame, a_weights: DataFrame) -> DataFrame:
+def cosine(pairs: DataFrame, b_vectors: DataFrame, a_vectors: DataFrame) -> DataFrame:
     """pairs (b_id, a_id, ...) with score; pairs without a common n-gram stay, with 0."""
-    ids = pairs.select("b_id", "a_id")
-    dots = ids.join(b_weights.withColumnsRenamed({"doc": "b_id", "w": "wb"}), "b_id").join(a_weights.withColumnsRenamed({"doc": "a_id", "w": "wa"}), ["a_id", "g"]).groupBy("b_id", "a_id").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("score"))
-    return pairs.join(dots, ["b_id", "a_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    d = pairs.join(b_vectors.select(F.col("doc").alias("b_id"), F.map_from_entries("vec").alias("_vb")), "b_id", "left").join(a_vectors.select(F.col("doc").alias("a_id"), F.col("vec").alias("_va")), "a_id", "left")
+    dot = F.aggregate("_va", F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.try_element_at("_vb", x["g"]), F.lit(0.0)))
+    return d.withColumn("score", F.round(F.coalesce(dot, F.lit(0.0)), 9)).drop("_va", "_vb")
 
 
-def score_pairs(pairs: DataFrame, stmt: DataFrame, led: DataFrame, query: str = "b_text") -> DataFrame:
+def score_pairs(pairs: DataFrame, stmt: DataFrame, led: DataFrame, query: str = "b_text", frequency: DataFrame | None = None) -> DataFrame:
     """pairs with the cosine of the statement's `query` text and the ledger's text.
 
-    Frequencies are of both sides' whole texts (whatever the query field), weights only of the texts in pairs.
+    Frequencies are of both sides' whole texts (whatever the query field; given, or counted here), weights only of the texts in pairs.
     """
-    corpus = led.select(F.col("a_text").alias("text")).unionAll(stmt.select(F.col("b_text").alias("text")))
-    frequency = document_frequency(corpus)
-    size = corpus.agg(F.count("*").alias("n"))
+    corpus = corpus_of(stmt, led)
+    frequency = document_frequency(corpus) if frequency is None else frequency
+    n = corpus.count()
     a_docs = pairs.select(F.col("a_id").alias("doc"), F.col("a_text").alias("text")).distinct()
     b_docs = pairs.select(F.col("b_id").alias("doc"), F.col(query).alias("text")).distinct()
-    return cosine(pairs, weights(b_docs, frequency, size), weights(a_docs, frequency, size))
+    return cosine(pairs, vectors(b_docs, frequency, n), vectors(a_docs, frequency, n))
+
+
+def corpus_of(stmt: DataFrame, led: DataFrame) -> DataFrame:
+    """The texts of both sides."""
+    return led.select(F.col("a_text").alias("text")).unionAll(stmt.select(F.col("b_text").alias("text")))
 
 
 def top_k(scored: DataFrame, k: int = TOP, first: str | None = None) -> DataFrame:

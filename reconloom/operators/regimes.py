@@ -123,3 +123,10 @@ def pool_stats(sizes: DataFrame, column: str) -> DataFrame:
     """One row: queries, mean and median of all and of non-empty pools, empty pools."""
     c = F.col(column)
     return sizes.agg(F.count("*").alias("queries"), F.round(F.avg(c), 6).alias("mean"), F.median(c).alias("median"), F.count_if(c == 0).alias("empty"), F.round(F.avg(F.when(c > 0, c)), 6).alias("mean_nonempty"), rate(F.count_if(c > 0), F.count("*")).alias("nonempty_rate"))
+
+
+def worked_examples(members: DataFrame) -> DataFrame:
+    """The first group of each regime among those of several rows, with all its ledger rows, their sum and residual."""
+    g = group_sums(members).filter("n_a >= 2")
+    first = g.groupBy("regime").agg(F.min("b_id").alias("b_id"))
+    return g.join(first, ["regime", "b_id"]).select("regime", "b_id", "total", "residual").join(members.select("b_id", "b_cents", "a_id", "a_cents"), "b_id")

@@ -35,12 +35,18 @@ def deltas(table: DataFrame) -> DataFrame:
     return sym.select("ord", "window", "match", (F.col("match") - F.lag("match").over(w)).alias("match_delta"), (F.col("ceiling") - F.lag("ceiling").over(w)).alias("ceiling_delta"))
 
 
-def verdict(table: DataFrame, chosen: str = "pm07") -> DataFrame:
-    """One row: the knee (first symmetric window within 0.1 points of the best) and whether the chosen one lies on a plateau (0.25 points)."""
-    sym = table.filter(F.col("ord") < len(SYMMETRIC))
-    best = sym.agg(F.max("match_pct").alias("best"), F.max(F.when(F.col("window") == chosen, F.col("match_pct"))).alias("own"))
-    d = sym.crossJoin(F.broadcast(best))
-    return d.groupBy("best", "own").agg(F.min_by(F.when(F.col("match_pct") >= F.col("best") - 0.1, F.col("window")), F.when(F.col("match_pct") >= F.col("best") - 0.1, F.col("ord"))).alias("knee")).withColumn("verdict", F.when(F.col("best") - F.col("own") <= 0.25, "plateau").otherwise("edge"))
+def verdict(table: DataFrame, chosen: str = "pm07", narrow: tuple[str, ...] = ("pm03", "pm05"), wide: tuple[str, ...] = ("pm14", "pm30")) -> DataFrame:
+    """One row on the ceiling: at the chosen window, lost by narrowing, gained by widening, the knee, and plateau or edge.
+
+    A plateau: neither changes the ceiling by a quarter of a point. The knee is the first window within 0.1 points of the best.
+    """
+    share = F.round(F.col("ceiling") * 100.0 / F.col("rows"), 3)
+    sym = table.filter(F.col("ord") < len(SYMMETRIC)).withColumn("c", share)
+    at = lambda names, f: f(F.when(F.col("window").isin(*names), F.col("c")))
+    one = sym.agg(at((chosen,), F.max).alias("ceiling_pct"), at(narrow, F.min).alias("lo"), at(wide, F.max).alias("hi"), F.max("c").alias("best"))
+    near = sym.crossJoin(F.broadcast(one)).filter("c >= best - 0.1").groupBy("ceiling_pct", "lo", "hi").agg(F.min_by("window", "ord").alias("knee"))
+    lost, gained = F.round(F.col("ceiling_pct") - F.col("lo"), 3), F.round(F.col("hi") - F.col("ceiling_pct"), 3)
+    return near.select("ceiling_pct", lost.alias("lost_narrowing"), gained.alias("gained_widening"), "knee", F.when((lost < 0.25) & (gained < 0.25), "plateau").otherwise("edge").alias("verdict"))
 
 
 def gap_distribution(gaps: DataFrame) -> DataFrame:
@@ -61,9 +67,10 @@ def tolerance_table(flagged: DataFrame, gold: DataFrame, led: DataFrame, queries
     return g.crossJoin(F.broadcast(total)).withColumns({"pool_mean": F.round(F.col("pairs") / F.col("queries"), 6), "ceiling_pct": percent(F.col("survives"), F.col("queries"))})
 
 
-def flat_band(sweep: DataFrame, tolerance: int) -> DataFrame:
-    """One row: the last threshold up to which `correct` stays within a tolerance of the first one's. sweep: t, correct."""
+def flat_band(sweep: DataFrame, points: float = 0.02) -> DataFrame:
+    """One row: the last threshold up to which the match rate stays within some points of the first one's. sweep: t, correct, rows."""
     w = Window.orderBy("t")
     first = F.first("correct").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    d = sweep.withColumn("near", F.abs(F.col("correct") - first) <= tolerance).withColumn("flat", F.bool_and("near").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = F.abs(F.col("correct") - first) <= F.floor(F.col("rows") * F.lit(points) / 100)
+    d = sweep.withColumn("near", near).withColumn("flat", F.bool_and("near").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.agg(F.min("t").alias("from_t"), F.max(F.when(F.col("flat"), F.col("t"))).alias("to_t"))

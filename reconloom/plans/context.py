@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from reconloom.operators import blocking, complete, decide, drift, ranking
 from reconloom.sources import adapter
 
-_BATCHES: dict[tuple[str, str], Batch] = {}
+_BATCHES: dict[tuple[str, str, bool], Batch] = {}
 
 
 class Batch:
     """Tables of one input folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, fee: bool = False):
+        """fee: candidates may be short of the amount by a fee."""
+        self.spark, self.sf_dir, self.fee = spark, sf_dir, fee
         self.stmt, self.led = adapter.sides(spark, sf_dir)
         self.gold = adapter.gold(self.led)
         self.queries = self.stmt.select("b_id")
@@ -31,11 +32,15 @@ class Batch:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return blocking.band_join(self.stmt, self.led)
+        return blocking.fee_candidates(self.stmt, self.led) if self.fee else blocking.band_join(self.stmt, self.led)
+
+    @cached_property
+    def frequency(self) -> DataFrame:
+        return ranking.document_frequency(ranking.corpus_of(self.stmt, self.led))
 
     @cached_property
     def scored(self) -> DataFrame:
-        return ranking.with_shared_run(ranking.score_pairs(self.pairs, self.stmt, self.led)).persist()
+        return ranking.with_shared_run(ranking.score_pairs(self.pairs, self.stmt, self.led, frequency=self.frequency)).persist()
 
     @cached_property
     def ranked(self) -> DataFrame:
@@ -79,14 +84,20 @@ class Batch:
         return drift.drift_rows(self.decided, self.gold, drift.key_amounts(self.led))
 
 
-def batch(spark: SparkSession, sf_dir: str) -> Batch:
-    key = (spark.sparkContext.applicationId, sf_dir)
+def batch(spark: SparkSession, sf_dir: str, fee: bool = False) -> Batch:
+    key = (spark.sparkContext.applicationId, sf_dir, fee)
     if key not in _BATCHES:
-        _BATCHES.clear()
-        _BATCHES[key] = Batch(spark, sf_dir)
+        for other in [k for k in _BATCHES if k[:2] != key[:2]]:
+            del _BATCHES[other]
+        _BATCHES[key] = Batch(spark, sf_dir, fee)
     return _BATCHES[key]
 
 
+def with_fee(sql: str) -> str:
+    """The same SQL over candidates that may be short by a fee."""
+    return sql.replace("ON s.ccy = a.ccy AND s.account = a.account AND abs(a.a_cents - s.b_cents) <= 1 AND", "ON s.ccy = a.ccy AND s.account = a.account AND (abs(a.a_cents - s.b_cents) <= 1 OR (sign(a.a_cents) = sign(s.b_cents) AND abs(a.a_cents) * 100 >= abs(s.b_cents) * 95 AND abs(a.a_cents) <= abs(s.b_cents))) AND", 1)
+
+
 #: The adapter's rules in SQL.
 BASE = r"""WITH o AS (
   SELECT o_orderkey AS k, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c, CAST(o_orderdate AS DATE) AS vd FROM orders),

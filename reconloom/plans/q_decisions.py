@@ -8,7 +8,7 @@ from reconloom.functions.text import numbers, proposes_match, ungrounded
 from reconloom.operators import complete, decide, evidence, exposure, learned, scoring, synth
 from reconloom.operators.blocking import exact_amount_baseline
 from reconloom.plans.catalog import register
-from reconloom.plans.context import DECIDED, FEATS, batch
+from reconloom.plans.context import DECIDED, FEATS, batch, with_fee
 
 _BASE = "b_id, b_cents, has, topk_size, top1_a_id, top1, margin, exact1, dup_ref, added_count"
 
@@ -40,14 +40,32 @@ def audit_records(spark, sf_dir):
     return a.select("b_id", "b_amount_cents", "pool_size", n("candidates").alias("n_candidates"), n("added_keys").alias("n_added"), "decision", F.array_join("answer_keys", "|").alias("answer"))
 
 
-@register("decision_summary", DECIDED + " SELECT count_if(NOT escalate) AS auto_closed, count_if(escalate) AS escalated, round(count_if(NOT escalate) * 100.0 / count(*), 3) AS coverage, round(count_if(NOT escalate AND ok) * 100.0 / count_if(NOT escalate), 3) AS precision, round(count_if(ok) * 100.0 / count(*), 3) AS overall_match, count_if(no_candidate) AS no_candidate FROM judged")
-def decision_summary(spark, sf_dir):
-    d, auto, n = batch(spark, sf_dir).judged, ~F.col("escalate"), F.count_if
+_SUMMARY = " SELECT count_if(NOT escalate) AS auto_closed, count_if(escalate) AS escalated, round(count_if(NOT escalate) * 100.0 / count(*), 3) AS coverage, round(count_if(NOT escalate AND ok) * 100.0 / count_if(NOT escalate), 3) AS precision, round(count_if(ok) * 100.0 / count(*), 3) AS overall_match, count_if(no_candidate) AS no_candidate FROM judged"
+
+
+def _summary(d):
+    auto, n = ~F.col("escalate"), F.count_if
     pc = lambda a, b: F.round(F.try_divide(a * 100.0, b), 3)
     return d.agg(n(auto).alias("auto_closed"), n(~auto).alias("escalated"), pc(n(auto), F.count("*")).alias("coverage"), pc(n(auto & F.col("ok")), n(auto)).alias("precision"), pc(n(F.col("ok")), F.count("*")).alias("overall_match"), n(F.col("no_candidate")).alias("no_candidate"))
 
 
-_T, _M = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6), (0.0, 0.005, 0.01, 0.02, 0.05, 0.1)
+@register("decision_summary", DECIDED + _SUMMARY)
+def decision_summary(spark, sf_dir):
+    return _summary(batch(spark, sf_dir).judged)
+
+
+@register("decision_summary_fee", with_fee(DECIDED) + _SUMMARY)
+def decision_summary_fee(spark, sf_dir):
+    """The whole chain again with candidates that may be short by a fee."""
+    return _summary(batch(spark, sf_dir, fee=True).judged)
+
+
+@register("exception_class_fee", with_fee(DECIDED) + " SELECT exception_class, escalate, count(*) AS rows FROM decided GROUP BY ALL")
+def exception_class_fee(spark, sf_dir):
+    return batch(spark, sf_dir, fee=True).decided.groupBy("exception_class", "escalate").agg(F.count("*").alias("rows"))
+
+
+_T, _M = decide.GRID_TOP1, decide.GRID_MARGIN
 _GRID = DECIDED + f""", gp AS (SELECT t AS min_top1, m AS min_margin FROM (SELECT unnest({list(_T)})::DOUBLE AS t), (SELECT unnest({list(_M)})::DOUBLE AS m)),
 gx AS (SELECT min_top1, min_margin, ok, no_candidate OR completion_added OR fee_band_only AS others, coalesce(has AND (top1 < min_top1 OR margin < min_margin), false) AS low FROM judged, gp),
 gt AS (SELECT min_top1, min_margin, count_if(low) AS lc_fired, CASE WHEN count_if(low) > 0 THEN round(count_if(low AND ok) * 100.0 / count_if(low), 3) END AS lc_correct_pct, count_if(low AND NOT others) AS lc_only,

@@ -162,7 +162,7 @@ wt AS (SELECT ord, "window", count(*) AS rows, count_if(ceil) AS ceiling, count_
 def _window_table(spark, sf_dir):
     b = batch(spark, sf_dir)
     pairs = blocking.band_join(b.stmt, b.led, 1, -1_000_000, 1_000_000)
-    found = ranking.score_pairs(pairs, b.stmt, b.led).withColumn("gap", F.datediff("a_vd", "b_vd"))
+    found = ranking.score_pairs(pairs, b.stmt, b.led, frequency=b.frequency).withColumn("gap", F.datediff("a_vd", "b_vd"))
     names = F.filter(F.array(*[F.when(F.col("gap").between(lo, hi), F.lit(n)) for n, lo, hi in _WIN]), lambda x: x.isNotNull())
     return windows.window_table(found.withColumn("window", F.explode(names)), b.gold, b.queries)
 
@@ -177,8 +177,9 @@ def window_deltas(spark, sf_dir):
     return windows.deltas(_window_table(spark, sf_dir))
 
 
-@register("window_verdict", WINDOW_SQL + """, m AS (SELECT max(match_pct) AS best, max(CASE WHEN "window" = 'pm07' THEN match_pct END) AS own FROM wt WHERE ord < 10)
-SELECT best, own, (SELECT arg_min("window", ord) FROM wt, m WHERE ord < 10 AND match_pct >= best - 0.1) AS knee, CASE WHEN best - own <= 0.25 THEN 'plateau' ELSE 'edge' END AS verdict FROM m""")
+@register("window_verdict", WINDOW_SQL + """, sy AS (SELECT ord, "window" AS win, round(ceiling * 100.0 / rows, 3) AS c FROM wt WHERE ord < 10),
+m AS (SELECT max(CASE WHEN win = 'pm07' THEN c END) AS ceiling_pct, min(CASE WHEN win IN ('pm03', 'pm05') THEN c END) AS lo, max(CASE WHEN win IN ('pm14', 'pm30') THEN c END) AS hi, max(c) AS best FROM sy)
+SELECT ceiling_pct, round(ceiling_pct - lo, 3) AS lost_narrowing, round(hi - ceiling_pct, 3) AS gained_widening, (SELECT arg_min(win, ord) FROM sy, m WHERE c >= best - 0.1) AS knee, CASE WHEN round(ceiling_pct - lo, 3) < 0.25 AND round(hi - ceiling_pct, 3) < 0.25 THEN 'plateau' ELSE 'edge' END AS verdict FROM m""")
 def window_verdict(spark, sf_dir):
     return windows.verdict(_window_table(spark, sf_dir))
 
@@ -206,9 +207,8 @@ def gap_distribution(spark, sf_dir):
 @register("tfidf_weights", scored() + " SELECT side, id, count(*) AS n_grams, round(sum(w * w), 6) AS norm, round(max(w), 6) AS heaviest FROM w1 GROUP BY side, id")
 def tfidf_weights(spark, sf_dir):
     b = batch(spark, sf_dir)
-    corpus = b.led.select(F.col("a_text").alias("text")).unionAll(b.stmt.select(F.col("b_text").alias("text")))
     docs = b.pairs.select(F.concat(F.lit("a"), "a_id").alias("doc"), F.col("a_text").alias("text")).unionAll(b.pairs.select(F.concat(F.lit("b"), "b_id").alias("doc"), F.col("b_text").alias("text"))).distinct()
-    w = ranking.weights(docs, ranking.document_frequency(corpus), corpus.agg(F.count("*").alias("n")))
+    w = ranking.vectors(docs, b.frequency, b.stmt.count() + b.led.count()).select("doc", F.explode("vec").alias("x")).select("doc", "x.w")
     d = w.groupBy("doc").agg(F.count("*").alias("n_grams"), F.round(F.sum(F.col("w") * F.col("w")), 6).alias("norm"), F.round(F.max("w"), 6).alias("heaviest"))
     return d.select(F.substring("doc", 1, 1).alias("side"), F.expr("substring(doc, 2)").cast("long").alias("id"), "n_grams", "norm", "heaviest")
 
@@ -228,7 +228,7 @@ def cosine_topk(spark, sf_dir):
 @register("attr_only_topk", ranked("b_attrs") + _SHOW)
 def attr_only_topk(spark, sf_dir):
     b = batch(spark, sf_dir)
-    return _show(ranking.top_k(ranking.score_pairs(b.pairs, b.stmt, b.led, "b_attrs")))
+    return _show(ranking.top_k(ranking.score_pairs(b.pairs, b.stmt, b.led, "b_attrs", b.frequency)))
 
 
 @register("shared_run_filter", ranked(where="shared") + _SHOW)
@@ -312,11 +312,11 @@ def completion_effect(spark, sf_dir):
     return s.join(off, "b_id").groupBy("t").agg(F.count_if(on & ~o).alias("gained"), F.count_if(o & ~on).alias("lost"), (F.count_if(on) - F.count_if(o)).alias("net"))
 
 
-@register("flat_band", _SWEEP + """, c AS (SELECT t, count_if(ok) AS correct FROM ok WHERE t <= 95 GROUP BY t), f AS (SELECT t, bool_and(near) OVER (ORDER BY t) AS flat FROM (SELECT t, abs(correct - first_value(correct) OVER (ORDER BY t)) <= 5 AS near FROM c))
+@register("flat_band", _SWEEP + """, c AS (SELECT t, count_if(ok) AS correct, count(*) AS rows FROM ok WHERE t <= 95 GROUP BY t), f AS (SELECT t, bool_and(near) OVER (ORDER BY t) AS flat FROM (SELECT t, abs(correct - first_value(correct) OVER (ORDER BY t)) <= floor(rows * 0.02 / 100) AS near FROM c))
 SELECT (SELECT min(t) FROM c) AS from_t, max(t) AS to_t FROM f WHERE flat""")
 def flat_band(spark, sf_dir):
-    c = _sweep(spark, sf_dir).filter("t <= 95").groupBy("t").agg(F.count_if("ok").alias("correct"))
-    return windows.flat_band(c, 5)
+    c = _sweep(spark, sf_dir).filter("t <= 95").groupBy("t").agg(F.count_if("ok").alias("correct"), F.count("*").alias("rows"))
+    return windows.flat_band(c)
 
 
 @register("repeat_recovery", _SWEEP + """, d AS (SELECT s.b_id, on_.answer AS pn, off.answer AS po, on_.gold AS g FROM stmt s JOIN ok on_ ON on_.b_id = s.b_id AND on_.t = 50 JOIN ok off ON off.b_id = s.b_id AND off.t = 200 WHERE class = 'repeat'),

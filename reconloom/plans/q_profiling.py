@@ -26,6 +26,11 @@ def amount_residuals(spark, sf_dir):
     return regimes.group_sums(_members(batch(spark, sf_dir))).drop("b_cents")
 
 
+@register("worked_examples", _MEM + ", fi AS (SELECT regime, min(b_id) AS b_id FROM gr WHERE n_a >= 2 GROUP BY regime) SELECT gr.regime, gr.b_id, gr.total, gr.residual, mem.b_cents, a_id, a_cents FROM fi JOIN gr ON gr.b_id = fi.b_id JOIN mem ON mem.b_id = fi.b_id")
+def worked_examples(spark, sf_dir):
+    return regimes.worked_examples(_members(batch(spark, sf_dir)))
+
+
 _REC = _MEM + """, two AS (SELECT b_id FROM mem GROUP BY b_id HAVING count(*) >= 2), tg AS (SELECT b_id, 'USD_' || b_id % 500 AS k, a_id, a_cents, b_cents FROM mem WHERE b_id IN (SELECT b_id FROM two)),
 ag AS (SELECT DISTINCT x.b_id, x.b_cents, y.a_id, y.a_cents FROM (SELECT DISTINCT b_id, b_cents, k FROM tg) x JOIN (SELECT * FROM tg) y ON x.k = y.k),
 sd AS (SELECT 't' AS s, b_id, b_cents, a_id, a_cents FROM tg UNION ALL SELECT 'r', b_id, b_cents, a_id, a_cents FROM ag),

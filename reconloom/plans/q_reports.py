@@ -56,7 +56,7 @@ def queue_search(spark, sf_dir):
     return exposure.search_queue(q, "missing_counterparty", "12").select("rank", "b_id", "exception_class")
 
 
-_POINTS = ", pt AS (SELECT pct, greatest(1, round_even(n * pct / 100.0, 0))::BIGINT AS k, total FROM (SELECT unnest([10, 20, 30, 40, 50, 60, 70, 80, 90, 100]) AS pct), (SELECT count(*) AS n, sum(exposure_cents) AS total FROM q))"
+_POINTS = ", pt AS (SELECT pct, greatest(1, round_even(n * pct / 100.0, 0))::BIGINT AS k, total FROM (SELECT unnest([1, 5, 10, 25, 50, 75, 100]) AS pct), (SELECT count(*) AS n, sum(exposure_cents) AS total FROM q))"
 
 
 @register("retired_curve", _QUEUE + _POINTS + ", c AS (SELECT rank, sum(exposure_cents) OVER (ORDER BY rank) AS cum FROM q) SELECT pct, k AS rows_reviewed, round(cum * 100.0 / total, 3) AS retired_pct FROM c JOIN pt ON k = rank")
@@ -198,6 +198,13 @@ def gate_verdict(spark, sf_dir):
     return drift.gate_verdict(drift.gate_pricing(b.drift, b.decided))
 
 
+@register("gate_state", _GP + " SELECT * FROM gp WHERE gate = 'keys>1 or dup'")
+def gate_state(spark, sf_dir):
+    """One gate's row, as chosen by two switches (keys, duplicates)."""
+    b = batch(spark, sf_dir)
+    return drift.gate_pricing(b.drift, b.decided).filter("gate = 'keys>1 or dup'")
+
+
 @register("gate_lift", DRIFT + """, s AS (SELECT wrong_zero, unnest([{'n': 'exact keys > 1', 'h': n_exact_keys > 1}, {'n': 'exact rows > 1', 'h': n_exact_cand > 1}, {'n': 'dup_ref', 'h': dup_ref}]) AS s FROM outc),
 t AS (SELECT s.n AS signal, count_if(wrong_zero) AS invisible, count_if(wrong_zero AND s.h) AS caught, count_if(wrong_zero AND s.h) / nullif(count_if(wrong_zero), 0) AS r, count_if(s.h) / count(*) AS b FROM s GROUP BY 1)
 SELECT signal, invisible, caught, round(r, 6) AS recall, round(b, 6) AS base, round(r / nullif(b, 0), 6) AS lift, CASE WHEN r IS NULL THEN 'nothing to catch' WHEN r >= 0.9 AND r / nullif(b, 0) >= 2 THEN 'concentrated' ELSE 'not concentrated' END AS verdict FROM t""")

@@ -50,7 +50,7 @@ def test_fee_band(spark, a, ok):
 
 def test_money(spark):
     r = one(spark, amounts.money(F.lit(-358_73000000)).alias("a"), amounts.money(F.lit(125_037_000_000_000)).alias("b"), amounts.money(F.lit(125_037_000_000_000), trillions=True).alias("c"), amounts.plain(F.lit(-5)).alias("d"))
-    assert (r.a, r.b, r.c, r.d) == ("-358.73M", "1250.37B", "1.25T", "-0.05")
+    assert (r.a, r.b, r.c, r.d) == ("-358.73M", "1,250.37B", "1.25T", "-0.05")
 
 
 def test_magnitude(spark):

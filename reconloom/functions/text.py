@@ -42,9 +42,9 @@ def normal(text: str | Column) -> Column:
     return F.regexp_replace(F.lower(_col(text)), r"\s\s+", " ")
 
 
-def char_ngrams(text: str | Column, low: int = 3, high: int = 5) -> Column:
-    t = normal(text)
-    return F.flatten(F.array(*[windows(t, n) for n in range(low, high + 1)]))
+def char_ngrams(normalised: str | Column, low: int = 3, high: int = 5) -> Column:
+    """The n-grams of a text that is normalised already, as a column of its own: an expression here would be evaluated for each n-gram."""
+    return F.flatten(F.array(*[windows(normalised, n) for n in range(low, high + 1)]))
 
 
 #: Fixed value: a number in prose.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconloom.functions.text import char_ngrams, shares_run
+from reconloom.functions.text import char_ngrams, normal, shares_run
 
 TOP = 5
 
@@ -14,14 +14,14 @@ TOP = 5
 BROADCAST_GRAMS = 4_000_000
 
 
-def grams(text: str) -> Column:
-    """The n-grams of a text as 64-bit hashes, with repeats."""
-    return F.transform(char_ngrams(text), lambda g: F.xxhash64(g))
+def grams(normalised: str) -> Column:
+    """The n-grams of a normalised text column as 64-bit hashes, with repeats."""
+    return F.transform(char_ngrams(normalised), lambda g: F.xxhash64(g))
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
     """(g, df): in how many texts each n-gram is, of those in at least two. docs: text. Kept, and marked for broadcast if small."""
-    found = docs.select(F.explode(F.array_distinct(grams("text"))).alias("g")).groupBy("g").agg(F.count("*").alias("df")).filter("df >= 2").persist()
+    found = docs.select(normal("text").alias("t")).select(F.explode(F.array_distinct(grams("t"))).alias("g")).groupBy("g").agg(F.count("*").alias("df")).filter("df >= 2").persist()
     return F.broadcast(found) if found.count() <= BROADCAST_GRAMS else found
 
 
@@ -30,7 +30,7 @@ def vectors(docs: DataFrame, frequency: DataFrame, corpus_size: int) -> DataFram
 
     Documents are dealt by doc before they are taken apart, so counting in and putting together again need no shuffle.
     """
-    tf = docs.repartition("doc").select("doc", F.explode(grams("text")).alias("g")).groupBy("doc", "g").agg(F.count("*").alias("tf"))
+    tf = docs.repartition("doc").select("doc", normal("text").alias("t")).select("doc", F.explode(grams("t")).alias("g")).groupBy("doc", "g").agg(F.count("*").alias("tf"))
     raw = tf.join(frequency, "g").select("doc", "g", (F.col("tf") * (F.log((1 + F.lit(corpus_size)) / (1 + F.col("df"))) + 1)).alias("w"))
     one = raw.groupBy("doc").agg(F.collect_list(F.struct("g", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))  # as long as the document
     return one.select("doc", F.transform("v", lambda x: F.struct(x["g"].alias("g"), (x["w"] / F.col("norm")).alias("w"))).alias("vec"))

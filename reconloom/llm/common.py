@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -56,6 +57,21 @@ def labelled_sample(df: DataFrame, id_col: str, bound: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has the default of 10,000, which is a lot of memory in texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
+def _trim() -> None:
+    """Hand freed memory back to the machine, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, done=None) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of so many rows, so that few texts are Python objects at a time.
 
@@ -69,6 +85,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, done=None) -> Ite
         if done is not None:
             done()
         pa.default_memory_pool().release_unused()
+        _trim()
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -98,21 +115,35 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
             last = key
     if open_parts:
         yield pa.concat_tables(open_parts)
+    open_parts = []
+    pa.default_memory_pool().release_unused()
+    _trim()
+
 
+#: Rows up to which a table of a few short columns is broadcast (tens of MB); beyond that the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
-def leave_one(df: DataFrame, keep: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of df in keep (id, raw_key of the text, distinct), with df's columns; of the keys in repeated only one row each."""
+
+def small(t: DataFrame) -> DataFrame:
+    """A written table of short rows, marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+
+
+def leave_one(df: DataFrame, gone: DataFrame, twins: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df without the rows whose (id, raw_key of the text) is in gone, but with one row for each key in twins; df's columns.
+
+    gone and twins are written tables of distinct keys. Texts move only where gone is too large to broadcast.
+    """
     keyed = df.withColumn("_raw_key", F.xxhash64(text_col))
 
     def having(keys: DataFrame, how: str) -> DataFrame:
-        named = keys.select(F.col("id").alias("_keep_id"), F.col("raw_key").alias("_keep_key"))
-        return keyed.join(named, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_raw_key") == F.col("_keep_key")), how)
+        named = small(keys).select(F.col("id").alias("_key_id"), F.col("raw_key").alias("_key"))
+        return keyed.join(named, F.col(id_col).eqNullSafe(F.col("_key_id")) & (F.col("_raw_key") == F.col("_key")), how)
 
-    twins = table(repeated.select("id", "raw_key").intersect(keep.select("id", "raw_key")), "keep-twins")
+    rest = having(gone, "left_anti").select(df.columns)
     if twins.isEmpty():
-        return having(keep, "left_semi").select(df.columns)
-    once = having(table(keep.select("id", "raw_key").exceptAll(twins), "keep-once"), "left_semi").select(df.columns)
-    return once.unionByName(having(twins, "left_semi").dropDuplicates([id_col, "_raw_key"]).select(df.columns))
+        return rest
+    return rest.unionByName(having(twins, "left_semi").dropDuplicates([id_col, "_raw_key"]).select(df.columns))
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
@@ -132,7 +163,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     mark = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = least(both).withColumn("m", F.least("u", "m"))
+        # Written, so that the join has two plain inputs and a vertex with very many edges can be split over tasks.
+        low = table(least(both).withColumn("m", F.least("u", "m")), name)
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = ordered(large)
         low = least(large)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import leave_one, slices, table
+from reconloom.llm.common import leave_one, slices, small_batches, table
 
 
 class CountingQuotientFilter:
@@ -186,6 +186,7 @@ def fingerprint_counts(fps: DataFrame, rows: int) -> DataFrame:
 
 def _decide(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each row of df: id, raw_key (hash of the text as it is), sha, group_size, last (id and row that stay), row."""
+    small_batches(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = src.schema["id"].dataType.simpleString()
     keyed = src.withColumn("raw_key", F.xxhash64("text"))
@@ -221,4 +222,6 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows that exact_duplicates drops, with the columns of df. Rows repeated whole leave one."""
     found = table(_decide(df, id_col, text_col).select("id", "raw_key", (F.col("last").isNull() | (F.col("row") == F.col("last.row"))).alias("kept")), "dedup-found")
-    return leave_one(df, found.filter("kept").select("id", "raw_key"), found.filter(~F.col("kept")).select("id", "raw_key"), id_col, text_col)
+    gone = table(found.filter(~F.col("kept")).select("id", "raw_key").distinct(), "dedup-gone")
+    twins = table(gone.intersect(found.filter("kept").select("id", "raw_key")), "dedup-twins")
+    return leave_one(df, gone, twins, id_col, text_col)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import table
+from reconloom.llm.common import small, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources by code point, repeated.
@@ -74,26 +74,18 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, s
     return p.join(ranked, keys, "left").withColumn(out, F.col("_low") + F.coalesce("_won", F.lit(0))).drop("_v", "_n", "_low", "_high", "_rest", "_won")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 0) -> DataFrame:
-    """One row for each row of df: id, source, size, source_size, target, taken, passes, shard.
+def _keyed(df: DataFrame, shards: int, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """df with _size, _src_key, _h (its place in the seeded order) and _shard."""
+    d = df.withColumn("_size", F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"))
+    d = d.withColumn("_src_key", F.coalesce(F.concat(F.lit("v"), F.col(source_col)), F.lit("n")))
+    d = d.withColumn("_h", F.md5(F.concat_ws("|", F.lit(f"mix{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("_size"))))
+    return d.withColumn("_shard", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % shards).cast("int"))
 
-    size counts words between ASCII white space, 0 for a null text; a null source is a source of its own,
-    the last; ids may be null or repeat (equal ids and sizes are interchangeable). taken is at most
-    most * size. An empty table gives no rows. Other columns of df play no part.
 
-    The text is read once. Then one shuffle brings each shard of a source together; shards hold a bounded
-    share of the rows, so a source with a third of them is spread over all shards.
-    """
-    src = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
-    h = F.md5(F.concat_ws("|", F.lit(f"mix{seed}"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size")))
-    rows = df.count()
-    shards = max(1, min(SHARDS, rows // SHARD_ROWS))
-    base = table(
-        src.withColumn("src_key", F.coalesce(F.concat(F.lit("v"), "source"), F.lit("n")))
-        .withColumn("h", h)
-        .withColumn("shard", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % shards).cast("int")),
-        "mix-base",
-    )
+def _placed(df: DataFrame, shards: int, weights: tuple[int, ...], most: int, **cols) -> DataFrame:
+    """A narrow row for each row of df: id, source, src_key, shard, h, size, source_size, target, passes, first (words of the last, partial pass)."""
+    d = _keyed(df, shards, **cols)
+    base = table(d.select(F.col(cols["id_col"]).alias("id"), F.col(cols["source_col"]).alias("source"), F.col("_src_key").alias("src_key"), F.col("_shard").alias("shard"), F.col("_h").alias("h"), F.col("_size").alias("size")), "mix-base")
     by_shard = table(base.groupBy("src_key", "source", "shard").agg(F.sum("size").alias("shard_size")), "mix-shards")
     by_source = targets(by_shard.groupBy("src_key", "source").agg(F.sum("shard_size").alias("source_size")), weights, most)
     by_source = by_source.withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCKS)).cast("long")).withColumn("seats", F.floor(F.col("total") / F.col("block")).cast("long"))
@@ -107,17 +99,40 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         "mix-plan",
     )
     order = Window.partitionBy("src_key", "shard").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = base.withColumn("end", F.sum("size").over(order))
-    first = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("end") - F.col("size"))))
-    return placed.join(plan, ["src_key", "shard"]).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("passes") * F.col("size") + first).cast("long").alias("taken"), "passes", "shard"
-    )
+    placed = base.withColumn("end", F.sum("size").over(order)).join(plan, ["src_key", "shard"])
+    return placed.withColumn("first", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("end") - F.col("size")))))
+
+
+def shards_for(rows: int) -> int:
+    return max(1, min(SHARDS, rows // SHARD_ROWS))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 0) -> DataFrame:
+    """One row for each row of df: id, source, size, source_size, target, taken, passes, shard.
+
+    size counts words between ASCII white space, 0 for a null text; a null source is a source of its own,
+    the last; ids may be null or repeat (equal ids and sizes are interchangeable). taken is at most
+    most * size. An empty table gives no rows. Other columns of df play no part.
+
+    The text is read once. Then one shuffle brings each shard of a source together; shards hold a bounded
+    share of the rows, so a source with a third of them is spread over all shards.
+    """
+    d = _placed(df, shards_for(df.count()), weights, most, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed)
+    return d.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("first")).cast("long").alias("taken"), "passes", "shard")
 
 
-def mixed_documents(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 0) -> DataFrame:
     """The rows of df of which the mix takes at least a word, once for each pass it begins; the columns of df.
 
-    Ids should be distinct. A row that the mix takes 2.4 times appears three times, the last time whole.
+    A row that the mix takes 2.4 times appears three times, the last time whole. Rows with the same id and
+    size are taken alike. A shard's partial pass ends at one place of its seeded order, so a row needs only that place
+    and the passes of its shard: one small row a shard, and texts do not move (unless shards are more than BROADCAST_ROWS).
     """
-    taken = table(mix(df, id_col, **options).filter("taken > 0").select(F.col(id_col).alias("_taken_id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times")), "mix-taken")
-    return df.join(taken, F.col(id_col).eqNullSafe(F.col("_taken_id"))).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(df.columns)
+    cols = {"id_col": id_col, "text_col": text_col, "source_col": source_col, "seed": seed}
+    shards = shards_for(df.count())
+    placed = _placed(df, shards, weights, most, **cols)
+    ends = table(placed.groupBy("src_key", "shard").agg(F.max("passes").alias("_passes"), F.max(F.when(F.col("first") > 0, F.col("h"))).alias("_last")), "mix-ends")
+    named = small(ends).withColumnsRenamed({"src_key": "_key", "shard": "_of"})
+    d = _keyed(df, shards, **cols).join(named, (F.col("_src_key") == F.col("_key")) & (F.col("_shard") == F.col("_of")))
+    times = F.when(F.col("_size") > 0, F.col("_passes") + F.coalesce((F.col("_h") <= F.col("_last")).cast("int"), F.lit(0))).otherwise(0).cast("int")
+    return d.withColumn("_times", times).filter("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(df.columns)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import components, groups, leave_one, slices, table
+from reconloom.llm.common import BROADCAST_ROWS, components, groups, leave_one, slices, small_batches, table
 
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.999
@@ -233,6 +233,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(narrow, classes): narrow has id, raw_key, set, n of each row; classes has set, rep, copies, n_links, group of each set."""
+    small_batches(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("raw_key", F.xxhash64("text"))
     id_type = src.schema["id"].dataType.simpleString()
     narrow = table(src.mapInArrow(_narrow, f"id {id_type}, raw_key long, set binary, n long, sig binary"), "join-narrow")
@@ -247,7 +248,10 @@ def _classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     members = table(sets.join(size, "comp").join(reps.select("set", "rep", "copies"), "set"), "join-members")
 
     named = members.select("set", "comp", "blocks", "copies", F.col("rep.id").alias("rep_id"), F.col("rep.raw_key").alias("rep_key"))
-    text = src.join(named, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("raw_key") == F.col("rep_key")))
+    match = F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("raw_key") == F.col("rep_key"))
+    if members.count() <= BROADCAST_ROWS:  # the two keys of each member; then only members' texts move
+        src = src.join(F.broadcast(named.select("rep_id", "rep_key")), match, "left_semi")
+    text = src.join(named, match)
     compared = _tiles(text.select("comp", "blocks", "set", "copies", "text")).repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     found = table(compared.select("comp", "i", "j", "block", "set", "copies", "text").mapInArrow(_verify, "u binary, v binary, links long"), "join-found")
     links = found.filter("v is null").groupBy(F.col("u").alias("set")).agg(F.sum("links").alias("links"))
@@ -284,7 +288,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each class of linked rows, that of the least id; rows without words all stay. The columns of df."""
     narrow, classes = _classes(df, id_col, text_col)
-    lead = classes.select("group").distinct().select("group.id", "group.raw_key")
-    none = narrow.filter("n = 0").select("id", "raw_key").distinct()
-    repeated = narrow.filter("n > 0").groupBy("id", "raw_key").agg(F.count("*").alias("k")).filter("k > 1")
-    return leave_one(df, table(lead.unionByName(none), "join-keep"), repeated, id_col, text_col)
+    found = narrow.filter("n > 0").join(classes.select("set", "group"), "set")
+    stays = F.col("id").eqNullSafe(F.col("group.id")) & (F.col("raw_key") == F.col("group.raw_key"))
+    keys = found.groupBy("id", "raw_key").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("rows"))
+    keys = table(keys.filter(~F.col("stays") | (F.col("rows") > 1)), "join-keys")  # of a row repeated whole one stays
+    return leave_one(df, keys.select("id", "raw_key"), keys.filter("stays").select("id", "raw_key"), id_col, text_col)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import slices
+from reconloom.llm.common import slices, small_batches
 
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -92,7 +92,7 @@ class PieceModel:
         self.tails = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
         self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         self.text_of = [self._bytes(i) for i in range(len(self.pieces))]
-        self._fits: dict[tuple[str, str], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
 
     def __getstate__(self):
@@ -124,46 +124,45 @@ class PieceModel:
 
     def fits(self, a: str, b: str) -> bool:
         """Whether merging the characters of ab ends in a, b. a may be empty: whether those of b end in b."""
-        known = self._fits.get((a, b))
-        if known is None:
-            if len(self._fits) > 500_000:
-                self._fits.clear()
-            known = self._fits[a, b] = self.merged(a + b) == ([a, b] if a else [b])
-        return known
-
-    def _step(self, word: str, end: int, stack: list[tuple[float, int]]) -> tuple[float, int]:
+        return self.merged(a + b) == ([a, b] if a else [b])
+
+    def _step(self, word: str, end: int, stack: list[tuple[float, int, int]]) -> tuple[float, int, int]:
         """State of the prefix of length end: of the pieces that can be its last, the one on the best path."""
         tails, size = self.tails, 1
-        sizes = []
+        found = []
         while size <= end:
             i = tails.get(word[end - size : end])
             if i is None:  # no piece ends like this
                 break
             if i >= 0:
-                sizes.append(size)
+                found.append((size, i))
             size += 1
         if self.kind == BPE:
             fits = self._fits
-            for size in reversed(sizes):
+            for size, i in reversed(found):
                 start = end - size
-                last = stack[start][1]
-                pair = (word[start - last : start], word[start:end])
+                _, last, before = stack[start]
+                pair = before << 21 | i
                 known = fits.get(pair)
-                if known if known is not None else self.fits(*pair):
-                    return 0.0, size
-            return 0.0, 1
-        best = (stack[end - 1][0] + self.lowest, 1)
-        for size in sizes:
-            score = stack[end - size][0] + self.scores[tails[word[end - size : end]]]
+                if known is None:
+                    if len(fits) > 400_000:
+                        fits.clear()
+                    known = fits[pair] = self.fits(word[start - last : start], word[start:end])
+                if known:
+                    return 0.0, size, i
+            return 0.0, 1, len(self.pieces) + ord(word[end - 1])
+        best = (stack[end - 1][0] + self.lowest, 1, -1)
+        for size, i in found:
+            score = stack[end - size][0] + self.scores[i]
             if score > best[0]:
-                best = (score, size)
+                best = (score, size, i)
         return best
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of distinct words in sorted order, by one depth-first walk through their trie."""
-        ids, step = self.ids, self._step
-        # State of the prefix of length n: score, length of the last piece. stack[0] is the empty prefix.
-        stack: list[tuple[float, int]] = [(0.0, 0)]
+        step, pieces = self._step, len(self.pieces)
+        # State of the prefix of length n: score, length and id of the last piece. stack[0] is the empty prefix.
+        stack: list[tuple[float, int, int]] = [(0.0, 0, -1)]
         before = ""
         for word in words:
             n = 0
@@ -176,13 +175,11 @@ class PieceModel:
                 stack.append(step(word, end, stack))
             out, end = [], len(word)
             while end:
-                size = stack[end][1]
-                piece = word[end - size : end]
-                i = ids.get(piece)
-                if i is not None:
+                _, size, i = stack[end]
+                if 0 <= i < pieces:
                     out.append(i)
                 elif self.byte:
-                    out.extend(self.byte[b] for b in reversed(piece.encode("utf-8", "replace")))
+                    out.extend(self.byte[b] for b in reversed(word[end - size : end].encode("utf-8", "replace")))
                 else:
                     out.append(self.unknown)
                 end -= size
@@ -242,6 +239,8 @@ def encode_documents(df: DataFrame, model: PieceModel, id_col: str = "doc_id", t
     Spark strings. No shuffle; an empty table gives no rows. Other columns of df play no part.
     """
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, done=model.forget):
             texts = b.column(1).to_pylist()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import slices
+from reconloom.llm.common import slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of the field's segments, in the order in which spans are listed; the last has no pattern.
@@ -407,6 +407,7 @@ def personal_data(df: DataFrame, field: Field, id_col: str = "doc_id", text_col:
 
     Null and empty texts have no spans; texts are read whole; an empty table gives no rows. Other columns of df play no part.
     """
+    small_batches(df.sparkSession)
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     rows = lambda x: [{"kind": TYPES[k], "start": s, "end": e} for k, s, e in sorted(x)]
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import held_out, labelled_sample, slices, table
+from reconloom.llm.common import held_out, labelled_sample, slices, small_batches, table
 
 #: Labelled rows at most that the classifier is fitted on.
 SAMPLE = 20_000
@@ -127,6 +127,7 @@ def quality(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", tex
     no figures and get what the classifier says of that. An empty table gives no rows. Sites are summed up
     by partial sums before any shuffle, so a host with a third of the rows sends a row for each task.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

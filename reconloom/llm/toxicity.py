@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import held_out, labelled_sample, slices, table
+from reconloom.llm.common import held_out, labelled_sample, slices, small_batches, table
 
 WORD = re.compile(r"\w+")
 BITS = 22
@@ -174,6 +174,8 @@ def toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
     Reads whole texts; a null or empty text has no terms and gets the base rate's score. An empty table gives no rows.
     """
 
+    small_batches(docs.sparkSession)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, done=machine.forget):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([machine.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["id", "score"])
@@ -185,6 +187,7 @@ def toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
 
 def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -219,3 +219,14 @@ def test_streaming_band_join(spark, tmp_path):
     s.processAllAvailable()
     s.stop()
     assert [(r.b_id, r.a_id) for r in spark.table("matched").collect()] == [(1, 7)]
+
+
+def test_manifest_holds_all_statement_rows(spark, sf_dir, tmp_path, monkeypatch):
+    """Every statement row is in the written manifest, and no group gathers a class."""
+    from reconloom.plans import context, q_sources
+
+    monkeypatch.setattr(q_sources, "_folder", lambda spark, name: str(tmp_path / name))
+    q_sources.scan_manifest(spark, sf_dir).collect()
+    m = spark.read.json(str(tmp_path / "manifest")).select(F.explode("groups").alias("g")).select("g.b_ids", "g.class")
+    assert m.agg(F.max(F.size("b_ids"))).collect()[0][0] == 1
+    assert sorted(map(tuple, m.select(F.explode("b_ids"), "class").collect())) == sorted(map(tuple, context.batch(spark, sf_dir).stmt.select("b_id", "class").collect()))

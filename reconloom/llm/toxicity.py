@@ -1,9 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document is the set of hashed terms of its words: the word itself and its prefixes of 4, 5 and 6
-letters, so that inflected forms share what is learned. The terms that tell the classes apart are chosen
-from counts over the training rows; the machine then learns a weight for each term and, through k factors
-a term, a weight for each pair, such as an insult with a mention of a group:
+letters, so that inflected forms share what is learned. The machine learns a weight for each term of the
+training rows and, through k factors a term, a weight for each pair, such as an insult with a mention of a
+group. It starts from the terms that tell the classes apart by themselves and goes on with all of them:
 
     z = w0 + sum_i w_i + (1/2) sum_f [(sum_i v_if)^2 - sum_i v_if^2],    score = 1 / (1 + exp(-z))
 """
@@ -26,7 +26,7 @@ from reconloom.llm.common import held_out, labelled_sample, slices, small_batche
 
 WORD = re.compile(r"\w+")
 BITS = 22
-#: Labelled rows at most that the machine is fitted on, and terms at most that it has.
+#: Labelled rows at most that the machine is fitted on, and terms at most that the descent starts from.
 SAMPLE, TERMS = 20_000, 2048
 REJECT = 0.3
 
@@ -109,8 +109,9 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(train: DataFrame, terms: int = TERMS, factors: int = 8, epochs: int = 15, seed: int = 0) -> Machine:
     """Fit on train (text, y of 0 or 1), which is bounded by the caller and read twice.
 
-    Terms: those of at least 3 rows whose log odds of the classes are 2.5 standard errors from 0, the
-    clearest first. Without rows of both classes the score is the share of class 1, smoothed.
+    Terms: all of at least 3 rows. The descent starts from `terms` of those whose log odds of the classes are
+    2.5 standard errors from 0, the clearest first, and goes on with all terms, as a term may count only in
+    a pair. Without rows of both classes the score is the share of class 1, smoothed.
     """
     n = {int(r["y"]): r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     neg, pos = n.get(0, 0), n.get(1, 0)
@@ -119,23 +120,70 @@ def fit(train: DataFrame, terms: int = TERMS, factors: int = 8, epochs: int = 15
         return Machine({}, base if pos + neg else 0.0, np.zeros(0), np.zeros((0, factors)))
     p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
     z = (F.log(p / (pos + 1)) - F.log(q / (neg + 1))) / F.sqrt(1 / p + 1 / q)
-    chosen = (
-        train.mapInPandas(_counts, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .filter("pos + neg >= 3").withColumn("z", F.abs(z)).filter("z >= 2.5").orderBy(F.desc("z"), "term").limit(terms)
-    )
-    index = {r["term"]: i for i, r in enumerate(chosen.select("term").collect())}
-    empty = Machine(index, base, np.zeros(len(index)), np.zeros((len(index), factors)))
+    counts = train.mapInPandas(_counts, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos + neg >= 3")
+    found = counts.select("term", F.abs(z).alias("z")).toArrow()
+    term, clear = (found.column(c).to_numpy() for c in ("term", "z"))
+    order = np.lexsort((term, -clear))
+    first = min(terms, int((clear >= 2.5).sum()))
+    index = dict(zip(term[order].tolist(), range(len(order)), strict=True))
+    empty = Machine(index, base, np.zeros(first), np.zeros((first, factors)))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"i": [empty.indices(t) for t in pdf["text"]], "y": pdf["y"]})
-
-    got = train.select("text", "y").mapInPandas(rows, "i array<int>, y int").toPandas()
-    order = np.argsort([f"{len(i)}|{list(i)[:8]}|{y}" for i, y in zip(got["i"], got["y"], strict=True)], kind="stable")  # the same order each time
-    x, y = np.zeros((len(got), len(index)), np.uint8), got["y"].to_numpy(np.float32)[order]
-    for row, k in enumerate(order):
-        x[row, np.asarray(got["i"].iloc[k], int)] = 1
-    return _descend(empty, x, y, epochs, seed)
+            yield pd.DataFrame({"h": pdf["h"], "i": [empty.indices(t) for t in pdf["text"]], "y": pdf["y"]})
+
+    got = train.select(F.xxhash64("text").alias("h"), "text", "y").mapInPandas(rows, "h long, i array<int>, y int").toArrow()
+    lists, ys = got.column("i").combine_chunks(), got.column("y").to_numpy()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    order = np.lexsort((ys, got.column("h").to_numpy()))  # the same order each time
+    own = [flat[ends[k] : ends[k + 1]] for k in order.tolist()]
+    x, y = np.zeros((len(own), first), np.uint8), ys[order].astype(np.float32)
+    for row, i in enumerate(own):
+        x[row, i[i < first]] = 1
+    return _go_on(_descend(empty, x, y, epochs, seed), own, y, seed)
+
+
+def _go_on(m: Machine, rows: list[np.ndarray], y: np.ndarray, seed: int, epochs: int = 6) -> Machine:
+    """The descent of m over all its terms; rows has the terms of each row. m has weights for its first terms.
+
+    By Adam over batches of 256 rows, for the terms of a batch. The more terms a row has, the shorter the
+    steps, which a row's terms take together. Terms that are not clear by themselves have a larger penalty, as there
+    are enough of them to learn the rows by heart.
+    """
+    rng = np.random.default_rng(seed)
+    k, n, start = m.v.shape[1], len(m.terms), len(m.w)
+    short = min(1.0, 40 / max(1.0, float(np.mean([len(i) for i in rows]))))
+    p = rng.normal(0, 0.02 * short**0.5, (n, 1 + k)).astype(np.float32)
+    p[:, 0] = 0
+    p[:start, 0], p[:start, 1:] = m.w, m.v
+    mean, var, w0, t = np.zeros_like(p), np.zeros_like(p), m.w0, 0
+    steps = max(1, -(-len(y) // 256))
+    parts = []
+    for at in np.array_split(rng.permutation(len(y)), steps):
+        at = np.array([a for a in at.tolist() if len(rows[a])], int)
+        if len(at):
+            size = np.array([len(rows[a]) for a in at])
+            u, local = np.unique(np.concatenate([rows[a] for a in at]), return_inverse=True)
+            parts.append((y[at], size, np.cumsum(size) - size, u, local.astype(np.int32)))
+    for _ in range(max(epochs, min(120, 480 // steps))):
+        for j in rng.permutation(len(parts)):
+            yb, size, starts, u, local = parts[j]
+            b = p[u]
+            sums = np.add.reduceat(b[local], starts, axis=0)
+            s = sums[:, 1:]
+            square = np.add.reduceat((b[:, 1:] ** 2).sum(1)[local], starts)
+            e = (1 / (1 + np.exp(-np.clip(w0 + sums[:, 0] + 0.5 * ((s * s).sum(1) - square), -30, 30))) - yb) / len(yb)
+            g = np.empty_like(b)
+            g[:, 0] = np.bincount(local, np.repeat(e, size), len(u))
+            for f in range(k):
+                g[:, 1 + f] = np.bincount(local, np.repeat(e * s[:, f], size), len(u)) - b[:, 1 + f] * g[:, 0]
+            g += np.where(u < start, 1e-4, 2e-2)[:, None].astype(np.float32) * b
+            t += 1
+            mean[u] = ms = 0.9 * mean[u] + 0.1 * g
+            var[u] = vs = 0.999 * var[u] + 0.001 * g * g
+            p[u] = b - 0.02 * short * (ms / (1 - 0.9**t)) / (np.sqrt(vs / (1 - 0.999**t)) + 1e-4)
+            w0 -= 0.02 * short * float(e.sum())
+    return Machine(m.terms, w0, p[:, 0].copy(), p[:, 1:].copy())
 
 
 def _descend(m: Machine, x: np.ndarray, y: np.ndarray, epochs: int, seed: int) -> Machine:

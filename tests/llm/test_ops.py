@@ -485,6 +485,25 @@ def test_pair_weights_are_learned():
     assert (m.v[0] * m.v[1]).sum() > 0.5
 
 
+def test_pairs_without_a_clear_term_are_learned(spark):
+    """Toxic only by which group stands with which word: each term is as frequent in both classes."""
+    r, rows = random.Random(3), []
+    for i in range(1200):
+        g, w = i % 2, i // 2 % 2
+        words = [r.choice(WORDS) for _ in range(12)] + [("alphans", "betwins")[g], ("gruftig", "mofertal")[w]]
+        r.shuffle(words)
+        rows.append((" ".join([*words, f"n{i}"]), int(g == w)))
+    m = toxicity.fit(spark.createDataFrame(rows[:900], "text string, y int"))
+    assert sum((m.score(t) >= 0.5) == bool(y) for t, y in rows[900:]) > 285
+
+
+def test_terms_beyond_the_first_are_learned(spark):
+    """The machine has every term of three rows, however few the descent starts from."""
+    rows = [(f"{WORDS[i % 7]} {('gruftig', 'mofertal', 'zonklera', 'blargend')[i % 4]} n{i}", int(i % 4 < 2)) for i in range(800)]
+    m = toxicity.fit(spark.createDataFrame(rows, "text string, y int"), terms=1)
+    assert all((m.score(t) >= 0.5) == bool(y) for t, y in rows)
+
+
 def test_toxicity_without_labels(toxic, nothing):
     docs, labels = toxic
     m = toxicity.fit(toxicity.training_rows(docs, labels.limit(0)))

@@ -129,21 +129,33 @@ def small(t: DataFrame) -> DataFrame:
     return F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
 
 
+def packed(df: DataFrame, **cols: Column) -> DataFrame:
+    """df with each row packed into the struct `row`, beside cols: names of the user's columns can't clash with any other."""
+    return df.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in cols.items()])
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """The rows that `packed` packed, with their own columns."""
+    return df.select("row.*")
+
+
 def leave_one(df: DataFrame, gone: DataFrame, twins: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """df without the rows whose (id, raw_key of the text) is in gone, but with one row for each key in twins; df's columns.
 
-    gone and twins are written tables of distinct keys. Texts move only where gone is too large to broadcast.
+    gone and twins are written tables of distinct (id, raw_key). Of the rows of a key in twins the one stays whose JSON is
+    least, should they differ in other columns. Texts move only where gone is too large to broadcast.
     """
-    keyed = df.withColumn("_raw_key", F.xxhash64(text_col))
+    keyed = packed(df, id=F.col(id_col), raw_key=F.xxhash64(text_col))
 
     def having(keys: DataFrame, how: str) -> DataFrame:
-        named = small(keys).select(F.col("id").alias("_key_id"), F.col("raw_key").alias("_key"))
-        return keyed.join(named, F.col(id_col).eqNullSafe(F.col("_key_id")) & (F.col("_raw_key") == F.col("_key")), how)
+        named = small(keys).select(F.col("id").alias("key_id"), F.col("raw_key").alias("key"))
+        return keyed.join(named, F.col("id").eqNullSafe(F.col("key_id")) & (F.col("raw_key") == F.col("key")), how)
 
-    rest = having(gone, "left_anti").select(df.columns)
+    rest = unpacked(having(gone, "left_anti"))
     if twins.isEmpty():
         return rest
-    return rest.unionByName(having(twins, "left_semi").dropDuplicates([id_col, "_raw_key"]).select(df.columns))
+    one = having(twins, "left_semi").groupBy("id", "raw_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rest.unionByName(unpacked(one))
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import leave_one, slices, small_batches, table
+from reconloom.llm.common import leave_one, slices, small, small_batches, table
 
 
 class CountingQuotientFilter:
@@ -192,6 +192,7 @@ def _decide(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keyed = src.withColumn("raw_key", F.xxhash64("text"))
     narrow = table(keyed.mapInArrow(_narrow, f"id {id_type}, raw_key long, sha string, fp long").withColumn("row", F.monotonically_increasing_id()), "dedup-narrow")
     twice = table(fingerprint_counts(narrow, narrow.count()), "dedup-twice")
+    twice = small(twice)  # only texts of these fingerprints move; above BROADCAST_ROWS of them every text is shuffled once
     same_bytes = src.select("text").mapInArrow(_bytes, "fp long, raw binary, rows long").join(twice, "fp", "left_semi").groupBy("fp", "raw").agg(F.sum("rows").alias("group_size"))
     verified = same_bytes.filter("group_size > 1").select("fp", F.sha2("raw", 256).alias("sha"), "group_size")
     last = narrow.join(twice, "fp", "left_semi").groupBy("fp", "sha").agg(F.max(F.struct("id", "row")).alias("last"))
@@ -207,7 +208,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     An empty table gives no rows. Other columns of df play no part, whatever their names.
 
     The text goes to the Python workers twice: to be fingerprinted, and to be compared. Only the second
-    moves it, and there a batch sends equal texts once.
+    moves it, and there a batch sends equal texts once. Only texts whose fingerprint occurs again move, as long as those
+    fingerprints are few enough to broadcast.
     """
     alone = F.col("last").isNull()
     return _decide(df, id_col, text_col).select(
@@ -220,7 +222,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that exact_duplicates drops, with the columns of df. Rows repeated whole leave one."""
+    """df without the rows that exact_duplicates drops, with the columns of df. Of rows with the same id and text one stays, that of the least JSON."""
     found = table(_decide(df, id_col, text_col).select("id", "raw_key", (F.col("last").isNull() | (F.col("row") == F.col("last.row"))).alias("kept")), "dedup-found")
     gone = table(found.filter(~F.col("kept")).select("id", "raw_key").distinct(), "dedup-gone")
     twins = table(gone.intersect(found.filter("kept").select("id", "raw_key")), "dedup-twins")

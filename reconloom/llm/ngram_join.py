@@ -2,12 +2,13 @@
 
 Texts with the same set of shingles form a class. Each class has a signature of minimum hashes, cut into
 trees; a tree is the prefix trie of its parts, held as sorted rows. Two classes are candidates in a tree
-where they share a prefix. Matching starts at full depth and prefixes are shortened while the group of
-classes that share one stays small, and in any case down to the depth at which pairs of the similarity
-asked for are found with the target recall. So rare prefixes are short and common ones no longer than recall demands.
+where they share a prefix. A shared prefix is shortened from MAX_DEPTH levels until pairs of the similarity
+asked for meet in some tree with the target recall, which is at `least_depth` levels; what is below is never stored.
+Where few classes share a prefix it is shortened further, up to half of MAX_DEPTH: that costs little and adds recall.
 
-Candidates that a sketch of the signature does not contradict are connected; the connected sets, cut into
-blocks, are then compared exactly, every pair in them. Only those texts move, each to its own set.
+Candidates that a sketch of the signature does not contradict are connected. Each connected set is cut into
+blocks, whose texts move once. A block is compared in itself and leaves an index, shingle by shingle which members
+have it; blocks of one set are then compared by their indexes, every pair of them, so nothing is missed within a set.
 """
 
 from __future__ import annotations
@@ -17,17 +18,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import BROADCAST_ROWS, components, groups, leave_one, slices, small_batches, table
+from reconloom.llm.common import BROADCAST_ROWS, components, groups, leave_one, slices, small, small_batches, table
 
 WORDS, SIMILARITY = 5, 0.8
-TREES, DEPTH, RECALL = 24, 8, 0.999
-#: A prefix shared by more classes than this is lengthened, if recall allows.
+TREES, MAX_DEPTH, RECALL = 24, 8, 0.999
+
+
+def least_depth(similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL) -> int:
+    """The longest prefix at which pairs of the similarity meet in some tree with the target recall."""
+    return next((d for d in range(MAX_DEPTH, 1, -1) if 1 - (1 - similarity**d) ** trees >= recall), 1)
+
+
+#: Levels of a trie: those that can matter at the target recall. The first HALF levels are never shortened.
+DEPTH, HALF = least_depth(), MAX_DEPTH // 2
+#: A prefix shared by at most so many classes is shortened, to HALF levels at least.
 SMALL = 16
 #: Bytes of the sketch; candidates whose sketches agree in less than this share are not connected (5 standard errors below 0.8).
-SKETCH, SKETCH_SHARE = 64, 0.55
+SKETCH, SKETCH_SHARE = 32, 0.44
 #: Classes in a block: of one trie prefix, and of one connected set.
 PREFIX_BLOCK, SET_BLOCK = 4096, 128
 
@@ -79,11 +90,6 @@ def signature(s: np.ndarray) -> np.ndarray:
     return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
-def least_depth(similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL) -> int:
-    """The longest prefix at which pairs of the similarity meet in some tree with the target recall."""
-    return max((d for d in range(1, DEPTH + 1) if 1 - (1 - similarity**d) ** trees >= recall), default=1)
-
-
 def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, done=_hashes.clear):
         sets, counts, sigs = [], [], []
@@ -96,8 +102,7 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each class a row for each tree: key (tree and first half of the prefix), rest (second half), set, sketch."""
-    half = DEPTH // 2
+    """For each class a row for each tree: key (tree and first HALF levels of the prefix), rest (the other levels), set, sketch."""
     mix = np.uint64(0x9E3779B97F4A7C15)
     tree = (np.arange(TREES, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     for whole in batches:
@@ -106,29 +111,36 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not b.num_rows:
                 continue
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, TREES, DEPTH)
-            big = sig.astype(">u2")
-            first = np.ascontiguousarray(big[:, :, :half]).view(">u8")[:, :, 0].astype(np.uint64)
-            rest = np.ascontiguousarray(big[:, :, half:]).view(">u8")[:, :, 0].astype(np.uint64)
+            first, rest = _joined(sig[:, :, :HALF]), _joined(sig[:, :, HALF:])
             key = (first ^ tree) * mix
             key ^= key >> np.uint64(32)
             sketch = (sig.reshape(len(sig), -1)[:, :: _K // SKETCH][:, :SKETCH] & 0xFF).astype(np.uint8)
             rep = np.repeat(np.arange(len(sig)), TREES)
             sets = b.column(0).take(pa.array(rep))
             sketches = pa.array([x.tobytes() for x in sketch], pa.binary()).take(pa.array(rep))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array((rest.ravel() ^ np.uint64(1 << 63)).view(np.int64)), sets, sketches], names=["key", "rest", "set", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(rest.ravel().view(np.int64)), sets, sketches], names=["key", "rest", "set", "sketch"])
+
+
+def _joined(levels: np.ndarray) -> np.ndarray:
+    """The 16-bit levels on the last axis as one number, the first level highest."""
+    out = np.zeros(levels.shape[:-1], np.uint64)
+    for k in range(levels.shape[-1]):
+        out = (out << np.uint64(16)) | levels[..., k].astype(np.uint64)
+    return out
 
 
-def _nodes(rest: np.ndarray, deepest: int) -> list[tuple[int, int]]:
-    """Trie nodes of sorted rests that hold candidates: small ones as short as they come, others at `deepest` levels at most."""
+def _nodes(rest: np.ndarray) -> list[tuple[int, int]]:
+    """Trie nodes of sorted rests that hold candidates: small ones as short as they come, others at all their levels."""
     out, todo = [], [(0, len(rest), 0)]
+    levels = DEPTH - HALF
     while todo:
         a, b, depth = todo.pop()
         if b - a < 2:
             continue
-        if b - a <= SMALL or depth >= deepest:
+        if b - a <= SMALL or depth >= levels:
             out.append((a, b))
             continue
-        level = rest[a:b] >> np.uint64(16 * (DEPTH // 2 - depth - 1))
+        level = rest[a:b] >> np.uint64(16 * (levels - depth - 1))
         cuts = (np.flatnonzero(level[1:] != level[:-1]) + 1 + a).tolist()
         todo += [(x, y, depth + 1) for x, y in zip([a, *cuts], [*cuts, b], strict=True)]
     return out
@@ -136,15 +148,14 @@ def _nodes(rest: np.ndarray, deepest: int) -> list[tuple[int, int]]:
 
 def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (u, v) that connect the classes of a trie node whose sketches agree; at most one fewer than classes."""
-    deepest = max(0, least_depth() - DEPTH // 2)
     for g in groups(batches, ["key", "i", "j"]):
         if g.num_rows < 2:
             continue
-        rest = g.column("rest").to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+        rest = g.column("rest").to_numpy().view(np.uint64)
         sets = g.column("set").to_pylist()
         sketch = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         u, v = [], []
-        for a, b in _nodes(rest, deepest):
+        for a, b in _nodes(rest):
             left = np.array(sorted(range(a, b), key=sets.__getitem__))
             while len(left):
                 queue, left = [left[0]], left[1:]
@@ -160,75 +171,118 @@ def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
 
-def similar_pairs(sets: list[np.ndarray], similarity_9: tuple[int, int] = (9, 4)) -> np.ndarray:
-    """Matrix of the pairs whose Jaccard similarity is at least 0.8: 9 |a & b| >= 4 (|a| + |b|)."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    if n == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        common = np.array([[sizes[0], both], [both, sizes[1]]], np.int64)
-    else:
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        new = np.concatenate([[True], flat[1:] != flat[:-1]])
-        col = np.cumsum(new) - 1
-        count = np.bincount(col)
-        shared = count[col] > 1  # a shingle of one set adds to no intersection
-        owner, col = owner[shared], col[shared]
-        _, col = np.unique(col, return_inverse=True)
-        common = np.zeros((n, n), np.float64)
-        width = int(col[-1]) + 1 if len(col) else 0
-        for c in range(0, width, 4096):
-            a, b = np.searchsorted(col, [c, c + 4096])
-            x = np.zeros((n, min(4096, width - c)), np.float32)
-            x[owner[a:b], col[a:b] - c] = 1
-            common += x @ x.T
-        common = np.rint(common).astype(np.int64)
-    out = similarity_9[0] * common >= similarity_9[1] * (sizes[:, None] + sizes[None, :])
-    np.fill_diagonal(out, False)
-    return out
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, links): for each class of a tile how many documents of the others it is linked to, and the least linked class."""
-    for g in groups(batches, ["comp", "i", "j"]):
-        if g.num_rows < 2:
+class Block:
+    """An index of the sets of a block: its distinct shingles, sorted, and for each the members that have it, a bit each."""
+
+    def __init__(self, shingles_: np.ndarray, bits: np.ndarray, sizes: np.ndarray):
+        self.shingles, self.bits, self.sizes = shingles_, bits, sizes
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> Block:
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        distinct, row = np.unique(flat, return_inverse=True)
+        bits = np.zeros((len(distinct), (len(sets) + 7) // 8), np.uint8)
+        np.add.at(bits, (row, owner >> 3), (128 >> (owner & 7)).astype(np.uint8))  # a member has a shingle once
+        return cls(distinct, bits, np.array([len(s) for s in sets], np.int64))
+
+    def to_bytes(self) -> bytes:
+        head = np.array([len(self.sizes), len(self.shingles)], np.int64)
+        return zstandard.compress(b"".join(x.tobytes() for x in (head, self.sizes, self.shingles, np.ascontiguousarray(self.bits.T))), 1)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Block:
+        raw = zstandard.decompress(data)
+        n, m = np.frombuffer(raw, np.int64, 2).tolist()
+        sizes, found = np.frombuffer(raw, np.int64, n, 16), np.frombuffer(raw, np.uint64, m, 16 + 8 * n)
+        bits = np.frombuffer(raw, np.uint8, offset=16 + 8 * (n + m)).reshape((n + 7) // 8, m)
+        return cls(found, np.ascontiguousarray(bits.T), sizes)
+
+    def linked(self, other: Block) -> np.ndarray:
+        """Matrix of the pairs (member of self, member of other) with a Jaccard similarity of at least 0.8: 9 |a & b| >= 4 (|a| + |b|)."""
+        if self is other:
+            mine = theirs = np.arange(len(self.shingles))
+        else:
+            _, mine, theirs = np.intersect1d(self.shingles, other.shingles, assume_unique=True, return_indices=True)
+        common = np.zeros((len(self.sizes), len(other.sizes)), np.int64)
+        for at in range(0, len(mine), 4096):
+            x, y = (np.unpackbits(b.bits[k[at : at + 4096]], axis=1, count=len(b.sizes)).astype(np.float32) for b, k in ((self, mine), (other, theirs)))
+            common += (x.T @ y).astype(np.int64)
+        return 9 * common >= 4 * (self.sizes[:, None] + other.sizes[None, :])
+
+
+def _findings(linked: np.ndarray, names: list[bytes], copies: np.ndarray) -> tuple[list, list, list]:
+    """(u, v, links) of a symmetric matrix of links: of each linked class how many documents it is linked to (v null), and a spanning forest of the links (links 0)."""
+    links = linked @ copies
+    hit = np.flatnonzero(links)
+    u, v = [], []
+    seen = np.zeros(len(names), bool)
+    for start in hit.tolist():
+        if seen[start]:
             continue
-        i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
-        names, block, copies = g.column("set").to_pylist(), g.column("block").to_numpy(), g.column("copies").to_numpy()
-        once = list({s: k for k, s in enumerate(names)}.values())  # a row repeated whole comes once
-        sets = [shingles(g.column("text")[k].as_py()) for k in once]
-        names, block, copies = [names[k] for k in once], block[once], copies[once]
-        if len(once) < 2:
+        seen[start], queue = True, [start]
+        while queue:
+            new = np.flatnonzero(linked[queue.pop()] & ~seen).tolist()
+            seen[new] = True
+            u += [names[y] for y in new]
+            v += [names[start]] * len(new)
+            queue += new
+    return u + [names[k] for k in hit], v + [None] * len(hit), [0] * len(u) + links[hit].tolist()
+
+
+_FOUND = "u binary, v binary, links long"
+_BLOCK = _FOUND + ", comp binary, block int, blocks int, names binary, copies binary, index binary"
+_BLOCK_TYPES = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each set in a partition: of a row repeated whole not all come together in one task."""
+    seen: set[bytes] = set()
+    for b in batches:
+        new = []
+        for k, s in enumerate(b.column("set").to_pylist()):
+            if s not in seen:
+                seen.add(s)
+                new.append(k)
+        yield b.take(pa.array(new, pa.int64()))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block what is found in it, and, where its connected set has other blocks, a row with its index."""
+    for g in groups(batches, ["comp", "block"]):
+        names, copies = g.column("set").to_pylist(), g.column("copies").to_numpy()
+        once = list({s: k for k, s in enumerate(names)}.values())
+        names, copies = [names[k] for k in once], copies[once]
+        blocks = g.column("blocks")[0].as_py()
+        if len(once) < 2 and blocks == 1:
             continue
-        linked = similar_pairs(sets)
-        if i != j:
-            linked &= block[:, None] != block[None, :]
-        hit = np.flatnonzero(linked.any(1))
-        if not len(hit):
+        index = Block.of([shingles(g.column("text")[k].as_py()) for k in once])
+        linked = index.linked(index)
+        np.fill_diagonal(linked, False)
+        u, v, links = _findings(linked, names, copies)
+        n = len(u)
+        rows = [u, v, links, *([None] * n for _ in range(6))]
+        if blocks > 1:
+            own = (None, None, None, g.column("comp")[0].as_py(), g.column("block")[0].as_py(), blocks, b"".join(names), copies.astype(np.int64).tobytes(), index.to_bytes())
+            rows = [[*r, x] for r, x in zip(rows, own, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, _BLOCK_TYPES, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is found between the two blocks of each pair."""
+    for g in groups(batches, ["comp", "i", "j"]):
+        if g.num_rows < 2:
             continue
-        links = linked @ copies
-        by_rank = np.argsort(np.array(names, object))
-        u, v, n = [], [], []
-        seen = np.zeros(len(names), bool)
-        for start in by_rank:  # a spanning forest of the links
-            if seen[start] or not links[start]:
-                continue
-            seen[start], queue = True, [start]
-            while queue:
-                x = queue.pop()
-                new = linked[x] & ~seen
-                seen |= new
-                for y in np.flatnonzero(new).tolist():
-                    u.append(names[y])
-                    v.append(names[start])
-                    n.append(0)
-                    queue.append(y)
-        u += [names[k] for k in hit]
-        v += [None] * len(hit)
-        n += links[hit].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(n, pa.int64())], names=["u", "v", "links"])
+        a, b = (Block.from_bytes(x) for x in g.column("index").to_pylist()[:2])
+        joined = b"".join(g.column("names").to_pylist()[:2])
+        names = [joined[at : at + 16] for at in range(0, len(joined), 16)]
+        copies = np.frombuffer(b"".join(g.column("copies").to_pylist()[:2]), np.int64)
+        n = len(a.sizes)
+        linked = np.zeros((len(names), len(names)), bool)
+        linked[:n, n:] = a.linked(b)
+        linked[n:, :n] = linked[:n, n:].T
+        u, v, links = _findings(linked, names, copies)
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(links, pa.int64())], names=["u", "v", "links"])
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -240,20 +294,26 @@ def _classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     reps = table(narrow.filter("n > 0").groupBy("set").agg(F.min(F.struct("id", "raw_key")).alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "join-sets")
 
     forest = reps.select("set", "sig").mapInArrow(_forest, "key long, rest long, set binary, sketch binary")
-    crowded = table(forest.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > PREFIX_BLOCK).withColumn("blocks", F.ceil(F.col("n") / PREFIX_BLOCK).cast("int")).select("key", "blocks"), "join-crowded")
-    tiled = _tiles(forest.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
+    crowded = forest.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > PREFIX_BLOCK)
+    crowded = table(crowded.select("key", F.ceil(F.col("n") / PREFIX_BLOCK).cast("int").alias("blocks")), "join-crowded")
+    tiled = _tiles(forest.join(small(crowded), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
     edges = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rest").select("key", "i", "j", "rest", "set", "sketch").mapInArrow(_connect, "u binary, v binary")
-    sets = components(edges, "join-candidates").select(F.col("v").alias("set"), F.col("root").alias("comp"))
-    size = sets.groupBy("comp").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("blocks"))
-    members = table(sets.join(size, "comp").join(reps.select("set", "rep", "copies"), "set"), "join-members")
+    sets = table(components(edges, "join-candidates").select(F.col("v").alias("set"), F.col("root").alias("comp")), "join-connected")
+    large = table(sets.groupBy("comp").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "join-large")
+    members = sets.join(small(large), "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = table(members.join(reps.select("set", "rep", "copies"), "set"), "join-members")
 
     named = members.select("set", "comp", "blocks", "copies", F.col("rep.id").alias("rep_id"), F.col("rep.raw_key").alias("rep_key"))
     match = F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("raw_key") == F.col("rep_key"))
     if members.count() <= BROADCAST_ROWS:  # the two keys of each member; then only members' texts move
         src = src.join(F.broadcast(named.select("rep_id", "rep_key")), match, "left_semi")
-    text = src.join(named, match)
-    compared = _tiles(text.select("comp", "blocks", "set", "copies", "text")).repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    found = table(compared.select("comp", "i", "j", "block", "set", "copies", "text").mapInArrow(_verify, "u binary, v binary, links long"), "join-found")
+    text = src.join(named, match).select("comp", _block().alias("block"), "blocks", "set", "copies", "text")
+    text = text.mapInArrow(_once, text.schema).repartition("comp", "block").sortWithinPartitions("comp", "block")
+    blocks = table(text.mapInArrow(_blocks, _BLOCK), "join-blocks")
+    other = F.explode(F.expr("filter(sequence(0, blocks - 1), j -> j <> block)"))
+    pairs = blocks.filter("index is not null").withColumn("other", other).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "names", "copies", "index")
+    pairs = pairs.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_pairs, _FOUND)
+    found = table(blocks.filter("u is not null").select("u", "v", "links").unionByName(pairs), "join-found")
     links = found.filter("v is null").groupBy(F.col("u").alias("set")).agg(F.sum("links").alias("links"))
     roots = components(found.filter("v is not null").select("u", "v"), "join-classes").select(F.col("v").alias("set"), "root")
     linked = roots.join(links, "set").join(members.select("set", "rep"), "set")
@@ -264,11 +324,14 @@ def _classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     return narrow.select("id", "raw_key", "set", "n"), table(classes, "join-all")
 
 
+def _block() -> Column:
+    return F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+
+
 def _tiles(df: DataFrame) -> DataFrame:
-    """Adds block (of `blocks`, by hash of the set) and a row for each pair of blocks (i <= j) that the row's block is in."""
-    block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    return df.withColumn("block", block).withColumn("_t", F.explode(pair)).withColumns({"i": F.col("_t.i"), "j": F.col("_t.j")}).drop("_t")
+    """A row for each pair of blocks (i <= j) that the row's block, of `blocks` by hash of the set, is in."""
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(_block(), j).alias("i"), F.greatest(_block(), j).alias("j")))
+    return df.withColumn("_t", F.explode(pair)).withColumns({"i": F.col("_t.i"), "j": F.col("_t.j")}).drop("_t")
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,16 @@ def corpus(seed=0):
     return rows
 
 
+#: Names that the operators use themselves.
+CLASHES = ("id", "row", "fp", "set", "h", "size", "block", "rank", "v", "shard", "raw_key", "_raw_key", "_key", "_key_id", "_size", "_src_key", "_h", "_shard", "_of", "_times", "_time", "_last", "_passes", "comp", "kept", "src_key", "key", "key_id")
+
+
+def clashes_unchanged(df):
+    """The columns of CLASHES hold in every row what the fixture put there."""
+    got = df.select(*CLASHES).distinct().collect()
+    return [tuple(r) for r in got] == [tuple(range(len(CLASHES)))]
+
+
 @pytest.fixture(scope="module")
 def rows():
     return corpus()
@@ -47,7 +58,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    clash = {c: F.lit(0) for c in ("id", "row", "fp", "set", "h", "size", "block", "rank", "v", "_raw_key_", "shard_")}
+    clash = {c: F.lit(k) for k, c in enumerate(CLASHES)}
     return spark.createDataFrame(rows, DOC).withColumns(clash).repartition(3)
 
 
@@ -82,7 +93,7 @@ def test_exact_dedup(docs, rows):
 
 def test_drop_exact_duplicates(docs, rows, nothing):
     left = exact_dedup.drop_exact_duplicates(docs)
-    assert left.columns == docs.columns
+    assert left.columns == docs.columns and clashes_unchanged(left)
     texts = [ascii_lower(r.text) for r in left.collect()]
     assert len(texts) == len(set(texts)) == len({ascii_lower(t) for _, t, *_ in rows})
     assert exact_dedup.exact_duplicates(nothing).isEmpty() and exact_dedup.drop_exact_duplicates(nothing).isEmpty()
@@ -158,16 +169,56 @@ def test_jaccard_join_in_many_blocks(spark, monkeypatch):
 
 
 def test_drop_near_duplicates(docs, rows, nothing):
-    left = [r.doc_id for r in ngram_join.drop_near_duplicates(docs).collect()]
+    out = ngram_join.drop_near_duplicates(docs)
+    assert out.columns == docs.columns and clashes_unchanged(out)
+    left = [r.doc_id for r in out.collect()]
     lead = {c for i, c, _ in brute_join([x for x in rows if ngram_join.shingles(x[1]).size])}
     bare = [i for i, t, *_ in rows if not ngram_join.shingles(t).size]
     assert Counter(left) == Counter([*lead, *bare])
     assert ngram_join.jaccard_join(nothing).isEmpty() and ngram_join.drop_near_duplicates(nothing).isEmpty()
 
 
+def test_of_rows_that_differ_elsewhere_the_least_json_stays(spark):
+    rows = [(1, "same words here for all of them", z) for z in "cab"] + [(2, "SAME words here for all of them", "x"), (2, "SAME words here for all of them", "d")]
+    for op in (exact_dedup.drop_exact_duplicates, ngram_join.drop_near_duplicates):
+        left = op(spark.createDataFrame(rows, "doc_id long, text string, z string").repartition(4)).collect()
+        assert [(r.doc_id, r.z) for r in left] == [(2, "d") if op is exact_dedup.drop_exact_duplicates else (1, "a")]
+
+
 def test_forest_depth():
-    assert ngram_join.least_depth() == 6
-    assert 1 - (1 - 0.8**6) ** ngram_join.TREES >= ngram_join.RECALL
+    assert ngram_join.DEPTH == ngram_join.least_depth() == 6
+    assert 1 - (1 - 0.8**6) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8**7) ** ngram_join.TREES
+
+
+def test_nodes_are_shortened_while_small():
+    level = lambda *x: sum(v << 16 * (1 - k) for k, v in enumerate(x))
+    few = np.array([level(1, 1), level(2, 2), level(3, 3)], np.uint64)
+    assert ngram_join._nodes(few) == [(0, 3)]
+    many = np.array([level(1, k // 10) for k in range(20)] + [level(2, 7)] * 17 + [level(3, k) for k in range(3)], np.uint64)
+    assert sorted(ngram_join._nodes(many)) == [(0, 10), (10, 20), (20, 37), (37, 40)]
+
+
+def test_candidates_of_pairs_at_the_threshold():
+    """Recall of the forest and the sketch over pairs of sets whose similarity is 0.8."""
+    r, hit = np.random.default_rng(12), 0
+    for _ in range(600):
+        x = r.integers(0, 1 << 63, 100, dtype=np.uint64)  # 80 of 100 shared
+        sig = [ngram_join.signature(np.unique(s)).tobytes() for s in (x[:90], x[10:])]
+        b = pa.RecordBatch.from_arrays([pa.array([b"a" * 16, b"b" * 16]), pa.array(sig)], names=["set", "sig"])
+        t = pa.Table.from_batches(ngram_join._forest([b])).sort_by([("key", "ascending"), ("rest", "ascending")])
+        t = t.append_column("i", pa.array([0] * t.num_rows)).append_column("j", pa.array([0] * t.num_rows))
+        hit += bool(list(ngram_join._connect(t.combine_chunks().to_batches())))
+    assert hit / 600 >= 0.99
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 9, 40])
+def test_blocks_compare_all_pairs(n):
+    r = np.random.default_rng(n)
+    base = r.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([r.choice(base, int(k)), r.integers(0, 1 << 63, int(m), dtype=np.uint64)])) for k, m in zip(r.integers(100, 2000, 2 * n), r.integers(0, 60, 2 * n), strict=True)]
+    want = np.array([[9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b)) for b in sets] for a in sets])
+    one, two = (ngram_join.Block.from_bytes(ngram_join.Block.of(x).to_bytes()) for x in (sets[:n], sets[n:]))
+    assert (one.linked(one) == want[:n, :n]).all() and (one.linked(two) == want[:n, n:]).all()
 
 
 def test_signature_estimates_similarity():
@@ -220,7 +271,7 @@ def test_mixed_documents(docs, rows, nothing):
     unique = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     want = {r.doc_id: -(-r.taken // r["size"]) for r in mixing.mix(unique).collect() if r.taken}
     out = mixing.mixed_documents(unique)
-    assert out.columns == docs.columns and set(want) <= set(ids)
+    assert out.columns == docs.columns and clashes_unchanged(out) and set(want) <= set(ids)
     assert Counter(r.doc_id for r in out.collect()) == want
     assert mixing.mix(nothing).isEmpty() and mixing.mixed_documents(nothing).isEmpty()
 

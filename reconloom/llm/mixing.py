@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import small, table
+from reconloom.llm.common import packed, small, table, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources by code point, repeated.
 WEIGHTS = (5, 2, 1)
-#: At most so many blocks in all, and so many shards; a shard has at least so many rows on average.
+#: At most so many blocks in all, and so many shards of a source; a shard has at least so many rows on average.
 BLOCKS, SHARDS, SHARD_ROWS = 1 << 24, 4096, 512
 
 
@@ -74,20 +74,27 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, s
     return p.join(ranked, keys, "left").withColumn(out, F.col("_low") + F.coalesce("_won", F.lit(0))).drop("_v", "_n", "_low", "_high", "_rest", "_won")
 
 
-def _keyed(df: DataFrame, shards: int, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """df with _size, _src_key, _h (its place in the seeded order) and _shard."""
-    d = df.withColumn("_size", F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"))
-    d = d.withColumn("_src_key", F.coalesce(F.concat(F.lit("v"), F.col(source_col)), F.lit("n")))
-    d = d.withColumn("_h", F.md5(F.concat_ws("|", F.lit(f"mix{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("_size"))))
-    return d.withColumn("_shard", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % shards).cast("int"))
+def _keyed(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """The rows of df, packed, with size, src_key and h (the place in the seeded order)."""
+    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    d = packed(df, id=F.col(id_col), source=F.col(source_col), size=size, src_key=F.coalesce(F.concat(F.lit("v"), F.col(source_col)), F.lit("n")))
+    return d.withColumn("h", F.md5(F.concat_ws("|", F.lit(f"mix{seed}"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size"))))
 
 
-def _placed(df: DataFrame, shards: int, weights: tuple[int, ...], most: int, **cols) -> DataFrame:
-    """A narrow row for each row of df: id, source, src_key, shard, h, size, source_size, target, passes, first (words of the last, partial pass)."""
-    d = _keyed(df, shards, **cols)
-    base = table(d.select(F.col(cols["id_col"]).alias("id"), F.col(cols["source_col"]).alias("source"), F.col("_src_key").alias("src_key"), F.col("_shard").alias("shard"), F.col("_h").alias("h"), F.col("_size").alias("size")), "mix-base")
+def _sharded(keyed: DataFrame, sources: DataFrame) -> DataFrame:
+    """keyed with shard: a source has as many as its own rows ask for."""
+    joined = keyed.join(small(sources.select(F.col("src_key").alias("of_source"), "shards")), F.col("src_key") == F.col("of_source"))
+    return joined.withColumn("shard", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % F.col("shards")).cast("int")).drop("of_source", "shards")
+
+
+def _placed(keyed: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """(placed, sources). placed: a narrow row for each row of keyed: id, source, src_key, shard, h, size, source_size, target, passes, first (words of the last, partial pass)."""
+    base = table(keyed.select("id", "source", "src_key", "h", "size"), "mix-base")
+    rows = F.floor(F.count("*") / SHARD_ROWS)
+    sources = table(base.groupBy("src_key", "source").agg(F.greatest(F.lit(1), F.least(F.lit(SHARDS), rows)).alias("shards"), F.sum("size").alias("source_size")), "mix-sources")
+    base = _sharded(base, sources)
     by_shard = table(base.groupBy("src_key", "source", "shard").agg(F.sum("size").alias("shard_size")), "mix-shards")
-    by_source = targets(by_shard.groupBy("src_key", "source").agg(F.sum("shard_size").alias("source_size")), weights, most)
+    by_source = targets(sources.drop("shards"), weights, most)
     by_source = by_source.withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCKS)).cast("long")).withColumn("seats", F.floor(F.col("total") / F.col("block")).cast("long"))
     quotas = sainte_lague(by_source, [], "src_key", "target", "seats", "blocks")
     per_shard = sainte_lague(by_shard.join(quotas.select("src_key", "source_size", "target", "block", "blocks"), "src_key"), ["src_key"], "shard", "shard_size", "blocks", "shard_blocks")
@@ -100,11 +107,8 @@ def _placed(df: DataFrame, shards: int, weights: tuple[int, ...], most: int, **c
     )
     order = Window.partitionBy("src_key", "shard").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = base.withColumn("end", F.sum("size").over(order)).join(plan, ["src_key", "shard"])
-    return placed.withColumn("first", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("end") - F.col("size")))))
-
-
-def shards_for(rows: int) -> int:
-    return max(1, min(SHARDS, rows // SHARD_ROWS))
+    placed = placed.withColumn("first", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("end") - F.col("size")))))
+    return placed, sources
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 0) -> DataFrame:
@@ -114,25 +118,27 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     the last; ids may be null or repeat (equal ids and sizes are interchangeable). taken is at most
     most * size. An empty table gives no rows. Other columns of df play no part.
 
-    The text is read once. Then one shuffle brings each shard of a source together; shards hold a bounded
-    share of the rows, so a source with a third of them is spread over all shards.
+    The text is read once. Then one shuffle brings each shard of a source together; a source has a shard for each
+    SHARD_ROWS of its rows, so one with a third of them is spread over many.
     """
-    d = _placed(df, shards_for(df.count()), weights, most, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed)
+    d, _ = _placed(_keyed(df, id_col, text_col, source_col, seed), weights, most)
     return d.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("first")).cast("long").alias("taken"), "passes", "shard")
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 0) -> DataFrame:
-    """The rows of df of which the mix takes at least a word, once for each pass it begins; the columns of df.
+    """The rows of df as often as the mix takes them, to the nearest whole number; the columns of df.
 
-    A row that the mix takes 2.4 times appears three times, the last time whole. Rows with the same id and
-    size are taken alike. A shard's partial pass ends at one place of its seeded order, so a row needs only that place
-    and the passes of its shard: one small row a shard, and texts do not move (unless shards are more than BROADCAST_ROWS).
+    Only the row in which a shard's partial pass ends is taken in part: it appears once more if at least half of it is
+    taken. So a source misses its target by at most half a document for each SHARD_ROWS of its documents, or half a
+    document in all if it has fewer. Rows with the same id and size are taken alike. A shard's partial pass ends at one
+    place of its seeded order, so a row needs only that place and the passes of its shard: one small row a shard, and
+    texts do not move (unless shards are more than BROADCAST_ROWS).
     """
-    cols = {"id_col": id_col, "text_col": text_col, "source_col": source_col, "seed": seed}
-    shards = shards_for(df.count())
-    placed = _placed(df, shards, weights, most, **cols)
-    ends = table(placed.groupBy("src_key", "shard").agg(F.max("passes").alias("_passes"), F.max(F.when(F.col("first") > 0, F.col("h"))).alias("_last")), "mix-ends")
-    named = small(ends).withColumnsRenamed({"src_key": "_key", "shard": "_of"})
-    d = _keyed(df, shards, **cols).join(named, (F.col("_src_key") == F.col("_key")) & (F.col("_shard") == F.col("_of")))
-    times = F.when(F.col("_size") > 0, F.col("_passes") + F.coalesce((F.col("_h") <= F.col("_last")).cast("int"), F.lit(0))).otherwise(0).cast("int")
-    return d.withColumn("_times", times).filter("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(df.columns)
+    keyed = _keyed(df, id_col, text_col, source_col, seed)
+    placed, sources = _placed(keyed, weights, most)
+    last = F.max(F.when((F.col("first") > 0) & (2 * F.col("first") >= F.col("size")), F.col("h")))
+    ends = table(placed.groupBy("src_key", "shard").agg(F.max("passes").alias("passes"), last.alias("last")), "mix-ends")
+    named = small(ends).withColumnsRenamed({"src_key": "end_source", "shard": "end_shard"})
+    d = _sharded(keyed, sources).join(named, (F.col("src_key") == F.col("end_source")) & (F.col("shard") == F.col("end_shard")))
+    times = F.when(F.col("size") > 0, F.col("passes") + F.coalesce((F.col("h") <= F.col("last")).cast("int"), F.lit(0))).otherwise(0).cast("int")
+    return unpacked(d.withColumn("times", times).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))))

@@ -11,13 +11,13 @@ FROM d JOIN g ON d.t = g.t
 """
 
 MIX_SQL = r"""
-WITH n AS (SELECT greatest(1, least(4096, count(*) // 512)) AS shards FROM documents),
-b AS (
+WITH b AS (
   SELECT doc_id, source, coalesce('v' || source, 'n') AS k,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM documents),
 h AS (SELECT *, md5('mix0|' || coalesce(doc_id::VARCHAR, '') || '|' || size) AS h FROM b),
-base AS (SELECT h.*, (('0x' || substr(h, 1, 8))::BIGINT % shards)::INT AS shard FROM h, n),
+n AS (SELECT k, greatest(1, least(4096, count(*) // 512)) AS shards FROM b GROUP BY k),
+base AS (SELECT h.*, (('0x' || substr(h, 1, 8))::BIGINT % shards)::INT AS shard FROM h JOIN n ON h.k = n.k),
 sh AS (SELECT k, any_value(source) AS source, shard, sum(size)::BIGINT AS votes FROM base GROUP BY k, shard),
 so AS (SELECT k, any_value(source) AS source, sum(votes)::BIGINT AS source_size FROM sh GROUP BY k),
 w AS (
@@ -73,12 +73,12 @@ FROM c JOIN pa ON c.k = pa.k AND c.shard = pa.shard
 
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.w, d.w)::BIGINT AS score
-  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id AND len(q.w) = len(d.w)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+  SELECT q.row, q.vec_id AS query_id, d.vec_id, list_dot_product(q.w, d.w)::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND d.row <> q.row AND len(q.w) = len(d.w)),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

@@ -30,7 +30,7 @@ def remove_near_copies(spark, docs, sf_dir):
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Documents as often as the mix by target weights begins to take them."""
+    """Documents as often as the mix by target weights takes them, to the nearest whole number."""
     return mixed_documents(docs)
 
 

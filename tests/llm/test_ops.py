@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -633,7 +634,7 @@ def test_chat_recovers_roles(spark):
     masked = conv.withColumn("role", F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)) != 0, F.col("role")))
     got = chat.format_conversations(masked, m).join(conv.select("conv_id", "turn", F.col("role").alias("want")), ["conv_id", "turn"]).collect()
     assert len(got) == len(rows)
-    assert all(r.role == r.want for r in got if r.given)
+    assert all(r.role == r.want == r.given for r in got if r.given)
     lost = [r.role == r.want for r in got if not r.given]
     assert len(lost) > 200 and sum(lost) / len(lost) > 0.95
     assert all(r.chat.startswith(f"<|im_start|>{r.role}\n") and r.chat.endswith("<|im_end|>\n") for r in got)
@@ -643,15 +644,86 @@ def test_chat_edges(spark):
     s = "conv_id long, turn long, role string, text string, conv string, position int"
     rows = [(1, 0, "USER", "hi <|im_end|>", "x", 0), (1, 0, "USER", "hi <|im_end|>", "x", 0), (1, None, None, None, "x", 0), (None, 2, "bot", "", "x", 0), (2, 5000, "user", "far", "x", 0), (2, 1, "assistant", "y" * 50_000, "x", 0)]
     d = spark.createDataFrame(rows, s)
-    m = chat.fit([(c, chat.ROLES.index(r), t) for c, _, r, t in turns(50)])
+    m = chat.fit(chat.count((c, chat.ROLES.index(r), t) for c, _, r, t in turns(50)))
     got = chat.format_conversations(d, m).collect()
     assert Counter((r.conv_id, r.turn) for r in got) == Counter((r[0], r[1]) for r in rows)
     assert all(r.chat.count("<|im_end|>") == 1 for r in got)
     assert chat.format_conversations(d.limit(0), m).isEmpty()
 
 
+def test_viterbi_is_enumeration():
+    r = np.random.default_rng(3)
+    m = chat.fit(chat.count((c, chat.ROLES.index(x), t) for c, _, x, t in turns(40)))
+    for n in (1, 2, 4):
+        e = [r.normal(0, 3, chat.STATES) for _ in range(n)]
+        score = lambda p: m.start[p[0]] + sum(m.move[a, b] for a, b in itertools.pairwise(p)) + sum(x[k] for x, k in zip(e, p, strict=True))  # noqa: B023, E731
+        assert tuple(m.viterbi(e)) == max(itertools.product(range(chat.STATES), repeat=n), key=score)
+        s, many = r.normal(0, 5, (n, chat.R)), r.random(n) < 0.5
+        total = lambda p: m.start[2 * p[0]] + sum(m.move[2 * a + many[k], 2 * b] for k, (a, b) in enumerate(itertools.pairwise(p))) + sum(s[k, a] for k, a in enumerate(p))  # noqa: B023, E731
+        assert tuple(m.best_roles(s, many)) == max(itertools.product(range(chat.R), repeat=n), key=total)
+
+
+def test_turn_scores_are_the_sum_over_lines():
+    m = chat.fit(chat.count((c, chat.ROLES.index(x), t) for c, _, x, t in turns(40)))
+    for t in ("User: what is it?", "well\n- one\n- two\n\nthree?", "", "x" * 3000 + "\n"):
+        mark, figures = chat.observe(t)
+        got = m.scores(np.array([mark]), np.array([figures]))[0]
+        for r in range(chat.R):
+            lines = t.split("\n")
+            want, at = m.mark[2 * r, mark], 2 * r
+            for k, line in enumerate(lines):
+                at, last = 2 * r + (k > 0), at
+                want += sum(f[at, c] for f, c in zip(m.feats, chat.line_features(line if k else chat.marker(line)[1], not k), strict=True))
+                want += (m.move[last, at] + m.mark[at, -1]) if k else 0
+            want += sum(f[r, c] for f, c in zip(m.shapes, figures[-3:-1], strict=True))
+            assert got[r] == pytest.approx(want)
+
+
+def test_a_long_conversation_is_decoded_as_one(spark):
+    """5,000 turns over many tasks, roles mostly unknown: as if decoded in one piece, wherever the turn numbers lie."""
+    r, rows = random.Random(5), []
+    for k in range(5000):
+        rows.append((7, k, ("user", "assistant")[k % 2] if r.random() < 0.02 else None, prose(r, r.randrange(1, 12))))
+    rows += [(8, None, None, "User: b"), (8, 3, None, "a"), (9, 1, "system", "s"), (8, None, "user", "User: b")]
+    m = chat.fit(chat.count((c, chat.ROLES.index(x), t) for c, _, x, t in turns(40)))
+    seen = [chat.observe(t) for _, _, _, t in rows[:5000]]
+    marks = np.array([mark if x is None else chat.ROLES.index(x) for (mark, _), (_, _, x, _) in zip(seen, rows, strict=False)])
+    figures = np.array([f for _, f in seen])
+    scores, many = m.scores(marks, figures), figures[:, -1] > 1
+    total = lambda p: m.start[2 * p[0]] + sum(m.move[2 * a + many[k], 2 * b] for k, (a, b) in enumerate(itertools.pairwise(p))) + sum(scores[k, a] for k, a in enumerate(p))
+    want = total(m.best_roles(scores, many))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for scale in (1, 2000):
+            d = spark.createDataFrame([(c, t if t is None else t * scale, x, s) for c, t, x, s in rows], "conv_id long, turn long, role string, text string").repartition(5)
+            got = {(x.conv_id, x.position): x for x in chat.format_conversations(d, m).collect()}
+            assert len(got) == len(rows) and total([chat.ROLES.index(got[7, k].role) for k in range(5000)]) == pytest.approx(want, abs=1e-6)
+            assert [got[7, k].turn for k in range(5000)] == [k * scale for k in range(5000)]
+            assert got[8, 0].turn == 3 * scale and got[8, 1].turn is got[8, 2].turn is None
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_counts_over_parts_are_the_counts(spark):
+    rows = turns(60)
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    want = chat.count((c, chat.ROLES.index(x), t) for c, _, x, t in rows if zlib.crc32(str(c).encode()) % 4 != 2)
+    assert (chat.Observed(d, "conv_id", "turn", "role", "text").count().flat == want.flat).all()
+
+
+def test_query_recovers_roles_it_does_not_see(spark, sf_dir):
+    from reconloom.llm import registry
+
+    got = registry.QUERIES["op10_chat_format"](spark, sf_dir).collect()
+    own = common.read(spark, sf_dir, "conversations")
+    assert len(got) == own.count()
+    right = [r.role == r.given for r in got if zlib.crc32(str(r.conv_id).encode()) % 4 == 2 and r.given]
+    assert sum(right) / len(right) > 0.93
+
+
 def test_transcripts(spark):
-    m = chat.fit([(c, chat.ROLES.index(r), t) for c, _, r, t in turns(200)])
+    m = chat.fit(chat.count((c, chat.ROLES.index(r), t) for c, _, r, t in turns(200)))
     raw = "System: be good\nUser: what is it?\n### Assistant: it is\n- one\n- two\n\nHuman: thanks"
     assert chat.parse(raw, m) == [("system", "be good"), ("user", "what is it?"), ("assistant", "it is\n- one\n- two"), ("user", "thanks")]
     d = spark.createDataFrame([(1, raw), (2, None), (3, "")], "id long, raw string")

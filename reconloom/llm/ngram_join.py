@@ -41,6 +41,8 @@ SMALL = 16
 SKETCH, SKETCH_SHARE = 32, 0.44
 #: Classes in a block: of one trie prefix, and of one connected set.
 PREFIX_BLOCK, SET_BLOCK = 4096, 128
+#: A class of more copies than this is not joined by a shuffle on its name.
+OFTEN = 256
 
 _K = TREES * DEPTH
 _rng = np.random.default_rng(20240229)
@@ -334,6 +336,15 @@ def _tiles(df: DataFrame) -> DataFrame:
     return df.withColumn("_t", F.explode(pair)).withColumns({"i": F.col("_t.i"), "j": F.col("_t.j")}).drop("_t")
 
 
+def _with_classes(narrow: DataFrame, classes: DataFrame) -> DataFrame:
+    """narrow with n_links and group of its class, null without one. Classes of very many copies are broadcast: there are at most BROADCAST_ROWS of them."""
+    c = classes.select("set", "copies", "n_links", "group")
+    often = F.col("copies") > F.greatest(F.lit(OFTEN), F.lit(narrow.count() / BROADCAST_ROWS))
+    hot = F.broadcast(c.filter(often).drop("copies"))
+    rest = narrow.join(hot.select("set"), "set", "left_anti").join(c.filter(~often).drop("copies"), "set", "left")
+    return narrow.join(hot, "set").unionByName(rest)
+
+
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: id, class_id, n_links, n_shingles.
 
@@ -343,7 +354,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are copies. An empty table gives no rows. Other columns of df play no part.
     """
     narrow, classes = _classes(df, id_col, text_col)
-    return narrow.join(classes.select("set", "n_links", "group"), "set", "left").select(
+    return _with_classes(narrow, classes).select(
         F.col("id").alias(id_col), F.when(F.col("group").isNull(), F.col("id")).otherwise(F.col("group.id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_shingles")
     )
 
@@ -351,7 +362,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each class of linked rows, that of the least id; rows without words all stay. The columns of df."""
     narrow, classes = _classes(df, id_col, text_col)
-    found = narrow.filter("n > 0").join(classes.select("set", "group"), "set")
+    found = _with_classes(narrow.filter("n > 0"), classes)
     stays = F.col("id").eqNullSafe(F.col("group.id")) & (F.col("raw_key") == F.col("group.raw_key"))
     keys = found.groupBy("id", "raw_key").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("rows"))
     keys = table(keys.filter(~F.col("stays") | (F.col("rows") > 1)), "join-keys")  # of a row repeated whole one stays

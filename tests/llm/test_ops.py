@@ -355,11 +355,11 @@ def test_map_versions(spark, docs, tmp_path):
 
 
 def brute_top(rows, k=10):
-    v = [(i, [int(np.floor(1024 * float(x))) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    v = [(i, [int(np.floor(1024 * float(x))) for x in e]) for i, e in rows if i is not None and e and all(x is not None and np.isfinite(x) for x in e)]
     out = []
-    for i, q in v:
+    for a, (i, q) in enumerate(v):
         if i % 100 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in v if j != i and len(x) == len(q))[:k]
+            best = sorted((-sum(x * y for x, y in zip(q, e, strict=True)), j) for b, (j, e) in enumerate(v) if b != a and len(e) == len(q))[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     return sorted(out)
 
@@ -370,22 +370,41 @@ def test_top_k_is_brute_force(spark, spread, monkeypatch):
     centers = r.normal(size=(6, 8))
     rows = [(i, (centers[i % 6] + spread * r.normal(size=8)).astype(np.float32).tolist()) for i in range(500)]
     rows += [(600, [0.5] * 8), (601, [0.5] * 8), (602, [0.5] * 8), (700, None), (701, [None] * 8), (702, [float("nan")] * 8), (703, [float("inf")] * 8), (None, [1.0] * 8), (800, [1.0, 2.0]), (801, [1.0, -2.0]), (900, [])]
+    rows += [(100, rows[100][1])] * 3 + [(200, rows[5][1]), (1000, [3e7] * 8), (1001, [3e7, -3e7] * 4)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("x")).withColumn("v", F.lit(1))
-    monkeypatch.setattr(cover_tree, "DATA_BLOCK", 100)
-    monkeypatch.setattr(cover_tree, "LEAF", 16)
+    for name, value in (("DATA_BLOCK", 60), ("QUERY_BLOCK", 4), ("SEEDS", 2), ("SLICE", 2)):
+        monkeypatch.setattr(cover_tree, name, value)
     got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in cover_tree.top_k(d).collect())
     assert got == brute_top(rows)
     assert cover_tree.top_k(d.limit(0)).isEmpty()
 
 
-def test_dual_tree_prunes():
+def test_tree_covers_and_halves():
+    r = np.random.default_rng(4)
+    for x in (r.normal(size=(900, 5)), r.normal(size=(700, 40)), np.zeros((300, 3)), r.normal(size=(30, 4))[r.integers(0, 30, 800)]):
+        t = cover_tree.Tree(x, leaf=8)
+        assert sorted(t.order.tolist()) == list(range(len(x)))
+        y = x[t.order]
+        for i in range(len(t.a)):
+            assert np.sqrt(((y[t.a[i] : t.b[i]] - t.center[i]) ** 2).sum(1)).max() <= t.radius[i] + 1e-9
+            kids = range(t.first[i], t.first[i] + t.count[i])
+            if kids:
+                assert t.a[kids[0]] == t.a[i] and t.b[kids[-1]] == t.b[i] and all(t.b[k] == t.a[k + 1] for k in kids[:-1])
+                assert len(kids) == cover_tree.FANOUT or all(t.radius[k] <= t.radius[i] / 2 for k in kids)
+
+
+def test_dual_tree_prunes(spark, monkeypatch):
     r = np.random.default_rng(2)
     x = np.floor(r.normal(0, 1000, (50, 16))[r.integers(0, 50, 4000)] + r.normal(0, 5, (4000, 16)))
     ids = np.arange(4000)
-    found, work = cover_tree.search(x[::100], ids[::100], x, ids, 10)
-    s = x[::100] @ x.T
-    s[np.arange(40), ids[::100]] = -np.inf
+    q = cover_tree.Index(ids[::100], ids[::100], x[::100])
+    found, work = cover_tree.search(q, cover_tree.Index(ids, ids, x), 10)
+    s = q.x @ x.T
+    s[np.arange(40), q.ids] = -np.inf
     assert (found.scores == -np.sort(-s, 1)[:, :10]).all() and work < 0.3 * s.size
+    monkeypatch.setattr(cover_tree, "DATA_BLOCK", 200)
+    d = spark.createDataFrame([(i, (v / 1024).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert cover_tree.share_computed(d) < 0.3
 
 
 # Pieces

@@ -5,13 +5,14 @@ out with "at" and "dot", a phone number without its plus, an account number with
 segments: the features of a candidate see the span as one (its groups of digits, checksums, the word in
 front), and dynamic programming over segments of bounded length chooses boundaries and types jointly.
 
-Segments are looked for only around anchors (a digit, an @, a spelled-out @): every type needs one, so
-text without anchors has no segment, and long texts cost what their anchors cost.
+Every kind needs an anchor (a run of digits, a head of two capitals and two digits, an @, a spelled-out @, the sign before a
+secret), so segments are looked for around anchors only, up to LONGEST tokens to either side or the end of the line. That
+is as far as a segment with the anchor can reach, so nothing is lost by it, and long texts cost what their anchors cost.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import re
 from collections.abc import Iterator
 
@@ -23,26 +24,36 @@ from pyspark.sql import functions as F
 from reconloom.llm.common import slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-#: Kinds of the field's segments, in the order in which spans are listed; the last has no pattern.
-TYPES = (*KINDS, "account")
+#: Kinds of the field's segments, in the order in which spans are listed; the last two have no pattern.
+TYPES = (*KINDS, "account", "secret")
 OUT = len(TYPES)
-#: Tokens at most in a segment.
-LONGEST = 16
+#: Tokens at most in a segment: 19 digits one by one, or an address of 14 parts with bracketed dots.
+LONGEST = 40
+QUOTES = "\"'`"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_START = re.compile(r"[0-9@]")
-_SPELLED = re.compile(r"(?i)(?:\[|\(|\{|\b)at(?:\]|\)|\}|\b)\s*[\w-]+\s*(?:\[|\(|\{|\b)dot(?:\]|\)|\}|\b)")
-_ANCHOR = re.compile(r"(?i)[0-9][0-9 ().+-]*|@|(?:\[|\(|\{|\b)at(?:\]|\)|\}|\b)(?=\s*[\w-]+\s*(?:\[|\(|\{|\b)dot(?:\]|\)|\}|\b))")
-_TOKEN = re.compile(r"[0-9]+|[^\W0-9_]+|[^\w\s]|_")
+_DIGIT = re.compile(r"[0-9]")
+#: A run of digits and what may join them.
+_RUN = re.compile(r"[0-9+(][0-9 ().+-]*")
+_HEAD = re.compile(r"[A-Z]{2}[0-9]{2}")
+_AT = r"(?:\[|\(|\{|\b)at(?:\]|\)|\}|\b)"
+_SPELLED = re.compile(rf"(?i)@|{_AT}(?=\s*[\w-]+\s*(?:\[|\(|\{{|\b)dot(?:\]|\)|\}}|\b))")
+_WORD = re.compile(r"[A-Za-z0-9_-]{20,}")
+#: A long word with a letter is one token, however often its letters and digits change.
+_TOKEN = re.compile(r"(?=[0-9_-]{0,40}[A-Za-z])[A-Za-z0-9_-]{20,}|[0-9]+|[^\W0-9_]+|[^\w\s]|_")
+#: An address that goes on behind its span, or began in front of it.
+_GOES_ON = re.compile(r"(?i)\s?[\[({]?\s?(?:dot|at)[\])}\s]\s*\w|\.\w|@")
+_CAME = re.compile(r"(?i)\w[\])}]?\s?[\[({]?(?:dot|at)[\])}]?\s?$|\w[.@]$")
 _HINTS = {
     "email": frozenset(("mail", "email", "courriel", "correo", "contact", "write")),
     "ip": frozenset(("ip", "host", "server", "from")),
     "card": frozenset(("card", "visa", "karte", "carte", "tarjeta", "credit")),
     "phone": frozenset(("phone", "tel", "call", "telefon", "fax", "mobile", "cell")),
+    "secret": frozenset(("token", "secret", "key", "password", "passwort", "apikey", "api_key", "bearer")),
     "account": frozenset(("iban", "account", "ssn", "konto", "compte", "cuenta", "passport")),
 }
 
@@ -79,7 +90,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
                 out.append((0, start, m.end()))
             done = m.end() if m else at + 1
             at = text.find("@", done)
-    if not _START.search(text):
+    if not _DIGIT.search(text):
         return out
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split(".")):
@@ -112,7 +123,7 @@ def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int, y: int)
     if glued_right:
         f.append(f"{name}|right")
     near = text[max(0, start - 16) : start].lower().split()
-    if near and near[-1].strip(":.#()") in _HINTS[name]:
+    if any(w.strip(":.#()='\"") in _HINTS[name] for w in near[-2:] if y == 5 or w == near[-1]):
         f.append(f"{name}|hint")
     letters = any(c.isalpha() for c in span)
     f.append(f"{name}|" + ("letters" if letters else "figures"))
@@ -123,6 +134,10 @@ def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int, y: int)
         sign = low.count("@")
         dots = len(re.findall(r"[\[({\s]dot[\])}\s]", low)) + span.count(".")
         f.append(f"email|{'spelled' if spelled else 'sign' if sign == 1 else 'none'}|{min(dots, 3)}")
+        if _GOES_ON.match(text, end):
+            f.append("email|goes_on")
+        if _CAME.search(text[max(0, start - 12) : start]):
+            f.append("email|came")
         host = re.split(r"[\[({\s]at[\])}\s]|@", low)[-1]
         words = [w for w in re.split(r"[\[({\s]+dot[\])}\s]+|\.", host) if w.strip()]
         f.append(f"email|hostparts|{min(len(words), 4)}")
@@ -143,6 +158,12 @@ def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int, y: int)
         f.append(f"phone|digits|{min(len(digits), 16)}")
         f.append(f"phone|shape|{'(' if '(' in span else ''}{')' if ')' in span else ''}{groups if len(groups) < 12 else 'long'}")
         f.append(f"phone|joined|{''.join(sorted(set(re.sub('[0-9]+', '', span))))[:5]}")
+    elif y == 5:
+        before = text[max(0, start - 4) : start].strip(" \"'")
+        f.append(f"secret|sign|{before[-1:] in ('=', ':')}")
+        f.append(f"secret|quoted|{start > 0 and text[start - 1] in QUOTES and text[end : end + 1] == text[start - 1]}")
+        f.append(f"secret|hex|{re.fullmatch('[0-9a-f]+|[0-9A-F]+', span) is not None}|{min(len(span) // 8, 8)}")
+        f.append(f"secret|digits|{min(9, 10 * len(digits) // len(span))}")
     else:
         body = re.sub(r"[ -]", "", span)
         f.append(f"account|length|{15 <= len(body) <= 34}|{mod97(body) if 15 <= len(body) <= 34 and body.isalnum() else False}")
@@ -150,40 +171,90 @@ def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int, y: int)
     return f
 
 
+def _mixed(word: str) -> bool:
+    """A word of letters and digits."""
+    return _DIGIT.search(word) is not None and any(c.isalpha() for c in word)
+
+
+def tokens_of(text: str, left: int = 0, right: int | None = None) -> list[tuple[int, int]]:
+    return [m.span() for m in _TOKEN.finditer(text, left, len(text) if right is None else right)]
+
+
 def _candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(i, j, type): segments of bounded length that a type can have at all: an anchor inside, fitting ends, no line break.
+    """(i, j, type): segments of at most LONGEST tokens that a kind can have at all, by what the kind is, so independent of weights.
 
-    What is left out is impossible by the kind's definition, so leaving it out does not depend on weights.
+    ip, card, phone, account in digits: a run of digits and joiners, as many digits as the kind has. account with
+    letters: two capitals, two digits, 15 to 34 letters and digits. email: words around an @ or a spelled-out one.
+    secret: a word of 20 letters and digits or more, with both. None crosses a line or two joined blanks.
     """
-    out = []
-    n = len(tokens)
-    for i in range(n):
-        a = text[tokens[i][0]]
-        if not (a.isalnum() or a in "(+"):
+    if not tokens:
+        return []
+    out: list[tuple[int, int, int]] = []
+    left, right = tokens[0][0], tokens[-1][1]
+    start_at, end_at = {a: k for k, (a, _) in enumerate(tokens)}, {b: k + 1 for k, (_, b) in enumerate(tokens)}
+    joined = [k > 0 and tokens[k][0] - tokens[k - 1][1] <= 1 and text[tokens[k - 1][1] : tokens[k][0]] != "\n" for k in range(len(tokens))]
+
+    for m in _RUN.finditer(text, left, right):
+        i0 = start_at.get(m.start())
+        if i0 is None:  # the run begins inside a word
+            i0 = next((start_at[p] for p in range(m.start() + 1, m.end()) if p in start_at), None)
+        if i0 is None or sum("0" <= c <= "9" for c in m[0]) < 8 and m[0].count(".") < 3:
             continue
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            s, e = tokens[i][0], tokens[j - 1][1]
-            if j > i + 1 and (tokens[j - 1][0] - tokens[j - 2][1] > 1 or text[tokens[j - 2][1] : tokens[j - 1][0]] == "\n"):
-                break
-            if not text[e - 1].isalnum():
+        stop = i0
+        while stop < len(tokens) and tokens[stop][1] <= m.end():
+            stop += 1
+        for i in range(i0, stop):
+            head = text[tokens[i][0]]
+            if head not in "(+" and not head.isdigit():
                 continue
-            span = text[s:e]
-            digit_ends = text[e - 1].isdigit() and (a.isdigit() or a in "(+")
-            if digit_ends:
-                digits = sum(c.isdigit() for c in span)
-                if not any(c.isalpha() for c in span):
-                    if span.count(".") == 3 and a.isdigit():
-                        out.append((i, j, 1))
-                    if 13 <= digits <= 19 and a.isdigit():
-                        out.append((i, j, 2))
-                    if 8 <= digits <= 15:
-                        out.append((i, j, 3))
-                    if digits == 9 and a.isdigit():
-                        out.append((i, j, 4))
-            if a.isupper() and re.match(r"[A-Z]{2}[0-9]{2}", span) and 15 <= sum(c.isalnum() for c in span) <= 34:
-                out.append((i, j, 4))
-            if a.isalnum() and text[e - 1].isalpha() and ("@" in span or _SPELLED.search(span)):
-                out.append((i, j, 0))
+            digits = dots = 0
+            for j in range(i + 1, min(stop, i + LONGEST) + 1):
+                a, b = tokens[j - 1]
+                if j > i + 1 and not joined[j - 1]:
+                    break
+                if not text[a].isdigit():
+                    dots += text[a] == "."
+                    continue
+                digits += b - a
+                if digits > 19:
+                    break
+                if dots == 3 and head.isdigit():
+                    out.append((i, j, 1))
+                if 13 <= digits and head.isdigit():
+                    out.append((i, j, 2))
+                if 8 <= digits <= 15:
+                    out.append((i, j, 3))
+                if digits == 9 and head.isdigit():
+                    out.append((i, j, 4))
+    for m in _HEAD.finditer(text, left, right):
+        i = start_at.get(m.start())
+        if i is None:
+            continue
+        size = 0
+        for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
+            a, b = tokens[j - 1]
+            if j > i + 1 and not joined[j - 1]:
+                break
+            if text[a].isalnum():
+                size += b - a
+                if size > 34:
+                    break
+                if size >= 15:
+                    out.append((i, j, 4))
+    signs = [(start_at[m.start()], end_at[m.end()]) for m in _SPELLED.finditer(text, left, right) if m.start() in start_at and m.end() in end_at]
+    seen: set[tuple[int, int]] = set()
+    for a, b in signs:
+        i = a - 1
+        while i >= 0 and joined[i + 1] and b - i < LONGEST:
+            if text[tokens[i][0]].isalnum() and joined[a] and (b == len(tokens) or joined[b]):
+                for j in range(b + 1, min(len(tokens), i + LONGEST) + 1):
+                    if not joined[j - 1]:
+                        break
+                    if text[tokens[j - 1][1] - 1].isalpha() and all(joined[a + 1 : b]) and (i, j) not in seen:
+                        seen.add((i, j))
+                        out.append((i, j, 0))
+            i -= 1
+    out += [(k, k + 1, 5) for k, (a, b) in enumerate(tokens) if b - a >= 20 and _mixed(text[a:b])]
     return out
 
 
@@ -203,7 +274,7 @@ class Field:
     def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         """The best (type, start, end) of all ways to cut the tokens into segments and outside tokens."""
         ends: dict[int, list[tuple[int, int, float]]] = {}
-        for i, j, y in _candidates(text, tokens):
+        for i, j, y in set(_candidates(text, tokens)):
             ends.setdefault(j, []).append((i, y, self.segment_score(text, tokens, i, j, y)))
         if not ends:
             return []
@@ -254,6 +325,13 @@ def _examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
         dot, at = pick([(".", "@"), (" dot ", " at "), (" [dot] ", " [at] "), (" (dot) ", " (at) ")])
         return word() + (dot + word() if rng.random() < 0.5 else "") + (d(2) if rng.random() < 0.4 else "") + at + word() + dot + (word() + dot if rng.random() < 0.3 else "") + pick(["com", "net", "org", "de"])
 
+    def secret() -> str:
+        n, letters = pick([(40, "0123456789abcdef"), (32, "0123456789abcdef"), (24, "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789")])
+        while True:
+            s = "".join(pick(letters) for _ in range(int(n)))
+            if _mixed(s):
+                return s
+
     def ip() -> str:
         return ".".join(str(int(x)) for x in rng.integers(0, 256, 4))
 
@@ -263,10 +341,10 @@ def _examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
     def other() -> str:
         return pick([
             f"{d(4)}-{d(2)}-{d(2)}", f"{d(1)}.{d(1)}.", f"{d(1)}.{d(1)}.{d(2)}", f"{d(3)},{d(3)}.{d(2)}", d(int(rng.integers(1, 14))), d(16), f"{d(2)}:{d(2)}:{d(2)}", f"v{d(1)}.{d(2)}.{d(1)}.{d(1)}", f"{300 + int(d(2))}.{d(3)}.{d(2)}.{d(2)}",
-            f'token = "{"".join(pick("0123456789abcdef") for _ in range(40))}"', f"{word()}@{word()}", f"{word()} at {word()}", f"({d(4)})", f"{d(2)}-{d(2)}", f"pp. {d(3)}-{d(3)}", f"{d(5)} {d(5)} {d(5)}", f"{word()}{d(8)}{word()}", f"{d(3)}/{d(3)}/{d(4)}", f"ISBN 978-{d(1)}-{d(3)}-{d(5)}-{d(1)}", f"$ {d(3)} {d(3)} {d(3)}", f"{d(4)}-{d(4)}", f"#{d(9)}", d(9), d(10), f"{d(2)}.{d(2)}.{d(4)}", f"{d(3)}-{d(4)}-{d(2)}",
+            f"commit {secret()}", f"{word()}/{secret()}", f"{word()}{word()}{word()}{word()}-{word()}{word()}{word()}{d(1)}", f"{word()}@{word()}", f"{word()} at {word()}", f"({d(4)})", f"{d(2)}-{d(2)}", f"pp. {d(3)}-{d(3)}", f"{d(5)} {d(5)} {d(5)}", f"{word()}{d(8)}{word()}", f"{d(3)}/{d(3)}/{d(4)}", f"ISBN 978-{d(1)}-{d(3)}-{d(5)}-{d(1)}", f"$ {d(3)} {d(3)} {d(3)}", f"{d(4)}-{d(4)}", f"#{d(9)}", d(9), d(10), f"{d(2)}.{d(2)}.{d(4)}", f"{d(3)}-{d(4)}-{d(2)}",
         ])
 
-    make = (email, ip, card, phone, account)
+    make = (email, ip, card, phone, account, secret)
     out = []
     for _ in range(n):
         text, spans = "", []
@@ -274,10 +352,15 @@ def _examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
             text += " ".join(word() for _ in range(int(rng.integers(1, 4)))) + pick([" ", " ", ": ", ", "])
             if rng.random() < 0.55:
                 y = int(rng.integers(len(make)))
-                if rng.random() < 0.3:
+                quote = ""
+                if y == 5:  # what makes a secret of it is the name in front
+                    quote = pick(["", *QUOTES])
+                    text += pick(sorted(_HINTS["secret"])) + pick([" = ", "=", ": ", " "]) + quote
+                elif rng.random() < 0.3:
                     text += pick(sorted(_HINTS[TYPES[y]])) + pick([" ", ": "])
                 s = make[y]()
                 spans.append((y, len(text), len(text) + len(s)))
+                s += quote
             else:
                 s = other()
             text += s + pick([" ", ". ", ", ", " "])
@@ -286,12 +369,13 @@ def _examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
     return out
 
 
+@functools.cache
 def train(examples: int = 500, rounds: int = 40, seed: int = 0) -> Field:
-    """Fit by gradient ascent on the log likelihood of whole segmentations, over a bounded number of made-up lines."""
+    """Fit by gradient ascent on the log likelihood of whole segmentations, over a bounded number of made-up lines; once a session."""
     index: dict[str, int] = {}
     lines = []
     for text, spans in _examples(examples, seed):
-        tokens = [m.span() for m in _TOKEN.finditer(text)]
+        tokens = tokens_of(text)
         first, last = {a: k for k, (a, _) in enumerate(tokens)}, {b: k + 1 for k, (_, b) in enumerate(tokens)}
         gold = {(first[s], last[e], y) for y, s, e in spans}
         cand = sorted(set(_candidates(text, tokens)) | gold, key=lambda c: (c[1], c[0], c[2]))
@@ -344,14 +428,53 @@ def train(examples: int = 500, rounds: int = 40, seed: int = 0) -> Field:
     return Field(index, w, follow)
 
 
-def _regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text around anchors, within a line, merged where they meet."""
+def _anchors(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of what a segment can't do without, in order, unless a base span has it."""
+    found = [m.span() for m in _SPELLED.finditer(text)]
+    if _DIGIT.search(text):
+        for m in _RUN.finditer(text):
+            if m.end() - m.start() >= 7 and (sum("0" <= c <= "9" for c in m[0]) >= 8 or m[0].count(".") >= 3):
+                found.append((m.start(), m.start() + len(m[0].rstrip(" ().+-"))))
+        found += [m.span() for m in _HEAD.finditer(text)]
+        found += [m.span() for m in _WORD.finditer(text) if _mixed(m[0])]
+    out, k = [], 0
+    for a, b in sorted(found):
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if not (k < len(taken) and taken[k][0] <= a and b <= taken[k][1]):
+            out.append((a, b))
+    return out
+
+
+def _reach(text: str, at: int, end: int, step: int) -> int:
+    """The place LONGEST tokens from `at` towards `end` (the line's), or `end` if there are fewer."""
+    width = 8 * LONGEST
+    while True:
+        stop = max(end, at - width) if step < 0 else min(end, at + width)
+        spans = tokens_of(text, stop, at) if step < 0 else tokens_of(text, at, stop)
+        if step < 0 and stop > end:
+            spans = spans[1:]  # may be cut
+        elif step > 0 and stop < end:
+            spans = spans[:-1]
+        if len(spans) >= LONGEST:
+            return spans[-LONGEST][0] if step < 0 else spans[LONGEST - 1][1]
+        if stop == end:
+            return end
+        width *= 4
+
+
+def _regions(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Stretches of text around anchors, each within a line, merged where they meet."""
     open_at = close = -1
-    for m in _ANCHOR.finditer(text):
-        a, b = m.start(), m.end()
-        left = max(text.rfind("\n", max(0, a - 48), a) + 1, a - 48, 0)
-        stop = text.find("\n", b, b + 48)
-        right = stop if stop >= 0 else min(len(text), b + 48)
+    for a, b in _anchors(text, taken):
+        if b <= close and "\n" not in text[a:b]:
+            far = text.find("\n", b)
+            close = max(close, _reach(text, b, far if far >= 0 else len(text), 1))
+            continue
+        line = text.rfind("\n", 0, a) + 1
+        far = text.find("\n", a)
+        far = far if far >= 0 else len(text)
+        left, right = _reach(text, a, line, -1), _reach(text, min(b, far), far, 1)
         if left <= close:
             close = max(close, right)
         else:
@@ -367,11 +490,9 @@ def find(text: str | None, field: Field) -> tuple[list[tuple[int, int, int]], li
     if not text:
         return [], []
     base = base_spans(text)
-    if not (_START.search(text) or _SPELLED.search(text)):
-        return base, []
     taken = sorted((s, e) for _, s, e in base)
     added, at = [], 0
-    for a, b in _regions(text):
+    for a, b in _regions(text, taken):
         while at < len(taken) and taken[at][1] <= a:
             at += 1
         inside, k = [], at
@@ -379,12 +500,7 @@ def find(text: str | None, field: Field) -> tuple[list[tuple[int, int, int]], li
             inside.append(taken[k])
             k += 1
         for left, right in _gaps(a, b, inside):
-            tokens = [m.span() for m in _TOKEN.finditer(text, left, right)]
-            if tokens and left > 0 and left == a and tokens[0][0] == left and text[left - 1].isalnum():
-                tokens = tokens[1:]  # the rest of a word that begins outside
-            if tokens and right == b and right < len(text) and tokens[-1][1] == right and text[right].isalnum():
-                tokens = tokens[:-1]
-            added += field.decode(text, tokens)
+            added += field.decode(text, tokens_of(text, left, right))
     return base, added
 
 
@@ -443,4 +559,4 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return F.array_join(F.transform(by_kind, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(id_col, *map(n, KINDS), F.sha2(join(F.col("base")), 256).alias("base_sha256"), join(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return found.select(id_col, *map(n, KINDS), F.sha2(join(F.col("base")), 256).alias("base_sha256"), join(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))

@@ -3,7 +3,8 @@
 A logistic classifier on figures of the text gives each document a probability of being good. Its mean
 over a path shrinks towards that of the host, the host's towards the whole corpus, the more the fewer
 documents there are; how strongly is estimated from the spread of the means (empirical Bayes). A document's
-score combines its own evidence with its path's posterior in place of the corpus-wide rate.
+score combines its own evidence with its path's posterior in place of the corpus-wide rate. That posterior is of
+the other documents of the site: a document's own evidence counts once.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import held_out, labelled_sample, slices, small_batches, table
+from reconloom.llm.common import held_out, labelled_sample, slices, small, small_batches, table
 
 #: Labelled rows at most that the classifier is fitted on.
 SAMPLE = 20_000
@@ -123,7 +124,8 @@ def _strength(rows: DataFrame, n: str, total: str, squares: str, prior) -> float
 def quality(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """One row for each row of docs: id, held_out, evidence, host_posterior, path_posterior, score, keep.
 
-    Host and path are columns (a path is within its host); a null is a site of its own. Null and empty texts have
+    The posteriors are the shrunken means of the other documents of the host and path. Host and path are columns (a path is
+    within its host); a null is a site of its own. Null and empty texts have
     no figures and get what the classifier says of that. An empty table gives no rows. Sites are summed up
     by partial sums before any shuffle, so a host with a third of the rows sends a row for each task.
     """
@@ -144,13 +146,17 @@ def quality(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", tex
     whole = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).collect()[0]
     m = float(np.clip(whole["s"] / whole["n"], 1e-4, 1 - 1e-4)) if whole["n"] else 0.5
     k1 = _strength(hosts, "hn", "hs", "hss", F.lit(m))
-    hosts = hosts.withColumn("host_posterior", (F.col("hs") + k1 * m) / (F.col("hn") + k1)).select("host", "host_posterior")
+    shrunk = lambda total, n, k, prior: (total + k * prior) / (n + k)
     paths = paths.join(hosts, "host")
-    k2 = _strength(paths, "n", "s", "ss", F.col("host_posterior"))
-    posterior = table(paths.select("host", "path", "host_posterior", ((F.col("s") + k2 * F.col("host_posterior")) / (F.col("n") + k2)).alias("path_posterior")), "quality-sites")
+    k2 = _strength(paths, "n", "s", "ss", shrunk(F.col("hs"), F.col("hn"), k1, F.lit(m)))
+    sites = table(paths.select("host", "path", "n", "s", "hn", "hs"), "quality-sites")
+    joined = scored.join(small(sites), ["host", "path"])
+    # Sums of the document's site without the document.
+    host_posterior = shrunk(F.col("hs") - F.col("p"), F.col("hn") - 1, k1, F.lit(m))
+    joined = joined.withColumn("host_posterior", host_posterior).withColumn("path_posterior", shrunk(F.col("s") - F.col("p"), F.col("n") - 1, k2, F.col("host_posterior")))
     logit = lambda c: F.log(c / (1 - c))
     z = logit(F.col("p")) + logit(F.least(F.greatest(F.col("path_posterior"), F.lit(1e-4)), F.lit(1 - 1e-4))) - float(np.log(m / (1 - m)))
     score = 1 / (1 + F.exp(-z))
-    return scored.join(posterior, ["host", "path"]).select(
+    return joined.select(
         F.col("id").alias(id_col), held_out("id").alias("held_out"), F.col("p").alias("evidence"), "host_posterior", "path_posterior", score.alias("score"), (score >= KEEP).alias("keep")
     )

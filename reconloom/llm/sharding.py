@@ -8,6 +8,7 @@ a new version of the map, stored as a table.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -106,7 +107,10 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
 
     size is the text's UTF-8 bytes plus 1 (a null text has none, its crc32 is that of the empty text).
     slot is the place of the row in its shard, from 0 without gaps. Null and repeated ids are hashed with
-    the text's checksum. A map stored at map_path is edited, else one is begun there.
+    the text's checksum. Equal texts of different ids are not kept together: a group of copies is spread over the slots, so
+    that no shard carries it alone. A map stored at map_path is edited, else one is begun in a new folder: slot i in shard
+    i mod shards is version 0, which the bytes of this table then edit to version 1. The law is 'bytes', so the
+    slots' bytes decide where rows go, not doc_id and shard count alone. An empty table gives no rows; other columns of df play no part.
     """
     spark = df.sparkSession
     src = df.select(
@@ -119,7 +123,7 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
     for r in base.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():  # as many rows as slots
         load[r["virtual_slot"]], rows[r["virtual_slot"]] = r["b"], r["n"]
     if map_path is None:
-        map_path = f"{table_path(spark)}"
+        map_path = table_path(spark)
         version, old = 0, initial_map(shards, slots)
         store_map(spark, map_path, 0, old)
     else:
@@ -145,6 +149,4 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
 
 def table_path(spark: SparkSession) -> str:
     """A new folder for a map in the shared folder."""
-    import uuid
-
     return f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"

@@ -647,6 +647,37 @@ def test_terms_beyond_the_first_are_learned(spark):
     assert all((m.score(t) >= 0.5) == bool(y) for t, y in rows)
 
 
+def test_score_is_the_double_sum(toxic, docs, rows):
+    """A score against the weights and all pairs of factors, one by one; on clashing columns and very long texts too."""
+    own, labels = toxic
+    m = toxicity.fit(toxicity.training_rows(own, labels))
+
+    def brute(t):
+        terms = sorted({m.terms[x] for w in set(re.findall(r"\w+", (t or "").lower())) for x in toxicity.term_ids(w) if x in m.terms})
+        z = m.w0 + sum(float(m.w[i]) for i in terms) + sum(float(m.v[i] @ m.v[j]) for a, i in enumerate(terms) for j in terms[a + 1 :])
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+    texts = {i: t for i, t, *_ in rows if i is not None}
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, m).collect() if r.doc_id is not None}
+    assert set(got) == set(texts) and all(got[i] == pytest.approx(brute(t), abs=1e-4) for i, t in texts.items())
+    left = toxicity.drop_toxic(docs, m)
+    assert left.columns == docs.columns and clashes_unchanged(left)
+
+
+def test_pairs_are_learned_from_the_tables(spark):
+    """Labels that depend on a pair of words alone, through training_rows, fit and toxicity, on held-out rows."""
+    r, rows, labels = random.Random(13), [], []
+    for i in range(4000):
+        g, w = i % 2, i // 2 % 2
+        words = [r.choice(WORDS) for _ in range(12)] + [("alphans", "betwins")[g], ("gruftig", "mofertal")[w]]
+        r.shuffle(words)
+        rows.append((i, " ".join([*words, f"n{i}"]), "en", "s", 0))
+        labels.append((i, 1, int(g == w)))
+    docs, lab = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, toxicity.fit(toxicity.training_rows(docs, lab))).filter("held_out").collect()
+    assert len(got) > 800 and sum((x.score >= 0.5) == bool(labels[x.doc_id][2]) for x in got) / len(got) > 0.9
+
+
 def test_toxicity_without_labels(toxic, nothing):
     docs, labels = toxic
     m = toxicity.fit(toxicity.training_rows(docs, labels.limit(0)))
@@ -676,6 +707,43 @@ def test_quality(spark, nothing):
     assert quality.quality(nothing, c).isEmpty()
 
 
+def test_quality_is_brute_force(docs, rows):
+    """Posteriors and scores against sums over the other rows of each site, one by one."""
+    r = np.random.default_rng(5)
+    c = quality.fit_classifier(r.random((60, len(quality.FIGURES))), (r.random(60) < 0.5).astype(float))
+    got = quality.quality(docs, c).collect()
+    p = c.probability(np.array([quality.figures(t) for _, t, *_ in rows]))
+    site = [(s, lang) for _, _, lang, s, _ in rows]
+    m = p.mean()
+
+    def strength(keys, priors):
+        spread = noise = whole = n = 0.0
+        for k, prior in priors.items():
+            q = np.array([x for x, o in zip(p, keys, strict=True) if o == k])
+            if len(q) > 1:
+                spread += len(q) * (q.mean() - prior) ** 2
+                noise += max(0.0, (q * q).mean() - q.mean() ** 2)
+                whole += len(q) * prior * (1 - prior)
+                n += len(q)
+        return float(np.clip(whole / n / max((spread - noise) / n, 1e-9) - 1, 1, 1e6))
+
+    hosts = [h for h, _ in site]
+    k1 = strength(hosts, {h: m for h in hosts})
+    mean = lambda x, k, prior: (sum(x) + k * prior) / (len(x) + k)
+    host = {h: mean([x for x, o in zip(p, hosts, strict=True) if o == h], k1, m) for h in hosts}
+    k2 = strength(site, {s: host[s[0]] for s in site})
+    want = []
+    for a, (i, *_) in enumerate(rows):
+        h = mean([x for b, x in enumerate(p) if b != a and hosts[b] == hosts[a]], k1, m)
+        v = mean([x for b, x in enumerate(p) if b != a and site[b] == site[a]], k2, h)
+        z = np.log(p[a] / (1 - p[a])) + np.log(v / (1 - v)) - np.log(m / (1 - m))
+        want.append((i, p[a], h, v, 1 / (1 + np.exp(-z))))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1:])
+    have = sorted(((x.doc_id, x.evidence, x.host_posterior, x.path_posterior, x.score) for x in got), key=key)
+    for x, y in zip(have, sorted(want, key=key), strict=True):
+        assert x[0] == y[0] and x[1:] == pytest.approx(y[1:], rel=1e-6)
+
+
 def test_sparse_sites_shrink_to_the_prior(spark):
     rows = [(i, prose(random.Random(i), 20), "p", "big" if i < 200 else f"tiny{i}", 0) for i in range(203)]
     c = quality.fit_classifier(np.zeros((0, len(quality.FIGURES))), np.zeros(0))

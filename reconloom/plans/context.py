@@ -67,11 +67,21 @@ class Batch:
         """Decisions, made without labels."""
         return decide.decide(self.base)
 
+    @cached_property
+    def posted(self) -> DataFrame:
+        """Decisions as they were posted, errors and all."""
+        return adapter.misposted(self.decided)
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        led = self.led.select("allocation", "a_cents")
+        return drift.key_amounts(led.unionByName(adapter.price_rows(self.stmt)))
+
     @cached_property
     def judged(self) -> DataFrame:
-        """Decisions with ok: whether the answer equals the label. Labels enter here, after the decision."""
+        """Postings with ok: whether the answer equals the label. Labels enter here, after the decision."""
         none = F.array().cast("array<string>")
-        return self.decided.join(self.gold, "b_id", "left").withColumn("ok", F.array_sort("answer_keys") == F.coalesce("gold", none)).drop("gold")
+        return self.posted.join(self.gold, "b_id", "left").withColumn("ok", F.array_sort("answer_keys") == F.coalesce("gold", none)).drop("gold")
 
     @cached_property
     def classes(self) -> DataFrame:
@@ -81,14 +91,21 @@ class Batch:
 
     @cached_property
     def drift(self) -> DataFrame:
-        return drift.drift_rows(self.decided, self.gold, drift.key_amounts(self.led))
+        return drift.drift_rows(self.posted, self.gold, self.prices)
+
+
+    def release(self) -> None:
+        """Give up what is kept."""
+        for name in ("scored", "frequency"):
+            if name in self.__dict__ and self.spark.getActiveSession() is not None:
+                self.__dict__[name].unpersist()
 
 
 def batch(spark: SparkSession, sf_dir: str, fee: bool = False) -> Batch:
     key = (spark.sparkContext.applicationId, sf_dir, fee)
     if key not in _BATCHES:
         for other in [k for k in _BATCHES if k[:2] != key[:2]]:
-            del _BATCHES[other]
+            _BATCHES.pop(other).release()
         _BATCHES[key] = Batch(spark, sf_dir, fee)
     return _BATCHES[key]
 
@@ -117,8 +134,8 @@ l1 AS (
          WHEN class = 'neither' THEN 2 * b_cents + 7 * (n + 1)
          WHEN n = 9 AND b_id % 3 = 1 THEN b_cents + 100 + b_id % 1000
          ELSE b_cents END AS a_cents,
-    CASE WHEN b_id % 4 = 0 OR n = 9 THEN b_vd + ((b_id // 4) % 15 - 7)::INT ELSE b_vd END AS a_vd,
-    '00' || CASE WHEN n = 9 THEN 5000000 + (7 * b_id) % 1000000 ELSE 1000000 + b_id END AS a_ref
+    CASE WHEN n = 9 AND b_id % 15 = 5 THEN b_vd WHEN b_id % 4 = 0 OR n = 9 THEN b_vd + ((b_id // 4) % 15 - 7)::INT ELSE b_vd END AS a_vd,
+    CASE WHEN n = 9 AND b_id % 15 = 5 THEN '01' ELSE '00' END || CASE WHEN n = 9 AND b_id % 15 <> 5 THEN 5000000 + (7 * b_id) % 1000000 ELSE 1000000 + b_id END AS a_ref
   FROM l0),
 l2 AS (SELECT *, ccy || '_' || a_vd::VARCHAR || '_' || account || '_' || a_ref || '_' || n AS allocation FROM l1),
 led AS (SELECT *, a_ref || ' TRN WAMP ' || allocation AS a_text FROM l2),
@@ -200,11 +217,20 @@ decided AS (
          WHEN completion_added THEN 'incomplete_set' WHEN low_confidence THEN 'ambiguous_allocation' ELSE '' END AS exception_class,
     list_filter([CASE WHEN no_candidate THEN 'no_candidate' END, CASE WHEN completion_added THEN 'completion_added' END, CASE WHEN fee_band_only THEN 'fee_band_only' END, CASE WHEN low_confidence THEN 'low_confidence' END], lambda x: x IS NOT NULL) AS triggers
   FROM d0),
-judged AS (SELECT d.*, list_sort(answer_keys) = coalesce(gold, []::VARCHAR[]) AS ok FROM decided d LEFT JOIN gold ON gold.b_id = d.b_id)"""
+posted AS (
+  SELECT * REPLACE (dup_ref OR (NOT escalate AND (b_id % 50 IN (7, 13, 19) OR b_id % 11 = 0)) AS dup_ref,
+    CASE WHEN escalate THEN answer_keys WHEN b_id % 50 IN (7, 13, 19, 23, 29) THEN [CASE b_id % 50 WHEN 7 THEN 'ALT_' WHEN 13 THEN 'OFF_' WHEN 19 THEN 'TWO_' WHEN 23 THEN 'FAR_' ELSE 'NIL_' END || b_id]
+         WHEN b_id % 50 = 31 THEN []::VARCHAR[] WHEN b_id % 50 = 37 THEN list_append(answer_keys, 'ALT_' || b_id) ELSE answer_keys END AS answer_keys) FROM decided),
+judged AS (SELECT d.*, list_sort(answer_keys) = coalesce(gold, []::VARCHAR[]) AS ok FROM posted d LEFT JOIN gold ON gold.b_id = d.b_id)"""
 
 DRIFT = DECIDED + r""",
-prices AS (SELECT allocation, min(a_cents) AS low, max(a_cents) AS high, count(DISTINCT a_cents) AS n_amounts FROM led GROUP BY allocation),
-auto AS (SELECT d.*, coalesce(gold, []::VARCHAR[]) AS gold, list_sort(answer_keys) AS posted FROM decided d LEFT JOIN gold ON gold.b_id = d.b_id WHERE NOT escalate),
+extra AS (
+  SELECT r.p || '_' || b_id AS allocation, b_cents + r.d AS a_cents FROM (
+    SELECT b_id, b_cents, unnest(list_filter([
+      {'m': 7, 'p': 'ALT', 'd': 0}, {'m': 37, 'p': 'ALT', 'd': 0}, {'m': 13, 'p': 'OFF', 'd': CASE WHEN b_id % 4 < 2 THEN 1 ELSE -1 END * (100 + b_id % 900)},
+      {'m': 19, 'p': 'TWO', 'd': -500}, {'m': 19, 'p': 'TWO', 'd': 700}, {'m': 23, 'p': 'FAR', 'd': 1000}, {'m': 23, 'p': 'FAR', 'd': 3000}], lambda x: x.m = b_id % 50)) AS r FROM stmt)),
+prices AS (SELECT allocation, min(a_cents) AS low, max(a_cents) AS high, count(DISTINCT a_cents) AS n_amounts FROM (SELECT allocation, a_cents FROM led UNION ALL SELECT allocation, a_cents FROM extra) GROUP BY allocation),
+auto AS (SELECT d.*, coalesce(gold, []::VARCHAR[]) AS gold, list_sort(answer_keys) AS posted FROM posted d LEFT JOIN gold ON gold.b_id = d.b_id WHERE NOT escalate),
 parts AS (
   SELECT b_id, unnest(list_filter(posted, lambda x: NOT list_contains(gold, x))) AS allocation, 1 AS side FROM auto
   UNION ALL SELECT b_id, unnest(list_filter(gold, lambda x: NOT list_contains(posted, x))), -1 FROM auto),

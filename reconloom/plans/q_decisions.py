@@ -67,7 +67,7 @@ def exception_class_fee(spark, sf_dir):
 
 _T, _M = decide.GRID_TOP1, decide.GRID_MARGIN
 _GRID = DECIDED + f""", gp AS (SELECT t AS min_top1, m AS min_margin FROM (SELECT unnest({list(_T)})::DOUBLE AS t), (SELECT unnest({list(_M)})::DOUBLE AS m)),
-gx AS (SELECT min_top1, min_margin, ok, no_candidate OR completion_added OR fee_band_only AS others, coalesce(has AND (top1 < min_top1 OR margin < min_margin), false) AS low FROM judged, gp),
+gx AS (SELECT min_top1, min_margin, list_sort(answer_keys) = coalesce(gold, []::VARCHAR[]) AS ok, no_candidate OR completion_added OR fee_band_only AS others, coalesce(has AND (top1 < min_top1 OR margin < min_margin), false) AS low FROM decided d LEFT JOIN gold ON gold.b_id = d.b_id, gp),
 gt AS (SELECT min_top1, min_margin, count_if(low) AS lc_fired, CASE WHEN count_if(low) > 0 THEN round(count_if(low AND ok) * 100.0 / count_if(low), 3) END AS lc_correct_pct, count_if(low AND NOT others) AS lc_only,
   CASE WHEN count_if(low AND NOT others) > 0 THEN round(count_if(low AND NOT others AND ok) * 100.0 / count_if(low AND NOT others), 3) END AS lc_only_correct_pct, count_if(NOT low AND NOT others) AS auto_closed,
   round(count_if(NOT low AND NOT others) * 100.0 / count(*), 3) AS auto_coverage_pct, CASE WHEN count_if(NOT low AND NOT others) > 0 THEN round(count_if(NOT low AND NOT others AND ok) * 100.0 / count_if(NOT low AND NOT others), 3) END AS auto_precision_pct FROM gx GROUP BY ALL)"""
@@ -121,41 +121,70 @@ def detail_documents(spark, sf_dir):
     return d.select("b_id", "doc.decision", f"{t}.exposure_cents", F.col(f"{t}.debit_or_credit").alias("dr_cr"), f"{t}.value_date", f"{t}.attributes", F.col("doc.candidate_pool_size").alias("n_candidates"))
 
 
-@register("grounded_check", DECIDED + """, ex AS (SELECT b_id, CASE b_id % 3 WHEN 0 THEN false ELSE true END AS grounded, b_id % 5 = 0 AS proposes FROM decided WHERE escalate)
-SELECT grounded, proposes, count(*) AS rows FROM ex GROUP BY ALL""")
-def grounded_check(spark, sf_dir):
-    """Explanations made by rule: every third cites a number that the evidence lacks, every fifth proposes a match."""
+_NUMBERS = r"regexp_extract_all(' ' || {t}, '(?:^|[^\w.])([-+]?\d[\d,]*(?:\.\d+)?%?)', 1)"
+_PROPOSES = r"regexp_matches({t}, '(?i)\bis (?:the|a) (?:correct|right|true) match\b|\bshould be matched to\b|\bmatch(?:es)? (?:to )?candidate\b|\bcandidate \d+ is (?:the )?(?:correct|right|best|likely)\b|\bI recommend matching\b|\bthe correct allocation is\b')"
+
+
+def _free(text: str, values: str, counts: str) -> str:
+    """SQL: the numbers of a text that neither the values, as they are or rounded to the decimals written, nor counts give (those listed, and 0 to the first)."""
+    value = "try_cast(regexp_replace(regexp_replace(x, '[,%]', '', 'g'), '^\\+', '') AS DOUBLE)"
+    ten = "pow(10, len(regexp_extract(x, '\\.(\\d+)', 1)))"
+    given = f"list_concat(list_concat({values}, list_transform({counts}, lambda n: n::DOUBLE)), list_transform(range(({counts})[1]::BIGINT + 1), lambda n: n::DOUBLE))"
+    return f"list_filter({_NUMBERS.format(t=text)}, lambda x: len(list_filter({given}, lambda v: v = {value} OR abs(round_even(v * {ten}, 0) / {ten} - {value}) < 1e-9)) = 0)"
+
+
+_EXPLAINED = DECIDED + """, vals AS (SELECT b_id, flatten(list([rank::DOUBLE, a_id::DOUBLE, round(score, 6), a_cents::DOUBLE, (a_cents - b_cents)::DOUBLE])) AS v FROM ranked GROUP BY b_id),
+ex AS (SELECT d.*, list_concat(list_filter([d.b_cents::DOUBLE, top1, margin], lambda x: x IS NOT NULL), coalesce(v, []::DOUBLE[])) AS v,
+  'Amount in cents ' || CASE WHEN d.b_id % 3 = 0 THEN d.b_cents + 1 ELSE d.b_cents END || ' with ' || (topk_size + CASE WHEN d.b_id % 4 = 0 THEN 9 ELSE 0 END) || ' candidates' || coalesce(', score ' || CAST(CAST(top1 AS DECIMAL(12, 6)) AS DECIMAL(12, 4)), '') || CASE WHEN d.b_id % 5 = 0 THEN '. It should be matched to the first' ELSE '' END AS t
+  FROM decided d LEFT JOIN vals ON vals.b_id = d.b_id WHERE escalate)""" + f", gr AS (SELECT b_id, {_free('t', 'v', '[topk_size, len(triggers), added_count]')} AS free, {_PROPOSES.format(t='t')} AS proposes FROM ex)"
+
+
+def _explained(spark, sf_dir):
+    """Explanations of the escalated rows made by rule: some amounts and counts are not those of the evidence, some propose a match."""
     k = F.col("b_id")
-    text = F.concat(F.lit("Amount in cents "), F.col("b_cents").cast("string"), F.lit(" with "), F.col("topk_size").cast("string"), F.lit(" candidates"), F.when(k % 3 == 0, "; see 123456789.37").otherwise(""), F.when(k % 5 == 0, ". It should be matched to the first").otherwise(""))
-    d = evidence.groundedness(batch(spark, sf_dir).decided.filter("escalate").withColumn("explanation", text))
-    return d.groupBy("grounded", "proposes").agg(F.count("*").alias("rows"))
+    amount = F.col("b_cents") + F.when(k % 3 == 0, 1).otherwise(0)
+    count = F.col("topk_size") + F.when(k % 4 == 0, 9).otherwise(0)
+    score = F.coalesce(F.concat(F.lit(", score "), F.format_string("%.4f", "top1")), F.lit(""))
+    text = F.concat(F.lit("Amount in cents "), amount.cast("string"), F.lit(" with "), count.cast("string"), F.lit(" candidates"), F.when(F.col("has"), score).otherwise(""), F.when(k % 5 == 0, ". It should be matched to the first").otherwise(""))
+    return evidence.groundedness(batch(spark, sf_dir).decided.filter("escalate").withColumn("explanation", text))
+
+
+@register("grounded_check", _EXPLAINED + " SELECT b_id, array_to_string(free, '|') AS ungrounded, len(free) = 0 AS grounded, proposes FROM gr")
+def grounded_check(spark, sf_dir):
+    return _explained(spark, sf_dir).select("b_id", F.array_join("ungrounded", "|").alias("ungrounded"), "grounded", "proposes")
 
 
-@register("investigation_rollup", DECIDED + " SELECT 'm' || (b_id % 2) AS model, count(*) AS explanations, count_if(b_id % 3 = 0) AS not_grounded, 0 AS proposing FROM decided WHERE escalate GROUP BY 1")
+@register("investigation_rollup", _EXPLAINED + """ SELECT 'm' || (b_id % 2) AS model, count(*) AS explanations, count_if(len(free) > 0) AS not_grounded, count_if(proposes) AS proposing, count_if(len(free) > 0 AND NOT proposes) AS number_only, count_if(len(free) = 0 AND proposes) AS proposal_only, count_if(len(free) > 0 AND proposes) AS both_reasons,
+  count_if(b_id % 7 <> 0) AS with_probability FROM gr GROUP BY 1""")
 def investigation_rollup(spark, sf_dir):
+    """By model: how many explanations fail, for which reasons, and how many came with a probability."""
     k = F.col("b_id")
-    d = batch(spark, sf_dir).decided.filter("escalate").withColumn("explanation", F.when(k % 3 == 0, "about 987654321.11").otherwise("no figures")).withColumn("model", F.concat(F.lit("m"), (k % 2).cast("string")))
-    return evidence.roll_up(evidence.groundedness(d))
+    d = _explained(spark, sf_dir).withColumns({"model": F.concat(F.lit("m"), (k % 2).cast("string")), "probability": F.when(k % 7 != 0, 0.5)})
+    return evidence.roll_up(d)
 
 
-@register("number_tokens", r"SELECT conv_id, turn, len(regexp_extract_all(' ' || text, '(?:^|[^\w.])([-+]?\d[\d,]*(?:\.\d+)?%?)', 1)) AS n FROM conversations WHERE NOT regexp_matches(text, '\d\s*[-+]?\d') OR true")
+@register("number_tokens", f"SELECT doc_id, len({_NUMBERS.format(t='text')}) AS n, {_NUMBERS.format(t='text')}[1] AS first FROM documents WHERE text IS NOT NULL")
 def number_tokens(spark, sf_dir):
-    return batch(spark, sf_dir).read("conversations").select("conv_id", "turn", F.size(numbers("text")).cast("long").alias("n"))
+    d = batch(spark, sf_dir).read("documents").filter("text is not null")
+    return d.select("doc_id", F.size(numbers("text")).cast("long").alias("n"), F.get(numbers("text"), F.lit(0)).alias("first"))
 
 
-@register("proposal_tripwire", r"SELECT item_id, regexp_matches(CASE item_id % 4 WHEN 0 THEN 'It should be matched to X' WHEN 1 THEN 'candidate 3 is likely' WHEN 2 THEN 'matches candidate A' ELSE text END, '(?i)\bis (?:the|a) (?:correct|right|true) match\b|\bshould be matched to\b|\bmatch(?:es)? (?:to )?candidate\b|\bcandidate \d+ is (?:the )?(?:correct|right|best|likely)\b|\bI recommend matching\b|\bthe correct allocation is\b') AS proposes FROM benchmark")
+@register("proposal_tripwire", f"SELECT item_id, {_PROPOSES.format(t='t')} AS proposes FROM (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'It should be matched to X' WHEN 1 THEN 'candidate 3 is likely' WHEN 2 THEN 'matches candidate A' ELSE text END AS t FROM benchmark)")
 def proposal_tripwire(spark, sf_dir):
     i = F.col("item_id") % 4
     text = F.when(i == 0, "It should be matched to X").when(i == 1, "candidate 3 is likely").when(i == 2, "matches candidate A").otherwise(F.col("text"))
     return batch(spark, sf_dir).read("benchmark").select("item_id", proposes_match(text).alias("proposes"))
 
 
-@register("ungrounded_numbers", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS n_ungrounded FROM orders")
+@register("ungrounded_numbers", "WITH o AS (SELECT o_orderkey, o_totalprice, o_custkey, 'The price is ' || CAST(CAST(o_totalprice AS DECIMAL(14, 2)) + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS DECIMAL(14, 2)) || ' for customer ' || (o_custkey + o_orderkey % 2) || ' in ' || (o_orderkey % 7) || ' days' AS t FROM orders) "
+    f"SELECT o_orderkey, array_to_string({_free('t', '[o_totalprice::DOUBLE, o_custkey::DOUBLE]', '[2]')}, '|') AS free FROM o")
 def ungrounded_numbers(spark, sf_dir):
-    """Prices cited as they are, or with a number put in."""
-    o = batch(spark, sf_dir).read("orders")
-    text = F.concat(F.lit("The price is "), F.format_string("%.2f", "o_totalprice"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(", not 77777777777"))
-    return o.select("o_orderkey", F.size(ungrounded(text, F.array("o_totalprice"), [F.lit(2)])).alias("n_ungrounded"))
+    """Texts that cite a price, a customer and a count, each of them wrong for some orders."""
+    k = F.col("o_orderkey")
+    price = F.col("o_totalprice").cast("decimal(14,2)") + F.when(k % 3 == 0, 1).otherwise(0)
+    text = F.concat(F.lit("The price is "), price.cast("decimal(14,2)").cast("string"), F.lit(" for customer "), (F.col("o_custkey") + k % 2).cast("string"), F.lit(" in "), (k % 7).cast("string"), F.lit(" days"))
+    free = ungrounded(text, F.array(F.col("o_totalprice").cast("double"), F.col("o_custkey").cast("double")), [F.lit(2)])
+    return batch(spark, sf_dir).read("orders").select("o_orderkey", F.array_join(free, "|").alias("free"))
 
 
 @register("classifier_candidates")

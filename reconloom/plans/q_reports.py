@@ -106,13 +106,18 @@ def stratified_sample(spark, sf_dir):
     return exposure.stratified_sample(exposure.ranked_queue(batch(spark, sf_dir).judged), 25).select("b_id", "exception_class", "turn")
 
 
-@register("money_text", "SELECT o_orderkey, CASE WHEN c < 0 THEN '-' ELSE '' END || CASE WHEN abs(c) >= 100000 THEN CAST(CAST(abs(c) AS DECIMAL(20, 0)) / 100000 AS DECIMAL(20, 2))::VARCHAR || 'K' ELSE CAST(CAST(abs(c) AS DECIMAL(20, 0)) / 100 AS DECIMAL(20, 2))::VARCHAR END AS short, CASE WHEN c < 0 THEN '-' ELSE '' END || (abs(c) // 100) || '.' || lpad((abs(c) % 100)::VARCHAR, 2, '0') AS long FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * CAST(round(o_totalprice * 100) AS BIGINT) // 1000 * 1000 AS c FROM orders)")
+_SHORT = lambda t: "CASE WHEN c < 0 THEN '-' ELSE '' END || CASE " + t + "WHEN v >= 1e9 THEN format('{:,.2f}', v / 1e9) || 'B' WHEN v >= 1e6 THEN format('{:,.2f}', v / 1e6) || 'M' WHEN v >= 1e3 THEN format('{:,.2f}', v / 1e3) || 'K' ELSE format('{:,.2f}', v) END"
+
+
+@register("money_text", f"""WITH m AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * (CASE o_orderkey % 5 WHEN 0 THEN c // 1000 WHEN 1 THEN c WHEN 2 THEN c * 1009 WHEN 3 THEN c * 100003 ELSE c * 100000007 END) AS c
+  FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders))
+SELECT o_orderkey, {_SHORT('')} AS short, {_SHORT("WHEN v >= 1e12 THEN format('{:,.2f}', v / 1e12) || 'T' ")} AS short_t, CASE WHEN c < 0 THEN '-' ELSE '' END || (abs(c) // 100) || '.' || lpad((abs(c) % 100)::VARCHAR, 2, '0') AS long FROM (SELECT *, abs(c) / 100 AS v FROM m)""")
 def money_text(spark, sf_dir):
-    """Amounts cut to whole tens of units, written short and in full."""
-    c = F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1) * F.round(F.col("o_totalprice") * 100).cast("long")
-    d = batch(spark, sf_dir).read("orders").select("o_orderkey", F.expr("0L").alias("z"), c.alias("c0"))
-    d = d.withColumn("c", F.expr("c0 div 1000 * 1000"))
-    return d.select("o_orderkey", money("c").alias("short"), plain("c").alias("long"))
+    """Amounts from cents to trillions, written short (with and without T) and in full."""
+    k, c = F.col("o_orderkey") % 5, F.round(F.col("o_totalprice") * 100).cast("long")
+    c = F.when(k == 0, F.floor(c / 1000)).when(k == 1, c).when(k == 2, c * 1009).when(k == 3, c * 100003).otherwise(c * 100000007)
+    d = batch(spark, sf_dir).read("orders").select("o_orderkey", (F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1) * c).alias("c"))
+    return d.select("o_orderkey", money("c").alias("short"), money("c", trillions=True).alias("short_t"), plain("c").alias("long"))
 
 
 _TOT = """count(*) AS rows, count_if(NOT ok) AS differing, count_if(exact) AS exact_rows, coalesce(sum(CASE WHEN exact THEN drift_lo END), 0)::BIGINT AS net, coalesce(sum(CASE WHEN exact THEN abs(drift_lo) END), 0)::BIGINT AS gross,
@@ -122,7 +127,7 @@ _TOT = """count(*) AS rows, count_if(NOT ok) AS differing, count_if(exact) AS ex
 
 @register("key_amounts", DRIFT + " SELECT allocation, low, high, n_amounts FROM prices")
 def key_amounts(spark, sf_dir):
-    return drift.key_amounts(batch(spark, sf_dir).led)
+    return batch(spark, sf_dir).prices
 
 
 @register("drift_rows", DRIFT + " SELECT * FROM drift")
@@ -158,7 +163,7 @@ def drift_direction(spark, sf_dir):
 @register("drift_computability", DRIFT + " SELECT (SELECT count_if(n_amounts = 1) FROM prices) AS keys_one_amount, (SELECT count_if(n_amounts > 1) FROM prices) AS keys_more_amounts, count_if(exact) AS exact_rows, count_if(NOT exact) AS bounded_rows, count_if(unpriceable > 0) AS unpriceable_rows, median(CASE WHEN NOT exact THEN drift_hi - drift_lo END) AS width_median, max(CASE WHEN NOT exact THEN drift_hi - drift_lo END) AS width_max FROM drift")
 def drift_computability(spark, sf_dir):
     b = batch(spark, sf_dir)
-    return drift.computability(b.drift, drift.key_amounts(b.led))
+    return drift.computability(b.drift, b.prices)
 
 
 @register("drift_concentration", DRIFT + " SELECT stratum, coalesce(sum(abs(drift_lo)), 0)::BIGINT AS gross, round(sum(abs(drift_lo)) * 100.0 / nullif(sum(sum(abs(drift_lo))) OVER (), 0), 3) AS pct FROM drift WHERE exact GROUP BY stratum")

@@ -44,14 +44,14 @@ def scan_audit(spark, sf_dir):
     return io.read_audit(spark, path).groupBy("decision", "exception_class").agg(F.count("*").alias("rows"), n.cast("long").alias("candidates"), F.sum("b_amount_cents").alias("cents"))
 
 
-@register("scan_manifest", BASE + " SELECT class, count(*) AS rows, count_if(b_id % 4 = 0) AS with_timing FROM stmt WHERE b_id % 10 < 3 GROUP BY class")
+@register("scan_manifest", BASE + " SELECT class, count(*) AS rows, count_if(b_id % 4 = 0) AS with_timing, sum(b_id)::BIGINT AS ids FROM stmt GROUP BY class")
 def scan_manifest(spark, sf_dir):
-    """A manifest of all statement rows written and exploded again; the ids that the SQL asks for are picked from what was read."""
+    """A manifest of all statement rows written and exploded again."""
     path = _folder(spark, "manifest")
     hit = F.when(F.col("b_id") % 4 == 0, F.array(F.lit("timing"))).otherwise(F.array().cast("array<string>"))
     io.write_manifest(batch(spark, sf_dir).stmt.select("b_id", "class", hit.alias("corruptions")), path)
-    m = io.read_manifest_lines(spark, path).filter("b_id % 10 < 3")
-    return m.groupBy("class").agg(F.count("*").alias("rows"), F.count_if(F.array_contains("corruptions", "timing")).alias("with_timing"))
+    m = io.read_manifest(spark, path)
+    return m.groupBy("class").agg(F.count("*").alias("rows"), F.count_if(F.array_contains("corruptions", "timing")).alias("with_timing"), F.sum("b_id").alias("ids"))
 
 
 @register("scan_log", "SELECT o_orderkey::VARCHAR AS id, (o_orderkey % 97)::VARCHAR AS rate FROM orders WHERE o_orderkey % 3 = 0")
@@ -86,9 +86,13 @@ def latest_records(spark, sf_dir):
     return io.latest(e, "user_id", "event_id").select("user_id", "event_id", "event_type")
 
 
-@register("file_inventory")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@register("file_inventory", " UNION ALL ".join(f"SELECT '{t}.parquet' AS file, count(*) AS rows, max(n) AS columns, count(*) * max(n) AS cells FROM {t}, (SELECT count(*) AS n FROM duckdb_columns() WHERE table_name = '{t}')" for t in _TABLES))
 def file_inventory(spark, sf_dir):
-    return io.inventory(spark, sf_dir, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "bytes")
+    """The tables of the input folder by file: rows, columns, cells."""
+    return io.inventory(spark, sf_dir, "*.parquet").filter(F.regexp_extract("file", r"^([^.]+)", 1).isin(*_TABLES)).select("file", "rows", "columns", "cells")
 
 
 @register("queue_sink", DECIDED + ", q AS (SELECT abs(b_cents) AS v, row_number() OVER (ORDER BY abs(b_cents) DESC, b_id) AS rank FROM decided WHERE escalate) SELECT ((rank - 1) // 1000)::INT AS page, count(*) AS rows, max(v) AS largest FROM q GROUP BY 1")

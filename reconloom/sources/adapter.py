@@ -31,7 +31,7 @@ def statement(orders: DataFrame) -> DataFrame:
 
 
 def ledger(stmt: DataFrame) -> DataFrame:
-    """Side A: a_id, b_owner, n, ccy, account, a_cents, a_vd, a_ref, allocation, a_text. n = 9 is a decoy."""
+    """Side A: a_id, b_owner, n, ccy, account, a_cents, a_vd, a_ref, allocation, a_text. n = 9 is a decoy; every fifteenth looks like a further part of the answer."""
     k, b = F.col("b_id"), F.col("b_cents")
     own = F.when(F.col("class") == "one_to_one", F.array(F.lit(0))).when(F.col("class") == "unmatchable", F.array().cast("array<int>")).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
     rows = stmt.withColumn("n", F.explode(F.concat(own, F.when(k % 3 != 0, F.array(F.lit(9))).otherwise(F.array().cast("array<int>")))))
@@ -44,9 +44,10 @@ def ledger(stmt: DataFrame) -> DataFrame:
         .when((n == 9) & (k % 3 == 1), b + 100 + k % 1000)
         .otherwise(b)
     ).cast("bigint")
+    alike = (n == 9) & (k % 15 == 5)
     shift = (F.floor(k / 4) % 15 - 7).cast("int")
-    vd = F.when((k % 4 == 0) | (n == 9), F.date_add("b_vd", shift)).otherwise(F.col("b_vd"))
-    ref = F.concat(F.lit("00"), F.when(n == 9, 5_000_000 + (7 * k) % 1_000_000).otherwise(1_000_000 + k).cast("string"))
+    vd = F.when(alike, F.col("b_vd")).when((k % 4 == 0) | (n == 9), F.date_add("b_vd", shift)).otherwise(F.col("b_vd"))
+    ref = F.concat(F.when(alike, "01").otherwise("00"), F.when((n == 9) & ~alike, 5_000_000 + (7 * k) % 1_000_000).otherwise(1_000_000 + k).cast("string"))
     out = rows.select((k * 10 + n).alias("a_id"), k.alias("b_owner"), "n", "ccy", "account", cents.alias("a_cents"), vd.alias("a_vd"), ref.alias("a_ref"))
     out = out.withColumn("allocation", allocation_key("ccy", F.col("a_vd").cast("string"), "account", F.concat_ws("_", "a_ref", F.col("n").cast("string"))))
     return out.withColumn("a_text", F.concat_ws(" ", "a_ref", F.lit("TRN WAMP"), "allocation"))
@@ -57,6 +58,36 @@ def gold(led: DataFrame) -> DataFrame:
     return led.filter("n <> 9").groupBy(F.col("b_owner").alias("b_id")).agg(F.array_sort(F.collect_set("allocation")).alias("gold"))
 
 
+#: Posting errors by b_id mod 50: prefix of the key posted instead, or None for none at all. FURTHER is posted beside the answer.
+MISPOSTED = {7: "ALT", 13: "OFF", 19: "TWO", 23: "FAR", 29: "NIL", 31: None}
+FURTHER = 37
+
+
+def price_rows(stmt: DataFrame) -> DataFrame:
+    """Ledger rows (allocation, a_cents) of the keys that `misposted` posts: equal to the statement's amount, off by some cents, of two
+    amounts around it, of two amounts beyond it. NIL has no row, so no price."""
+    k, c = F.col("b_id"), F.col("b_cents")
+    off = F.when(k % 4 < 2, 1).otherwise(-1) * (100 + k % 900)
+    key = lambda p: F.concat(F.lit(p + "_"), k.cast("string"))
+    rows = [(k % 50 == r, p, d) for r, p, d in ((7, "ALT", F.lit(0)), (FURTHER, "ALT", F.lit(0)), (13, "OFF", off), (19, "TWO", F.lit(-500)), (19, "TWO", F.lit(700)), (23, "FAR", F.lit(1000)), (23, "FAR", F.lit(3000)))]
+    found = F.filter(F.array(*[F.when(hit, F.struct(key(p).alias("allocation"), (c + d).cast("long").alias("a_cents"))) for hit, p, d in rows]), lambda x: x.isNotNull())
+    return stmt.select(F.explode(found).alias("r")).select("r.*")
+
+
+def misposted(decided: DataFrame) -> DataFrame:
+    """decided with errors in what the automatic closes post: some keys are others, missing or too many, and some references repeat.
+
+    The derived tables reconcile so well that no automatic close would be wrong otherwise, and measures of error would measure nothing.
+    """
+    r = F.col("b_id") % 50
+    key = lambda p: F.concat(F.lit(p + "_"), F.col("b_id").cast("string"))
+    answer = F.when(F.col("escalate"), F.col("answer_keys"))
+    for at, p in MISPOSTED.items():
+        answer = answer.when(r == at, F.array(key(p)) if p else F.array().cast("array<string>"))
+    answer = answer.when(r == FURTHER, F.concat("answer_keys", F.array(key("ALT")))).otherwise(F.col("answer_keys"))
+    return decided.withColumns({"answer_keys": answer, "dup_ref": F.col("dup_ref") | (~F.col("escalate") & (r.isin(7, 13, 19) | (F.col("b_id") % 11 == 0)))})
+
+
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     stmt = statement(spark.read.parquet(f"{sf_dir}/orders.parquet"))
     return stmt, ledger(stmt)

@@ -15,6 +15,31 @@ def test_query_equals_sql(name, spark, sf_dir, duck):
     assert spark_rows(QUERIES[name](spark, sf_dir)) == duck_rows(duck, ORACLES[name])
 
 
+#: Queries that measure errors: on rows without errors any result would do.
+MEASURES = {
+    "drift_headline": (), "drift_by_stratum": (), "drift_by_duplicate": ("cancelled",), "drift_buckets": (), "drift_direction": (), "drift_computability": (), "drift_concentration": (), "blind_spot": (), "pool_structure": (), "gate_pricing": (),
+    "gate_lift": (), "gate_verdict": (), "residue": (), "largest_drifts": (), "drift_rows": (), "exposure_headline": (), "completion_effect": (), "grounded_check": (), "investigation_rollup": (), "number_tokens": (), "ungrounded_numbers": (),
+}
+
+
+@pytest.mark.parametrize("name", sorted(MEASURES))
+def test_measures_have_something_to_measure(name, duck):
+    """No column of numbers is all zero or null, none of flags all the same way, none of texts all empty."""
+    cur = duck.execute(ORACLES[name])
+    names, rows = [d[0] for d in cur.description], cur.fetchall()
+    assert rows
+    for k, column in enumerate(names):
+        values = [r[k] for r in rows]
+        assert any(v not in (None, 0, "", False) for v in values), column
+        if all(isinstance(v, bool) for v in values) and len(values) > 20:
+            assert len(set(values)) == 2, column
+
+
+def test_verdicts_differ(duck):
+    assert len({r[0] for r in duck.execute(f"SELECT verdict FROM ({ORACLES['gate_lift']})").fetchall()}) > 1
+    assert {"incomplete_set", "ambiguous_allocation"} <= {r[0] for r in duck.execute(f"SELECT exception_class FROM ({ORACLES['exception_class']})").fetchall()}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(name, spark, sf_dir):
     df = QUERIES[name](spark, sf_dir)

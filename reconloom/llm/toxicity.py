@@ -27,7 +27,7 @@ from reconloom.llm.common import held_out, labelled_sample, slices, small_batche
 WORD = re.compile(r"\w+")
 BITS = 22
 #: Labelled rows at most that the machine is fitted on, and terms at most that the descent starts from.
-SAMPLE, TERMS = 20_000, 2048
+SAMPLE, TERMS = 10_000, 2048
 REJECT = 0.3
 
 
@@ -44,20 +44,26 @@ def words_of(text: str | None) -> set[str]:
 
 @dataclass
 class Machine:
-    """A fitted factorization machine: terms by hash, their weights and factors."""
+    """A fitted factorization machine: hashes of its terms, their weights and factors."""
 
-    terms: dict[int, int]
+    terms: np.ndarray
     w0: float
     w: np.ndarray
     v: np.ndarray
     _cache: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
+    def __post_init__(self):
+        #: The place of a term by its hash, -1 for terms that the machine lacks: of fixed size, unlike a dict of Python numbers.
+        self.place = np.full(1 << BITS, -1, np.int32)
+        self.place[self.terms] = np.arange(len(self.terms))
+
     def __getstate__(self):
         return (self.terms, self.w0, self.w, self.v)
 
     def __setstate__(self, s):
         self.terms, self.w0, self.w, self.v = s
         self._cache = {}
+        self.__post_init__()
 
     def forget(self) -> None:
         """Drop the remembered words."""
@@ -66,12 +72,12 @@ class Machine:
     def indices(self, text: str | None) -> list[int]:
         """The machine's terms in the whole text."""
         cache, found = self._cache, set()
-        if len(cache) > 300_000:
+        if len(cache) > 100_000:
             cache.clear()
         for word in words_of(text):
             hit = cache.get(word)
             if hit is None:
-                hit = cache[word] = tuple(self.terms[t] for t in term_ids(word) if t in self.terms)
+                hit = cache[word] = tuple(i for t in term_ids(word) if (i := int(self.place[t])) >= 0)
             if hit:
                 found.update(hit)
         return sorted(found)
@@ -117,7 +123,7 @@ def fit(train: DataFrame, terms: int = TERMS, factors: int = 8, epochs: int = 15
     neg, pos = n.get(0, 0), n.get(1, 0)
     base = float(np.log((pos + 0.5) / (neg + 0.5)))
     if not (pos and neg):
-        return Machine({}, base if pos + neg else 0.0, np.zeros(0), np.zeros((0, factors)))
+        return Machine(np.zeros(0, np.int64), base if pos + neg else 0.0, np.zeros(0), np.zeros((0, factors)))
     p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
     z = (F.log(p / (pos + 1)) - F.log(q / (neg + 1))) / F.sqrt(1 / p + 1 / q)
     counts = train.mapInPandas(_counts, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos + neg >= 3")
@@ -125,22 +131,24 @@ def fit(train: DataFrame, terms: int = TERMS, factors: int = 8, epochs: int = 15
     term, clear = (found.column(c).to_numpy() for c in ("term", "z"))
     order = np.lexsort((term, -clear))
     first = min(terms, int((clear >= 2.5).sum()))
-    index = dict(zip(term[order].tolist(), range(len(order)), strict=True))
-    empty = Machine(index, base, np.zeros(first), np.zeros((first, factors)))
+    empty = Machine(term[order], base, np.zeros(first), np.zeros((first, factors)))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"h": pdf["h"], "i": [empty.indices(t) for t in pdf["text"]], "y": pdf["y"]})
 
     got = train.select(F.xxhash64("text").alias("h"), "text", "y").mapInPandas(rows, "h long, i array<int>, y int").toArrow()
-    lists, ys = got.column("i").combine_chunks(), got.column("y").to_numpy()
+    lists, ys, hashes = got.column("i").combine_chunks(), got.column("y").to_numpy(), got.column("h").to_numpy()
+    del got
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    order = np.lexsort((ys, got.column("h").to_numpy()))  # the same order each time
+    order = np.lexsort((ys, hashes))  # the same order each time
     own = [flat[ends[k] : ends[k + 1]] for k in order.tolist()]
     x, y = np.zeros((len(own), first), np.uint8), ys[order].astype(np.float32)
     for row, i in enumerate(own):
         x[row, i[i < first]] = 1
-    return _go_on(_descend(empty, x, y, epochs, seed), own, y, seed)
+    begun = _descend(empty, x, y, epochs, seed)
+    del x
+    return _go_on(begun, own, y, seed)
 
 
 def _go_on(m: Machine, rows: list[np.ndarray], y: np.ndarray, seed: int, epochs: int = 6) -> Machine:
@@ -165,6 +173,7 @@ def _go_on(m: Machine, rows: list[np.ndarray], y: np.ndarray, seed: int, epochs:
             size = np.array([len(rows[a]) for a in at])
             u, local = np.unique(np.concatenate([rows[a] for a in at]), return_inverse=True)
             parts.append((y[at], size, np.cumsum(size) - size, u, local.astype(np.int32)))
+    del rows
     for _ in range(max(epochs, min(120, 480 // steps))):
         for j in rng.permutation(len(parts)):
             yb, size, starts, u, local = parts[j]

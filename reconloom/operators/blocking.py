@@ -42,7 +42,8 @@ def ratio_join(b: DataFrame, a: DataFrame, predicate: Column, low: int = -7, hig
     """b ⋈ a where amounts are of one sign and within 6 % of each other, or 2 cents, and `predicate` holds.
 
     Buckets are steps of 8 % in the logarithm of the amount; a statement row looks in its own and both neighbours, which covers 6 % either way.
-    Dates are cut into spans as long as the window, so that a row meets those of two spans, not of all years.
+    Dates are cut into spans as long as the window, so that a row meets those of two spans, not of all years. A ledger row
+    has one bucket, and the buckets of a statement row are distinct, so no pair comes twice.
     """
     step = 0.08
 
@@ -57,7 +58,7 @@ def ratio_join(b: DataFrame, a: DataFrame, predicate: Column, low: int = -7, hig
     day = lambda c: F.unix_date(c)
     keyed = keyed.withColumn("_d", F.explode(F.sequence(F.floor((day("b_vd") + low) / span), F.floor((day("b_vd") + high) / span))))
     other = other.withColumn("_d", F.floor(day("a_vd") / span))
-    return keyed.join(other, [*BLOCK, "_s", "_k", "_d"]).filter(predicate & in_window(low, high)).drop("_s", "_k", "_d").dropDuplicates(["b_id", "a_id"])
+    return keyed.join(other, [*BLOCK, "_s", "_k", "_d"]).filter(predicate & in_window(low, high)).drop("_s", "_k", "_d")
 
 
 def fee_candidates(b: DataFrame, a: DataFrame, tolerance: int = 1) -> DataFrame:

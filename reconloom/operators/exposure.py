@@ -6,7 +6,7 @@ Exposure of a row is its absolute amount. A wrong automatic close and an escalat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconloom.functions.amounts import amount_bucket, magnitude, magnitude_label, percent
@@ -66,20 +66,39 @@ def ranked_queue(decided: DataFrame) -> DataFrame:
     return global_rank(q, [F.desc("exposure_cents"), F.asc("b_id")], magnitude_of="exposure_cents")
 
 
+#: Rows in a range of ranks, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 100_000, 256
+
+
 def global_rank(df: DataFrame, order: list, magnitude_of: str, name: str = "rank") -> DataFrame:
-    """Row numbers over all rows without bringing them to one task: rows are cut by value into ranges.
+    """Row numbers over all rows without bringing them to one task: rows are cut into ranges of the order and counted.
 
-    A range is a leading part of the value in binary (its length and next six bits), so ranges are many and ordered;
-    order must begin with that value, descending.
+    order must begin with `magnitude_of`, descending, then b_id, ascending. Range ends are taken from approximate quantiles of
+    the value, so ranges hold near-equal numbers of rows however many there are; within a range of one
+    value b_id is cut as well. The number of ranges follows the rows, one for each RANGE_ROWS.
     """
+    fractions = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
     v = F.col(magnitude_of)
-    bits = F.length(F.bin(v))
-    part = (bits * 64 + F.when(bits > 7, F.floor(v / F.pow(F.lit(2.0), bits - 7)) % 64).otherwise(v % 64)).cast("long")
-    d = df.withColumn("_part", part)
-    counts = d.groupBy("_part").agg(F.count("*").alias("_n"))
-    above = counts.withColumn("_above", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = d.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return inner.join(F.broadcast(above.select("_part", "_above")), "_part").withColumn(name, F.col("_r") + F.col("_above")).drop("_part", "_r", "_above")  # at most 64 ranges a bit
+    seen = df.agg(F.count("*").alias("n"), F.percentile_approx(v, fractions, 10_000).alias("q"), F.min("b_id").alias("low"), F.max("b_id").alias("high")).collect()[0]  # one row
+    parts = max(1, min(MOST_RANGES, seen["n"] // RANGE_ROWS))
+    ends = sorted({seen["q"][i * MOST_RANGES // parts - 1] for i in range(1, parts)})
+    at_end = v.isin(ends) if ends else F.lit(False)
+    # A value with very many rows is an end, and its rows, in order of b_id, are cut by that. They are the last of their range, as the order is descending.
+    width = F.lit(max(1.0, ((seen["high"] or 0) - (seen["low"] or 0) + 1) / parts))
+    d = df.withColumns({"_part": _range_of(v, ends), "_at_end": at_end.cast("int"), "_sub": F.when(at_end, F.floor((F.col("b_id") - F.lit(seen["low"] or 0)) / width)).otherwise(0)})
+    keys = ["_part", "_at_end", "_sub"]
+    counts = d.groupBy(*keys).agg(F.count("*").alias("_n"))
+    above = counts.withColumn("_above", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_part"), "_at_end", "_sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inner = d.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return inner.join(F.broadcast(above.select(*keys, "_above")), keys).withColumn(name, F.col("_r") + F.col("_above")).drop("_r", "_above", *keys)  # a few times MOST_RANGES rows at most
+
+
+def _range_of(value: Column, ends: list) -> Column:
+    """How many of the sorted ends are at most the value, by bisection."""
+    if not ends:
+        return F.lit(0)
+    m = len(ends) // 2
+    return F.when(value < ends[m], _range_of(value, ends[:m])).otherwise(m + 1 + _range_of(value, ends[m + 1 :]))
 
 
 def cumulative(df: DataFrame, rank: str, value: str, name: str, chunk: int = 4096, keys: tuple[str, ...] = ()) -> DataFrame:

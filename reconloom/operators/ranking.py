@@ -14,14 +14,25 @@ TOP = 5
 BROADCAST_GRAMS = 4_000_000
 
 
-def grams(normalised: str) -> Column:
-    """The n-grams of a normalised text column as 64-bit hashes, with repeats."""
-    return F.transform(char_ngrams(normalised), lambda g: F.xxhash64(g))
+def gram_rows(docs: DataFrame, low: int = 3, high: int = 5, once: bool = False) -> DataFrame:
+    """docs (t, a normalised text, beside other columns) with a row for each n-gram: g, its 64-bit hash. once: only where it occurs first in its text.
+
+    Positions are exploded, so that cutting and hashing stay in generated code.
+    """
+    others = [c for c in docs.columns if c != "t"]
+    at = docs.withColumn("_l", F.length("t")).filter(F.col("_l") >= low).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_l") - low + 1)))
+
+    def gram(n: int) -> Column:
+        cut = F.col("t").substr(F.col("_i"), F.lit(n))
+        there = F.col("_i") + n - 1 <= F.col("_l")
+        return F.when(there & (F.expr(f"instr(t, substr(t, _i, {n})) = _i") if once else F.lit(True)), F.xxhash64(cut))
+
+    return at.select(*others, F.explode(F.array(*[gram(n) for n in range(low, high + 1)])).alias("g")).filter("g is not null")
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
     """(g, df): in how many texts each n-gram is, of those in at least two. docs: text. Kept, and marked for broadcast if small."""
-    found = docs.select(normal("text").alias("t")).select(F.explode(F.array_distinct(grams("t"))).alias("g")).groupBy("g").agg(F.count("*").alias("df")).filter("df >= 2").persist()
+    found = gram_rows(docs.select(normal("text").alias("t")), once=True).groupBy("g").agg(F.count("*").alias("df")).filter("df >= 2").persist()
     return F.broadcast(found) if found.count() <= BROADCAST_GRAMS else found
 
 
@@ -30,30 +41,38 @@ def vectors(docs: DataFrame, frequency: DataFrame, corpus_size: int) -> DataFram
 
     Documents are dealt by doc before they are taken apart, so counting in and putting together again need no shuffle.
     """
-    tf = docs.repartition("doc").select("doc", normal("text").alias("t")).select("doc", F.explode(grams("t")).alias("g")).groupBy("doc", "g").agg(F.count("*").alias("tf"))
+    tf = gram_rows(docs.repartition("doc").select("doc", normal("text").alias("t"))).groupBy("doc", "g").agg(F.count("*").alias("tf"))
     raw = tf.join(frequency, "g").select("doc", "g", (F.col("tf") * (F.log((1 + F.lit(corpus_size)) / (1 + F.col("df"))) + 1)).alias("w"))
     one = raw.groupBy("doc").agg(F.collect_list(F.struct("g", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))  # as long as the document
     return one.select("doc", F.transform("v", lambda x: F.struct(x["g"].alias("g"), (x["w"] / F.col("norm")).alias("w"))).alias("vec"))
 
 
 def cosine(pairs: DataFrame, b_vectors: DataFrame, a_vectors: DataFrame) -> DataFrame:
-    """pairs (b_id, a_id, ...) with score; pairs without a common n-gram stay, with 0."""
-    d = pairs.join(b_vectors.select(F.col("doc").alias("b_id"), F.map_from_entries("vec").alias("_vb")), "b_id", "left").join(a_vectors.select(F.col("doc").alias("a_id"), F.col("vec").alias("_va")), "a_id", "left")
-    dot = F.aggregate("_va", F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.try_element_at("_vb", x["g"]), F.lit(0.0)))
+    """pairs (b_id, a_id) with score; pairs without a common n-gram stay, with 0. The two maps are zipped by hash, in time linear in both."""
+    as_map = lambda v, key, name: v.select(F.col("doc").alias(key), F.map_from_entries("vec").alias(name))
+    d = pairs.join(as_map(b_vectors, "b_id", "_vb"), "b_id", "left").join(as_map(a_vectors, "a_id", "_va"), "a_id", "left")
+    products = F.map_values(F.map_zip_with("_va", "_vb", lambda g, x, y: x * y))
+    dot = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
     return d.withColumn("score", F.round(F.coalesce(dot, F.lit(0.0)), 9)).drop("_va", "_vb")
 
 
-def score_pairs(pairs: DataFrame, stmt: DataFrame, led: DataFrame, query: str = "b_text", frequency: DataFrame | None = None) -> DataFrame:
-    """pairs with the cosine of the statement's `query` text and the ledger's text.
+def score_ids(ids: DataFrame, stmt: DataFrame, led: DataFrame, query: str = "b_text", frequency: DataFrame | None = None, a_vectors: DataFrame | None = None) -> DataFrame:
+    """Pairs ids (b_id, a_id) with the cosine of the statement's `query` text and the ledger's text.
 
-    Frequencies are of both sides' whole texts (whatever the query field; given, or counted here), weights only of the texts in pairs.
+    Frequencies are of both sides' whole texts (whatever the query field; given, or counted here), weights only of the
+    texts in pairs. Only ids and weights move: texts are taken once a document. a_vectors may be given where several query fields are compared.
     """
     corpus = corpus_of(stmt, led)
     frequency = document_frequency(corpus) if frequency is None else frequency
     n = corpus.count()
-    a_docs = pairs.select(F.col("a_id").alias("doc"), F.col("a_text").alias("text")).distinct()
-    b_docs = pairs.select(F.col("b_id").alias("doc"), F.col(query).alias("text")).distinct()
-    return cosine(pairs, vectors(b_docs, frequency, n), vectors(a_docs, frequency, n))
+    of = lambda side, key, text: side.join(ids.select(key).distinct(), key, "left_semi").select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    return cosine(ids, vectors(of(stmt, "b_id", query), frequency, n), vectors(of(led, "a_id", "a_text"), frequency, n) if a_vectors is None else a_vectors)
+
+
+def score_pairs(pairs: DataFrame, stmt: DataFrame, led: DataFrame, query: str = "b_text", frequency: DataFrame | None = None, a_vectors: DataFrame | None = None) -> DataFrame:
+    """pairs, with all their columns, and the score of `score_ids`."""
+    scored = score_ids(pairs.select("b_id", "a_id"), stmt, led, query, frequency, a_vectors)
+    return pairs.join(scored, ["b_id", "a_id"])
 
 
 def corpus_of(stmt: DataFrame, led: DataFrame) -> DataFrame:

@@ -10,22 +10,30 @@ from reconloom.operators.blocking import ONE_SIDED, SYMMETRIC
 
 
 def window_table(pairs: DataFrame, gold: DataFrame, queries: DataFrame, windows=SYMMETRIC + ONE_SIDED) -> DataFrame:
-    """For each window: rows, ceiling (a gold key survives), top-1 in gold, match, abstained, precision.
+    """For each window: rows, ceiling (a gold key survives), top-1 in gold, gold among the top five, match, abstained, precision.
 
-    pairs: window, b_id, a_id, allocation, score. queries: b_id. The answer is the best pair's key.
+    pairs: b_id, a_id, gap (days), allocation, score. queries: b_id. The answer is the best pair's key. All windows come
+    out of one grouping by statement row.
     """
-    names = queries.sparkSession.createDataFrame([(i, n) for i, (n, _, _) in enumerate(windows)], "ord int, window string")
-    best = pairs.groupBy("window", "b_id").agg(F.min_by("allocation", F.struct(-F.col("score"), "a_id")).alias("top_key"), F.collect_set("allocation").alias("keys"))
-    base = queries.join(gold, "b_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<string>"))).crossJoin(F.broadcast(names))
-    d = base.join(best, ["window", "b_id"], "left")
-    hit = F.coalesce(F.array_contains("gold", F.col("top_key")), F.lit(False))
-    match = F.when(F.col("top_key").isNull(), F.size("gold") == 0).otherwise((F.size("gold") == 1) & hit)
-    ceiling = F.coalesce(F.arrays_overlap("gold", "keys"), F.lit(False))
-    out = F.col("top_key").isNull() & (F.size("gold") > 0)
+    d = queries.join(gold, "b_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<string>")))
+    d = d.join(pairs.select("b_id", "a_id", "gap", "allocation", "score"), "b_id", "left").withColumn("true", F.coalesce(F.array_contains("gold", F.col("allocation")), F.lit(False)))
+    place = F.struct((-F.col("score")).alias("s"), "a_id", "allocation", "true")
+    of_row, best, each = Window.partitionBy("b_id"), {}, []
+    for i, (_, lo, hi) in enumerate(windows):
+        inside, first_true = F.col("gap").between(lo, hi), F.col(f"_t{i}")
+        best[f"_t{i}"] = F.min(F.when(inside & F.col("true"), place)).over(of_row)
+        top, better = F.min(F.when(inside, place)), F.count_if(inside & (place < first_true))
+        ceiling = F.max(first_true).isNotNull()
+        each.append(F.struct(top["allocation"].alias("top"), top["true"].alias("hit"), (ceiling & (better < 5)).alias("five"), ceiling.alias("ceiling")))
+    per = d.withColumns(best).groupBy("b_id").agg(F.max(F.size("gold")).alias("n_gold"), F.array(*each).alias("w")).select("n_gold", F.posexplode("w").alias("ord", "w")).select("n_gold", "ord", "w.*")
+    hit, none = F.coalesce("hit", F.lit(False)), F.col("top").isNull()
+    match = F.when(none, F.col("n_gold") == 0).otherwise((F.col("n_gold") == 1) & hit)
+    out = none & (F.col("n_gold") > 0)
     n = F.count("*")
-    return d.groupBy("ord", "window").agg(
-        n.alias("rows"), F.count_if(ceiling).alias("ceiling"), F.count_if(hit).alias("top1"), F.count_if(match).alias("match"), F.count_if(out).alias("abstained"), percent(F.count_if(match), n).alias("match_pct"), percent(F.count_if(match), n - F.count_if(out)).alias("precision_pct")
-    )
+    names = F.array(*[F.lit(name) for name, _, _ in windows])
+    return per.groupBy("ord").agg(
+        n.alias("rows"), F.count_if("ceiling").alias("ceiling"), F.count_if(hit).alias("top1"), F.count_if("five").alias("top5"), F.count_if(match).alias("match"), F.count_if(out).alias("abstained"), percent(F.count_if(match), n).alias("match_pct"), percent(F.count_if(match), n - F.count_if(out)).alias("precision_pct")
+    ).withColumn("window", F.element_at(names, F.col("ord") + 1))
 
 
 def deltas(table: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """The chain of tables that the reports share, built once for each session and input, and the SQL of the same chain.
 
-The ranked candidates are read by the basis, the features and the audit, so they are kept (memory, then
-disk); all else is planned anew for each query.
+What many queries read is kept (memory, then disk): pairs as ids, weights of the ledger texts, scored pairs, judged postings,
+drift rows. All else is planned anew for each query.
 """
 
 from __future__ import annotations
@@ -38,9 +38,21 @@ class Batch:
     def frequency(self) -> DataFrame:
         return ranking.document_frequency(ranking.corpus_of(self.stmt, self.led))
 
+    @cached_property
+    def ids(self) -> DataFrame:
+        """The pairs as two ids."""
+        return self.pairs.select("b_id", "a_id").persist()
+
+    @cached_property
+    def a_vectors(self) -> DataFrame:
+        """Weights of the ledger texts in pairs, which every query field is compared with."""
+        docs = self.led.join(self.ids.select("a_id").distinct(), "a_id", "left_semi").select(F.col("a_id").alias("doc"), F.col("a_text").alias("text"))
+        return ranking.vectors(docs, self.frequency, self.stmt.count() + self.led.count()).persist()
+
     @cached_property
     def scored(self) -> DataFrame:
-        return ranking.with_shared_run(ranking.score_pairs(self.pairs, self.stmt, self.led, frequency=self.frequency)).persist()
+        scores = ranking.score_ids(self.ids, self.stmt, self.led, frequency=self.frequency, a_vectors=self.a_vectors)
+        return ranking.with_shared_run(self.pairs.join(scores, ["b_id", "a_id"])).persist()
 
     @cached_property
     def ranked(self) -> DataFrame:
@@ -81,7 +93,7 @@ class Batch:
     def judged(self) -> DataFrame:
         """Postings with ok: whether the answer equals the label. Labels enter here, after the decision."""
         none = F.array().cast("array<string>")
-        return self.posted.join(self.gold, "b_id", "left").withColumn("ok", F.array_sort("answer_keys") == F.coalesce("gold", none)).drop("gold")
+        return self.posted.join(self.gold, "b_id", "left").withColumn("ok", F.array_sort("answer_keys") == F.coalesce("gold", none)).drop("gold").persist()
 
     @cached_property
     def classes(self) -> DataFrame:
@@ -91,12 +103,12 @@ class Batch:
 
     @cached_property
     def drift(self) -> DataFrame:
-        return drift.drift_rows(self.posted, self.gold, self.prices)
+        return drift.drift_rows(self.posted, self.gold, self.prices).persist()
 
 
     def release(self) -> None:
         """Give up what is kept."""
-        for name in ("scored", "frequency"):
+        for name in ("drift", "judged", "scored", "a_vectors", "ids", "frequency"):
             if name in self.__dict__ and self.spark.getActiveSession() is not None:
                 self.__dict__[name].unpersist()
 

@@ -153,18 +153,16 @@ def amount_survival(spark, sf_dir):
 _WIN = [*blocking.SYMMETRIC, *blocking.ONE_SIDED]
 _PAIRS = BASE + """, cand AS (SELECT s.*, a.a_id, a.a_cents, a.a_vd, a.a_ref, a.allocation, a.a_text FROM stmt s JOIN led a ON s.ccy = a.ccy AND s.account = a.account AND abs(a.a_cents - s.b_cents) <= 1)""" + scored()[len(CAND) :]
 WINDOW_SQL = _PAIRS + ", wn AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {lo}, {hi})" for i, (n, lo, hi) in enumerate(_WIN)) + """) t(ord, win, lo, hi)),
-wbest AS (SELECT ord, win, b_id, arg_min(allocation, {'s': -score, 'a': a_id}) AS top_key, list(DISTINCT allocation) AS keys FROM scored, wn WHERE a_vd - b_vd BETWEEN lo AND hi GROUP BY ALL),
-wd AS (SELECT wn.ord, wn.win AS "window", coalesce(gold, []::VARCHAR[]) AS gold, top_key, keys FROM stmt s CROSS JOIN wn LEFT JOIN gold ON gold.b_id = s.b_id LEFT JOIN wbest ON wbest.b_id = s.b_id AND wbest.ord = wn.ord),
-we AS (SELECT *, coalesce(list_contains(gold, top_key), false) AS hit, CASE WHEN top_key IS NULL THEN len(gold) = 0 ELSE len(gold) = 1 AND list_contains(gold, top_key) END AS ok, top_key IS NULL AND len(gold) > 0 AS abst, coalesce(len(list_intersect(gold, keys)) > 0, false) AS ceil FROM wd),
-wt AS (SELECT ord, "window", count(*) AS rows, count_if(ceil) AS ceiling, count_if(hit) AS top1, count_if(ok) AS match, count_if(abst) AS abstained, round(count_if(ok) * 100.0 / count(*), 3) AS match_pct, round(count_if(ok) * 100.0 / (count(*) - count_if(abst)), 3) AS precision_pct FROM we GROUP BY ord, "window")"""
+wbest AS (SELECT ord, win, b_id, arg_min(allocation, {'s': -score, 'a': a_id}) AS top_key, list(DISTINCT allocation) AS keys, list(allocation ORDER BY score DESC, a_id)[1:5] AS five FROM scored, wn WHERE a_vd - b_vd BETWEEN lo AND hi GROUP BY ALL),
+wd AS (SELECT wn.ord, wn.win AS "window", coalesce(gold, []::VARCHAR[]) AS gold, top_key, keys, five FROM stmt s CROSS JOIN wn LEFT JOIN gold ON gold.b_id = s.b_id LEFT JOIN wbest ON wbest.b_id = s.b_id AND wbest.ord = wn.ord),
+we AS (SELECT *, coalesce(list_contains(gold, top_key), false) AS hit, CASE WHEN top_key IS NULL THEN len(gold) = 0 ELSE len(gold) = 1 AND list_contains(gold, top_key) END AS ok, top_key IS NULL AND len(gold) > 0 AS abst, coalesce(len(list_intersect(gold, keys)) > 0, false) AS ceil, coalesce(len(list_intersect(gold, five)) > 0, false) AS in_five FROM wd),
+wt AS (SELECT ord, "window", count(*) AS rows, count_if(ceil) AS ceiling, count_if(hit) AS top1, count_if(in_five) AS top5, count_if(ok) AS match, count_if(abst) AS abstained, round(count_if(ok) * 100.0 / count(*), 3) AS match_pct, round(count_if(ok) * 100.0 / (count(*) - count_if(abst)), 3) AS precision_pct FROM we GROUP BY ord, "window")"""
 
 
 def _window_table(spark, sf_dir):
     b = batch(spark, sf_dir)
-    pairs = blocking.band_join(b.stmt, b.led, 1, -1_000_000, 1_000_000)
-    found = ranking.score_pairs(pairs, b.stmt, b.led, frequency=b.frequency).withColumn("gap", F.datediff("a_vd", "b_vd"))
-    names = F.filter(F.array(*[F.when(F.col("gap").between(lo, hi), F.lit(n)) for n, lo, hi in _WIN]), lambda x: x.isNotNull())
-    return windows.window_table(found.withColumn("window", F.explode(names)), b.gold, b.queries)
+    pairs = blocking.band_join(b.stmt, b.led, 1, -1_000_000, 1_000_000).select("b_id", "a_id", "allocation", F.datediff("a_vd", "b_vd").alias("gap"))
+    return windows.window_table(ranking.score_ids(pairs, b.stmt, b.led, frequency=b.frequency), b.gold, b.queries)
 
 
 @register("window_sweep", WINDOW_SQL + " SELECT * FROM wt")
@@ -228,7 +226,7 @@ def cosine_topk(spark, sf_dir):
 @register("attr_only_topk", ranked("b_attrs") + _SHOW)
 def attr_only_topk(spark, sf_dir):
     b = batch(spark, sf_dir)
-    return _show(ranking.top_k(ranking.score_pairs(b.pairs, b.stmt, b.led, "b_attrs", b.frequency)))
+    return _show(ranking.top_k(ranking.score_ids(b.ids, b.stmt, b.led, "b_attrs", b.frequency, b.a_vectors)))
 
 
 @register("shared_run_filter", ranked(where="shared") + _SHOW)

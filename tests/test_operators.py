@@ -230,3 +230,15 @@ def test_manifest_holds_all_statement_rows(spark, sf_dir, tmp_path, monkeypatch)
     m = spark.read.json(str(tmp_path / "manifest")).select(F.explode("groups").alias("g")).select("g.b_ids", "g.class")
     assert m.agg(F.max(F.size("b_ids"))).collect()[0][0] == 1
     assert sorted(map(tuple, m.select(F.explode("b_ids"), "class").collect())) == sorted(map(tuple, context.batch(spark, sf_dir).stmt.select("b_id", "class").collect()))
+
+
+def test_global_rank_over_ranges(spark, monkeypatch):
+    """Ranks over many ranges, with a value that a third of the rows have, are those of one sort."""
+    r = random.Random(3)
+    rows = [(i, 500 if i % 3 == 0 else r.choice([0, 7, r.randrange(10**r.randrange(1, 9))])) for i in range(3000)]
+    r.shuffle(rows)
+    monkeypatch.setattr(exposure, "RANGE_ROWS", 50)
+    d = spark.createDataFrame(rows, "b_id long, v long")
+    got = {x.b_id: x["rank"] for x in exposure.global_rank(d, [F.desc("v"), F.asc("b_id")], "v").collect()}
+    assert got == {b: k + 1 for k, (b, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])))}
+    assert exposure.global_rank(d.limit(0), [F.desc("v"), F.asc("b_id")], "v").isEmpty()

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reconloom.functions.text import numbers, proposes_match, ungrounded
-from reconloom.operators import complete, decide, evidence, exposure, learned, scoring, synth
-from reconloom.operators.blocking import exact_amount_baseline
+from reconloom.operators import chain, complete, decide, evidence, exposure, learned, scoring, synth
+from reconloom.operators.blocking import exact_amount_baseline, fee_candidates
 from reconloom.plans.catalog import register
 from reconloom.plans.context import DECIDED, FEATS, batch, with_fee
 
@@ -191,26 +191,59 @@ def ungrounded_numbers(spark, sf_dir):
 def classifier_candidates(spark, sf_dir):
     """Boosted trees fitted on even statement ids, candidates of odd ones judged."""
     b = batch(spark, sf_dir)
-    rows = learned.labelled(b.feats, b.gold).persist()
-    model = learned.fit(rows.filter("b_id % 2 = 0"))
-    return learned.candidate_quality(learned.probabilities(model, rows.filter("b_id % 2 = 1")))
+    even = F.col("b_id") % 2 == 0
+    ceiling = chain.several_key_ceiling(b.ranked.filter(even), b.gold.filter(even))
+    model = learned.fit(learned.labelled(b.feats.filter(even), b.gold.filter(even)), recall=ceiling)
+    return learned.candidate_quality(learned.probabilities(model, learned.labelled(b.feats.filter(~even), b.gold.filter(~even))))
+
+
+def _learned(spark, sf_dir):
+    """(policy fitted on even statement ids, decisions of odd ones)."""
+    b = batch(spark, sf_dir)
+    even = F.col("b_id") % 2 == 0
+    policy = chain.fit_policy(b.stmt, b.ranked, b.feats, b.gold, even)
+    return policy, chain.apply_policy(b.stmt.filter(~even), b.ranked.filter(~even), b.feats.filter(~even), policy)
+
+
+@register("learned_decisions")
+def learned_decisions(spark, sf_dir):
+    """The chain with the classifier and with thresholds fitted on even ids, on odd ids: coverage, precision, and what was fitted."""
+    policy, decided = _learned(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    judged = decided.join(batch(spark, sf_dir).gold, "b_id", "left").withColumn("ok", F.array_sort("answer_keys") == F.coalesce("gold", none))
+    return _summary(judged).select("*", F.lit(policy.min_top1).alias("min_top1"), F.lit(policy.min_margin).alias("min_margin"), F.round(F.lit(policy.ceiling), 6).alias("ceiling"), F.lit(policy.model is not None).alias("completion"))
+
+
+def _generated(spark, sf_dir):
+    """(statement, ledger, truth) of a generated batch with as many groups as there are orders."""
+    stmt, led, _ = synth.generate(spark, batch(spark, sf_dir).read("orders").count(), seed=7)
+    keys = led.filter("not distractor").groupBy(F.col("b_owner").alias("b_id")).agg(F.collect_set("allocation").alias("keys"))
+    return stmt, led, stmt.select("b_id").join(keys, "b_id", "left").select("b_id", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
 
 
 @register("synthetic_batch")
 def synthetic_batch(spark, sf_dir):
     """Classes of a generated batch as large as the orders table, with the exact-amount baseline's matches."""
-    n = batch(spark, sf_dir).read("orders").count()
-    stmt, led, _ = synth.generate(spark, n, seed=7)
-    none = F.array().cast("array<string>")
-    truth = stmt.select("b_id").join(led.filter("not distractor").groupBy(F.col("b_owner").alias("b_id")).agg(F.collect_set("allocation").alias("keys")), "b_id", "left").select("b_id", F.coalesce("keys", none).alias("keys"))
+    stmt, led, truth = _generated(spark, sf_dir)
     return scoring.by_class(scoring.compare(exact_amount_baseline(stmt, led), truth), stmt.select("b_id", "class", "corruptions"))
 
 
+@register("synthetic_chain")
+def synthetic_chain(spark, sf_dir):
+    """A generated batch through the whole chain, with two rankers, scored by class."""
+    stmt, led, truth = _generated(spark, sf_dir)
+    stmt, led = stmt.persist(), led.persist()
+    out = None
+    for name, ranker in (("text", chain.by_text), ("nearness", chain.by_nearness)):
+        answers = chain.run(stmt, led, fee_candidates(stmt, led), ranker).select("b_id", F.col("answer_keys").alias("keys"))
+        one = scoring.by_class(scoring.compare(answers, truth), stmt.select("b_id", "class", "corruptions")).withColumn("ranker", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("synthetic_too_easy")
 def synthetic_too_easy(spark, sf_dir):
-    stmt, led, _ = synth.generate(spark, 20_000, seed=7)
-    none = F.array().cast("array<string>")
-    truth = stmt.select("b_id").join(led.filter("not distractor").groupBy(F.col("b_owner").alias("b_id")).agg(F.collect_set("allocation").alias("keys")), "b_id", "left").select("b_id", F.coalesce("keys", none).alias("keys"))
+    stmt, led, truth = _generated(spark, sf_dir)
     return synth.too_easy(exact_amount_baseline(stmt, led), truth)
 
 

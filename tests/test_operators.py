@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reconloom.functions.amounts import fee_band
-from reconloom.operators import blocking, decide, drift, exposure, profile, regimes, scoring, synth, windows
+from reconloom.operators import blocking, chain, decide, drift, exposure, learned, profile, regimes, scoring, synth, windows
 from reconloom.sources import io
 
 B = "b_id long, ccy string, account string, b_cents long, b_vd date"
@@ -242,3 +242,58 @@ def test_global_rank_over_ranges(spark, monkeypatch):
     got = {x.b_id: x["rank"] for x in exposure.global_rank(d, [F.desc("v"), F.asc("b_id")], "v").collect()}
     assert got == {b: k + 1 for k, (b, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])))}
     assert exposure.global_rank(d.limit(0), [F.desc("v"), F.asc("b_id")], "v").isEmpty()
+
+
+def test_policy_never_reads_labels_of_other_rows(spark, sf_dir):
+    """Decisions of odd rows under a policy fitted on even ones: precise, of some coverage, and the same whatever odd labels are."""
+    from reconloom.plans.context import batch
+
+    b = batch(spark, sf_dir)
+    even = F.col("b_id") % 2 == 0
+    wrong = b.gold.withColumn("gold", F.when(even, F.col("gold")).otherwise(F.array(F.lit("x"), F.lit("y"))))
+    one, two = (chain.fit_policy(b.stmt, b.ranked, b.feats, g, even) for g in (b.gold, wrong))
+    assert one.ceiling == two.ceiling >= learned.LEAST_RECALL and one.model is not None
+    assert (one.min_top1, one.min_margin) == (two.min_top1, two.min_margin)
+    odd = [d.filter(~even) for d in (b.stmt, b.ranked, b.feats)]
+    decided = {r.b_id: r for r in chain.apply_policy(*odd, one).select("b_id", "escalate", "answer_keys").collect()}
+    assert decided == {r.b_id: r for r in chain.apply_policy(*odd, two).select("b_id", "escalate", "answer_keys").collect()}
+    gold = {r.b_id: sorted(r.gold) for r in b.gold.collect()}
+    auto = [r for r in decided.values() if not r.escalate]
+    assert len(decided) == b.stmt.filter(~even).count()
+    assert len(auto) / len(decided) > 0.5 and sum(sorted(r.answer_keys) == gold.get(r.b_id, []) for r in auto) / len(auto) > 0.95
+
+
+def test_policy_below_the_gate(spark, sf_dir):
+    """Where labels can't be formed from the candidates, completion is off."""
+    from reconloom.plans.context import batch
+
+    b = batch(spark, sf_dir)
+    far = b.gold.withColumn("gold", F.array(F.lit("no"), F.lit("such")))
+    p = chain.fit_policy(b.stmt, b.ranked, b.feats, far, F.col("b_id") % 2 == 0)
+    assert p.model is None and p.ceiling == 0
+    assert chain.apply_policy(b.stmt, b.ranked, b.feats, p).filter("completion_added").isEmpty()
+
+
+def test_generator_laws(spark):
+    """Sizes by class, distractors at a high rate and fees follow the configuration."""
+    stmt, led, manifest = synth.generate(spark, 4000, 3, {"classes": {"one_to_one": 0.5, "repeat": 0.3, "neither": 0.1, "partition": 0.1, "unmatchable": 0.0}, "distractors": 12.0})
+    m = manifest.toPandas()
+    for name, (least, most, more) in synth.DEFAULTS["sizes"].items():
+        n = m[m["class"] == name]["n_keys"]
+        assert n.min() == least and n.max() <= most
+        assert abs((n > least).mean() - more) < 0.09
+    assert abs(m["n_distractors"].mean() - 12) < 0.3 and abs(m["n_distractors"].var() - 12) < 1.5
+    d = stmt.filter(F.array_contains("corruptions", "fee")).join(led.filter("not distractor"), stmt["b_id"] == led["b_owner"]).select(F.abs("b_cents").alias("b"), (F.abs("b_cents") - F.abs("a_cents")).alias("fee")).toPandas()
+    assert (d["fee"] >= 0).all() and (d["fee"] < d["b"]).all()
+    fixed, percent = d["fee"] > 0.0201 * d["b"], d["fee"] > 500_000
+    assert not (fixed & percent).any() and fixed.any() and percent.any()
+
+
+def test_chain_with_two_rankers(spark, sf_dir):
+    from reconloom.plans import all_queries
+
+    got = {(r.ranker, r.cut): r for r in all_queries()[0]["synthetic_chain"](spark, sf_dir).collect()}
+    assert {k[0] for k in got} == {"text", "nearness"}
+    rate = {k: r.match_rate for k, r in got.items()}
+    one = next(c for _, c in got if c.endswith("one_to_one"))
+    assert 0.5 < rate["text", one] < 1 and rate["text", one] > rate["nearness", one]

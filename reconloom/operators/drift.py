@@ -157,6 +157,14 @@ def gate_pricing(rows: DataFrame, all_rows: DataFrame) -> DataFrame:
     )
 
 
+def gate_state(priced: DataFrame, rows: DataFrame, all_rows: DataFrame) -> DataFrame:
+    """(keys, dup, gate, escalates, coverage, precision) for the four positions of two switches."""
+    which = F.when(F.col("gate") == "exact keys > 1", F.struct(F.lit(True).alias("keys"), F.lit(False).alias("dup"))).when(F.col("gate") == "dup_ref", F.struct(F.lit(False).alias("keys"), F.lit(True).alias("dup"))).when(F.col("gate") == "keys>1 or dup", F.struct(F.lit(True).alias("keys"), F.lit(True).alias("dup")))
+    on = priced.withColumn("s", which).filter("s is not null").select("s.keys", "s.dup", "gate", "escalates", "coverage", "precision")
+    off = rows.agg(F.count("*").alias("auto0"), F.count_if("ok").alias("ok0")).crossJoin(F.broadcast(all_rows.agg(F.count("*").alias("n_all"))))
+    return on.unionByName(off.select(F.lit(False).alias("keys"), F.lit(False).alias("dup"), F.lit("none").alias("gate"), F.lit(0).cast("long").alias("escalates"), percent(F.col("auto0"), F.col("n_all")).alias("coverage"), percent(F.col("ok0"), F.col("auto0")).alias("precision")))
+
+
 def gate_lift(rows: DataFrame) -> DataFrame:
     """For each signal: its rate among invisible errors against its rate among all closes, and a verdict."""
     signals = F.array(*[F.struct(F.lit(n).alias("signal"), c.alias("hit")) for n, c in (("exact keys > 1", F.col("n_exact_keys") > 1), ("exact rows > 1", F.col("n_exact_cand") > 1), ("dup_ref", F.col("dup_ref")))])

@@ -10,17 +10,27 @@ from pyspark.sql import functions as F
 from reconloom.functions.amounts import percent, rate
 
 
-def schema_profile(df: DataFrame) -> DataFrame:
-    """(column, type, rows, nulls, null_pct, n_unique) of every column, from one pass."""
+def schema_profile(df: DataFrame, order: str) -> DataFrame:
+    """(column, type, rows, nulls, null_pct, n_unique, first) of every column, from one pass; first is the value, as text, of the least `order` that has one."""
     aggs = [F.count("*").alias("_n")]
     for i, c in enumerate(df.columns):
-        aggs += [F.count(c).alias(f"_c{i}"), F.count_distinct(c).alias(f"_u{i}")]
+        aggs += [F.count(c).alias(f"_c{i}"), F.count_distinct(c).alias(f"_u{i}"), F.min_by(F.col(c).cast("string"), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_f{i}")]
     one = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("_n").alias("rows"), (F.col("_n") - F.col(f"_c{i}")).alias("nulls"), F.col(f"_u{i}").alias("n_unique")) for i, (c, t) in enumerate(df.dtypes)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("_n").alias("rows"), (F.col("_n") - F.col(f"_c{i}")).alias("nulls"), F.col(f"_u{i}").alias("n_unique"), F.col(f"_f{i}").alias("first")) for i, (c, t) in enumerate(df.dtypes)])
     d = one.select(F.explode(rows).alias("r")).select("r.*")
     return d.withColumn("null_pct", percent(F.col("nulls"), F.col("rows")))
 
 
+def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """df with place, from 1: a random order by md5 of seed and key, the same in every run. Places are counted by ranges of the hash, not in one task."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    d = df.withColumn("_h", h).withColumn("_range", F.substring("_h", 1, 3))
+    counts = d.groupBy("_range").agg(F.count("*").alias("_c"))
+    before = counts.select("_range", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # 4,096 ranges
+    inner = F.row_number().over(Window.partitionBy("_range").orderBy("_h", key))
+    return d.withColumn("_in", inner).join(F.broadcast(before), "_range").withColumn("place", F.col("_in") + F.col("_before")).drop("_h", "_range", "_in", "_before")
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     g = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     return g.withColumn("pct", percent(F.col("n"), F.sum("n").over(Window.partitionBy())))

@@ -23,6 +23,14 @@ def group_sums(members: DataFrame) -> DataFrame:
     return g.withColumns({"regime": regime(F.col("total"), F.col("n_equal"), F.col("b_cents")), "residual": F.abs(F.col("total") - F.col("b_cents"))})
 
 
+def residuals_by_shape(groups: DataFrame) -> DataFrame:
+    """By number of ledger rows (4 stands for more): how far sums are from the amount: exact to a cent, within one unit, median, 95th percentile, largest."""
+    r = F.col("residual")
+    return groups.groupBy(F.least("n_a", F.lit(4)).alias("shape")).agg(
+        F.count("*").alias("rows"), percent(F.count_if(r <= 1), F.count("*")).alias("exact_pct"), percent(F.count_if(r <= 100), F.count("*")).alias("within_unit_pct"), F.median(r).alias("median"), F.round(F.percentile(r, F.lit(0.95)), 4).alias("p95"), F.max(r).alias("largest")
+    )
+
+
 def regime_shares(groups: DataFrame) -> DataFrame:
     g = groups.groupBy("regime").agg(F.count("*").alias("rows"))
     return g.withColumn("pct", percent(F.col("rows"), F.sum("rows").over(Window.partitionBy()), 2))

@@ -249,11 +249,16 @@ def digit_runs(spark, sf_dir):
     return d.groupBy("longest").agg(F.count("*").alias("pairs"), F.count_if("true_pair").alias("true_pairs"))
 
 
-@register("run_discrimination", CAND + f""", x AS (SELECT b_id, count_if({runs('b_attrs', 'a_text')}) AS n FROM cand GROUP BY b_id)
-SELECT count(*) AS queries, count_if(n = 0) AS none_shared, count_if(n = 1) AS one, count_if(n > 1) AS many, round(avg(n), 6) AS mean FROM x""")
+@register("run_discrimination", scored() + """, x AS (SELECT b_id, count_if(shared) AS n, count(*) AS pool, arg_max(shared, {'s': score, 'a': -a_id}) AS top_shares FROM scored GROUP BY b_id)
+SELECT count(*) AS queries, count_if(n = 0) AS none_shared, count_if(n = 1) AS one, count_if(n > 1) AS many, round(avg(n), 6) AS mean, median(n) AS median, round(sum(n) / sum(pool), 6) AS share, count_if(n > 0 AND n < pool) AS mixed, count_if(n > 0 AND n < pool AND top_shares) AS mixed_top_shares FROM x""")
 def run_discrimination(spark, sf_dir):
-    d = batch(spark, sf_dir).pairs.groupBy("b_id").agg(F.count_if(shares_run("b_attrs", "a_text")).alias("n"))
-    return d.agg(F.count("*").alias("queries"), F.count_if(F.col("n") == 0).alias("none_shared"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") > 1).alias("many"), F.round(F.avg("n"), 6).alias("mean"))
+    """How well a shared run of digits tells a row's candidates apart, and how often the best by text has it where only some have."""
+    n, pool = F.col("n"), F.col("pool")
+    d = batch(spark, sf_dir).scored.groupBy("b_id").agg(F.count_if("shared").alias("n"), F.count("*").alias("pool"), F.max_by("shared", F.struct("score", -F.col("a_id"))).alias("top"))
+    mixed = (n > 0) & (n < pool)
+    return d.agg(
+        F.count("*").alias("queries"), F.count_if(n == 0).alias("none_shared"), F.count_if(n == 1).alias("one"), F.count_if(n > 1).alias("many"), F.round(F.avg(n), 6).alias("mean"), F.median(n).alias("median"), F.round(F.sum(n) / F.sum(pool), 6).alias("share"), F.count_if(mixed).alias("mixed"), F.count_if(mixed & F.col("top")).alias("mixed_top_shares")
+    )
 
 
 @register("recall_at_k", RANKED + """, t AS (SELECT b_id, list(DISTINCT allocation) AS keys, arg_min(allocation, rank) AS top_key FROM ranked GROUP BY b_id),
@@ -310,6 +315,16 @@ def completion_effect(spark, sf_dir):
     return s.join(off, "b_id").groupBy("t").agg(F.count_if(on & ~o).alias("gained"), F.count_if(o & ~on).alias("lost"), (F.count_if(on) - F.count_if(o)).alias("net"))
 
 
+@register("completion_by_stratum", _SWEEP + """ SELECT CASE len(b.gold) WHEN 0 THEN 'blank' WHEN 1 THEN 'single_key' ELSE 'multi_key' END AS stratum, count(*) AS rows, count_if(o.ok) AS off_correct, count_if(b.ok) AS on_correct, round(count_if(o.ok) * 100.0 / count(*), 3) AS off_pct, round(count_if(b.ok) * 100.0 / count(*), 3) AS on_pct
+FROM ok b JOIN ok o ON o.b_id = b.b_id AND o.t = 200 WHERE b.t = 50 GROUP BY 1""")
+def completion_by_stratum(spark, sf_dir):
+    """Completion on and off, by stratum of the label."""
+    s = _sweep(spark, sf_dir).filter("t in (50, 200)")
+    on, off = F.count_if((F.col("t") == 50) & F.col("ok")), F.count_if((F.col("t") == 200) & F.col("ok"))
+    n = F.count_if(F.col("t") == 50)
+    return s.groupBy(K.stratum("gold").alias("stratum")).agg(n.alias("rows"), off.alias("off_correct"), on.alias("on_correct"), F.round(off * 100.0 / n, 3).alias("off_pct"), F.round(on * 100.0 / n, 3).alias("on_pct"))
+
+
 @register("flat_band", _SWEEP + """, c AS (SELECT t, count_if(ok) AS correct, count(*) AS rows FROM ok WHERE t <= 95 GROUP BY t), f AS (SELECT t, bool_and(near) OVER (ORDER BY t) AS flat FROM (SELECT t, abs(correct - first_value(correct) OVER (ORDER BY t)) <= floor(rows * 0.02 / 100) AS near FROM c))
 SELECT (SELECT min(t) FROM c) AS from_t, max(t) AS to_t FROM f WHERE flat""")
 def flat_band(spark, sf_dir):

@@ -26,6 +26,17 @@ def amount_residuals(spark, sf_dir):
     return regimes.group_sums(_members(batch(spark, sf_dir))).drop("b_cents")
 
 
+@register("residuals_by_shape", _MEM + """, sh AS (SELECT *, least(n_a, 4) AS shape FROM gr) SELECT shape, count(*) AS rows, round(count_if(residual <= 1) * 100.0 / count(*), 3) AS exact_pct, round(count_if(residual <= 100) * 100.0 / count(*), 3) AS within_unit_pct,
+  median(residual) AS median, round(quantile_cont(residual, 0.95), 4) AS p95, max(residual) AS largest FROM sh GROUP BY shape""")
+def residuals_by_shape(spark, sf_dir):
+    return regimes.residuals_by_shape(regimes.group_sums(_members(batch(spark, sf_dir))))
+
+
+@register("seeded_order", "SELECT o_orderkey, row_number() OVER (ORDER BY md5('7|' || o_orderkey), o_orderkey) AS place FROM orders")
+def seeded_order(spark, sf_dir):
+    return profile.shuffled(batch(spark, sf_dir).read("orders").select("o_orderkey"), "o_orderkey", 7)
+
+
 @register("worked_examples", _MEM + ", fi AS (SELECT regime, min(b_id) AS b_id FROM gr WHERE n_a >= 2 GROUP BY regime) SELECT gr.regime, gr.b_id, gr.total, gr.residual, mem.b_cents, a_id, a_cents FROM fi JOIN gr ON gr.b_id = fi.b_id JOIN mem ON mem.b_id = fi.b_id")
 def worked_examples(spark, sf_dir):
     return regimes.worked_examples(_members(batch(spark, sf_dir)))
@@ -109,9 +120,9 @@ def encoding_share(spark, sf_dir):
     return profile.encoding_share(batch(spark, sf_dir).gold.select(encode_keys("gold").alias("label")), "label")
 
 
-@register("schema_profile", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_unique, round((count(*) - count({c})) * 100.0 / count(*), 3) AS null_pct FROM customer" for c, t in (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string"))) + ")")
+@register("schema_profile", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_unique, round((count(*) - count({c})) * 100.0 / count(*), 3) AS null_pct, {f} AS first FROM customer" for c, t in (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string")) for f in [f"arg_min({c}::VARCHAR, c_custkey) FILTER ({c} IS NOT NULL)"]) + ")")
 def schema_profile(spark, sf_dir):
-    return profile.schema_profile(batch(spark, sf_dir).read("customer"))
+    return profile.schema_profile(batch(spark, sf_dir).read("customer"), "c_custkey")
 
 
 @register("value_counts", "SELECT o_orderstatus AS value, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 3) AS pct FROM orders GROUP BY 1")

@@ -203,11 +203,13 @@ def gate_verdict(spark, sf_dir):
     return drift.gate_verdict(drift.gate_pricing(b.drift, b.decided))
 
 
-@register("gate_state", _GP + " SELECT * FROM gp WHERE gate = 'keys>1 or dup'")
+@register("gate_state", _GP + """, st(keys, dup, gate) AS (VALUES (true, false, 'exact keys > 1'), (false, true, 'dup_ref'), (true, true, 'keys>1 or dup')),
+n0 AS (SELECT false AS keys, false AS dup, 'none' AS gate, 0::BIGINT AS escalates, round(auto0 * 100.0 / n_all, 3) AS coverage, round(ok0 * 100.0 / auto0, 3) AS precision FROM b0)
+SELECT keys, dup, st.gate, escalates, coverage, precision FROM st JOIN gp ON gp.gate = st.gate UNION ALL SELECT * FROM n0""")
 def gate_state(spark, sf_dir):
-    """One gate's row, as chosen by two switches (keys, duplicates)."""
+    """What each position of two switches (several exact keys, repeated references) escalates, and coverage and precision with it."""
     b = batch(spark, sf_dir)
-    return drift.gate_pricing(b.drift, b.decided).filter("gate = 'keys>1 or dup'")
+    return drift.gate_state(drift.gate_pricing(b.drift, b.decided), b.drift, b.decided)
 
 
 @register("gate_lift", DRIFT + """, s AS (SELECT wrong_zero, unnest([{'n': 'exact keys > 1', 'h': n_exact_keys > 1}, {'n': 'exact rows > 1', 'h': n_exact_cand > 1}, {'n': 'dup_ref', 'h': dup_ref}]) AS s FROM outc),

@@ -72,11 +72,29 @@ def pruned_scan(spark, sf_dir):
 
 @register("append_new", "WITH e AS (SELECT o_orderkey AS id, 'old' AS v, CASE WHEN o_orderkey % 5 = 0 THEN 'failed' END AS error FROM orders WHERE o_orderkey % 2 = 0), g AS (SELECT * FROM e WHERE error IS NULL), f AS (SELECT o_orderkey AS id, 'new' AS v, NULL::VARCHAR AS error FROM orders WHERE o_orderkey % 3 = 0) SELECT v, count(*) AS rows, sum(id)::BIGINT AS ids FROM (SELECT * FROM g UNION ALL SELECT f.* FROM f ANTI JOIN g ON f.id = g.id) GROUP BY v")
 def append_new(spark, sf_dir):
-    """A resumed file: good records stay, failed ones are made again, known ids are skipped."""
+    """A file that is resumed, twice: good records stay, failed ones are made again, known ids are skipped."""
+    path = _folder(spark, "append")
     o = batch(spark, sf_dir).read("orders").select(F.col("o_orderkey").alias("id"))
-    e = o.filter("id % 2 = 0").select("id", F.lit("old").alias("v"), F.when(F.col("id") % 5 == 0, "failed").alias("error"))
-    f = o.filter("id % 3 = 0").select("id", F.lit("new").alias("v"), F.lit(None).cast("string").alias("error"))
-    return io.append_new(e, f, "id").groupBy("v").agg(F.count("*").alias("rows"), F.sum("id").alias("ids"))
+    old = o.filter("id % 2 = 0").select("id", F.lit("old").alias("v"), F.when(F.col("id") % 5 == 0, "failed").alias("error"))
+    new = o.filter("id % 3 = 0").select("id", F.lit("new").alias("v"), F.lit(None).cast("string").alias("error"))
+    for rows in (old, new, new):
+        io.append_json(spark, path, rows, "id")
+    d = spark.read.schema(old.schema).json(path).filter("error is null")
+    return d.groupBy("v").agg(F.count("*").alias("rows"), F.sum("id").alias("ids"))
+
+
+@register("export_files", DECIDED + ", q AS (SELECT * FROM judged WHERE escalate) SELECT * FROM (SELECT 'summary' AS file, 1::BIGINT AS rows, count_if(NOT escalate)::BIGINT AS figure FROM judged UNION ALL SELECT 'queue', count(*), coalesce(sum(abs(b_cents)), 0)::BIGINT FROM q UNION ALL SELECT 'detail', count(*), coalesce(sum(abs(b_cents)), 0)::BIGINT FROM q)")
+def export_files(spark, sf_dir):
+    """Summary, queue and detail documents written as JSON, read again and counted (the curve has a query of its own)."""
+    from reconloom.operators import evidence, exposure
+
+    b, path = batch(spark, sf_dir), _folder(spark, "export")
+    queue = exposure.ranked_queue(b.judged)
+    detail = evidence.detail(decide.audit(b.posted.filter("escalate"), "main"), b.stmt)
+    io.write_export(path, exposure.headline(b.judged), exposure.retired_curve(queue), queue.select("rank", "b_id", "exposure_cents"), detail.select("b_id", "doc"))
+    one = lambda name, figure, schema: spark.read.schema(schema).json(f"{path}/{name}").agg(F.lit(name).alias("file"), F.count("*").alias("rows"), F.sum(figure).alias("figure"))
+    out = one("summary", "auto_rows", "auto_rows long").unionByName(one("queue", "exposure_cents", "exposure_cents long"))
+    return out.unionByName(one("detail", "doc.transaction.exposure_cents", "b_id string, doc struct<transaction: struct<exposure_cents: bigint>>"))
 
 
 @register("latest_records", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id % 7 <> 0 GROUP BY user_id")

@@ -35,7 +35,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
         .withColumn("cap", cap)
         .withColumn("total", F.sum("source_size").over(Window.partitionBy()))
         .withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("weights", F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("weights", F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("capped", F.col("left") * F.col("weight") > F.col("cap") * F.col("weights"))
     )
     free = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("weight"), "src_key", "left", "weights"))).over(Window.partitionBy())

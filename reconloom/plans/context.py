@@ -230,8 +230,8 @@ decided AS (
     list_filter([CASE WHEN no_candidate THEN 'no_candidate' END, CASE WHEN completion_added THEN 'completion_added' END, CASE WHEN fee_band_only THEN 'fee_band_only' END, CASE WHEN low_confidence THEN 'low_confidence' END], lambda x: x IS NOT NULL) AS triggers
   FROM d0),
 posted AS (
-  SELECT * REPLACE (dup_ref OR (NOT escalate AND (b_id % 50 IN (7, 13, 19) OR b_id % 11 = 0)) AS dup_ref,
-    CASE WHEN escalate THEN answer_keys WHEN b_id % 50 IN (7, 13, 19, 23, 29) THEN [CASE b_id % 50 WHEN 7 THEN 'ALT_' WHEN 13 THEN 'OFF_' WHEN 19 THEN 'TWO_' WHEN 23 THEN 'FAR_' ELSE 'NIL_' END || b_id]
+  SELECT * REPLACE (dup_ref OR (NOT escalate AND (b_id % 50 IN (7, 11, 19) OR b_id % 11 = 0)) AS dup_ref,
+    CASE WHEN escalate THEN answer_keys WHEN b_id % 50 IN (7, 11, 19, 21, 29) THEN [CASE b_id % 50 WHEN 7 THEN 'ALT_' WHEN 11 THEN 'OFF_' WHEN 19 THEN 'TWO_' WHEN 21 THEN 'FAR_' ELSE 'NIL_' END || b_id]
          WHEN b_id % 50 = 31 THEN []::VARCHAR[] WHEN b_id % 50 = 37 THEN list_append(answer_keys, 'ALT_' || b_id) ELSE answer_keys END AS answer_keys) FROM decided),
 judged AS (SELECT d.*, list_sort(answer_keys) = coalesce(gold, []::VARCHAR[]) AS ok FROM posted d LEFT JOIN gold ON gold.b_id = d.b_id)"""
 
@@ -239,8 +239,8 @@ DRIFT = DECIDED + r""",
 extra AS (
   SELECT r.p || '_' || b_id AS allocation, b_cents + r.d AS a_cents FROM (
     SELECT b_id, b_cents, unnest(list_filter([
-      {'m': 7, 'p': 'ALT', 'd': 0}, {'m': 37, 'p': 'ALT', 'd': 0}, {'m': 13, 'p': 'OFF', 'd': CASE WHEN b_id % 4 < 2 THEN 1 ELSE -1 END * (100 + b_id % 900)},
-      {'m': 19, 'p': 'TWO', 'd': -500}, {'m': 19, 'p': 'TWO', 'd': 700}, {'m': 23, 'p': 'FAR', 'd': 1000}, {'m': 23, 'p': 'FAR', 'd': 3000}], lambda x: x.m = b_id % 50)) AS r FROM stmt)),
+      {'m': 7, 'p': 'ALT', 'd': 0}, {'m': 37, 'p': 'ALT', 'd': 0}, {'m': 11, 'p': 'OFF', 'd': CASE WHEN b_id % 4 < 2 THEN 1 ELSE -1 END * (100 + b_id % 900)},
+      {'m': 19, 'p': 'TWO', 'd': -500}, {'m': 19, 'p': 'TWO', 'd': 700}, {'m': 21, 'p': 'FAR', 'd': 1000}, {'m': 21, 'p': 'FAR', 'd': 3000}], lambda x: x.m = b_id % 50)) AS r FROM stmt)),
 prices AS (SELECT allocation, min(a_cents) AS low, max(a_cents) AS high, count(DISTINCT a_cents) AS n_amounts FROM (SELECT allocation, a_cents FROM led UNION ALL SELECT allocation, a_cents FROM extra) GROUP BY allocation),
 auto AS (SELECT d.*, coalesce(gold, []::VARCHAR[]) AS gold, list_sort(answer_keys) AS posted FROM posted d LEFT JOIN gold ON gold.b_id = d.b_id WHERE NOT escalate),
 parts AS (

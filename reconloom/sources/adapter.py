@@ -59,7 +59,7 @@ def gold(led: DataFrame) -> DataFrame:
 
 
 #: Posting errors by b_id mod 50: prefix of the key posted instead, or None for none at all. FURTHER is posted beside the answer.
-MISPOSTED = {7: "ALT", 13: "OFF", 19: "TWO", 23: "FAR", 29: "NIL", 31: None}
+MISPOSTED = {7: "ALT", 11: "OFF", 19: "TWO", 21: "FAR", 29: "NIL", 31: None}
 FURTHER = 37
 
 
@@ -69,7 +69,7 @@ def price_rows(stmt: DataFrame) -> DataFrame:
     k, c = F.col("b_id"), F.col("b_cents")
     off = F.when(k % 4 < 2, 1).otherwise(-1) * (100 + k % 900)
     key = lambda p: F.concat(F.lit(p + "_"), k.cast("string"))
-    rows = [(k % 50 == r, p, d) for r, p, d in ((7, "ALT", F.lit(0)), (FURTHER, "ALT", F.lit(0)), (13, "OFF", off), (19, "TWO", F.lit(-500)), (19, "TWO", F.lit(700)), (23, "FAR", F.lit(1000)), (23, "FAR", F.lit(3000)))]
+    rows = [(k % 50 == r, p, d) for r, p, d in ((7, "ALT", F.lit(0)), (FURTHER, "ALT", F.lit(0)), (11, "OFF", off), (19, "TWO", F.lit(-500)), (19, "TWO", F.lit(700)), (21, "FAR", F.lit(1000)), (21, "FAR", F.lit(3000)))]
     found = F.filter(F.array(*[F.when(hit, F.struct(key(p).alias("allocation"), (c + d).cast("long").alias("a_cents"))) for hit, p, d in rows]), lambda x: x.isNotNull())
     return stmt.select(F.explode(found).alias("r")).select("r.*")
 
@@ -85,7 +85,7 @@ def misposted(decided: DataFrame) -> DataFrame:
     for at, p in MISPOSTED.items():
         answer = answer.when(r == at, F.array(key(p)) if p else F.array().cast("array<string>"))
     answer = answer.when(r == FURTHER, F.concat("answer_keys", F.array(key("ALT")))).otherwise(F.col("answer_keys"))
-    return decided.withColumns({"answer_keys": answer, "dup_ref": F.col("dup_ref") | (~F.col("escalate") & (r.isin(7, 13, 19) | (F.col("b_id") % 11 == 0)))})
+    return decided.withColumns({"answer_keys": answer, "dup_ref": F.col("dup_ref") | (~F.col("escalate") & (r.isin(7, 11, 19) | (F.col("b_id") % 11 == 0)))})
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -82,3 +82,51 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+FIM_SQL = r"""
+WITH b AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS y,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM b),
+p AS (
+  SELECT *, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def cluster_sql(k: int = 8, rounds: int = 10) -> str:
+    """Centroid clustering: a pair of tables for each round, then the last assignment."""
+    parts = [
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, w) - 1 AS c, w FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, w FROM v ORDER BY h, w LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (
+  SELECT r, min(d) AS d, arg_min(c, struct_pack(d := d, c := c)) AS c FROM (
+    SELECT v.r, z.c, list_sum(list_transform(range(1, 65), lambda j: (v.w[j] - z.w[j]) * (v.w[j] - z.w[j])))::BIGINT AS d FROM v, c{i} z) GROUP BY r)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""m{i} AS (
+  SELECT c, list(m ORDER BY j) AS w FROM (
+    SELECT c, j, ((sum(x) - (((sum(x) % count(*)) + count(*)) % count(*))) // count(*))::BIGINT AS m
+    FROM (SELECT a.c, unnest(v.w) AS x, unnest(range(1, 65)) AS j FROM v JOIN a{i} a ON v.r = a.r) GROUP BY c, j) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT z.c, coalesce(m{i}.w, z.w) AS w FROM c{i} z LEFT JOIN m{i} ON z.c = m{i}.c)"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"""
+SELECT v.vec_id, a.c::INT AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(z.w, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a ON v.r = a.r JOIN c{rounds} z ON z.c = a.c"""
+    )

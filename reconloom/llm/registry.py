@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from reconloom.llm import chat, pii
+from reconloom.llm import centroids, chat, fill_middle, pii, token_counts
 from reconloom.llm import quality as site_quality
 from reconloom.llm.common import read
 from reconloom.llm.cover_tree import top_k
 from reconloom.llm.exact_dedup import exact_duplicates
 from reconloom.llm.mixing import mix
 from reconloom.llm.ngram_join import jaccard_join
-from reconloom.llm.oracles import DEDUP_SQL, MIX_SQL, TOP_K_SQL
+from reconloom.llm.oracles import DEDUP_SQL, FIM_SQL, MIX_SQL, TOP_K_SQL, cluster_sql
 from reconloom.llm.pieces import MODEL_PATH, encode_documents, load
 from reconloom.llm.sharding import shard
 from reconloom.llm.toxicity import fit, toxicity, training_rows
@@ -58,5 +58,24 @@ def op10_chat_format(spark, sf_dir):
     return chat.format_conversations(read(spark, sf_dir, "conversations"), trust=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_exact_dedup, op4_top_k, op5_mixing, op6_sentencepiece, op7_sharding, op8_quality, op9_jaccard_join, op10_chat_format)}
-ORACLES = {"op4_top_k": TOP_K_SQL, "op3_exact_dedup": DEDUP_SQL, "op5_mixing": MIX_SQL}
+def op11_centroids(spark, sf_dir):
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark, sf_dir, path=token_counts.VOCABULARY):
+    """Column cut is the length of the longest prefix within the limit, read off the prefix counts."""
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), token_counts.load(path))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    return fill_middle.digest(fill_middle.fill_in_middle(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii, op2_toxicity, op3_exact_dedup, op4_top_k, op5_mixing, op6_sentencepiece, op7_sharding, op8_quality, op9_jaccard_join, op10_chat_format,
+        op11_centroids, op12_token_counts, op13_fill_in_middle,
+    )
+}
+ORACLES = {"op4_top_k": TOP_K_SQL, "op3_exact_dedup": DEDUP_SQL, "op5_mixing": MIX_SQL, "op11_centroids": cluster_sql(), "op13_fill_in_middle": FIM_SQL}

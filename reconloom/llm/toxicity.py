@@ -29,6 +29,8 @@ BITS = 22
 #: Labelled rows at most that the machine is fitted on, and terms at most that the descent starts from.
 SAMPLE, TERMS = 10_000, 2048
 REJECT = 0.3
+#: Penalties of terms that are not clear by themselves, of which folds of the training rows choose one, and the batches that a fold's descent takes.
+PENALTIES, FOLDS, FOLD_BATCHES = (5e-3, 2e-2, 8e-2), 2, 160
 
 
 def term_ids(word: str) -> set[int]:
@@ -82,14 +84,17 @@ class Machine:
                 found.update(hit)
         return sorted(found)
 
-    def score(self, text: str | None) -> float:
-        i = self.indices(text)
+    def margin(self, i) -> float:
+        """w0 and what the terms i add to it, alone and in pairs."""
         z = self.w0
-        if i:
+        if len(i):
             v = self.v[i]
             s = v.sum(0)
             z += float(self.w[i].sum() + 0.5 * (s @ s - (v * v).sum()))
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        return z
+
+    def score(self, text: str | None) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.margin(self.indices(text)), -40, 40))))
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,17 +151,50 @@ def fit(train: DataFrame, terms: int = TERMS, factors: int = 8, epochs: int = 15
     x, y = np.zeros((len(own), first), np.uint8), ys[order].astype(np.float32)
     for row, i in enumerate(own):
         x[row, i[i < first]] = 1
+    penalty = _penalty(train.sparkSession, empty, x, own, y, epochs, seed)
     begun = _descend(empty, x, y, epochs, seed)
     del x
-    return _go_on(begun, own, y, seed)
+    return _go_on(begun, own, y, seed, penalty)
 
 
-def _go_on(m: Machine, rows: list[np.ndarray], y: np.ndarray, seed: int, epochs: int = 6) -> Machine:
+def _penalty(spark, empty: Machine, x: np.ndarray, own: list[np.ndarray], y: np.ndarray, epochs: int, seed: int) -> float:
+    """Of PENALTIES the one with the least logistic loss on rows left out, summed over the folds; of equals the larger.
+
+    A task for each fold and penalty. A fold is every FOLDS-th row in the order of the text's hash.
+    """
+    fold = np.arange(len(y)) % FOLDS
+    if any(len(set(y[fold != f].tolist())) < 2 or not (fold == f).any() for f in range(FOLDS)):
+        return PENALTIES[1]
+    # Bits of x and the terms of the rows, end to end, go along with the tasks; both are bounded by SAMPLE rows.
+    bits, width = np.packbits(x, axis=1), x.shape[1]
+    flat, sizes = np.concatenate(own).astype(np.int32), np.array([len(i) for i in own])
+    terms, w0, factors = empty.terms, empty.w0, empty.v.shape[1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for f, penalty in pdf.itertuples(index=False):
+                rows, learn = np.split(flat, np.cumsum(sizes)[:-1]), np.flatnonzero(fold != f)
+                m = Machine(terms, w0, np.zeros(width), np.zeros((width, factors)))
+                m = _descend(m, np.unpackbits(bits[learn], axis=1, count=width), y[learn], epochs, seed)
+                m = _go_on(m, [rows[k] for k in learn], y[learn], seed, penalty, FOLD_BATCHES)
+                left = np.flatnonzero(fold == f)
+                z = np.array([m.margin(rows[k]) for k in left])
+                out.append((penalty, float(np.logaddexp(0, np.where(y[left] > 0, -z, z)).sum())))
+            yield pd.DataFrame(out, columns=["penalty", "loss"])
+
+    grid = [(f, float(q)) for f in range(FOLDS) for q in PENALTIES]
+    tasks = spark.createDataFrame(grid, "fold int, penalty double").repartition(len(grid), "fold", "penalty")
+    loss = tasks.mapInPandas(run, "penalty double, loss double").groupBy("penalty").agg(F.sum("loss").alias("loss")).collect()  # three rows
+    return min(loss, key=lambda r: (r["loss"], -r["penalty"]))["penalty"]
+
+
+def _go_on(m: Machine, rows: list[np.ndarray], y: np.ndarray, seed: int, penalty: float = 2e-2, batches: int = 480, epochs: int = 6) -> Machine:
     """The descent of m over all its terms; rows has the terms of each row. m has weights for its first terms.
 
     By Adam over batches of 256 rows, for the terms of a batch. The more terms a row has, the shorter the
-    steps, which a row's terms take together. Terms that are not clear by themselves have a larger penalty, as there
-    are enough of them to learn the rows by heart.
+    steps, which a row's terms take together. Terms that are not clear by themselves have `penalty`, a larger one, as there
+    are enough of them to learn the rows by heart. About `batches` are taken, and every row at least a few times.
     """
     rng = np.random.default_rng(seed)
     k, n, start = m.v.shape[1], len(m.terms), len(m.w)
@@ -174,7 +212,7 @@ def _go_on(m: Machine, rows: list[np.ndarray], y: np.ndarray, seed: int, epochs:
             u, local = np.unique(np.concatenate([rows[a] for a in at]), return_inverse=True)
             parts.append((y[at], size, np.cumsum(size) - size, u, local.astype(np.int32)))
     del rows
-    for _ in range(max(epochs, min(120, 480 // steps))):
+    for _ in range(max(min(epochs, batches // 80), min(120, batches // steps))):
         for j in rng.permutation(len(parts)):
             yb, size, starts, u, local = parts[j]
             b = p[u]
@@ -186,7 +224,7 @@ def _go_on(m: Machine, rows: list[np.ndarray], y: np.ndarray, seed: int, epochs:
             g[:, 0] = np.bincount(local, np.repeat(e, size), len(u))
             for f in range(k):
                 g[:, 1 + f] = np.bincount(local, np.repeat(e * s[:, f], size), len(u)) - b[:, 1 + f] * g[:, 0]
-            g += np.where(u < start, 1e-4, 2e-2)[:, None].astype(np.float32) * b
+            g += np.where(u < start, 1e-4, penalty)[:, None].astype(np.float32) * b
             t += 1
             mean[u] = ms = 0.9 * mean[u] + 0.1 * g
             var[u] = vs = 0.999 * var[u] + 0.001 * g * g

@@ -102,12 +102,35 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
     return version, [r["shard"] for r in rows]
 
 
+#: Equal rows that one task numbers at a time.
+STRETCH = 4096
+
+
+def _numbered(src: DataFrame) -> DataFrame:
+    """src (id, size, text_crc32) with nth, the number of a row among its equals, from 0.
+
+    Equal rows are the same in all that is returned, so they are counted where they are, their counts added up, and that many rows
+    made of each: stretches of numbers first, which are dealt out anew, then the numbers of a stretch. No task holds the copies of a row.
+    """
+    counts = src.groupBy("id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    once = counts.filter(F.col("n") <= STRETCH).withColumn("first", F.lit(0).cast("long"))
+    often = counts.filter(F.col("n") > STRETCH).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STRETCH).cast("long"))))
+    often = often.repartition("id", "text_crc32", "first")
+    last = F.least(F.col("n"), F.col("first") + STRETCH) - 1
+    return once.unionByName(often).select("id", "size", "text_crc32", F.explode(F.sequence("first", last)).alias("nth"))
+
+
+def _slot_hash():
+    return F.when(F.col("nth") == 0, F.xxhash64("id", "text_crc32")).otherwise(F.xxhash64("id", "text_crc32", "nth"))
+
+
 def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None, slots: int = SLOTS) -> DataFrame:
     """One row for each row of df: id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null), virtual_slot, map_version.
 
     size is the text's UTF-8 bytes plus 1 (a null text has none, its crc32 is that of the empty text).
-    slot is the place of the row in its shard, from 0 without gaps. Null and repeated ids are hashed with
-    the text's checksum. Equal texts of different ids are not kept together: a group of copies is spread over the slots, so
+    slot is the place of the row in its shard, from 0 without gaps. Rows are hashed by id, the text's checksum and, where both
+    repeat, their number among the rows that share them; so rows repeated whole, and null ids of one text, are spread over the slots too,
+    and sizes stay near equal whatever share of the table they are. Equal texts of different ids are not kept together: a group of copies is spread over the slots, so
     that no shard carries it alone. A map stored at map_path is edited, else one is begun in a new folder: slot i in shard
     i mod shards is version 0, which the bytes of this table then edit to version 1. The law is 'bytes', so the
     slots' bytes decide where rows go, not doc_id and shard count alone. An empty table gives no rows; other columns of df play no part.
@@ -118,7 +141,7 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32"),
     )
-    base = table(src.withColumn("virtual_slot", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(slots)).cast("int")), "shard-base")
+    base = table(_numbered(src).withColumn("virtual_slot", F.pmod(_slot_hash(), F.lit(slots)).cast("int")), "shard-base")
     load, rows = [0] * slots, [0] * slots
     for r in base.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():  # as many rows as slots
         load[r["virtual_slot"]], rows[r["virtual_slot"]] = r["b"], r["n"]
@@ -137,7 +160,7 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
         at[i], start[s] = start[s], start[s] + rows[i]
     schema = "virtual_slot int, shard int, first long"
     placing = F.broadcast(spark.createDataFrame([(i, new[i], at[i]) for i in range(slots)], schema))  # a row for each slot
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("id", "text_crc32", "size")) - 1
+    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("id", "text_crc32", "size", "nth")) - 1
     return (
         base.withColumn("place", place)
         .join(placing, "virtual_slot")

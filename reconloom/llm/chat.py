@@ -266,7 +266,8 @@ _ORDER = ("c", "none", "turn", "tie", "row")
 class Observed:
     """The turns of a table: `base` has their texts by row number, `turns` their figures, sorted and cut into parts, `edges` both ends of each part.
 
-    Turns are ordered by turn, nulls last; of equal turn numbers by hash of text and role; rows repeated whole are turns of their own.
+    Turns are ordered by turn, nulls last; of equal turn numbers by hash of the text, then as the table has them. Roles play no part in the
+    order, as their place would tell what is to be recovered. Rows repeated whole are turns of their own.
     """
 
     def __init__(self, df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str):
@@ -284,7 +285,7 @@ class Observed:
 
         known = F.coalesce(*[F.when(F.col("role") == r, F.lit(k)) for k, r in enumerate(ROLES)], F.lit(-1)).alias("known")
         key = F.coalesce(F.concat(F.lit("v"), F.col("conv").cast("string")), F.lit("n")).alias("c")
-        narrow = self.base.select("row", key, F.col("turn").isNull().cast("int").alias("none"), "turn", F.xxhash64("text", "role").alias("tie"), known, held_out("conv").alias("held"), "text")
+        narrow = self.base.select("row", key, F.col("turn").isNull().cast("int").alias("none"), "turn", F.xxhash64("text").alias("tie"), known, held_out("conv").alias("held"), "text")
         narrow = narrow.mapInArrow(run, f"row long, c string, none int, turn {self.types[1]}, tie long, known int, held boolean, mark int, figures binary")
         dealt = narrow.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
         self.turns = table(dealt.withColumn("part", F.spark_partition_id()), "chat-turns")
@@ -392,7 +393,7 @@ def format_conversations(df: DataFrame, model: Model | None = None, conv_col: st
 
     A role that df names (any case) is the turn's marker if trusted; others, and all if not, are recovered by Viterbi from
     a marker in the text, the lines and the turns around. Without a model one is fitted on df as `train` does. Turns
-    are ordered by turn, nulls last, then by hash of text and role; position is the place in the conversation, from 0. Repeated
+    are ordered by turn, nulls last, then by hash of the text, then as the table has them; position is the place in the conversation, from 0. Repeated
     rows are turns of their own; a null conv_id is a conversation; a null text is empty. An empty table gives no rows.
     """
     seen = Observed(df, conv_col, turn_col, role_col, text_col)

@@ -17,7 +17,6 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -28,8 +27,8 @@ from reconloom.llm.common import groups, small, table
 LEAF = 64
 #: Children of a node that halve its radius; where these leave points over, the points go to the nearest of them.
 FANOUT = 32
-#: Vectors in a block of queries and of data; data blocks grow so that there are at most MOST_BLOCKS or twice as many.
-QUERY_BLOCK, DATA_BLOCK, MOST_BLOCKS = 1024, 8192, 65_536
+#: Vectors in a block of queries and of data, and outlines of data blocks that a task holds at a time.
+QUERY_BLOCK, DATA_BLOCK, OUTLINES = 1024, 8192, 2048
 #: Centres that blocks are gathered around, from a sample by hash of at most so many vectors.
 PIVOTS = 4096
 #: Data blocks that a query block meets first, and query blocks that meet a data block in one task.
@@ -222,33 +221,50 @@ def _indexed(vectors: DataFrame, size: int, name: str) -> DataFrame:
     return table(dealt.mapInArrow(build, "block string, dim long, n long, center array<double>, radius double, index binary"), name)
 
 
-def _pairs(queries: DataFrame, data: pd.DataFrame, found: DataFrame | None, name: str) -> DataFrame:
-    """(qb, db): block pairs to compare. Without `found` the SEEDS most promising of each query block, with it the others whose bound reaches its floor."""
-    only_seeds = found is None
-    centers = {int(d): (g["block"].to_numpy(), np.stack(g["center"].to_numpy()), g["radius"].to_numpy()) for d, g in data.groupby("dim")} if len(data) else {}
+def _pairs(queries: DataFrame, data: DataFrame, found: DataFrame | None, seeds: DataFrame | None, name: str) -> DataFrame:
+    """(qb, db): block pairs to compare. Without `found` the SEEDS most promising of each query block, with it the others whose bound reaches its floor.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for block, dim, p, r, floor in pdf.itertuples(index=False):
-                if dim not in centers:
-                    continue
-                names, c, s = centers[dim]
-                middle = c @ np.asarray(p)
-                seeds = np.argsort(-middle, kind="stable")[:SEEDS]
-                if only_seeds:
-                    out += [(block, names[k]) for k in seeds]
-                    continue
-                top = _slack(middle + r * np.sqrt((c * c).sum(1)) + s * float(np.sqrt(np.dot(p, p))) + r * s)
-                rest = top >= floor
-                rest[seeds] = False
-                out += [(block, names[k]) for k in np.flatnonzero(rest)]
-            yield pd.DataFrame(out, columns=["qb", "db"])
+    Outlines (centre and radius) of data blocks lie in tiles of OUTLINES or so, query blocks in slices of as many; a task holds
+    one tile and one slice, and every slice meets every tile.
+    """
+    tiles, slices = (max(1, -(-d.count() // OUTLINES)) for d in (data, queries))
+    outline = ("block", "dim", "center", "radius")
+    nothing, seeding = F.lit(-float("inf")), found is None
+    q = queries.select(*outline)
+    q = q.withColumn("floor", nothing) if found is None else q.join(found.select(F.col("qb").alias("block"), F.coalesce(F.col("floor").cast("double"), nothing).alias("floor")), "block", "left").na.fill({"floor": -float("inf")})
+    own = lambda n: F.pmod(F.xxhash64("block"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = q.select(every(tiles).alias("tile"), own(slices).alias("slice"), F.lit(1).alias("kind"), *outline, "floor")
+    right = data.select(own(tiles).alias("tile"), every(slices).alias("slice"), F.lit(0).alias("kind"), *outline, nothing.alias("floor"))
 
-    q = queries.select("block", "dim", "center", "radius")
-    floor = F.lit(-float("inf")) if found is None else F.coalesce(F.col("floor").cast("double"), F.lit(-float("inf")))
-    q = q if found is None else q.join(found.select(F.col("qb").alias("block"), "floor"), "block", "left")
-    return table(q.withColumn("floor", floor).select("block", "dim", "center", "radius", "floor").mapInPandas(run, "qb string, db string"), name)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, ["tile", "slice"]):
+            kind, dims = g.column("kind").to_numpy(), g.column("dim").to_numpy()
+            names, radius, floors = g.column("block").to_pylist(), g.column("radius").to_numpy(), g.column("floor").to_numpy()
+            qb, db, middles = [], [], []
+            for dim in np.unique(dims[kind == 1]).tolist():
+                at, of = np.flatnonzero((kind == 1) & (dims == dim)), np.flatnonzero((kind == 0) & (dims == dim))
+                if not len(of):
+                    continue
+                p, c = (_matrix(g.column("center").take(pa.array(i)), dim) for i in (at, of))
+                long = np.sqrt((c * c).sum(1))
+                for i, k in enumerate(at.tolist()):
+                    middle = c @ p[i]
+                    if seeding:
+                        hit = np.argsort(-middle, kind="stable")[:SEEDS]
+                    else:
+                        hit = np.flatnonzero(_slack(middle + radius[k] * long + radius[of] * float(np.sqrt(np.dot(p[i], p[i]))) + radius[k] * radius[of]) >= floors[k])
+                    qb += [names[k]] * len(hit)
+                    db += [names[of[h]] for h in hit]
+                    middles.append(middle[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(qb, pa.string()), pa.array(db, pa.string()), pa.array(np.concatenate(middles) if middles else np.zeros(0))], names=["qb", "db", "middle"])
+
+    dealt = left.unionByName(right).repartition("tile", "slice").sortWithinPartitions("tile", "slice", "kind", "block")
+    met = dealt.mapInArrow(run, "qb string, db string, middle double")
+    if seeding:
+        best = F.row_number().over(Window.partitionBy("qb").orderBy(F.desc("middle"), "db"))  # SEEDS of each tile
+        return table(met.withColumn("at", best).filter(F.col("at") <= SEEDS).select("qb", "db"), name)
+    return table(met.join(seeds, ["qb", "db"], "left_anti").select("qb", "db"), name)
 
 
 def _compare(pairs: DataFrame, queries: DataFrame, data: DataFrame, floors: DataFrame | None, k: int, name: str) -> DataFrame:
@@ -287,17 +303,16 @@ def _compare(pairs: DataFrame, queries: DataFrame, data: DataFrame, floors: Data
 
 def _found(df: DataFrame, k: int, every: int, id_col: str, vector_col: str) -> DataFrame:
     vectors = table(whole_vectors(df, id_col, vector_col).filter("dim > 0"), "topk-vectors")
-    size = max(DATA_BLOCK, vectors.count() // MOST_BLOCKS)
-    data = _indexed(vectors, size, "topk-data")
+    data = _indexed(vectors, DATA_BLOCK, "topk-data")
     queries = _indexed(vectors.filter(F.col("id") % every == 0), QUERY_BLOCK, "topk-queries")
-    outline = data.select("block", "dim", "center", "radius").toPandas()  # a row for each block, 2 * MOST_BLOCKS or so at most
-    first = _compare(_pairs(queries, outline, None, "topk-seeds"), queries, data, None, k, "topk-first")
+    seeds = _pairs(queries, data, None, None, "topk-seeds")
+    first = _compare(seeds, queries, data, None, k, "topk-first")
     kth = first.filter("q_row is not null").withColumn("at", F.row_number().over(_best("q_row"))).filter(F.col("at") == k)
     floors = kth.groupBy("qb").agg(F.collect_list(F.struct(F.col("q_row").alias("row"), F.col("score").alias("floor"))).alias("floors"), F.min("score").alias("low"), F.count("*").alias("n"))
     # A query that has fewer than k scores so far has no floor, and its block none.
     floors = floors.join(queries.select(F.col("block").alias("qb"), F.col("n").alias("of")), "qb").withColumn("floor", F.when(F.col("n") == F.col("of"), F.col("low")))
     floors = table(floors.select("qb", "floors", "floor"), "topk-floors")
-    return first.unionByName(_compare(_pairs(queries, outline, floors, "topk-pairs"), queries, data, floors, k, "topk-second"))
+    return first.unionByName(_compare(_pairs(queries, data, floors, seeds, "topk-pairs"), queries, data, floors, k, "topk-second"))
 
 
 def _best(query: str) -> Window:
@@ -311,7 +326,8 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
     queries, and candidates, of their own. A query without any candidate, or without components, has no row; an empty
     table gives none. Scores are exact as long as they fit a long. Other columns of df play no part.
 
-    Blocks are of bounded size and a task holds one of each side, so a task's memory does not grow with the data. The
+    Blocks are of fixed size (8,192 vectors at most on average of a cell's hash), whatever the table's, and a task holds one of each
+    side, or 2,048 outlines of blocks of either side; the driver holds none of them. The
     index is built once; pairs of blocks that can hold nothing are never brought together. Where no pair can
     be dropped, every query block meets every data block: that many scores are asked for then.
     """

@@ -204,3 +204,91 @@ def test_tokens_of_whole_tables(spark, sf_dir, tokens):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     got = registry.op12_token_counts(spark, sf_dir).collect()
     assert len(got) == len(texts) and all(r.n_tokens == tokens(texts[r.doc_id]) for r in got)
+
+
+# Faults of earlier operators
+
+
+def test_rows_repeated_whole_are_spread(spark):
+    """Half of all rows are one row: shards stay even in bytes, slots without gaps."""
+    from reconloom.llm import sharding
+
+    rows = [(7, "the same text", "en", "s", 0)] * 6000 + [(i, "t" * (i % 13), "en", "s", 0) for i in range(100, 3100)] + [(None, "no id", "en", "s", 0)] * 3000
+    got = sharding.shard(spark.createDataFrame(rows, DOC).repartition(5)).collect()
+    assert len(got) == len(rows)
+    sizes, places = {}, {}
+    for r in got:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r["size"]
+        places.setdefault(r.shard, []).append(r.slot)
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 0.01 * max(sizes.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert max(sum(1 for r in got if r.virtual_slot == s) for s in {r.virtual_slot for r in got}) < 30
+
+
+def test_ties_of_turns_do_not_tell_roles(spark):
+    """With all turn numbers equal, places and recovered roles are the same whether the table names roles or not."""
+    from reconloom.llm import chat
+
+    r = random.Random(2)
+    rows = [(c, 1, ["user", "assistant"][k % 2], f"{r.choice(['what is', 'here is', 'yes', 'no'])} {r.randrange(40)}?" if k % 2 == 0 else "a\n" * r.randrange(1, 4)) for c in range(40) for k in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat.train(df)
+    both = [d.select("conv_id", "position", "role", "chat").collect() for d in (chat.format_conversations(x, model, trust=False) for x in (df, df.withColumn("role", F.lit(None).cast("string"))))]
+    assert sorted(both[0]) == sorted(both[1])
+
+
+def test_penalty_comes_from_training_rows_alone(spark, monkeypatch):
+    """Labels of held-out rows change nothing: not the penalty, not the machine."""
+    import zlib
+
+    from reconloom.llm import toxicity
+
+    r = random.Random(4)
+    words = ["apple", "bread", "cloud", "delta", "engine", "forest", "grass", "house", "iron", "juice", "mud", "idiot", "fool"]
+    docs = [(i, " ".join(r.choice(words) for _ in range(12)), "en", "s", 0) for i in range(400)]
+    label = lambda flip: [(i, 0, int("idiot" in t and "fool" in t) ^ (flip and zlib.crc32(str(i).encode()) % 4 == 2)) for i, t, *_ in docs]
+    d = spark.createDataFrame(docs, DOC)
+    chosen = []
+    real = toxicity._go_on
+    monkeypatch.setattr(toxicity, "_go_on", lambda m, rows, y, seed, penalty=2e-2, *a, **k: chosen.append(penalty) or real(m, rows, y, seed, penalty, *a, **k))
+    scores = [sorted((x.doc_id, x.score) for x in toxicity.toxicity(d, toxicity.fit(toxicity.training_rows(d, spark.createDataFrame(label(f), "doc_id long, quality int, toxic int")))).collect()) for f in (False, True)]
+    assert scores[0] == scores[1] and len(set(chosen)) == 1 and chosen[0] in toxicity.PENALTIES
+
+
+def test_outlines_are_met_in_tiles(spark, monkeypatch):
+    """Many tiles of outlines give what one gives, and brute force."""
+    from reconloom.llm import cover_tree
+
+    g = np.random.default_rng(8)
+    x = g.normal(size=(900, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(cover_tree, "DATA_BLOCK", 20)
+    monkeypatch.setattr(cover_tree, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(cover_tree, "OUTLINES", 7)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in cover_tree.top_k(df, k=5).collect()}
+    w = np.floor(1024 * x)
+    for q in range(0, 900, 100):
+        s = w @ w[q]
+        order = sorted((-int(s[i]), i) for i in range(900) if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -v) for v, i in order]
+
+
+def test_entry_without_a_library(monkeypatch):
+    """A library that the subpackage needs is missing: the other queries are there."""
+    import builtins
+    import sys
+
+    import __spark_entry__ as e
+
+    real = builtins.__import__
+
+    def broken(name, *a, **k):
+        if name == "xxhash":
+            raise ModuleNotFoundError("No module named 'xxhash'", name="xxhash")
+        return real(name, *a, **k)
+
+    for m in [m for m in sys.modules if m.startswith("reconloom.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.setattr(builtins, "__import__", broken)
+    found = e.queries()
+    assert "score_overall" in found and "pipeline" not in found

@@ -128,30 +128,43 @@ def with_fee(sql: str) -> str:
 
 
 #: The adapter's rules in SQL.
-BASE = r"""WITH o AS (
-  SELECT o_orderkey AS k, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c, CAST(o_orderdate AS DATE) AS vd FROM orders),
+BASE = r"""WITH o0 AS (
+  SELECT o_orderkey AS k, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c, CAST(o_orderdate AS DATE) AS vd, (o_orderkey // 64) % 20 <= 7 AS crowd,
+    CASE WHEN (o_orderkey // 64) % 20 = 0 THEN (o_orderkey // 64) * 64 WHEN (o_orderkey // 64) % 20 <= 7 THEN (o_orderkey // 8) * 8 ELSE o_orderkey END AS lead FROM orders),
+o AS (SELECT *, 1000000 + (lead * 7919) % 40000000 + CASE WHEN k % 3 = 2 THEN 1 ELSE 0 END AS shared FROM o0),
 stmt AS (
-  SELECT k AS b_id, 'USD' AS ccy, 'ACC#' || (o_custkey % 7) AS account, CASE WHEN k % 2 = 0 THEN c ELSE -c END AS b_cents, vd AS b_vd,
+  SELECT k AS b_id, CASE WHEN lead % 11 = 0 THEN 'EUR' ELSE 'USD' END AS ccy, 'ACC#' || CASE WHEN crowd THEN (lead // 8) % 7 ELSE o_custkey % 7 END AS account,
+    CASE WHEN crowd THEN CASE WHEN (lead // 8) % 2 = 0 THEN shared ELSE -shared END WHEN k % 2 = 0 THEN c ELSE -c END AS b_cents,
+    CASE WHEN crowd THEN DATE '1995-01-01' + ((lead * 37) % 2400 + k % 5)::INT ELSE vd END AS b_vd,
     'ST' || (k % 1000) AS b_refs, 'TUP ' || (1000 + k % 9000) || '00' || (1000000 + k) || 'X/WAMP' AS b_attrs,
     'ST' || (k % 1000) || ' ' || 'TUP ' || (1000 + k % 9000) || '00' || (1000000 + k) || 'X/WAMP' AS b_text,
     CASE WHEN k % 97 = 0 THEN 'unmatchable' WHEN k % 25 = 0 THEN 'repeat' WHEN k % 41 = 0 THEN 'partition' WHEN k % 43 = 0 THEN 'neither' ELSE 'one_to_one' END AS class
   FROM o),
+t0 AS (SELECT *, sign(b_cents)::BIGINT AS sg, CASE class WHEN 'repeat' THEN b_id // 25 WHEN 'partition' THEN b_id // 41 ELSE b_id // 43 END AS turn FROM stmt),
+t1 AS (SELECT *, CASE class WHEN 'one_to_one' THEN 1 WHEN 'unmatchable' THEN 0 WHEN 'repeat' THEN 2 + turn % 3 WHEN 'partition' THEN 2 + turn % 19 ELSE 2 + turn % 5 END AS m FROM t0),
 l0 AS (
-  SELECT s.*, n, sign(b_cents)::BIGINT AS sg FROM stmt s, (VALUES (0), (1), (2), (9)) t(n)
-  WHERE (n = 0 AND class <> 'unmatchable') OR (n IN (1, 2) AND class IN ('repeat', 'partition', 'neither')) OR (n = 9 AND b_id % 3 <> 0)),
+  SELECT * EXCLUDE (i), CASE WHEN i < 9 THEN i ELSE i + 1 END AS n, i FROM (SELECT *, unnest(range(m)) AS i FROM t1)
+  UNION ALL SELECT *, 9, 9 FROM t1 WHERE b_id % 3 <> 0),
 l1 AS (
-  SELECT b_id * 10 + n AS a_id, b_id AS b_owner, n, ccy, account,
+  SELECT b_id * 100 + n AS a_id, b_id AS b_owner, n, ccy, account,
     CASE WHEN class = 'one_to_one' AND b_id % 10 = 3 THEN b_cents - sg * (abs(b_cents) // 50)
-         WHEN class = 'partition' THEN CASE WHEN n IN (0, 1) THEN sg * (abs(b_cents) // 3) ELSE b_cents - 2 * sg * (abs(b_cents) // 3) END
-         WHEN class = 'neither' THEN 2 * b_cents + 7 * (n + 1)
+         WHEN class = 'one_to_one' AND b_id % 10 = 7 AND n <> 9 THEN b_cents + sg
+         WHEN class = 'partition' AND turn % 3 = 0 AND n <> 9 THEN
+           CASE WHEN i = 0 THEN b_cents + (b_id % 2) * sg WHEN i % 2 = 1 THEN CASE WHEN i + 1 <= m - 1 THEN sg * (abs(b_cents) // 7) ELSE 0 END - CASE WHEN i = 1 THEN (b_id % 2) * sg ELSE 0 END ELSE -sg * (abs(b_cents) // 7) END
+         WHEN class = 'partition' AND n <> 9 THEN CASE WHEN i < m - 1 THEN sg * (abs(b_cents) // m) ELSE b_cents - (m - 1) * sg * (abs(b_cents) // m) END
+         WHEN class = 'neither' AND n <> 9 THEN 2 * b_cents + 7 * (n + 1)
          WHEN n = 9 AND b_id % 3 = 1 THEN b_cents + 100 + b_id % 1000
          ELSE b_cents END AS a_cents,
     CASE WHEN n = 9 AND b_id % 15 = 5 THEN b_vd WHEN b_id % 4 = 0 OR n = 9 THEN b_vd + ((b_id // 4) % 15 - 7)::INT ELSE b_vd END AS a_vd,
-    CASE WHEN n = 9 AND b_id % 15 = 5 THEN '01' ELSE '00' END || CASE WHEN n = 9 AND b_id % 15 <> 5 THEN 5000000 + (7 * b_id) % 1000000 ELSE 1000000 + b_id END AS a_ref
+    CASE WHEN n = 9 AND b_id % 15 = 5 THEN '01' ELSE '00' END || CASE WHEN n = 9 AND b_id % 15 <> 5 THEN 5000000 + (7 * b_id) % 1000000 ELSE 1000000 + b_id END AS a_ref,
+    CASE WHEN n = 9 AND b_id % 60 = 50 THEN '00' || 1000000 + b_id ELSE a_ref END AS kref,
+    CASE WHEN n = 9 AND b_id % 60 = 50 THEN 0 WHEN n = 9 THEN n WHEN class = 'repeat' AND turn % 4 = 0 THEN 0 WHEN class = 'repeat' AND turn % 4 = 2 THEN least(n, 1) WHEN (class = 'neither' AND turn % 3 = 0) OR (class = 'partition' AND turn % 6 = 0) THEN 0 ELSE n END AS key
   FROM l0),
-l2 AS (SELECT *, ccy || '_' || a_vd::VARCHAR || '_' || account || '_' || a_ref || '_' || n AS allocation FROM l1),
+l2 AS (SELECT * EXCLUDE (key, kref), ccy || '_' || a_vd::VARCHAR || '_' || account || '_' || kref || '_' || key AS allocation FROM l1),
 led AS (SELECT *, a_ref || ' TRN WAMP ' || allocation AS a_text FROM l2),
-gold AS (SELECT b_owner AS b_id, list_sort(list(DISTINCT allocation)) AS gold FROM led WHERE n <> 9 GROUP BY b_owner)"""
+gold AS (
+  SELECT b_owner AS b_id, list_sort(list(DISTINCT allocation)) AS gold FROM led
+  WHERE (n <> 9 AND NOT (b_owner % 53 = 0 AND n = 1)) OR (n = 9 AND b_owner % 59 = 0 AND b_owner % 97 <> 0) GROUP BY b_owner)"""
 
 CAND = BASE + r""",
 cand AS (
@@ -232,7 +245,7 @@ decided AS (
 posted AS (
   SELECT * REPLACE (dup_ref OR (NOT escalate AND (b_id % 50 IN (7, 11, 19) OR b_id % 11 = 0)) AS dup_ref,
     CASE WHEN escalate THEN answer_keys WHEN b_id % 50 IN (7, 11, 19, 21, 29) THEN [CASE b_id % 50 WHEN 7 THEN 'ALT_' WHEN 11 THEN 'OFF_' WHEN 19 THEN 'TWO_' WHEN 21 THEN 'FAR_' ELSE 'NIL_' END || b_id]
-         WHEN b_id % 50 = 31 THEN []::VARCHAR[] WHEN b_id % 50 = 37 THEN list_append(answer_keys, 'ALT_' || b_id) ELSE answer_keys END AS answer_keys) FROM decided),
+         WHEN b_id % 50 = 31 OR (topk_size = 1 AND b_id % 9 = 4) THEN []::VARCHAR[] WHEN b_id % 50 = 37 THEN list_append(answer_keys, 'ALT_' || b_id) ELSE answer_keys END AS answer_keys) FROM decided),
 judged AS (SELECT d.*, list_sort(answer_keys) = coalesce(gold, []::VARCHAR[]) AS ok FROM posted d LEFT JOIN gold ON gold.b_id = d.b_id)"""
 
 DRIFT = DECIDED + r""",

@@ -42,7 +42,7 @@ def worked_examples(spark, sf_dir):
     return regimes.worked_examples(_members(batch(spark, sf_dir)))
 
 
-_REC = _MEM + """, two AS (SELECT b_id FROM mem GROUP BY b_id HAVING count(*) >= 2), tg AS (SELECT b_id, 'USD_' || b_id % 500 AS k, a_id, a_cents, b_cents FROM mem WHERE b_id IN (SELECT b_id FROM two)),
+_REC = _MEM + """, two AS (SELECT b_id FROM mem GROUP BY b_id HAVING count(*) >= 2), tg AS (SELECT b_id, 'USD_' || b_id // 64 AS k, a_id, a_cents, b_cents FROM mem WHERE b_id IN (SELECT b_id FROM two)),
 ag AS (SELECT DISTINCT x.b_id, x.b_cents, y.a_id, y.a_cents FROM (SELECT DISTINCT b_id, b_cents, k FROM tg) x JOIN (SELECT * FROM tg) y ON x.k = y.k),
 sd AS (SELECT 't' AS s, b_id, b_cents, a_id, a_cents FROM tg UNION ALL SELECT 'r', b_id, b_cents, a_id, a_cents FROM ag),
 ss AS (SELECT s, b_id, CASE WHEN abs(sum(a_cents) - b_cents) <= 1 THEN 'partition' WHEN count_if(abs(a_cents - b_cents) <= 1) >= 1 THEN 'repeat' ELSE 'neither' END AS regime, round_even(count_if(abs(a_cents - b_cents) <= 1) / count(*), 1) AS fraction, list_sort(list(DISTINCT a_id)) AS ids FROM sd GROUP BY s, b_id, b_cents),
@@ -53,7 +53,7 @@ def _reconstruction(b):
     """Groups rebuilt through keys that several statements share."""
     mem = _members(b)
     two = mem.groupBy("b_id").count().filter("count >= 2").select("b_id")
-    true = mem.join(two, "b_id", "left_semi").withColumn("k", F.concat(F.lit("USD_"), (F.col("b_id") % 500).cast("string")))
+    true = mem.join(two, "b_id", "left_semi").withColumn("k", F.concat(F.lit("USD_"), F.floor(F.col("b_id") / 64).cast("string")))
     led = true.select(F.col("k").alias("allocation"), "a_id", "a_cents")
     keys = true.groupBy("b_id").agg(F.collect_set("k").alias("gold"))
     again = regimes.rebuilt(keys, led).join(true.select("b_id", "b_cents").distinct(), "b_id")
@@ -78,17 +78,18 @@ def group_shape(spark, sf_dir):
     return regimes.shapes(b.stmt, _members(b))
 
 
-@register("one_sided_groups", _MEM + " SELECT count(*) AS groups, count_if(m.b_id IS NULL) AS statement_only, count_if(s.b_id IS NULL) AS ledger_only FROM stmt s FULL JOIN (SELECT DISTINCT b_owner AS b_id FROM led WHERE n <> 9) m ON m.b_id = s.b_id")
+@register("one_sided_groups", _MEM + " SELECT count(*) AS groups, count_if(m.b_id IS NULL) AS statement_only, count_if(s.b_id IS NULL) AS ledger_only FROM (SELECT * FROM stmt WHERE b_id % 13 <> 0) s FULL JOIN (SELECT DISTINCT b_owner AS b_id FROM led WHERE n <> 9) m ON m.b_id = s.b_id")
 def one_sided_groups(spark, sf_dir):
+    """All ledger groups against statements of which, by rule, every thirteenth has not come in."""
     b = batch(spark, sf_dir)
-    return regimes.one_sided(b.stmt, _members(b))
+    return regimes.one_sided(b.stmt.filter("b_id % 13 <> 0"), b.led.filter("n <> 9").select(F.col("b_owner").alias("b_id")))
 
 
-@register("label_consistency", BASE + """, d AS (SELECT b_id % 300 AS match_id, CASE WHEN b_id % 7 = 0 THEN 'x' ELSE 'k' || (b_id % 300) END AS k FROM stmt)
+@register("label_consistency", BASE + """, d AS (SELECT b_id % 300 AS match_id, CASE WHEN b_id % 300 % 7 = 0 AND b_id // 300 % 2 = 0 THEN 'x' ELSE 'k' || (b_id % 300) END AS k FROM stmt)
 SELECT (SELECT count(DISTINCT match_id) FROM d) AS groups, (SELECT count(*) FROM (SELECT match_id FROM d GROUP BY match_id HAVING count(DISTINCT k) = 1)) AS groups_with_one_set, (SELECT count(DISTINCT k) FROM d) AS sets, (SELECT count(*) FROM (SELECT k FROM d GROUP BY k HAVING count(DISTINCT match_id) = 1)) AS sets_of_one_group""")
 def label_consistency(spark, sf_dir):
     k = F.col("b_id")
-    key = F.when(k % 7 == 0, "x").otherwise(F.concat(F.lit("k"), (k % 300).cast("string")))
+    key = F.when((k % 300 % 7 == 0) & (F.floor(k / 300) % 2 == 0), "x").otherwise(F.concat(F.lit("k"), (k % 300).cast("string")))
     return regimes.label_consistency(batch(spark, sf_dir).queries.select((k % 300).alias("match_id"), F.array(key).alias("keys")))
 
 

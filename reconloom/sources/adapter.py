@@ -1,29 +1,44 @@
 """Statement and ledger tables derived from orders, by whole-number rules on the order key.
 
 Orders and line items do not reconcile by themselves, so each order gives a statement row and, by its
-class, ledger rows that match it in one of several ways, plus decoys.
+class, ledger rows that match it in one of several ways, plus decoys. Two orders of five are paid in crowds: 8, or 64, orders in a row share
+account, currency, sign and (to a cent) amount within a few days, so that each finds the others' ledger rows among its candidates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconloom.functions.amounts import cents_of_double
 from reconloom.functions.keys import allocation_key
 
+#: Number of the ledger row that is a decoy; members are numbered from 0 and leave it out.
+DECOY = 9
+
+
+def _div(c: Column, by) -> Column:
+    return F.floor(c / by).cast("bigint")
+
 
 def statement(orders: DataFrame) -> DataFrame:
     """Side B: b_id, ccy, account, b_cents, b_vd, b_refs, b_attrs, b_text, class."""
     k = F.col("o_orderkey")
     c = cents_of_double("o_totalprice")
+    block = _div(k, 64) % 20
+    crowd = block <= 7
+    lead = F.when(block == 0, _div(k, 64) * 64).when(crowd, _div(k, 8) * 8).otherwise(k)
     kind = F.when(k % 97 == 0, "unmatchable").when(k % 25 == 0, "repeat").when(k % 41 == 0, "partition").when(k % 43 == 0, "neither").otherwise("one_to_one")
+    shared = (1_000_000 + (lead * 7919) % 40_000_000) + F.when(k % 3 == 2, 1).otherwise(0)
+    cents = F.when(crowd, F.when(_div(lead, 8) % 2 == 0, shared).otherwise(-shared)).when(k % 2 == 0, c).otherwise(-c)
+    day = F.date_add(F.lit("1995-01-01").cast("date"), ((lead * 37) % 2400 + k % 5).cast("int"))
+    account = F.when(crowd, _div(lead, 8) % 7).otherwise(F.col("o_custkey") % 7)
     return orders.select(
         k.alias("b_id"),
-        F.lit("USD").alias("ccy"),
-        F.concat(F.lit("ACC#"), (F.col("o_custkey") % 7).cast("string")).alias("account"),
-        F.when(k % 2 == 0, c).otherwise(-c).alias("b_cents"),
-        F.to_date("o_orderdate").alias("b_vd"),
+        F.when(lead % 11 == 0, "EUR").otherwise("USD").alias("ccy"),
+        F.concat(F.lit("ACC#"), account.cast("string")).alias("account"),
+        cents.cast("bigint").alias("b_cents"),
+        F.when(crowd, day).otherwise(F.to_date("o_orderdate")).alias("b_vd"),
         F.concat(F.lit("ST"), (k % 1000).cast("string")).alias("b_refs"),
         F.concat(F.lit("TUP "), (1000 + k % 9000).cast("string"), F.lit("00"), (1_000_000 + k).cast("string"), F.lit("X/WAMP")).alias("b_attrs"),
         kind.alias("class"),
@@ -31,31 +46,50 @@ def statement(orders: DataFrame) -> DataFrame:
 
 
 def ledger(stmt: DataFrame) -> DataFrame:
-    """Side A: a_id, b_owner, n, ccy, account, a_cents, a_vd, a_ref, allocation, a_text. n = 9 is a decoy; every fifteenth looks like a further part of the answer."""
-    k, b = F.col("b_id"), F.col("b_cents")
-    own = F.when(F.col("class") == "one_to_one", F.array(F.lit(0))).when(F.col("class") == "unmatchable", F.array().cast("array<int>")).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
-    rows = stmt.withColumn("n", F.explode(F.concat(own, F.when(k % 3 != 0, F.array(F.lit(9))).otherwise(F.array().cast("array<int>")))))
-    n = F.col("n")
-    third = F.signum(b).cast("bigint") * F.floor(F.abs(b) / 3)
+    """Side A: a_id, b_owner, n, ccy, account, a_cents, a_vd, a_ref, allocation, a_text. n = 9 is a decoy; every fifteenth looks like a further part of the answer.
+
+    Repeats have 2 to 4 rows, partitions 2 to 20, neithers 2 to 6; some of them share one key, as do some decoys with their row. A third of the partitions has the amount in
+    one row, or a cent more, and others that cancel out. Every tenth single row is a cent off, every tenth short of a fee.
+    """
+    k, b, kind = F.col("b_id"), F.col("b_cents"), F.col("class")
+    turn = F.when(kind == "repeat", _div(k, 25)).when(kind == "partition", _div(k, 41)).otherwise(_div(k, 43))
+    m = F.when(kind == "one_to_one", 1).when(kind == "unmatchable", 0).when(kind == "repeat", 2 + turn % 3).when(kind == "partition", 2 + turn % 19).otherwise(2 + turn % 5)
+    own = F.transform(F.sequence(F.lit(0), (m - 1).cast("int")), lambda i: F.when(i < DECOY, i).otherwise(i + 1))
+    own = F.when(m > 0, own).otherwise(F.array().cast("array<int>"))
+    rows = stmt.withColumns({"turn": turn, "m": m}).withColumn("n", F.explode(F.concat(own, F.when(k % 3 != 0, F.array(F.lit(DECOY))).otherwise(F.array().cast("array<int>")))))
+    n, turn, m = F.col("n"), F.col("turn"), F.col("m")
+    i, decoy, sign = F.when(n < DECOY, n).otherwise(n - 1), n == DECOY, F.signum(b).cast("bigint")
+    part, x, cent = sign * _div(F.abs(b), m), sign * _div(F.abs(b), 7), (k % 2) * sign
+    netted = (kind == "partition") & (turn % 3 == 0)
+    paired = F.when(i + 1 <= m - 1, x).otherwise(0)
     cents = (
-        F.when((F.col("class") == "one_to_one") & (k % 10 == 3), b - F.signum(b).cast("bigint") * F.floor(F.abs(b) / 50))
-        .when(F.col("class") == "partition", F.when(n.isin(0, 1), third).otherwise(b - 2 * third))
-        .when(F.col("class") == "neither", 2 * b + 7 * (n + 1))
-        .when((n == 9) & (k % 3 == 1), b + 100 + k % 1000)
+        F.when((kind == "one_to_one") & (k % 10 == 3), b - sign * _div(F.abs(b), 50))
+        .when((kind == "one_to_one") & (k % 10 == 7) & ~decoy, b + sign)
+        .when(netted & ~decoy, F.when(i == 0, b + cent).when(i == 1, paired - cent).when(i % 2 == 1, paired).otherwise(-x))
+        .when((kind == "partition") & ~decoy, F.when(i < m - 1, part).otherwise(b - (m - 1) * part))
+        .when((kind == "neither") & ~decoy, 2 * b + 7 * (n + 1))
+        .when(decoy & (k % 3 == 1), b + 100 + k % 1000)
         .otherwise(b)
     ).cast("bigint")
-    alike = (n == 9) & (k % 15 == 5)
+    alike = decoy & (k % 15 == 5)
     shift = (F.floor(k / 4) % 15 - 7).cast("int")
-    vd = F.when(alike, F.col("b_vd")).when((k % 4 == 0) | (n == 9), F.date_add("b_vd", shift)).otherwise(F.col("b_vd"))
-    ref = F.concat(F.when(alike, "01").otherwise("00"), F.when((n == 9) & ~alike, 5_000_000 + (7 * k) % 1_000_000).otherwise(1_000_000 + k).cast("string"))
-    out = rows.select((k * 10 + n).alias("a_id"), k.alias("b_owner"), "n", "ccy", "account", cents.alias("a_cents"), vd.alias("a_vd"), ref.alias("a_ref"))
-    out = out.withColumn("allocation", allocation_key("ccy", F.col("a_vd").cast("string"), "account", F.concat_ws("_", "a_ref", F.col("n").cast("string"))))
+    vd = F.when(alike, F.col("b_vd")).when((k % 4 == 0) | decoy, F.date_add("b_vd", shift)).otherwise(F.col("b_vd"))
+    ref = F.concat(F.when(alike, "01").otherwise("00"), F.when(decoy & ~alike, 5_000_000 + (7 * k) % 1_000_000).otherwise(1_000_000 + k).cast("string"))
+    twin = decoy & (k % 60 == 50)  # alike, and under the very key of the row that it looks like
+    key = F.when(twin, 0).when(decoy, n).when((kind == "repeat") & (turn % 4 == 0), 0).when((kind == "repeat") & (turn % 4 == 2), F.least(n, F.lit(1))).when((kind == "neither") & (turn % 3 == 0) | netted & (turn % 2 == 0), 0).otherwise(n)
+    out = rows.select((k * 100 + n).alias("a_id"), k.alias("b_owner"), "n", "ccy", "account", cents.alias("a_cents"), vd.alias("a_vd"), ref.alias("a_ref"), F.concat_ws("_", F.when(twin, F.concat(F.lit("00"), (1_000_000 + k).cast("string"))).otherwise(ref), key.cast("int").cast("string")).alias("_key"))
+    out = out.withColumn("allocation", allocation_key("ccy", F.col("a_vd").cast("string"), "account", "_key")).drop("_key")
     return out.withColumn("a_text", F.concat_ws(" ", "a_ref", F.lit("TRN WAMP"), "allocation"))
 
 
 def gold(led: DataFrame) -> DataFrame:
-    """(b_id, gold): the keys of the rows of an order that are no decoys; orders without any do not appear."""
-    return led.filter("n <> 9").groupBy(F.col("b_owner").alias("b_id")).agg(F.array_sort(F.collect_set("allocation")).alias("gold"))
+    """(b_id, gold): the labels: keys of an order's rows that are no decoys; orders without any do not appear.
+
+    Labels are not perfect: by rule some lack the key of the second row, and some have the decoy's besides.
+    """
+    k, n = F.col("b_owner"), F.col("n")
+    told = (n != DECOY) & ~((k % 53 == 0) & (n == 1)) | (n == DECOY) & (k % 59 == 0) & (k % 97 != 0)
+    return led.filter(told).groupBy(k.alias("b_id")).agg(F.array_sort(F.collect_set("allocation")).alias("gold"))
 
 
 #: Posting errors by b_id mod 50: prefix of the key posted instead, or None for none at all. FURTHER is posted beside the answer.
@@ -77,6 +111,8 @@ def price_rows(stmt: DataFrame) -> DataFrame:
 def misposted(decided: DataFrame) -> DataFrame:
     """decided with errors in what the automatic closes post: some keys are others, missing or too many, and some references repeat.
 
+    Where a row has one candidate nothing is posted for a ninth of them, so that a gate on crowded pools escalates the wrong rows.
+
     The derived tables reconcile so well that no automatic close would be wrong otherwise, and measures of error would measure nothing.
     """
     r = F.col("b_id") % 50
@@ -84,6 +120,7 @@ def misposted(decided: DataFrame) -> DataFrame:
     answer = F.when(F.col("escalate"), F.col("answer_keys"))
     for at, p in MISPOSTED.items():
         answer = answer.when(r == at, F.array(key(p)) if p else F.array().cast("array<string>"))
+    answer = answer.when((F.col("topk_size") == 1) & (F.col("b_id") % 9 == 4), F.array().cast("array<string>"))
     answer = answer.when(r == FURTHER, F.concat("answer_keys", F.array(key("ALT")))).otherwise(F.col("answer_keys"))
     return decided.withColumns({"answer_keys": answer, "dup_ref": F.col("dup_ref") | (~F.col("escalate") & (r.isin(7, 11, 19) | (F.col("b_id") % 11 == 0)))})
 

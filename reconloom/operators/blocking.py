@@ -1,7 +1,7 @@
 """Blocking: which ledger rows a statement row can be matched with.
 
-The amount is part of the equality key wherever there is a tolerance on it. One currency and one account
-may hold all rows, so that a join on those alone would put all rows in one task.
+Amount and date are part of the equality key: joins go by cells of both. One currency, one account, one amount
+may hold half of all rows; a cell that they fill is cut into a grid.
 """
 
 from __future__ import annotations
@@ -21,61 +21,99 @@ def in_window(low: int = -7, high: int = 7) -> Column:
     return F.datediff("a_vd", "b_vd").between(low, high)
 
 
-def band_join(b: DataFrame, a: DataFrame, tolerance: int = 1, low: int = -7, high: int = 7) -> DataFrame:
+#: Rows of one side that a cell may hold before it is cut, and heavy cells up to which their list is broadcast.
+CELL, HEAVY = 20_000, 100_000
+
+
+def heavy_cells(b: DataFrame, a: DataFrame, key: list[str], most: int) -> DataFrame:
+    """(key, _ka, _kb): the cells with more than `most` rows of a side, and into how many parts each side is cut. Counted, a row a cell."""
+    n = lambda d, name: d.groupBy(*key).agg(F.count("*").alias(name))
+    parts = lambda c: F.ceil(F.col(c) / most).cast("int")
+    both = n(b, "_nb").join(n(a, "_na"), key)
+    return both.filter(F.greatest("_na", "_nb") > most).select(*key, parts("_na").alias("_ka"), parts("_nb").alias("_kb"))
+
+
+def dealt(b: DataFrame, a: DataFrame, key: list[str], most: int = CELL) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(b, a, join key): both sides dealt to cells, where a cell of too many rows is a grid: each side is cut into parts, and repeated for the other's.
+
+    A row of a heavy cell is in one part of its own side and meets all parts of the other, so every pair meets once, and no cell of the
+    grid holds more than about `most` rows of either side. The number of heavy cells is at most the rows divided by `most`; they are looked for
+    first, and where there are none the sides stay as they are.
+    """
+    heavy = heavy_cells(b, a, key, most).persist()
+    n = heavy.count()
+    if not n:
+        heavy.unpersist()
+        return b, a, key
+    heavy = F.broadcast(heavy) if n <= HEAVY else heavy
+    one = lambda c: F.coalesce(c, F.lit(1))
+    every = lambda c: F.explode(F.sequence(F.lit(0), one(F.col(c)) - 1))
+    part = lambda i, c: F.pmod(F.xxhash64(i), one(F.col(c))).cast("int")
+    left = b.join(heavy, key, "left").withColumn("_pb", part("b_id", "_kb")).withColumn("_pa", every("_ka")).drop("_ka", "_kb")
+    right = a.join(heavy, key, "left").withColumn("_pa", part("a_id", "_ka")).withColumn("_pb", every("_kb")).drop("_ka", "_kb")
+    return left, right, [*key, "_pa", "_pb"]
+
+
+def cell_join(b: DataFrame, a: DataFrame, accepts: Column, cell: Column, keep: Column, low: int, high: int, most: int = CELL) -> DataFrame:
+    """b ⋈ a by cells of amount and date; all columns of both.
+
+    accepts: the amount cells that a statement row looks in (an array of different numbers); cell: the one of a ledger row. Dates are cut into
+    spans as long as the window, of which a statement row looks in two; a window of over a year is one span. So a pair has one cell, and comes
+    once. `keep` is the exact predicate on amounts.
+    """
+    span = high - low + 1
+    look, own = (F.array(F.lit(0).cast("long")), F.lit(0).cast("long")) if span > 400 else (F.sequence(F.floor((F.unix_date("b_vd") + low) / span), F.floor((F.unix_date("b_vd") + high) / span)), F.floor(F.unix_date("a_vd") / span))
+    keyed = b.withColumn("_c", F.explode(accepts)).withColumn("_d", F.explode(look))
+    other = a.withColumn("_c", cell).withColumn("_d", own)
+    keyed, other, key = dealt(keyed, other, [*BLOCK, "_c", "_d"], most)
+    return keyed.join(other, key).filter(keep & in_window(low, high)).drop(*key[len(BLOCK) :])
+
+
+def band_join(b: DataFrame, a: DataFrame, tolerance: int = 1, low: int = -7, high: int = 7, most: int = CELL) -> DataFrame:
     """b ⋈ a on block, amount within `tolerance` cents, date within the window; all columns of both.
 
     The statement row is repeated for each amount that it accepts, which makes the join one of equality;
     wider tolerances use buckets two tolerances wide, where a row has two neighbours at most.
     """
     if tolerance <= 4:
-        keyed = b.withColumn("_c", F.explode(F.sequence(F.col("b_cents") - tolerance, F.col("b_cents") + tolerance)))
-        other = a.withColumn("_c", F.col("a_cents"))
+        accepts, cell = F.sequence(F.col("b_cents") - tolerance, F.col("b_cents") + tolerance), F.col("a_cents")
     else:
         width = 2 * tolerance
-        keyed = b.withColumn("_c", F.explode(F.array_distinct(F.array(F.floor((F.col("b_cents") - tolerance) / width), F.floor((F.col("b_cents") + tolerance) / width)))))
-        other = a.withColumn("_c", F.floor(F.col("a_cents") / width))
-    joined = keyed.join(other, [*BLOCK, "_c"]).drop("_c")
-    return joined.filter((F.abs(F.col("a_cents") - F.col("b_cents")) <= tolerance) & in_window(low, high))
+        accepts, cell = F.sequence(F.floor((F.col("b_cents") - tolerance) / width), F.floor((F.col("b_cents") + tolerance) / width)), F.floor(F.col("a_cents") / width)
+    return cell_join(b, a, accepts, cell, F.abs(F.col("a_cents") - F.col("b_cents")) <= tolerance, low, high, most)
 
 
-def ratio_join(b: DataFrame, a: DataFrame, predicate: Column, low: int = -7, high: int = 7) -> DataFrame:
-    """b ⋈ a where amounts are of one sign and within 6 % of each other, or 2 cents, and `predicate` holds.
+def _step(c: Column) -> Column:
+    """The amount's step on a scale of 8 % around 0 and up, the sign kept; never falls with the amount."""
+    return F.signum(c).cast("long") * F.floor(F.log1p(F.abs(c).cast("double") / 50) / 0.08)
 
-    Buckets are steps of 8 % in the logarithm of the amount; a statement row looks in its own and both neighbours, which covers 6 % either way.
-    Dates are cut into spans as long as the window, so that a row meets those of two spans, not of all years. A ledger row
-    has one bucket, and the buckets of a statement row are distinct, so no pair comes twice.
-    """
-    step = 0.08
 
-    def bucket(c: str) -> Column:
-        return F.floor(F.log(F.abs(F.col(c)).cast("double") + 50) / step)
+def range_join(b: DataFrame, a: DataFrame, lowest: Column, highest: Column, keep: Column, low: int = -7, high: int = 7, most: int = CELL) -> DataFrame:
+    """b ⋈ a where the ledger amount is between lowest and highest (whole cents, of b's columns) and `keep` holds.
 
-    sign = lambda c: F.when(F.abs(F.col(c)) <= 2, 0).otherwise(F.signum(F.col(c))).cast("int")
-    near = F.array(*[bucket("b_cents") + i for i in (-1, 0, 1)])
-    keyed = b.withColumn("_s", F.explode(F.array_distinct(F.array(sign("b_cents"), F.signum("b_cents").cast("int"), F.when(F.abs("b_cents") <= 4, 0).otherwise(sign("b_cents")))))).withColumn("_k", F.explode(near))
-    other = a.withColumn("_s", sign("a_cents")).withColumn("_k", bucket("a_cents"))
-    span = high - low + 1
-    day = lambda c: F.unix_date(c)
-    keyed = keyed.withColumn("_d", F.explode(F.sequence(F.floor((day("b_vd") + low) / span), F.floor((day("b_vd") + high) / span))))
-    other = other.withColumn("_d", F.floor(day("a_vd") / span))
-    return keyed.join(other, [*BLOCK, "_s", "_k", "_d"]).filter(predicate & in_window(low, high)).drop("_s", "_k", "_d")
+    Cells are steps of the logarithm; a statement row looks in those from its lowest amount's to its highest amount's, two or three for a few percent.
+    """
+    return cell_join(b, a, F.sequence(_step(lowest), _step(highest)), _step(F.col("a_cents")), keep, low, high, most)
 
 
-def fee_candidates(b: DataFrame, a: DataFrame, tolerance: int = 1) -> DataFrame:
+def fee_candidates(b: DataFrame, a: DataFrame, tolerance: int = 1, most: int = CELL) -> DataFrame:
     """Exact amounts and amounts less a fee of at most 5 %."""
-    return ratio_join(b, a, fee_band(F.col("a_cents"), F.col("b_cents"), tolerance))
+    c = F.col("b_cents")
+    fee = F.floor(F.abs(c) / 20) + 1
+    ends = (F.when(c > 0, c - fee).otherwise(c) - tolerance, F.when(c < 0, c + fee).otherwise(c) + tolerance)
+    return range_join(b, a, *ends, fee_band(F.col("a_cents"), c, tolerance), most=most)
 
 
-def tolerance_candidates(b: DataFrame, a: DataFrame) -> DataFrame:
-    """Pairs at the widest tolerance, with a flag for each tolerance: in_exact, in_c1, in_c100, in_r01, in_r1, in_r5.
+def tolerance_candidates(b: DataFrame, a: DataFrame, most: int = CELL) -> DataFrame:
+    """(b_id, a_id, b_cents, a_cents): pairs at the widest tolerance, with a flag for each tolerance: in_exact, in_c1, in_c100, in_r01, in_r1, in_r5.
 
-    A row can be in at 1.00 although it is out at 5 %, so small amounts are joined by cents.
+    A row can be in at 1.00 although it is out at 5 %, so the range is the wider of both; one join, and no pair comes twice.
     """
-    flags = {f"in_{n}": tolerated(F.col("a_cents"), F.col("b_cents"), c, p) for n, c, p in TOLERANCES}
-    wide = ratio_join(b, a, flags["in_r5"])
-    near = band_join(b, a, 100)
-    pairs = wide.select("b_id", "a_id", "b_cents", "a_cents").unionByName(near.select("b_id", "a_id", "b_cents", "a_cents")).distinct()
-    return pairs.withColumns(flags)
+    c = F.col("b_cents")
+    reach = F.greatest(F.lit(100), F.floor(F.abs(c) / 20) + 1)
+    flags = {f"in_{n}": tolerated(F.col("a_cents"), c, cents, p) for n, cents, p in TOLERANCES}
+    near = range_join(b.select("b_id", *BLOCK, "b_cents", "b_vd"), a.select("a_id", *BLOCK, "a_cents", "a_vd"), c - reach, c + reach, flags["in_r5"] | flags["in_c100"], most=most)
+    return near.select("b_id", "a_id", "b_cents", "a_cents").withColumns(flags)
 
 
 def date_pool_sizes(b: DataFrame, a: DataFrame, low: int = -7, high: int = 7) -> DataFrame:

@@ -62,11 +62,54 @@ def accepted_keys(feats: DataFrame, percent: Column, threshold: int = 50) -> Dat
     return rows.groupBy("b_id").agg(ordered.alias("added"))
 
 
-def sweep(feats: DataFrame, percent: Column, tops: DataFrame, gold: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Correct answers at each threshold (column t; above 100 is off). tops: every b_id with its top key or null."""
-    p = feats.withColumn("p", percent).select("b_id", "key", "p")
-    added = p.join(F.broadcast(thresholds), F.col("p") >= F.col("t")).groupBy("t", "b_id").agg(F.collect_set("key").alias("added"))
-    base = tops.join(gold, "b_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<string>"))).crossJoin(F.broadcast(thresholds))
+#: A threshold above every percent: completion is off.
+OFF = 200
+
+
+def correct_between(feats: DataFrame, percent: Column, tops: DataFrame, gold: DataFrame) -> DataFrame:
+    """(b_id, gold, above, upto): the thresholds at which a row's answer is its label: those over `above` up to `upto`; none if upto <= above.
+
+    tops: every b_id with its top key or null. A key is in the answer at thresholds up to its percent. So the answer is right from the
+    percent of the surest wrong key on, to that of the least sure right one. A row is read once, whatever the number of thresholds.
+    """
+    keys = feats.withColumn("p", percent).groupBy("b_id").agg(F.collect_list(F.struct("key", "p")).alias("found"))  # at most four
+    none = F.array().cast("array<string>")
+    d = tops.join(gold, "b_id", "left").withColumn("gold", F.coalesce("gold", none)).join(keys, "b_id", "left")
+    found = F.coalesce("found", F.array().cast("array<struct<key:string,p:int>>"))
+    wrong = F.array_max(F.transform(F.filter(found, lambda x: ~F.array_contains("gold", x["key"])), lambda x: x["p"]))
+    rest = F.array_except("gold", F.array("top_key"))
+    of = lambda g: F.coalesce(F.array_max(F.transform(F.filter(found, lambda x: x["key"] == g), lambda x: x["p"])), F.lit(-1))
+    least = F.array_min(F.transform(rest, of))
+    never, always = F.lit(-1), F.lit(1 << 20)
+    upto = F.when(F.col("top_key").isNull(), F.when(F.size("gold") == 0, always).otherwise(never)).when(~F.array_contains("gold", F.col("top_key")), never).otherwise(F.coalesce(least, always))
+    above = F.when(F.col("top_key").isNull(), never).otherwise(F.coalesce(wrong, never))
+    return d.select("b_id", "gold", above.cast("int").alias("above"), upto.cast("int").alias("upto"))
+
+
+def right_at(t: int | Column) -> Column:
+    """Whether a row of `correct_between` is right at a threshold."""
+    t = F.lit(t) if isinstance(t, int) else t
+    return (F.col("above") < t) & (t <= F.col("upto"))
+
+
+def sweep(intervals: DataFrame, thresholds: tuple[int, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, t, correct, rows, gained, lost): at each threshold, how many rows are right, and how many only with or only without completion.
+
+    Rows are counted by where among the thresholds their interval begins and ends; only this table, of a few dozen rows a group, meets
+    the thresholds.
+    """
+    ts = sorted(thresholds)
+    place = lambda c: F.size(F.filter(F.array(*[F.lit(t) for t in ts]), lambda t: t <= F.col(c)))
+    bins = intervals.groupBy(*by, place("above").alias("i"), place("upto").alias("j"), right_at(OFF).alias("off")).agg(F.count("*").alias("n"))
+    at = bins.select("*", F.posexplode(F.array(*[F.lit(t) for t in ts])).alias("k", "t"))
+    on = (F.col("i") <= F.col("k")) & (F.col("k") < F.col("j"))
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return at.groupBy(*by, "t").agg(n(on).alias("correct"), F.sum("n").alias("rows"), n(on & ~F.col("off")).alias("gained"), n(~on & F.col("off")).alias("lost"))
+
+
+def answers(feats: DataFrame, percent: Column, tops: DataFrame, t: int) -> DataFrame:
+    """(b_id, keys): the sorted answer of each row at one threshold."""
+    added = feats.withColumn("p", percent).filter(F.col("p") >= t).groupBy("b_id").agg(F.collect_set("key").alias("added"))  # at most four
     none = F.array().cast("array<string>")
     answer = F.when(F.col("top_key").isNull(), none).otherwise(F.array_union(F.array("top_key"), F.coalesce("added", none)))
-    return base.join(added, ["t", "b_id"], "left").withColumn("answer", F.array_sort(answer)).withColumn("ok", F.col("answer") == F.array_sort("gold"))
+    return tops.join(added, "b_id", "left").select("b_id", F.array_sort(answer).alias("keys"))

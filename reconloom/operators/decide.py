@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconloom.functions.keys import encode_keys
@@ -87,26 +87,44 @@ def exceptions(decided: DataFrame) -> DataFrame:
 
 
 def grid(base: DataFrame, gold: DataFrame, top1s: list[float], margins: list[float]) -> DataFrame:
-    """For each pair of thresholds: how often low_confidence fires, alone too, coverage and precision; labels enter here only to tune on training rows."""
+    """For each pair of thresholds: how often low_confidence fires, alone too, coverage and precision; labels enter here only to tune on training rows.
+
+    A row is binned once: by how many thresholds of either kind it reaches. It passes a pair of thresholds if it reaches both, so the counts
+    are sums over all bins from there on, of a table with a row for each bin and kind, whatever the number of rows.
+    """
     spark = base.sparkSession
-    points = spark.createDataFrame([(t, m) for t in top1s for m in margins], "min_top1 double, min_margin double")
+    top1s, margins = sorted(set(top1s)), sorted(set(margins))
     none = F.array().cast("array<string>")
-    rows = base.join(gold, "b_id", "left").select("has", "top1", "margin", "exact1", "added_count", (F.array_sort("answer_keys") == F.array_sort(F.coalesce("gold", none))).alias("ok"))
+    ok = F.array_sort("answer_keys") == F.array_sort(F.coalesce("gold", none))
     others = ~F.col("has") | (F.col("added_count") > 0) | (F.col("has") & ~F.col("exact1"))
-    x = rows.withColumn("others", others).crossJoin(F.broadcast(points))
-    low = F.coalesce(F.col("has") & ((F.col("top1") < F.col("min_top1")) | (F.col("margin") < F.col("min_margin"))), F.lit(False))
-    x = x.withColumn("low", low).withColumn("auto", ~(F.col("others") | low))
-    n = lambda c: F.count_if(c)
+    reached = lambda c, ts: F.size(F.filter(F.array(*[F.lit(float(t)) for t in ts]), lambda t: F.coalesce(F.col(c) >= t, F.lit(True))))
+    # Rows without a candidate are never low; nor is a null score or margin.
+    bin_ = lambda c, ts: F.when(F.col("has"), reached(c, ts)).otherwise(len(ts))
+    rows = base.join(gold, "b_id", "left").select(bin_("top1", top1s).alias("i"), bin_("margin", margins).alias("j"), others.alias("others"), ok.alias("ok"))
+    sums = {"n": F.count("*"), "ok": F.count_if("ok"), "auto": F.count_if(~F.col("others")), "auto_ok": F.count_if(~F.col("others") & F.col("ok"))}
+    bins = rows.groupBy("i", "j").agg(*[c.alias(k) for k, c in sums.items()])
+    # The lattice: one more place than thresholds, as a row may reach none. Sums from each place on, first along one axis, then along the other.
+    lattice = spark.createDataFrame([(i, j) for i in range(len(top1s) + 1) for j in range(len(margins) + 1)], "i int, j int")
+    full = lattice.join(F.broadcast(bins), ["i", "j"], "left").na.fill(0)  # as many rows as the lattice
+    for axis, other in (("i", "j"), ("j", "i")):
+        w = Window.partitionBy(other).orderBy(F.desc(axis)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        full = full.select("i", "j", *[F.sum(k).over(w).alias(k) for k in sums])
+    at = full.filter("i > 0 and j > 0").select(F.element_at(F.array(*[F.lit(float(t)) for t in top1s]), F.col("i")).alias("min_top1"), F.element_at(F.array(*[F.lit(float(m)) for m in margins]), F.col("j")).alias("min_margin"), *sums)
+    whole = full.filter("i = 0 and j = 0").select(*[F.col(k).alias(f"all_{k}") for k in sums])
+    x = at.crossJoin(F.broadcast(whole))  # one row
     pc = lambda a, b: F.round(F.try_divide(a * 100.0, b), 3)
-    only = F.col("low") & ~F.col("others")
-    return x.groupBy("min_top1", "min_margin").agg(
-        n(F.col("low")).alias("lc_fired"),
-        pc(n(F.col("low") & F.col("ok")), n(F.col("low"))).alias("lc_correct_pct"),
-        n(only).alias("lc_only"),
-        pc(n(only & F.col("ok")), n(only)).alias("lc_only_correct_pct"),
-        n(F.col("auto")).alias("auto_closed"),
-        pc(n(F.col("auto")), F.count("*")).alias("auto_coverage_pct"),
-        pc(n(F.col("auto") & F.col("ok")), n(F.col("auto"))).alias("auto_precision_pct"),
+    c = F.col
+    low, low_ok, only, only_ok = c("all_n") - c("n"), c("all_ok") - c("ok"), c("all_auto") - c("auto"), c("all_auto_ok") - c("auto_ok")
+    return x.select(
+        "min_top1",
+        "min_margin",
+        low.alias("lc_fired"),
+        pc(low_ok, low).alias("lc_correct_pct"),
+        only.alias("lc_only"),
+        pc(only_ok, only).alias("lc_only_correct_pct"),
+        c("auto").alias("auto_closed"),
+        pc(c("auto"), c("all_n")).alias("auto_coverage_pct"),
+        pc(c("auto_ok"), c("auto")).alias("auto_precision_pct"),
     )
 
 

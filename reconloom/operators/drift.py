@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reconloom.functions.amounts import amount_bucket, percent
 from reconloom.functions.keys import stratum
+from reconloom.operators.quantiles import quantiles
 
 #: Fixed value: points of coverage a refused filter cost for a point of precision: the yardstick of the verdict.
 REFUSED_RATE = 31.36
@@ -108,8 +109,8 @@ def computability(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """One row: keys with one and with several amounts; rows exact, bounded, with keys without price; widths of intervals."""
     k = prices.agg(F.count_if(F.col("n_amounts") == 1).alias("keys_one_amount"), F.count_if(F.col("n_amounts") > 1).alias("keys_more_amounts"))
     width = F.when(~F.col("exact"), F.col("drift_hi") - F.col("drift_lo"))
-    r = rows.agg(F.count_if("exact").alias("exact_rows"), F.count_if(~F.col("exact")).alias("bounded_rows"), F.count_if(F.col("unpriceable") > 0).alias("unpriceable_rows"), F.median(width).alias("width_median"), F.max(width).alias("width_max"))
-    return k.crossJoin(F.broadcast(r))
+    r = rows.agg(F.count_if("exact").alias("exact_rows"), F.count_if(~F.col("exact")).alias("bounded_rows"), F.count_if(F.col("unpriceable") > 0).alias("unpriceable_rows"), F.max(width).alias("width_max"))
+    return k.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(quantiles(rows, width, {"width_median": 0.5})))  # a row each
 
 
 def outcomes(rows: DataFrame) -> DataFrame:

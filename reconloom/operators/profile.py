@@ -6,19 +6,37 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reconloom.functions.amounts import percent, rate
+from reconloom.operators.quantiles import quantiles
+
+
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """(i, n_unique): how many different values each column of df has, by its place; columns without any do not appear.
+
+    Every value becomes a row (place, value), and equal ones are one again within their task, then over all, before they are counted. What
+    moves is a row for each different value of a task, however many columns there are, and no row holds more than one column.
+    Values of over 64 bytes go as their SHA-256 and length.
+    """
+    value = lambda c: F.to_json(F.struct(F.col(c).alias("v"))) if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(c).cast("string")
+    short = lambda v: F.when(F.octet_length(v) <= 64, v).otherwise(F.concat(F.sha2(v, 256), F.lit(":"), F.octet_length(v).cast("string")))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.when(F.col(c).isNotNull(), short(value(c))).alias("v")) for i, c in enumerate(df.columns)])).alias("x")).select("x.*")
+    return long.filter("v is not null").groupBy("i", "v").agg(F.lit(1).alias("one")).groupBy("i").agg(F.count("*").alias("n_unique"))
 
 
 def schema_profile(df: DataFrame, order: str) -> DataFrame:
-    """(column, type, rows, nulls, null_pct, n_unique, first) of every column, from one pass; first is the value, as text, of the least `order` that has one."""
+    """(column, type, rows, nulls, null_pct, n_unique, first) of every column; first is the value, as text, of the least `order` that has one.
+
+    One pass for what is summed, one for the different values. Floating-point numbers are told apart as they are written.
+    """
     aggs = [F.count("*").alias("_n")]
     for i, c in enumerate(df.columns):
-        aggs += [F.count(c).alias(f"_c{i}"), F.count_distinct(c).alias(f"_u{i}"), F.min_by(F.col(c).cast("string"), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_f{i}")]
+        aggs += [F.count(c).alias(f"_c{i}"), F.min_by(F.col(c).cast("string"), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_f{i}")]
     one = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("_n").alias("rows"), (F.col("_n") - F.col(f"_c{i}")).alias("nulls"), F.col(f"_u{i}").alias("n_unique"), F.col(f"_f{i}").alias("first")) for i, (c, t) in enumerate(df.dtypes)])
-    d = one.select(F.explode(rows).alias("r")).select("r.*")
-    return d.withColumn("null_pct", percent(F.col("nulls"), F.col("rows")))
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("_n").alias("rows"), (F.col("_n") - F.col(f"_c{i}")).alias("nulls"), F.col(f"_f{i}").alias("first")) for i, (c, t) in enumerate(df.dtypes)])
+    d = one.select(F.explode(rows).alias("r")).select("r.*").join(F.broadcast(distinct_counts(df)), "i", "left")  # a row for each column
+    return d.withColumns({"n_unique": F.coalesce("n_unique", F.lit(0)), "null_pct": percent(F.col("nulls"), F.col("rows"))}).drop("i")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -42,9 +60,8 @@ def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, sample deviation, min, quartiles, max."""
-    q = F.percentile(column, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    d = df.agg(F.count(column).alias("count"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_samp(column), 4).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"))
-    return d.select("count", "mean", "std", "min", *[F.round(F.get("q", F.lit(i)), 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))], "max")
+    d = df.agg(F.count(column).alias("count"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_samp(column), 4).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    return d.crossJoin(F.broadcast(quantiles(df, column, {"q1": 0.25, "median": 0.5, "q3": 0.75}, digits=4)))  # a row each
 
 
 def fill_rate(df: DataFrame, columns: list[str], side: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reconloom.functions.amounts import percent, rate
 from reconloom.functions.keys import canonical
+from reconloom.operators.quantiles import quantiles
 
 
 def regime(total: Column, equal: Column, b_cents: Column) -> Column:
@@ -25,10 +26,9 @@ def group_sums(members: DataFrame) -> DataFrame:
 
 def residuals_by_shape(groups: DataFrame) -> DataFrame:
     """By number of ledger rows (4 stands for more): how far sums are from the amount: exact to a cent, within one unit, median, 95th percentile, largest."""
-    r = F.col("residual")
-    return groups.groupBy(F.least("n_a", F.lit(4)).alias("shape")).agg(
-        F.count("*").alias("rows"), percent(F.count_if(r <= 1), F.count("*")).alias("exact_pct"), percent(F.count_if(r <= 100), F.count("*")).alias("within_unit_pct"), F.median(r).alias("median"), F.round(F.percentile(r, F.lit(0.95)), 4).alias("p95"), F.max(r).alias("largest")
-    )
+    r, d = F.col("residual"), groups.withColumn("shape", F.least("n_a", F.lit(4)))
+    sums = d.groupBy("shape").agg(F.count("*").alias("rows"), percent(F.count_if(r <= 1), F.count("*")).alias("exact_pct"), percent(F.count_if(r <= 100), F.count("*")).alias("within_unit_pct"), F.max(r).alias("largest"))
+    return sums.join(quantiles(d, "residual", {"median": 0.5, "p95": 0.95}, ["shape"], 4), "shape")
 
 
 def regime_shares(groups: DataFrame) -> DataFrame:
@@ -72,10 +72,10 @@ def shapes(stmt: DataFrame, members: DataFrame) -> DataFrame:
     n = members.groupBy("b_id").agg(F.count("*").alias("n_a"), F.sum("a_cents").alias("total"))
     d = stmt.select("b_id", "b_cents").join(n, "b_id", "full").na.fill(0, ["n_a", "total"])
     clip = F.when(F.col("n_a") >= 10, "10+").when(F.col("n_a") >= 3, "3+").otherwise(F.col("n_a").cast("string"))
-    r = F.abs(F.col("total") - F.col("b_cents"))
-    q = F.percentile(r, F.array(F.lit(0.5), F.lit(0.95)))
-    g = d.groupBy(F.concat(clip, F.lit(":1")).alias("shape")).agg(F.count("*").alias("groups"), F.count_if(r <= 1).alias("exact"), F.count_if(r <= 100).alias("within_100"), q.alias("q"), F.max(r).alias("residual_max"))
-    return g.select("shape", "groups", "exact", "within_100", F.round(F.get("q", F.lit(0)), 3).alias("residual_median"), F.round(F.get("q", F.lit(1)), 3).alias("residual_p95"), "residual_max")
+    d = d.select(F.concat(clip, F.lit(":1")).alias("shape"), F.abs(F.col("total") - F.col("b_cents")).alias("r"))
+    r = F.col("r")
+    g = d.groupBy("shape").agg(F.count("*").alias("groups"), F.count_if(r <= 1).alias("exact"), F.count_if(r <= 100).alias("within_100"), F.max(r).alias("residual_max"))
+    return g.join(quantiles(d, "r", {"residual_median": 0.5, "residual_p95": 0.95}, ["shape"], 3), "shape")
 
 
 def one_sided(stmt: DataFrame, members: DataFrame) -> DataFrame:
@@ -130,7 +130,8 @@ def step_one(ranked: DataFrame, gold: DataFrame, led: DataFrame, stmt: DataFrame
 def pool_stats(sizes: DataFrame, column: str) -> DataFrame:
     """One row: queries, mean and median of all and of non-empty pools, empty pools."""
     c = F.col(column)
-    return sizes.agg(F.count("*").alias("queries"), F.round(F.avg(c), 6).alias("mean"), F.median(c).alias("median"), F.count_if(c == 0).alias("empty"), F.round(F.avg(F.when(c > 0, c)), 6).alias("mean_nonempty"), rate(F.count_if(c > 0), F.count("*")).alias("nonempty_rate"))
+    one = sizes.agg(F.count("*").alias("queries"), F.round(F.avg(c), 6).alias("mean"), F.count_if(c == 0).alias("empty"), F.round(F.avg(F.when(c > 0, c)), 6).alias("mean_nonempty"), rate(F.count_if(c > 0), F.count("*")).alias("nonempty_rate"))
+    return one.crossJoin(F.broadcast(quantiles(sizes, column, {"median": 0.5})))  # a row each
 
 
 def worked_examples(members: DataFrame) -> DataFrame:

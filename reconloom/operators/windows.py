@@ -7,25 +7,33 @@ from pyspark.sql import functions as F
 
 from reconloom.functions.amounts import TOLERANCES, percent
 from reconloom.operators.blocking import ONE_SIDED, SYMMETRIC
+from reconloom.operators.quantiles import quantiles
 
 
 def window_table(pairs: DataFrame, gold: DataFrame, queries: DataFrame, windows=SYMMETRIC + ONE_SIDED) -> DataFrame:
     """For each window: rows, ceiling (a gold key survives), top-1 in gold, gold among the top five, match, abstained, precision.
 
-    pairs: b_id, a_id, gap (days), allocation, score. queries: b_id. The answer is the best pair's key. All windows come
-    out of one grouping by statement row.
+    pairs: b_id, a_id, gap (days), allocation, score. queries: b_id. The answer is the best pair's key. The ends of all windows cut the gaps into
+    elementary intervals, and a window is some of these. Of each interval only the best five pairs are kept, and whether any pair is true:
+    the best five of a window are among the best fives of its intervals. One shuffle by statement row does all of it.
     """
-    d = queries.join(gold, "b_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<string>")))
-    d = d.join(pairs.select("b_id", "a_id", "gap", "allocation", "score"), "b_id", "left").withColumn("true", F.coalesce(F.array_contains("gold", F.col("allocation")), F.lit(False)))
-    place = F.struct((-F.col("score")).alias("s"), "a_id", "allocation", "true")
-    of_row, best, each = Window.partitionBy("b_id"), {}, []
-    for i, (_, lo, hi) in enumerate(windows):
-        inside, first_true = F.col("gap").between(lo, hi), F.col(f"_t{i}")
-        best[f"_t{i}"] = F.min(F.when(inside & F.col("true"), place)).over(of_row)
-        top, better = F.min(F.when(inside, place)), F.count_if(inside & (place < first_true))
-        ceiling = F.max(first_true).isNotNull()
-        each.append(F.struct(top["allocation"].alias("top"), top["true"].alias("hit"), (ceiling & (better < 5)).alias("five"), ceiling.alias("ceiling")))
-    per = d.withColumns(best).groupBy("b_id").agg(F.max(F.size("gold")).alias("n_gold"), F.array(*each).alias("w")).select("n_gold", F.posexplode("w").alias("ord", "w")).select("n_gold", "ord", "w.*")
+    ends = sorted({e for _, lo, hi in windows for e in (lo, hi + 1)})
+    at = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("gap")))
+    true = F.coalesce(F.array_contains("gold", F.col("allocation")), F.lit(False))
+    d = pairs.select("b_id", "a_id", "gap", "allocation", "score").join(gold, "b_id", "left").repartition("b_id")
+    d = d.select("b_id", at.alias("at"), (-F.col("score")).alias("s"), "a_id", "allocation", true.alias("true"))
+    cell = Window.partitionBy("b_id", "at")
+    d = d.withColumns({"nth": F.row_number().over(cell.orderBy("s", "a_id", "allocation")), "any": F.max("true").over(cell)}).filter("nth <= 5")
+    # Five for each interval at most, in the order of ranking.
+    best = d.groupBy("b_id").agg(F.array_sort(F.collect_list(F.struct("s", "a_id", "allocation", "true", "at", "any"))).alias("p"))
+    per = queries.join(gold, "b_id", "left").join(best, "b_id", "left").select(F.coalesce(F.size(F.coalesce("gold", F.array().cast("array<string>"))), F.lit(0)).alias("n_gold"), "p")
+    each = []
+    for _, lo, hi in windows:
+        first, last = ends.index(lo) + 1, ends.index(hi + 1)
+        inside = F.filter("p", lambda x: x["at"].between(first, last))  # noqa: B023
+        five = F.exists(F.slice(inside, 1, 5), lambda x: x["true"])
+        each.append(F.struct(F.get(inside, F.lit(0))["allocation"].alias("top"), F.get(inside, F.lit(0))["true"].alias("hit"), F.coalesce(five, F.lit(False)).alias("five"), F.coalesce(F.exists(inside, lambda x: x["any"]), F.lit(False)).alias("ceiling")))
+    per = per.select("n_gold", F.posexplode(F.array(*each)).alias("ord", "w")).select("n_gold", "ord", "w.*")
     hit, none = F.coalesce("hit", F.lit(False)), F.col("top").isNull()
     match = F.when(none, F.col("n_gold") == 0).otherwise((F.col("n_gold") == 1) & hit)
     out = none & (F.col("n_gold") > 0)
@@ -60,9 +68,8 @@ def verdict(table: DataFrame, chosen: str = "pm07", narrow: tuple[str, ...] = ("
 def gap_distribution(gaps: DataFrame) -> DataFrame:
     """One row: true pairs, before, same day and after, within 1, 3 and 7 days, percentiles of the absolute gap."""
     g = F.abs("gap")
-    q = F.percentile(g, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    r = gaps.agg(F.count("*").alias("rows"), F.count_if(F.col("gap") < 0).alias("before"), F.count_if(F.col("gap") == 0).alias("same_day"), F.count_if(F.col("gap") > 0).alias("after"), *[F.count_if(g <= n).alias(f"within_{n}") for n in (1, 3, 7)], q.alias("q"))
-    return r.select("*", *[F.round(F.get("q", F.lit(i)), 4).alias(n) for i, n in enumerate(("p50", "p90", "p99"))]).drop("q")
+    r = gaps.agg(F.count("*").alias("rows"), F.count_if(F.col("gap") < 0).alias("before"), F.count_if(F.col("gap") == 0).alias("same_day"), F.count_if(F.col("gap") > 0).alias("after"), *[F.count_if(g <= n).alias(f"within_{n}") for n in (1, 3, 7)])
+    return r.crossJoin(F.broadcast(quantiles(gaps, g, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, digits=4)))  # a row each
 
 
 def tolerance_table(flagged: DataFrame, gold: DataFrame, led: DataFrame, queries: DataFrame) -> DataFrame:

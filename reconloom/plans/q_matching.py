@@ -8,6 +8,7 @@ from reconloom.functions import keys as K
 from reconloom.functions.amounts import TOLERANCES
 from reconloom.functions.text import longest_run, shares_run
 from reconloom.operators import blocking, complete, ranking, regimes, scoring, windows
+from reconloom.operators.quantiles import quantiles
 from reconloom.plans.catalog import register
 from reconloom.plans.context import BASE, CAND, DECIDED, FEATS, RANKED, batch, ranked, runs, scored
 
@@ -256,9 +257,10 @@ def run_discrimination(spark, sf_dir):
     n, pool = F.col("n"), F.col("pool")
     d = batch(spark, sf_dir).scored.groupBy("b_id").agg(F.count_if("shared").alias("n"), F.count("*").alias("pool"), F.max_by("shared", F.struct("score", -F.col("a_id"))).alias("top"))
     mixed = (n > 0) & (n < pool)
-    return d.agg(
-        F.count("*").alias("queries"), F.count_if(n == 0).alias("none_shared"), F.count_if(n == 1).alias("one"), F.count_if(n > 1).alias("many"), F.round(F.avg(n), 6).alias("mean"), F.median(n).alias("median"), F.round(F.sum(n) / F.sum(pool), 6).alias("share"), F.count_if(mixed).alias("mixed"), F.count_if(mixed & F.col("top")).alias("mixed_top_shares")
+    one = d.agg(
+        F.count("*").alias("queries"), F.count_if(n == 0).alias("none_shared"), F.count_if(n == 1).alias("one"), F.count_if(n > 1).alias("many"), F.round(F.avg(n), 6).alias("mean"), F.round(F.sum(n) / F.sum(pool), 6).alias("share"), F.count_if(mixed).alias("mixed"), F.count_if(mixed & F.col("top")).alias("mixed_top_shares")
     )
+    return one.crossJoin(F.broadcast(quantiles(d, "n", {"median": 0.5})))  # a row each
 
 
 @register("recall_at_k", RANKED + """, t AS (SELECT b_id, list(DISTINCT allocation) AS keys, arg_min(allocation, rank) AS top_key FROM ranked GROUP BY b_id),
@@ -295,41 +297,40 @@ an AS (SELECT th.t, s.b_id, CASE WHEN top_key IS NULL THEN []::VARCHAR[] ELSE li
 ok AS (SELECT *, answer = gold AS ok FROM an)"""
 
 
-def _sweep(spark, sf_dir):
+_THRESHOLDS = (50, 55, 60, 65, 70, 75, 80, 85, 90, 95, complete.OFF)
+
+
+def _tops(b):
+    return b.queries.join(b.ranked.filter("rank = 1").select("b_id", F.col("allocation").alias("top_key")), "b_id", "left")
+
+
+def _intervals(spark, sf_dir):
     b = batch(spark, sf_dir)
-    th = spark.createDataFrame([(t,) for t in (50, 55, 60, 65, 70, 75, 80, 85, 90, 95, 200)], "t int")
-    tops = b.queries.join(b.ranked.filter("rank = 1").select("b_id", F.col("allocation").alias("top_key")), "b_id", "left")
-    return complete.sweep(b.feats, complete.rule_probability(), tops, b.gold, th)
+    return complete.correct_between(b.feats, complete.rule_probability(), _tops(b), b.gold)
 
 
 @register("threshold_sweep", _SWEEP + " SELECT t, count_if(ok) AS correct, count(*) AS rows, round(count_if(ok) * 100.0 / count(*), 3) AS match_pct FROM ok GROUP BY t")
 def threshold_sweep(spark, sf_dir):
-    return _sweep(spark, sf_dir).groupBy("t").agg(F.count_if("ok").alias("correct"), F.count("*").alias("rows"), F.round(F.count_if("ok") * 100.0 / F.count("*"), 3).alias("match_pct"))
+    return complete.sweep(_intervals(spark, sf_dir), _THRESHOLDS).select("t", "correct", "rows", F.round(F.col("correct") * 100.0 / F.col("rows"), 3).alias("match_pct"))
 
 
 @register("completion_effect", _SWEEP + " SELECT a.t, count_if(a.ok AND NOT o.ok) AS gained, count_if(o.ok AND NOT a.ok) AS lost, count_if(a.ok) - count_if(o.ok) AS net FROM ok a JOIN (SELECT * FROM ok WHERE t = 200) o ON o.b_id = a.b_id GROUP BY a.t")
 def completion_effect(spark, sf_dir):
-    s = _sweep(spark, sf_dir).select("t", "b_id", "ok")
-    off = s.filter("t = 200").select("b_id", F.col("ok").alias("off"))
-    on, o = F.col("ok"), F.col("off")
-    return s.join(off, "b_id").groupBy("t").agg(F.count_if(on & ~o).alias("gained"), F.count_if(o & ~on).alias("lost"), (F.count_if(on) - F.count_if(o)).alias("net"))
+    return complete.sweep(_intervals(spark, sf_dir), _THRESHOLDS).select("t", "gained", "lost", (F.col("gained") - F.col("lost")).alias("net"))
 
 
 @register("completion_by_stratum", _SWEEP + """ SELECT CASE len(b.gold) WHEN 0 THEN 'blank' WHEN 1 THEN 'single_key' ELSE 'multi_key' END AS stratum, count(*) AS rows, count_if(o.ok) AS off_correct, count_if(b.ok) AS on_correct, round(count_if(o.ok) * 100.0 / count(*), 3) AS off_pct, round(count_if(b.ok) * 100.0 / count(*), 3) AS on_pct
 FROM ok b JOIN ok o ON o.b_id = b.b_id AND o.t = 200 WHERE b.t = 50 GROUP BY 1""")
 def completion_by_stratum(spark, sf_dir):
     """Completion on and off, by stratum of the label."""
-    s = _sweep(spark, sf_dir).filter("t in (50, 200)")
-    on, off = F.count_if((F.col("t") == 50) & F.col("ok")), F.count_if((F.col("t") == 200) & F.col("ok"))
-    n = F.count_if(F.col("t") == 50)
-    return s.groupBy(K.stratum("gold").alias("stratum")).agg(n.alias("rows"), off.alias("off_correct"), on.alias("on_correct"), F.round(off * 100.0 / n, 3).alias("off_pct"), F.round(on * 100.0 / n, 3).alias("on_pct"))
+    on, off, n = F.count_if(complete.right_at(50)), F.count_if(complete.right_at(complete.OFF)), F.count("*")
+    return _intervals(spark, sf_dir).groupBy(K.stratum("gold").alias("stratum")).agg(n.alias("rows"), off.alias("off_correct"), on.alias("on_correct"), F.round(off * 100.0 / n, 3).alias("off_pct"), F.round(on * 100.0 / n, 3).alias("on_pct"))
 
 
 @register("flat_band", _SWEEP + """, c AS (SELECT t, count_if(ok) AS correct, count(*) AS rows FROM ok WHERE t <= 95 GROUP BY t), f AS (SELECT t, bool_and(near) OVER (ORDER BY t) AS flat FROM (SELECT t, abs(correct - first_value(correct) OVER (ORDER BY t)) <= floor(rows * 0.02 / 100) AS near FROM c))
 SELECT (SELECT min(t) FROM c) AS from_t, max(t) AS to_t FROM f WHERE flat""")
 def flat_band(spark, sf_dir):
-    c = _sweep(spark, sf_dir).filter("t <= 95").groupBy("t").agg(F.count_if("ok").alias("correct"), F.count("*").alias("rows"))
-    return windows.flat_band(c)
+    return windows.flat_band(complete.sweep(_intervals(spark, sf_dir), _THRESHOLDS[:-1]))
 
 
 @register("repeat_recovery", _SWEEP + """, d AS (SELECT s.b_id, on_.answer AS pn, off.answer AS po, on_.gold AS g FROM stmt s JOIN ok on_ ON on_.b_id = s.b_id AND on_.t = 50 JOIN ok off ON off.b_id = s.b_id AND off.t = 200 WHERE class = 'repeat'),
@@ -337,19 +338,17 @@ k AS (SELECT CASE WHEN pn = g THEN 'full' WHEN len(list_filter(pn, lambda x: NOT
 SELECT count(*) AS repeat_groups, count_if(kind = 'full') AS full_set_recovered, count_if(kind = 'partial') AS added_all_correct_but_incomplete, count_if(kind = 'wrong') AS added_a_wrong_key, count_if(kind = 'none') AS no_keys_added FROM k""")
 def repeat_recovery(spark, sf_dir):
     b = batch(spark, sf_dir)
-    s = _sweep(spark, sf_dir).join(b.stmt.filter("class = 'repeat'").select("b_id"), "b_id", "left_semi")
-    side = lambda t: s.filter(F.col("t") == t).select("b_id", F.col("answer").alias("keys"))
-    return scoring.repeat_recovery(side(200), side(50), s.filter("t = 50").select("b_id", F.col("gold").alias("keys")))
+    repeats = b.stmt.filter("class = 'repeat'").select("b_id")
+    side = lambda t: complete.answers(b.feats, complete.rule_probability(), _tops(b).join(repeats, "b_id", "left_semi"), t)
+    return scoring.repeat_recovery(side(complete.OFF), side(50), _solution(b).join(repeats, "b_id", "left_semi"))
 
 
 @register("class_deltas", _SWEEP + " SELECT class, count(*) AS rows, count_if(b.ok) AS base_correct, count_if(w.ok) AS wide_correct, count_if(w.ok) - count_if(b.ok) AS delta FROM stmt s JOIN ok b ON b.b_id = s.b_id AND b.t = 200 JOIN ok w ON w.b_id = s.b_id AND w.t = 50 GROUP BY class")
 def class_deltas(spark, sf_dir):
     """Two configurations compared by class."""
-    b = batch(spark, sf_dir)
-    s = _sweep(spark, sf_dir).join(b.stmt.select("b_id", "class"), "b_id")
-    base = s.filter("t = 200").groupBy("class").agg(F.count("*").alias("rows"), F.count_if("ok").alias("base_correct"))
-    wide = s.filter("t = 50").groupBy("class").agg(F.count_if("ok").alias("wide_correct"))
-    return base.join(wide, "class").withColumn("delta", F.col("wide_correct") - F.col("base_correct"))
+    d = _intervals(spark, sf_dir).join(batch(spark, sf_dir).stmt.select("b_id", "class"), "b_id")
+    base, wide = F.count_if(complete.right_at(complete.OFF)), F.count_if(complete.right_at(50))
+    return d.groupBy("class").agg(F.count("*").alias("rows"), base.alias("base_correct"), wide.alias("wide_correct"), (wide - base).alias("delta"))
 
 
 @register("step_one", RANKED + """, mg AS (SELECT * FROM gold WHERE len(gold) >= 2), tp AS (SELECT b_id, allocation AS top_key FROM ranked WHERE rank = 1),

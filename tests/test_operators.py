@@ -203,7 +203,7 @@ def test_empty_tables(spark):
 
 def test_fee_predicate_matches_plan(spark):
     _, _, bd, ad = sides(spark)
-    p = blocking.ratio_join(bd, ad, fee_band(F.col("a_cents"), F.col("b_cents")))._jdf.queryExecution().executedPlan().toString()
+    p = blocking.fee_candidates(bd, ad)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in p and "Cartesian" not in p
 
 

@@ -113,3 +113,13 @@ def answers(feats: DataFrame, percent: Column, tops: DataFrame, t: int) -> DataF
     none = F.array().cast("array<string>")
     answer = F.when(F.col("top_key").isNull(), none).otherwise(F.array_union(F.array("top_key"), F.coalesce("added", none)))
     return tops.join(added, "b_id", "left").select("b_id", F.array_sort(answer).alias("keys"))
+
+
+def operating_points(swept: DataFrame, shipped: int = 50, points: float = 0.02) -> DataFrame:
+    """(t, match_pct, against_off, shipped, in_band) of a `sweep` that has OFF: in_band while the rate stays within some points of the first one's."""
+    off = F.broadcast(swept.filter(F.col("t") == OFF).select(F.col("correct").alias("o"), F.col("rows").alias("n")))  # one row
+    w = Window.orderBy("t")  # a row for each threshold
+    on = swept.filter(F.col("t") != OFF).crossJoin(off)
+    near = F.abs(F.col("correct") - F.first("correct").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))) <= F.floor(F.col("rows") * F.lit(points) / 100)
+    flat = on.withColumn("near", near).withColumn("in_band", F.bool_and("near").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return flat.select("t", F.round(F.col("correct") * 100.0 / F.col("rows"), 3).alias("match_pct"), F.round((F.col("correct") - F.col("o")) * 100.0 / F.col("n"), 3).alias("against_off"), (F.col("t") == shipped).alias("shipped"), "in_band")

@@ -197,3 +197,12 @@ def concentration(rows: DataFrame) -> DataFrame:
     """Share of gross drift by the rows that hold it, by stratum."""
     g = rows.filter("exact").groupBy("stratum").agg(_sum(F.abs("drift_lo")).alias("gross"))
     return g.withColumn("pct", percent(F.col("gross"), F.sum("gross").over(Window.partitionBy())))
+
+
+def examples(rows: DataFrame, decided: DataFrame, gold: DataFrame, prices: DataFrame, n: int = 5) -> DataFrame:
+    """(b_id, drift_lo, side, allocation, low, high): the n largest exact drifts, with every key that was posted or is in the label alone, and its amounts."""
+    top = rows.filter("exact and drift_lo <> 0").orderBy(F.desc(F.abs("drift_lo")), "b_id").limit(n).select("b_id", "drift_lo")
+    d = F.broadcast(top).join(decided.select("b_id", "answer_keys"), "b_id").join(gold, "b_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<string>")))
+    one = lambda a, b, name: F.transform(F.array_except(a, b), lambda k: F.struct(F.lit(name).alias("side"), k.alias("allocation")))
+    keys = d.select("b_id", "drift_lo", F.explode(F.concat(one("answer_keys", "gold", "posted"), one("gold", "answer_keys", "label"))).alias("k")).select("b_id", "drift_lo", "k.*")
+    return keys.join(prices.select("allocation", "low", "high"), "allocation", "left")

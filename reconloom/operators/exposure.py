@@ -172,3 +172,21 @@ def stratified_sample(queue: DataFrame, n: int, seed: int = 0) -> DataFrame:
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b_id").cast("string")))
     d = queue.withColumn("h", h).withColumn("turn", F.row_number().over(Window.partitionBy("exception_class").orderBy("h", "b_id"))).filter(F.col("turn") <= n)
     return d.orderBy("turn", "exception_class").limit(n)
+
+
+def batch_shares(decided: DataFrame) -> DataFrame:
+    """(part, cents, share_pct): what of the batch's value was closed rightly, wrongly, or waits in the queue."""
+    h = headline(decided)
+    parts = F.array(*[F.struct(F.lit(n).alias("part"), F.col(c).alias("cents")) for n, c in (("closed", "auto_cents"), ("closed rightly", "auto_correct_cents"), ("closed wrongly", "exposure_cents"), ("queue", "queue_cents"))])
+    return h.select("total_cents", F.explode(parts).alias("p")).select("p.part", "p.cents", percent(F.col("p.cents"), F.col("total_cents")).alias("share_pct"))
+
+
+def ticker(decided: DataFrame, n: int = 5) -> DataFrame:
+    """(kind, place, name, figure, more): the lines of a ticker: the first n of the queue, its classes by value, and precision by rows and by value."""
+    text = lambda c: F.upper(F.replace(c, F.lit("_"), F.lit(" ")))
+    top = ranked_queue(decided).filter(F.col("rank") <= n).select(F.lit("queue").alias("kind"), F.col("rank").cast("long").alias("place"), text(F.col("exception_class")).alias("name"), F.col("exposure_cents").cast("double").alias("figure"), F.lit(None).cast("double").alias("more"))
+    queue = decided.filter("escalate").groupBy("exception_class").agg(F.count("*").alias("rows"), F.sum(F.abs("b_cents")).alias("v"))
+    place = F.row_number().over(Window.orderBy(F.desc("v"), "exception_class")).cast("long")  # a row a class
+    classes = queue.select(F.lit("class").alias("kind"), place.alias("place"), text(F.col("exception_class")).alias("name"), F.col("v").cast("double").alias("figure"), F.col("rows").cast("double").alias("more"))
+    last = headline(decided).select(F.lit("precision").alias("kind"), F.lit(1).cast("long").alias("place"), F.lit("AUTO-CLOSE PRECISION").alias("name"), F.col("precision_by_rows").alias("figure"), F.col("precision_by_value").alias("more"))
+    return top.unionByName(classes).unionByName(last)

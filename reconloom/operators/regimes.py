@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reconloom.functions.amounts import percent, rate
 from reconloom.functions.keys import canonical
+from reconloom.functions.text import shares_run
 from reconloom.operators.quantiles import quantiles
 
 
@@ -115,15 +116,15 @@ def step_one(ranked: DataFrame, gold: DataFrame, led: DataFrame, stmt: DataFrame
     multi = gold.filter(F.size("gold") >= 2)
     top = ranked.filter("rank = 1").select("b_id", F.col("allocation").alias("top_key"))
     d = multi.join(top, "b_id").filter(F.array_contains("gold", F.col("top_key"))).join(stmt.select("b_id", "b_cents"), "b_id")
-    rows = d.select("b_id", "b_cents", "top_key", F.explode("gold").alias("allocation")).join(led.select("allocation", "a_cents", "a_vd", "a_id"), "allocation")
+    rows = d.select("b_id", "b_cents", "top_key", F.explode("gold").alias("allocation")).join(led.select("allocation", "a_cents", "a_vd", "a_id", "a_text"), "allocation")
     is_top = F.col("allocation") == F.col("top_key")
-    per = rows.groupBy("b_id", "b_cents").agg(F.sum("a_cents").alias("all_cents"), F.coalesce(F.sum(F.when(is_top, F.col("a_cents"))), F.lit(0)).alias("top_cents"), F.min_by("a_vd", F.when(is_top, F.col("a_id"))).alias("top_vd"))
-    extra = rows.filter(~is_top).groupBy("b_id", "allocation").agg(F.min_by("a_vd", "a_id").alias("vd")).join(per.select("b_id", "top_vd"), "b_id")
+    per = rows.groupBy("b_id", "b_cents").agg(F.sum("a_cents").alias("all_cents"), F.coalesce(F.sum(F.when(is_top, F.col("a_cents"))), F.lit(0)).alias("top_cents"), F.min_by("a_vd", F.when(is_top, F.col("a_id"))).alias("top_vd"), F.min_by("a_text", F.when(is_top, F.col("a_id"))).alias("top_text"))
+    extra = rows.filter(~is_top).groupBy("b_id", "allocation").agg(F.min_by("a_vd", "a_id").alias("vd"), F.min_by("a_text", "a_id").alias("text")).join(per.select("b_id", "top_vd", "top_text"), "b_id")
     second = ranked.join(top, "b_id").filter(F.col("allocation") != F.col("top_key")).groupBy("b_id").agg(F.min_by("allocation", "rank").alias("second"))
     s = d.join(second, "b_id").agg(F.count("*").alias("with_second"), F.count_if(F.array_contains("gold", F.col("second"))).alias("second_in_gold"))
     gap = lambda c: F.abs(F.col(c) - F.col("b_cents"))
     p = per.agg(F.count("*").alias("top_in_gold"), F.count_if(gap("all_cents") <= 1).alias("sum_exact"), F.count_if(gap("top_cents") <= 1).alias("top_exact"), F.count_if(gap("all_cents") < gap("top_cents")).alias("sum_closer"))
-    e = extra.agg(F.count("*").alias("extra_keys"), F.count_if(F.col("vd") == F.col("top_vd")).alias("same_date"))
+    e = extra.agg(F.count("*").alias("extra_keys"), F.count_if(F.col("vd") == F.col("top_vd")).alias("same_date"), F.count_if(shares_run("top_text", "text")).alias("shares_run"))
     return multi.agg(F.count("*").alias("multi_key")).crossJoin(F.broadcast(p)).crossJoin(F.broadcast(e)).crossJoin(F.broadcast(s))
 
 
@@ -134,8 +135,8 @@ def pool_stats(sizes: DataFrame, column: str) -> DataFrame:
     return one.crossJoin(F.broadcast(quantiles(sizes, column, {"median": 0.5})))  # a row each
 
 
-def worked_examples(members: DataFrame) -> DataFrame:
-    """The first group of each regime among those of several rows, with all its ledger rows, their sum and residual."""
-    g = group_sums(members).filter("n_a >= 2")
-    first = g.groupBy("regime").agg(F.min("b_id").alias("b_id"))
-    return g.join(first, ["regime", "b_id"]).select("regime", "b_id", "total", "residual").join(members.select("b_id", "b_cents", "a_id", "a_cents"), "b_id")
+def worked_examples(members: DataFrame, by: str = "regime") -> DataFrame:
+    """The first group of each regime (or shape: its number of rows, 4 for more) among those of several rows, with all its ledger rows, their sum and residual."""
+    g = group_sums(members).filter("n_a >= 2").withColumn("shape", F.least("n_a", F.lit(4)))
+    first = g.groupBy(by).agg(F.min("b_id").alias("b_id"))
+    return g.join(first, [by, "b_id"]).select(by, "b_id", "total", "residual").join(members.select("b_id", "b_cents", "a_id", "a_cents"), "b_id")

@@ -139,14 +139,106 @@ ex AS (SELECT d.*, list_concat(list_filter([d.b_cents::DOUBLE, top1, margin], la
   FROM decided d LEFT JOIN vals ON vals.b_id = d.b_id WHERE escalate)""" + f", gr AS (SELECT b_id, {_free('t', 'v', '[topk_size, len(triggers), added_count]')} AS free, {_PROPOSES.format(t='t')} AS proposes FROM ex)"
 
 
-def _explained(spark, sf_dir):
+def _with_text(decided):
     """Explanations of the escalated rows made by rule: some amounts and counts are not those of the evidence, some propose a match."""
     k = F.col("b_id")
     amount = F.col("b_cents") + F.when(k % 3 == 0, 1).otherwise(0)
     count = F.col("topk_size") + F.when(k % 4 == 0, 9).otherwise(0)
     score = F.coalesce(F.concat(F.lit(", score "), F.format_string("%.4f", "top1")), F.lit(""))
     text = F.concat(F.lit("Amount in cents "), amount.cast("string"), F.lit(" with "), count.cast("string"), F.lit(" candidates"), F.when(F.col("has"), score).otherwise(""), F.when(k % 5 == 0, ". It should be matched to the first").otherwise(""))
-    return evidence.groundedness(batch(spark, sf_dir).decided.filter("escalate").withColumn("explanation", text))
+    return decided.withColumn("explanation", text)
+
+
+def _explained(spark, sf_dir):
+    return evidence.groundedness(_with_text(batch(spark, sf_dir).decided.filter("escalate")))
+
+
+def _plain(c: str) -> str:
+    return f"CASE WHEN {c} < 0 THEN '-' ELSE '' END || (abs({c}) // 100) || '.' || lpad((abs({c}) % 100)::VARCHAR, 2, '0')"
+
+
+def _nums(t: str) -> str:
+    value = "try_cast(regexp_replace(regexp_replace(x, '[,%]', '', 'g'), '^\\+', '') AS DOUBLE)"
+    return f"list_filter(list_transform({_NUMBERS.format(t=t)}, lambda x: {value}), lambda v: v IS NOT NULL)"
+
+
+_CATS = lambda *xs: "flatten([" + ", ".join(xs) + "])"
+_NESTED = (
+    _EXPLAINED
+    + ", cn AS (SELECT b_id, flatten(list("
+    + _CATS("[rank::DOUBLE, a_cents::DOUBLE, (a_cents - b_cents)::DOUBLE, round(score, 6)]", _nums("a_id::VARCHAR"), _nums(f"({_plain('a_cents')})"), _nums(f"({_plain('(a_cents - b_cents)')})"))
+    + ")) AS v FROM ranked GROUP BY b_id), ev AS (SELECT ex.*, list_distinct("
+    + _CATS(
+        "[s.b_cents::DOUBLE, topk_size::DOUBLE]", _nums("s.b_id::VARCHAR"), _nums(f"({_plain('s.b_cents')})"), _nums("s.b_vd::VARCHAR"), _nums("s.b_refs"), _nums("s.b_attrs"), "coalesce(cn.v, []::DOUBLE[])",
+        "coalesce(flatten(list_transform(added, lambda a: list_concat([a.p / 100.0], " + _nums("a.key") + "))), []::DOUBLE[])",
+    )
+    + ") AS nv FROM ex JOIN stmt s ON s.b_id = ex.b_id LEFT JOIN cn ON cn.b_id = ex.b_id)"
+)
+
+
+def _recorded(spark, sf_dir):
+    b = batch(spark, sf_dir)
+    return evidence.evidence_record(_with_text(b.decided.filter("escalate")), b.stmt)
+
+
+@register("evidence_numbers", _NESTED + f" SELECT ev.b_id, {_plain('ev.b_cents')} AS amount, topk_size AS candidates, added_count AS added, len(nv) AS numbers, list_max(nv) AS largest, list_min(nv) AS smallest FROM ev")
+def evidence_numbers(spark, sf_dir):
+    """The nested evidence of each escalated row, and what numbers a walk through it finds."""
+    d = _recorded(spark, sf_dir)
+    d = d.withColumn("nv", evidence.evidence_numbers(d))
+    return d.select("b_id", "evidence.transaction.amount", F.greatest(F.size("evidence.candidates"), F.lit(0)).alias("candidates"), F.greatest(F.size("evidence.added_keys"), F.lit(0)).alias("added"), F.size("nv").cast("long").alias("numbers"), F.array_max("nv").alias("largest"), F.array_min("nv").alias("smallest"))
+
+
+@register("grounded_nested", _NESTED + f" SELECT b_id, array_to_string(free, '|') AS ungrounded, len(free) = 0 AS grounded FROM (SELECT b_id, {_free('t', 'nv', '[topk_size, len(triggers), added_count]')} AS free FROM ev)")
+def grounded_nested(spark, sf_dir):
+    """Explanations checked against all numbers of the nested evidence."""
+    return evidence.grounded_in(_recorded(spark, sf_dir)).select("b_id", F.array_join("ungrounded", "|").alias("ungrounded"), "grounded")
+
+
+@register("detail_investigated", _EXPLAINED + """ SELECT d.b_id::VARCHAR AS b_id, CASE WHEN escalate THEN 'escalate' ELSE 'auto_close' END AS decision, CASE WHEN gr.b_id IS NOT NULL THEN 'm' || (gr.b_id % 2) END AS model, len(free) = 0 AS grounded, gr.b_id IS NOT NULL AS investigated
+FROM decided d LEFT JOIN gr ON gr.b_id = d.b_id""")
+def detail_investigated(spark, sf_dir):
+    """Detail documents with the investigation of each escalated row in them."""
+    b = batch(spark, sf_dir)
+    found = _explained(spark, sf_dir).select(F.col("b_id").cast("string").alias("b_id"), F.concat(F.lit("m"), (F.col("b_id") % 2).cast("string")).alias("model"), "explanation", "grounded", "proposes")
+    d = evidence.detail(decide.audit(b.decided, "main"), b.stmt, found)
+    return d.select("b_id", "doc.decision", "doc.investigation.model", "doc.investigation.grounded", F.col("doc.investigation").isNotNull().alias("investigated"))
+
+
+@register("trigger_reasons", with_fee(DECIDED) + """, rs AS (SELECT b_id, unnest(list_filter([
+  CASE WHEN no_candidate THEN {'t': 'no_candidate', 'r': 'nothing came through blocking (pool of ' || topk_size || '): proposed as no match'} END,
+  CASE WHEN low_confidence THEN {'t': 'low_confidence', 'r': 'score ' || CAST(CAST(top1 AS DECIMAL(12, 6)) AS DECIMAL(12, 4)) || ' or margin ' || CAST(CAST(margin AS DECIMAL(12, 6)) AS DECIMAL(12, 4)) || ' is below its floor'} END,
+  CASE WHEN completion_added THEN {'t': 'completion_added', 'r': added_count || ' further keys at ' || array_to_string(list_transform(added, lambda a: printf('%.3f', a.p / 100)), ', ')} END], lambda x: x IS NOT NULL)) AS s FROM decided)
+SELECT b_id, s.t AS trigger, s.r AS reason FROM rs UNION ALL SELECT b_id, 'fee_band_only', '' FROM decided WHERE fee_band_only""")
+def trigger_reasons(spark, sf_dir):
+    """Why each trigger fired, over candidates that may be short by a fee; of those the SQL only says that they are."""
+    d = evidence.trigger_reasons(batch(spark, sf_dir, fee=True).decided)
+    return d.withColumn("reason", F.when(F.col("trigger") == "fee_band_only", "").otherwise(F.col("reason")))
+
+
+@register("fee_settings", " UNION ALL ".join(f"SELECT '{name}' AS setting, CASE WHEN b_id % 2 = 0 THEN 'even' ELSE 'odd' END AS batch, count(*) AS rows, count_if(NOT escalate) AS auto_closed, count_if(no_candidate) AS no_candidate, round(count_if(NOT escalate) * 100.0 / count(*), 3) AS coverage, round(count_if(NOT escalate AND ok) * 100.0 / count_if(NOT escalate), 3) AS precision FROM ({sql} SELECT * FROM judged) GROUP BY 2" for name, sql in (("exact", DECIDED), ("fee", with_fee(DECIDED)))))
+def fee_settings(spark, sf_dir):
+    """Both candidate settings on both halves of the statement."""
+    n, pc, auto = F.count_if, (lambda a, b: F.round(F.try_divide(a * 100.0, b), 3)), ~F.col("escalate")
+    out = None
+    for name, fee in (("exact", False), ("fee", True)):
+        d = batch(spark, sf_dir, fee=fee).judged.groupBy(F.when(F.col("b_id") % 2 == 0, "even").otherwise("odd").alias("batch"))
+        one = d.agg(F.count("*").alias("rows"), n(auto).alias("auto_closed"), n(F.col("no_candidate")).alias("no_candidate"), pc(n(auto), F.count("*")).alias("coverage"), pc(n(auto & F.col("ok")), n(auto)).alias("precision")).select(F.lit(name).alias("setting"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("policy_comparison")
+def policy_comparison(spark, sf_dir):
+    """The exposure report of odd ids under the boosted trees with fitted thresholds, beside the point rule that stands in for them elsewhere."""
+    b = batch(spark, sf_dir)
+    _, trees = _learned(spark, sf_dir)
+    none, out = F.array().cast("array<string>"), None
+    for name, d in (("trees", trees), ("rule", b.decided.filter("b_id % 2 = 1"))):
+        judged = d.join(b.gold, "b_id", "left").withColumn("ok", F.array_sort("answer_keys") == F.coalesce("gold", none))
+        one = exposure.headline(judged).select(F.lit(name).alias("policy"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("grounded_check", _EXPLAINED + " SELECT b_id, array_to_string(free, '|') AS ungrounded, len(free) = 0 AS grounded, proposes FROM gr")
@@ -169,11 +261,14 @@ def number_tokens(spark, sf_dir):
     return d.select("doc_id", F.size(numbers("text")).cast("long").alias("n"), F.get(numbers("text"), F.lit(0)).alias("first"))
 
 
-@register("proposal_tripwire", f"SELECT item_id, {_PROPOSES.format(t='t')} AS proposes FROM (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'It should be matched to X' WHEN 1 THEN 'candidate 3 is likely' WHEN 2 THEN 'matches candidate A' ELSE text END AS t FROM benchmark)")
+_PHRASES = ("It should be matched to X", "candidate 3 is likely", "matches candidate A")
+
+
+@register("proposal_tripwire", f"SELECT item_id, {_PROPOSES.format(t='t')} AS proposes FROM (SELECT item_id, coalesce(text, '') || CASE item_id % 4 " + " ".join(f"WHEN {i} THEN '. {p}'" for i, p in enumerate(_PHRASES)) + " ELSE '' END AS t FROM benchmark)")
 def proposal_tripwire(spark, sf_dir):
-    i = F.col("item_id") % 4
-    text = F.when(i == 0, "It should be matched to X").when(i == 1, "candidate 3 is likely").when(i == 2, "matches candidate A").otherwise(F.col("text"))
-    return batch(spark, sf_dir).read("benchmark").select("item_id", proposes_match(text).alias("proposes"))
+    """Whole texts, three of four with a phrase at the end."""
+    more = F.coalesce(F.get(F.array(*[F.lit(f". {p}") for p in _PHRASES]), (F.col("item_id") % 4).cast("int")), F.lit(""))
+    return batch(spark, sf_dir).read("benchmark").select("item_id", proposes_match(F.concat(F.coalesce("text", F.lit("")), more)).alias("proposes"))
 
 
 @register("ungrounded_numbers", "WITH o AS (SELECT o_orderkey, o_totalprice, o_custkey, 'The price is ' || CAST(CAST(o_totalprice AS DECIMAL(14, 2)) + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS DECIMAL(14, 2)) || ' for customer ' || (o_custkey + o_orderkey % 2) || ' in ' || (o_orderkey % 7) || ' days' AS t FROM orders) "

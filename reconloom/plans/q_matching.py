@@ -353,12 +353,19 @@ def class_deltas(spark, sf_dir):
 
 @register("step_one", RANKED + """, mg AS (SELECT * FROM gold WHERE len(gold) >= 2), tp AS (SELECT b_id, allocation AS top_key FROM ranked WHERE rank = 1),
 d AS (SELECT mg.*, top_key, b_cents FROM mg JOIN tp ON tp.b_id = mg.b_id JOIN stmt s ON s.b_id = mg.b_id WHERE list_contains(gold, top_key)),
-r AS (SELECT g.b_id, b_cents, top_key, g.allocation, a_cents, a_vd, a_id FROM (SELECT b_id, b_cents, top_key, unnest(gold) AS allocation FROM d) g JOIN led ON led.allocation = g.allocation),
-per AS (SELECT b_id, b_cents, sum(a_cents) AS al, coalesce(sum(CASE WHEN allocation = top_key THEN a_cents END), 0) AS tc, arg_min(a_vd, CASE WHEN allocation = top_key THEN a_id END) AS tv FROM r GROUP BY b_id, b_cents),
-ex AS (SELECT r.b_id, r.allocation, arg_min(a_vd, a_id) AS vd, any_value(tv) AS tv FROM r JOIN per ON per.b_id = r.b_id WHERE allocation <> top_key GROUP BY r.b_id, r.allocation),
+r AS (SELECT g.b_id, b_cents, top_key, g.allocation, a_cents, a_vd, a_id, a_text FROM (SELECT b_id, b_cents, top_key, unnest(gold) AS allocation FROM d) g JOIN led ON led.allocation = g.allocation),
+per AS (SELECT b_id, b_cents, sum(a_cents) AS al, coalesce(sum(CASE WHEN allocation = top_key THEN a_cents END), 0) AS tc, arg_min(a_vd, CASE WHEN allocation = top_key THEN a_id END) AS tv, arg_min(a_text, CASE WHEN allocation = top_key THEN a_id END) AS tt FROM r GROUP BY b_id, b_cents),
+ex AS (SELECT r.b_id, r.allocation, arg_min(a_vd, a_id) AS vd, any_value(tv) AS tv, arg_min(a_text, a_id) AS tx, any_value(tt) AS tt FROM r JOIN per ON per.b_id = r.b_id WHERE allocation <> top_key GROUP BY r.b_id, r.allocation),
 sc AS (SELECT ranked.b_id, arg_min(allocation, rank) AS second FROM ranked JOIN tp ON tp.b_id = ranked.b_id WHERE allocation <> top_key GROUP BY ranked.b_id)
 SELECT (SELECT count(*) FROM mg) AS multi_key, (SELECT count(*) FROM per) AS top_in_gold, (SELECT count_if(abs(al - b_cents) <= 1) FROM per) AS sum_exact, (SELECT count_if(abs(tc - b_cents) <= 1) FROM per) AS top_exact, (SELECT count_if(abs(al - b_cents) < abs(tc - b_cents)) FROM per) AS sum_closer,
-  (SELECT count(*) FROM ex) AS extra_keys, (SELECT count_if(vd = tv) FROM ex) AS same_date, (SELECT count(*) FROM d JOIN sc ON sc.b_id = d.b_id) AS with_second, (SELECT count_if(list_contains(gold, second)) FROM d JOIN sc ON sc.b_id = d.b_id) AS second_in_gold""")
+  (SELECT count(*) FROM ex) AS extra_keys, (SELECT count_if(vd = tv) FROM ex) AS same_date, (SELECT count_if(""" + runs("tt", "tx") + """) FROM ex) AS shares_run, (SELECT count(*) FROM d JOIN sc ON sc.b_id = d.b_id) AS with_second, (SELECT count_if(list_contains(gold, second)) FROM d JOIN sc ON sc.b_id = d.b_id) AS second_in_gold""")
 def step_one(spark, sf_dir):
     b = batch(spark, sf_dir)
     return regimes.step_one(b.ranked, b.gold, b.led, b.stmt)
+
+
+@register("operating_point", _SWEEP + """, c AS (SELECT t, count_if(ok) AS correct, count(*) AS rows FROM ok GROUP BY t), off AS (SELECT correct AS o, rows AS n FROM c WHERE t = 200), f AS (SELECT t, bool_and(near) OVER (ORDER BY t) AS flat FROM (SELECT t, abs(correct - first_value(correct) OVER (ORDER BY t)) <= floor(rows * 0.02 / 100) AS near FROM c WHERE t <= 95))
+SELECT c.t, round(correct * 100.0 / rows, 3) AS match_pct, round((correct - o) * 100.0 / n, 3) AS against_off, c.t = 50 AS shipped, flat AS in_band FROM c, off, f WHERE f.t = c.t""")
+def operating_point(spark, sf_dir):
+    """Each position of a threshold slider: match rate, its distance from completion switched off, whether shipped, whether in the flat band."""
+    return complete.operating_points(complete.sweep(_intervals(spark, sf_dir), _THRESHOLDS))

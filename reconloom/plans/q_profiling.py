@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reconloom.functions.keys import encode_keys
-from reconloom.operators import profile, regimes
+from reconloom.operators import compare, profile, regimes
 from reconloom.plans.catalog import register
 from reconloom.plans.context import BASE, batch
 
@@ -42,6 +42,11 @@ def worked_examples(spark, sf_dir):
     return regimes.worked_examples(_members(batch(spark, sf_dir)))
 
 
+@register("worked_examples_by_shape", _MEM + ", sh AS (SELECT *, least(n_a, 4) AS shape FROM gr WHERE n_a >= 2), fi AS (SELECT shape, min(b_id) AS b_id FROM sh GROUP BY shape) SELECT sh.shape, sh.b_id, sh.total, sh.residual, mem.b_cents, a_id, a_cents FROM fi JOIN sh ON sh.b_id = fi.b_id JOIN mem ON mem.b_id = fi.b_id")
+def worked_examples_by_shape(spark, sf_dir):
+    return regimes.worked_examples(_members(batch(spark, sf_dir)), "shape")
+
+
 _REC = _MEM + """, two AS (SELECT b_id FROM mem GROUP BY b_id HAVING count(*) >= 2), tg AS (SELECT b_id, 'USD_' || b_id // 64 AS k, a_id, a_cents, b_cents FROM mem WHERE b_id IN (SELECT b_id FROM two)),
 ag AS (SELECT DISTINCT x.b_id, x.b_cents, y.a_id, y.a_cents FROM (SELECT DISTINCT b_id, b_cents, k FROM tg) x JOIN (SELECT * FROM tg) y ON x.k = y.k),
 sd AS (SELECT 't' AS s, b_id, b_cents, a_id, a_cents FROM tg UNION ALL SELECT 'r', b_id, b_cents, a_id, a_cents FROM ag),
@@ -202,3 +207,15 @@ def assumption_checks(spark, sf_dir):
     ]
     out = [d.select(F.lit(t).alias("title"), "share") for t, d in facts]
     return profile.checks(out[0].unionAll(out[1]).unionAll(out[2]))
+
+
+@register("compare_results", """SELECT o_orderkey, 1 AS nth, CASE o_orderkey % 1000 WHEN 7 THEN 'o_totalprice' WHEN 11 THEN 'o_orderstatus' END AS "column", o_orderkey % 1000 IN (109) AS left_missing, o_orderkey % 1000 = 108 AS right_missing FROM orders WHERE o_orderkey % 1000 IN (7, 11, 108)
+UNION ALL SELECT o_orderkey, 2, NULL, true, false FROM orders WHERE o_orderkey % 1000 = 109 UNION ALL SELECT -1, 1, NULL, true, false""")
+def compare_results(spark, sf_dir):
+    """Orders against themselves with planted differences: amounts, states, rows left out, repeated and put in; prices within a hundredth are equal."""
+    left = batch(spark, sf_dir).read("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    r = F.col("o_orderkey") % 1000
+    right = left.filter(r != 108).withColumns({"o_totalprice": F.col("o_totalprice") + F.when(r == 7, 5.0).otherwise(0.000001), "o_orderstatus": F.when(r == 11, "Z").otherwise(F.col("o_orderstatus"))})
+    right = right.unionByName(right.filter(r == 109)).unionByName(left.limit(1).withColumn("o_orderkey", F.lit(-1).cast(left.schema["o_orderkey"].dataType))).repartition(8)
+    d = compare.compare(left, right, ["o_orderkey"], {"o_totalprice": 0.01})
+    return d.select("o_orderkey", "nth", "column", F.coalesce(F.col("column").isNull() & (F.col("left") == "missing"), F.lit(False)).alias("left_missing"), F.coalesce(F.col("column").isNull() & (F.col("right") == "missing"), F.lit(False)).alias("right_missing"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reconloom.functions.amounts import AMOUNT_BUCKETS, money, plain
-from reconloom.operators import drift, exposure, treemap
+from reconloom.operators import drift, exposure, text_index, treemap
 from reconloom.plans.catalog import register
 from reconloom.plans.context import BASE, DECIDED, DRIFT, batch
+from reconloom.sources.io import shared_folder
 
 _QUEUE = DECIDED + ", q AS (SELECT *, abs(b_cents) AS exposure_cents, row_number() OVER (ORDER BY abs(b_cents) DESC, b_id) AS rank FROM judged WHERE escalate)"
 
@@ -233,3 +237,40 @@ def largest_drifts(spark, sf_dir):
 def treemap_layout(spark, sf_dir):
     q = exposure.queue_by_class(batch(spark, sf_dir).judged)
     return treemap.layout(q.select(F.lit("main").alias("batch"), F.col("exception_class").alias("label"), F.col("exposure_cents").alias("value")))
+
+
+@register("drift_examples", DRIFT + """, tp AS (SELECT b_id, drift_lo FROM drift WHERE exact AND drift_lo <> 0 ORDER BY abs(drift_lo) DESC, b_id LIMIT 5),
+k AS (SELECT tp.*, answer_keys AS a, coalesce(gold, []::VARCHAR[]) AS g FROM tp JOIN posted p ON p.b_id = tp.b_id LEFT JOIN gold ON gold.b_id = tp.b_id),
+e AS (SELECT b_id, drift_lo, 'posted' AS side, unnest(list_filter(list_distinct(a), lambda x: NOT list_contains(g, x))) AS allocation FROM k UNION ALL SELECT b_id, drift_lo, 'label', unnest(list_filter(list_distinct(g), lambda x: NOT list_contains(a, x))) FROM k)
+SELECT e.*, low, high FROM e LEFT JOIN prices ON prices.allocation = e.allocation""")
+def drift_examples(spark, sf_dir):
+    b = batch(spark, sf_dir)
+    return drift.examples(b.drift, b.posted, b.gold, b.prices)
+
+
+@register("batch_shares", DECIDED + """, h AS (SELECT sum(abs(b_cents))::BIGINT AS t, coalesce(sum(CASE WHEN NOT escalate THEN abs(b_cents) END), 0)::BIGINT AS a, coalesce(sum(CASE WHEN NOT escalate AND ok THEN abs(b_cents) END), 0)::BIGINT AS c, coalesce(sum(CASE WHEN escalate THEN abs(b_cents) END), 0)::BIGINT AS q FROM judged)
+SELECT p.n AS part, p.v AS cents, round(p.v * 100.0 / t, 3) AS share_pct FROM (SELECT t, unnest([{'n': 'closed', 'v': a}, {'n': 'closed rightly', 'v': c}, {'n': 'closed wrongly', 'v': a - c}, {'n': 'queue', 'v': q}]) AS p FROM h)""")
+def batch_shares(spark, sf_dir):
+    return exposure.batch_shares(batch(spark, sf_dir).judged)
+
+
+@register("ticker", DECIDED + """, q AS (SELECT *, row_number() OVER (ORDER BY abs(b_cents) DESC, b_id) AS rank FROM judged WHERE escalate), c AS (SELECT exception_class, count(*) AS n, sum(abs(b_cents)) AS v FROM judged WHERE escalate GROUP BY 1)
+SELECT 'queue' AS kind, rank AS place, upper(replace(exception_class, '_', ' ')) AS name, abs(b_cents)::DOUBLE AS figure, NULL::DOUBLE AS more FROM q WHERE rank <= 5
+UNION ALL SELECT 'class', row_number() OVER (ORDER BY v DESC, exception_class), upper(replace(exception_class, '_', ' ')), v::DOUBLE, n::DOUBLE FROM c
+UNION ALL SELECT 'precision', 1, 'AUTO-CLOSE PRECISION', round(count_if(NOT escalate AND ok) * 100.0 / count_if(NOT escalate), 3), round(sum(CASE WHEN NOT escalate AND ok THEN abs(b_cents) ELSE 0 END) * 100.0 / sum(CASE WHEN NOT escalate THEN abs(b_cents) END), 3) FROM judged""")
+def ticker(spark, sf_dir):
+    return exposure.ticker(batch(spark, sf_dir).judged)
+
+
+_NEEDLES = ("123", "ambig", "DATE_S", "99")
+
+
+@register("queue_search_index", _QUEUE + " SELECT needle, rank, b_id FROM q, (SELECT unnest(" + str(list(_NEEDLES)) + ") AS needle) WHERE contains(b_id::VARCHAR, lower(needle)) OR contains(lower(exception_class), lower(needle)) OR len(list_filter(triggers, lambda t: contains(lower(t), lower(needle)))) > 0")
+def queue_search_index(spark, sf_dir):
+    """Several searches of the queue through an index of trigrams; the SQL scans."""
+    q = exposure.ranked_queue(batch(spark, sf_dir).judged)
+    texts = [F.col("b_id").cast("string"), F.col("exception_class"), F.array_join("triggers", "\n")]
+    path = shared_folder(spark, "trigrams")
+    text_index.build(q, "b_id", texts, path)
+    found = [text_index.search(q, "b_id", texts, path, n).select(F.lit(n).alias("needle"), "rank", "b_id") for n in _NEEDLES]
+    return reduce(DataFrame.unionByName, found)

@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from reconloom.plans import q_matching, q_reports  # noqa: F401  their tables go into logs
 from reconloom.operators import decide
-from reconloom.plans.catalog import register
+from reconloom.plans.catalog import ORACLES, QUERIES, register
 from reconloom.plans.context import BASE, DECIDED, batch
-from reconloom.sources import io
+from reconloom.sources import batches, io, logs
 
 
 def _folder(spark, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir where it is set, else the warehouse."""
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/reconloom-{name}-{uuid.uuid4().hex}"
+    return io.shared_folder(spark, name)
 
 
 @register("scan_text_csv", BASE + " SELECT b_id::VARCHAR AS \"B_id\", coalesce(array_to_string(gold, ','), '') AS keys, ' x ' AS \"Usage\" FROM stmt s LEFT JOIN gold ON gold.b_id = s.b_id".replace("SELECT b_id::", "SELECT s.b_id::"))
@@ -123,3 +120,30 @@ def queue_sink(spark, sf_dir):
     io.write_pages(q, path)
     d = spark.read.schema("rank long, b_id long, exposure_cents long, page int").json(path)
     return d.groupBy("page").agg(F.count("*").alias("rows"), F.max("exposure_cents").alias("largest"))
+
+
+#: Blocks of the log: heading, query whose table is written, column of labels.
+_BLOCKS = (("PRICING THE GATES", "gate_pricing", "gate"), ("THRESHOLD SWEEP", "threshold_sweep", "t"), ("SCORE BY STRATUM", "score_by_stratum", "stratum"))
+
+
+def _block_sql(heading: str, name: str, label: str) -> str:
+    figures = f"SELECT {label}::VARCHAR AS label, COLUMNS(* EXCLUDE ({label}))::DOUBLE FROM ({ORACLES[name]})"
+    return f"SELECT '{heading}' AS heading, label, \"column\", value FROM ({figures}) UNPIVOT INCLUDE NULLS (value FOR \"column\" IN (COLUMNS(* EXCLUDE (label))))"
+
+
+@register("scan_log_blocks", " UNION ALL ".join(_block_sql(*b) for b in _BLOCKS))
+def scan_log_blocks(spark, sf_dir):
+    """The tables of gates, thresholds and scores written as blocks of a run log, and every figure read back from the lines under their headings."""
+    path = _folder(spark, "run-log")
+    logs.write_log([(heading, QUERIES[name](spark, sf_dir), label) for heading, name, label in _BLOCKS], path)
+    return logs.read_blocks(spark, path).select("heading", "label", "column", F.col("value").cast("double").alias("value"))
+
+
+@register("append_batches", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'b0' WHEN o_orderkey % 3 = 0 THEN 'b1' ELSE 'b2' END AS v FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 OR o_orderkey % 5 = 0")
+def append_batches(spark, sf_dir):
+    """Three batches that share keys, appended out of order, one of them twice and once more with other rows: each id once, from the first batch that has it."""
+    path, o = _folder(spark, "batches"), batch(spark, sf_dir).read("orders").select(F.col("o_orderkey").alias("id"))
+    part = lambda n, v: o.filter(F.col("id") % n == 0).withColumn("v", F.lit(v))
+    for rows, number in ((part(5, "b2"), 2), (part(2, "b0"), 0), (part(3, "b1"), 1), (part(3, "b1"), 1), (part(7, "late"), 1)):
+        batches.append_batch(rows, path, number, "id")
+    return batches.read_batches(spark, path, "id long, v string", "id")

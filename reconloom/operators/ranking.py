@@ -53,7 +53,7 @@ def cosine(pairs: DataFrame, b_vectors: DataFrame, a_vectors: DataFrame) -> Data
     d = pairs.join(as_map(b_vectors, "b_id", "_vb"), "b_id", "left").join(as_map(a_vectors, "a_id", "_va"), "a_id", "left")
     products = F.map_values(F.map_zip_with("_va", "_vb", lambda g, x, y: x * y))
     dot = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
-    return d.withColumn("score", F.round(F.coalesce(dot, F.lit(0.0)), 9)).drop("_va", "_vb")
+    return d.withColumn("score", F.round(F.coalesce(dot, F.lit(0.0)), 6)).drop("_va", "_vb")
 
 
 def score_ids(ids: DataFrame, stmt: DataFrame, led: DataFrame, query: str = "b_text", frequency: DataFrame | None = None, a_vectors: DataFrame | None = None) -> DataFrame:

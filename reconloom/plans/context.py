@@ -196,7 +196,7 @@ w1 AS (SELECT w0.side, w0.id, g, w / norm AS w FROM w0 JOIN nrm ON w0.side = nrm
 wa AS MATERIALIZED (SELECT id AS a_id, g, w FROM w1 WHERE side = 'a'),
 wb AS MATERIALIZED (SELECT id AS b_id, g, w FROM w1 WHERE side = 'b'),
 px AS MATERIALIZED (SELECT cand.b_id, cand.a_id, g, w FROM cand JOIN wb ON wb.b_id = cand.b_id),
-dots AS (SELECT px.b_id, px.a_id, round(sum(px.w * wa.w), 9) AS s FROM px JOIN wa ON wa.a_id = px.a_id AND wa.g = px.g GROUP BY px.b_id, px.a_id),
+dots AS (SELECT px.b_id, px.a_id, round(sum(px.w * wa.w), 6) AS s FROM px JOIN wa ON wa.a_id = px.a_id AND wa.g = px.g GROUP BY px.b_id, px.a_id),
 scored AS (SELECT cand.*, coalesce(s, 0) AS score, {runs('b_attrs', 'a_text')} AS shared FROM cand LEFT JOIN dots ON cand.b_id = dots.b_id AND cand.a_id = dots.a_id)"""
 
 

@@ -43,6 +43,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over the cores where it comes in fewer parts than there are, as one small file does; other tables stay as they are read.
+
+    For operators that spend long on a row. The rows are the same.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def held_out(doc_id: str | Column) -> Column:
     """Rows that no model learns from: crc32 of doc_id as text, mod 4, is 2. A null id counts as the text ''."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from reconloom.llm import centroids, chat, fill_middle, pii, token_counts
 from reconloom.llm import quality as site_quality
-from reconloom.llm.common import read
+from reconloom.llm.common import read, spread
 from reconloom.llm.cover_tree import top_k
 from reconloom.llm.exact_dedup import exact_duplicates
 from reconloom.llm.mixing import mix
@@ -16,12 +16,12 @@ from reconloom.llm.toxicity import fit, toxicity, training_rows
 
 
 def op1_pii(spark, sf_dir):
-    return pii.digest(pii.personal_data(read(spark, sf_dir, "documents"), pii.train()))
+    return pii.digest(pii.personal_data(spread(read(spark, sf_dir, "documents")), pii.train()))
 
 
 def op2_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return toxicity(docs, fit(training_rows(docs, read(spark, sf_dir, "labels"))))
+    return toxicity(spread(docs), fit(training_rows(docs, read(spark, sf_dir, "labels"))))
 
 
 def op3_exact_dedup(spark, sf_dir):
@@ -37,7 +37,7 @@ def op5_mixing(spark, sf_dir):
 
 
 def op6_sentencepiece(spark, sf_dir, model_path=MODEL_PATH):
-    return encode_documents(read(spark, sf_dir, "documents"), load(model_path))
+    return encode_documents(spread(read(spark, sf_dir, "documents")), load(model_path))
 
 
 def op7_sharding(spark, sf_dir):
@@ -64,11 +64,11 @@ def op11_centroids(spark, sf_dir):
 
 def op12_token_counts(spark, sf_dir, path=token_counts.VOCABULARY):
     """Column cut is the length of the longest prefix within the limit, read off the prefix counts."""
-    return token_counts.token_counts(read(spark, sf_dir, "documents"), token_counts.load(path))
+    return token_counts.token_counts(spread(read(spark, sf_dir, "documents")), token_counts.load(path))
 
 
 def op13_fill_in_middle(spark, sf_dir):
-    return fill_middle.digest(fill_middle.fill_in_middle(read(spark, sf_dir, "documents")))
+    return fill_middle.digest(fill_middle.fill_in_middle(spread(read(spark, sf_dir, "documents"))))
 
 
 QUERIES = {

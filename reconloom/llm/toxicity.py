@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import held_out, labelled_sample, slices, small_batches, table
+from reconloom.llm.common import held_out, labelled_sample, slices, small_batches, spread, table
 
 WORD = re.compile(r"\w+")
 BITS = 22
@@ -35,8 +35,11 @@ PENALTIES, FOLDS, FOLD_BATCHES = (5e-3, 2e-2, 8e-2), 2, 160
 
 def term_ids(word: str) -> set[int]:
     """Hashes of the word's terms."""
-    out = {xxhash.xxh32_intdigest("w:" + word) >> (32 - BITS)}
-    out.update(xxhash.xxh32_intdigest("p:" + word[:n]) >> (32 - BITS) for n in (4, 5, 6) if len(word) >= n)
+    digest, n = xxhash.xxh32_intdigest, min(len(word), 6)
+    out = {digest("w:" + word) >> (32 - BITS)}
+    while n >= 4:
+        out.add(digest("p:" + word[:n]) >> (32 - BITS))
+        n -= 1
     return out
 
 
@@ -58,6 +61,7 @@ class Machine:
         #: The place of a term by its hash, -1 for terms that the machine lacks: of fixed size, unlike a dict of Python numbers.
         self.place = np.full(1 << BITS, -1, np.int32)
         self.place[self.terms] = np.arange(len(self.terms))
+        self._at = memoryview(self.place)  # single numbers come out of a view without an array scalar
 
     def __getstate__(self):
         return (self.terms, self.w0, self.w, self.v)
@@ -73,13 +77,13 @@ class Machine:
 
     def indices(self, text: str | None) -> list[int]:
         """The machine's terms in the whole text."""
-        cache, found = self._cache, set()
+        cache, at, found = self._cache, self._at, set()
         if len(cache) > 100_000:
             cache.clear()
         for word in words_of(text):
             hit = cache.get(word)
             if hit is None:
-                hit = cache[word] = tuple(i for t in term_ids(word) if (i := int(self.place[t])) >= 0)
+                hit = cache[word] = tuple([i for t in term_ids(word) if (i := at[t]) >= 0])
             if hit:
                 found.update(hit)
         return sorted(found)
@@ -105,10 +109,18 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"term": terms, "pos": [both[1].get(t, 0) for t in terms.tolist()], "neg": [both[0].get(t, 0) for t in terms.tolist()]})
 
     both: tuple[dict, dict] = ({}, {})
+    seen: dict[str, set[int]] = {}
     for pdf in batches:
         for text, y in zip(pdf["text"], pdf["y"], strict=True):
-            c = both[int(y)]
-            for t in {t for word in words_of(text) for t in term_ids(word)}:
+            c, own = both[int(y)], set()
+            if len(seen) > 100_000:
+                seen.clear()
+            for word in words_of(text):
+                ids = seen.get(word)
+                if ids is None:
+                    ids = seen[word] = term_ids(word)
+                own.update(ids)
+            for t in own:
                 c[t] = c.get(t, 0) + 1
         if len(both[0]) + len(both[1]) > 1_000_000:
             yield out(both)
@@ -127,6 +139,7 @@ def fit(train: DataFrame, terms: int = TERMS, factors: int = 8, epochs: int = 15
     n = {int(r["y"]): r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     neg, pos = n.get(0, 0), n.get(1, 0)
     base = float(np.log((pos + 0.5) / (neg + 0.5)))
+    train = spread(train)
     if not (pos and neg):
         return Machine(np.zeros(0, np.int64), base if pos + neg else 0.0, np.zeros(0), np.zeros((0, factors)))
     p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
@@ -169,11 +182,12 @@ def _penalty(spark, empty: Machine, x: np.ndarray, own: list[np.ndarray], y: np.
     bits, width = np.packbits(x, axis=1), x.shape[1]
     flat, sizes = np.concatenate(own).astype(np.int32), np.array([len(i) for i in own])
     terms, w0, factors = empty.terms, empty.w0, empty.v.shape[1]
+    grid = [(f, float(q)) for f in range(FOLDS) for q in PENALTIES]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for f, penalty in pdf.itertuples(index=False):
+            for f, penalty in (grid[k] for k in pdf["id"]):
                 rows, learn = np.split(flat, np.cumsum(sizes)[:-1]), np.flatnonzero(fold != f)
                 m = Machine(terms, w0, np.zeros(width), np.zeros((width, factors)))
                 m = _descend(m, np.unpackbits(bits[learn], axis=1, count=width), y[learn], epochs, seed)
@@ -183,8 +197,7 @@ def _penalty(spark, empty: Machine, x: np.ndarray, own: list[np.ndarray], y: np.
                 out.append((penalty, float(np.logaddexp(0, np.where(y[left] > 0, -z, z)).sum())))
             yield pd.DataFrame(out, columns=["penalty", "loss"])
 
-    grid = [(f, float(q)) for f in range(FOLDS) for q in PENALTIES]
-    tasks = spark.createDataFrame(grid, "fold int, penalty double").repartition(len(grid), "fold", "penalty")
+    tasks = spark.range(0, len(grid), 1, len(grid))  # one each
     loss = tasks.mapInPandas(run, "penalty double, loss double").groupBy("penalty").agg(F.sum("loss").alias("loss")).collect()  # three rows
     return min(loss, key=lambda r: (r["loss"], -r["penalty"]))["penalty"]
 

@@ -6,7 +6,7 @@ return the columns of documents.
 
 from __future__ import annotations
 
-from reconloom.llm.common import read, table
+from reconloom.llm.common import read, spread, table
 from reconloom.llm.exact_dedup import drop_exact_duplicates
 from reconloom.llm.mixing import mixed_documents
 from reconloom.llm.ngram_join import drop_near_duplicates
@@ -16,7 +16,7 @@ from reconloom.llm.toxicity import drop_toxic, fit, training_rows
 
 def remove_toxic(spark, docs, sf_dir):
     """Documents that the factorization machine rejects go. It learns from the labelled rows of this stage's documents."""
-    return drop_toxic(docs, fit(training_rows(docs, read(spark, sf_dir, "labels"))))
+    return drop_toxic(spread(docs), fit(training_rows(docs, read(spark, sf_dir, "labels"))))
 
 
 def remove_copies(spark, docs, sf_dir):
@@ -36,7 +36,7 @@ def mix_sources(spark, docs, sf_dir):
 
 def encode_pieces(spark, docs, sf_dir):
     """Token ids of each whole text: doc_id, ids, n_tokens, roundtrip."""
-    return encode_documents(docs, load(MODEL_PATH))
+    return encode_documents(spread(docs), load(MODEL_PATH))
 
 
 STAGES = [

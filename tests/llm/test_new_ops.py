@@ -292,3 +292,14 @@ def test_entry_without_a_library(monkeypatch):
     monkeypatch.setattr(builtins, "__import__", broken)
     found = e.queries()
     assert "score_overall" in found and "pipeline" not in found
+
+
+def test_spread_keeps_rows(spark):
+    from reconloom.llm.common import spread
+
+    one = spark.range(100).coalesce(1).withColumn("text", F.lit("a"))
+    dealt = spread(one)
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, one.collect()))
+    many = spark.range(0, 100, 1, 50)
+    assert spread(many) is many and spread(one.limit(0)).isEmpty()

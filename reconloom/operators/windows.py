@@ -82,6 +82,15 @@ def tolerance_table(flagged: DataFrame, gold: DataFrame, led: DataFrame, queries
     return g.crossJoin(F.broadcast(total)).withColumns({"pool_mean": F.round(F.col("pairs") / F.col("queries"), 6), "ceiling_pct": percent(F.col("survives"), F.col("queries"))})
 
 
+def tolerance_summary(counts: DataFrame, true: DataFrame, queries: DataFrame) -> DataFrame:
+    """The table of `tolerance_table` from `blocking.tolerance_counts` of all ledger rows and of those with a gold key. A tolerance without any pair has no row."""
+    one = lambda n, total, some: F.struct(F.lit(n).alias("tolerance"), F.sum(f"n_{n}").alias(total), F.count_if(F.col(f"n_{n}") > 0).alias(some)).alias(n)
+    each = lambda d, *names: d.agg(*[one(n, *names) for n, _, _ in TOLERANCES]).select(F.explode(F.array(*[n for n, _, _ in TOLERANCES])).alias("t")).select("t.*")
+    g = each(counts, "pairs", "with_candidate").join(F.broadcast(each(true, "_n", "survives").drop("_n")), "tolerance").filter("with_candidate > 0")  # six rows
+    total = queries.agg(F.count("*").alias("queries"))
+    return g.crossJoin(F.broadcast(total)).withColumns({"pool_mean": F.round(F.col("pairs") / F.col("queries"), 6), "ceiling_pct": percent(F.col("survives"), F.col("queries"))})
+
+
 def flat_band(sweep: DataFrame, points: float = 0.02) -> DataFrame:
     """One row: the last threshold up to which the match rate stays within some points of the first one's. sweep: t, correct, rows."""
     w = Window.orderBy("t")

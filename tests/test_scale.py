@@ -257,3 +257,27 @@ def test_longest_run(spark):
     d = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, a string, b string").select("i", text.longest_run("a", "b").alias("n"), text.shares_run("a", "b").alias("s"))
     got = sorted(d.collect())
     assert [x.n for x in got] == want and [x.s for x in got] == [n > 0 for n in want] and len(set(want)) > 3
+
+
+@pytest.mark.parametrize("most", [3, 20_000])
+@pytest.mark.parametrize("window", [(-7, 7), (0, 30)])
+def test_tolerances_are_counted_without_pairs(spark, monkeypatch, most, window):
+    """Against pairs by brute force, with a hot amount, nulls, and cells that reach over the tables of a task."""
+    b, a, bd, ad = hot_sides(spark)
+    cells = blocking._cells
+    monkeypatch.setattr(blocking, "_cells", lambda batches, key, rows: cells((t.slice(i, 7) for t in batches for i in range(0, t.num_rows, 7)), key, 50))
+    nulls = [(9000, None, "X", 5, dt.date(2024, 1, 1)), (9001, "U", "X", None, dt.date(2024, 1, 1)), (9002, "U", "X", 5, None)]
+    bd, ad = bd.unionAll(spark.createDataFrame(nulls, B)), ad.unionAll(spark.createDataFrame(nulls, A))
+    got = {r.b_id: r for r in blocking.tolerance_counts(bd, ad, low=window[0], high=window[1], most=most).collect()}
+    for n, c, p in TOLERANCES:
+        pairs = brute(b, a, lambda x, y: abs(x - y) * 10**6 <= c * 10**6 + abs(y) * p if p else abs(x - y) <= c, *window)  # noqa: B023
+        assert {i: r[f"n_{n}"] for i, r in got.items() if r[f"n_{n}"]} == dict(Counter(i for i, _ in pairs)), n
+
+
+def test_tolerance_sweep_forms_no_pairs(spark, sf_dir):
+    """Nothing is joined by cells: the plan's joins are those with labels and of a row each."""
+    from reconloom.plans import all_queries
+
+    plan = all_queries()[0]["tolerance_sweep"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if " Join " in line or "Join Inner" in line]
+    assert joins and not any("_d#" in line for line in joins)

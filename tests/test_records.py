@@ -224,3 +224,15 @@ def test_inventory_counts_by_schema(spark, tmp_path):
     spark.range(0).coalesce(1).write.parquet(str(tmp_path / "c"))
     got = sorted((r["rows"], r["columns"], r["cells"]) for r in io.inventory(spark, str(tmp_path), "*.parquet").collect())
     assert got == [(0, 1, 0), (5, 2, 10), (7, 1, 7)]
+
+
+def test_inventory_of_tables_in_several_files(spark, tmp_path):
+    """A table that is a folder of files is one row, an empty one has its columns."""
+    from reconloom.plans import all_queries
+    from reconloom.plans.q_sources import _TABLES
+
+    for i, name in enumerate(_TABLES):
+        d = spark.range(10 * i, numPartitions=1 + i % 3).selectExpr("id", "id AS b", *(["id AS c"] if i % 2 else []))
+        d.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {tuple(r) for r in all_queries()[0]["file_inventory"](spark, str(tmp_path)).select("file", "rows", "columns", "cells").collect()}
+    assert got == {(f"{n}.parquet", 10 * i, 2 + i % 2, 10 * i * (2 + i % 2)) for i, n in enumerate(_TABLES)}

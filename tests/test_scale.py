@@ -338,3 +338,39 @@ def test_reconstruction_gathers_nothing(spark):
         (1, "exact", "partition", "partition", 0.0, 0.0), (2, "over", "partition", "repeat", 1.0, 0.5), (3, "under", "neither", "neither", 0.0, 0.0), (4, "under", "partition", "neither", 1.0, 0.0), (5, "under", "partition", None, 1.0, None),
     }
     assert "collect" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [4, 20_000])
+def test_best_pairs_are_brute_force(spark, most, monkeypatch):
+    """The five best of each row, of joined and scored pairs; what moves between tasks has no text; heavy cells; few pairs at a time."""
+    from reconloom.operators import ranking
+
+    monkeypatch.setattr(ranking, "PAIRS", 7)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("ab1 ") for _ in range(r.randrange(0, 9)))
+    day = lambda: dt.date(2020, 1, 1) + dt.timedelta(r.randrange(70))
+    row = lambda i: (i, "USD", r.choice(["x", "y", None]), r.choice([0, 1, -1, 5000, 5001, -70_000, 70_001, 68_000, None]), day(), word())
+    schema = "{0}_id long, ccy string, account string, {0}_cents long, {0}_vd date, {0}_text string"
+    b, a = spark.createDataFrame([row(i) for i in range(120)], schema.format("b")), spark.createDataFrame([row(i) for i in range(200)], schema.format("a"))
+    frequency = ranking.document_frequency(ranking.corpus_of(b, a))
+    both = b.select(F.col("b_id").alias("id"), "b_text").join(a.select(F.col("a_id").alias("id"), "a_text"), "id", "full")
+    of = {s: F.element_at(F.create_map(*[F.lit(x) for x in sum(((q.id, q[f"{s}_text"] or "") for q in both.collect()), ())]), F.col("id")) for s in "ba"}
+    for fee in (False, True):
+        pairs = blocking.fee_candidates(b, a) if fee else blocking.band_join(b, a)
+        want = {(x.b_id, x["rank"]): (x.a_id, round(x.score * 1e6)) for x in ranking.top_k(ranking.score_pairs(pairs, b, a, frequency=frequency)).collect()}
+        reach, ends = (F.floor(F.abs("b_cents") / 20) + 2, blocking.fee_ends) if fee else (F.lit(1), blocking.NEAR["c1"])
+        found = ranking.best_pairs(b.drop("b_text"), a.drop("a_text"), frequency.weights, ends, (of["b"], of["a"]), reach, most=most)
+        got = {(x.b_id, i + 1): (y.a_id, -y.less) for x in found.collect() for i, y in enumerate(x.best)}
+        assert got == want and len(got) > 100
+        assert "text" not in [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line][0]
+
+
+def test_what_the_chain_keeps_has_no_text(spark, sf_dir):
+    """Kept pairs are ids, amounts and days; judged postings have no candidates; drift meets prices with unpriced keys alone."""
+    from reconloom.plans.context import Batch
+
+    b = Batch(spark, sf_dir)
+    assert "string" not in b.best.schema["best"].dataType.simpleString()
+    assert not {"candidates", "added", "answer_keys"} & set(b.judged.columns)
+    assert b.differences.filter("ok and size(rest) > 0").isEmpty()
+    b.release()

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,25 @@ def _trim() -> None:
         pass
 
 
+def give_back() -> None:
+    """Hand what Arrow and Python have freed back to the machine; at the end of a task whose memory others need."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
+def tidy(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """rows, a function on a partition's batches, that gives back memory when the partition is over: workers are used again, by other operators too."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from rows(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, done=None) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of so many rows, so that few texts are Python objects at a time.
 
@@ -93,8 +113,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, done=None) -> Ite
     finally:
         if done is not None:
             done()
-        pa.default_memory_pool().release_unused()
-        _trim()
+        give_back()
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -125,8 +144,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
     if open_parts:
         yield pa.concat_tables(open_parts)
     open_parts = []
-    pa.default_memory_pool().release_unused()
-    _trim()
+    give_back()
 
 
 #: Rows up to which a table of a few short columns is broadcast (tens of MB); beyond that the join shuffles.

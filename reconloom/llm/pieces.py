@@ -93,6 +93,7 @@ class PieceModel:
         self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         self.text_of = [self._bytes(i) for i in range(len(self.pieces))]
         self._fits: dict[int, bool] = {}
+        self._packed: list[np.ndarray] = []
         self._words: dict[str, bytes] = {}
 
     def __getstate__(self):
@@ -198,6 +199,7 @@ class PieceModel:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers; none for a null or empty text."""
         split = [self._split(t or "") for t in texts]
+        self._unpack()
         known = self._words
         if len(known) > REMEMBERED:
             known.clear()
@@ -206,9 +208,20 @@ class PieceModel:
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
     def forget(self) -> None:
-        """Drop the remembered words; the pairs of pieces stay, they are few."""
+        """Drop the remembered words. The pairs of pieces stay, as two arrays: numbers scattered among the words would keep the words' memory from going back."""
+        self._unpack()
+        fits = self._fits  # emptied in place, as all copies of a worker's model share it
+        self._packed[:] = np.fromiter(fits.keys(), np.int64, len(fits)), np.fromiter(fits.values(), bool, len(fits))
+        fits.clear()
         self._words.clear()
 
+    def _unpack(self) -> None:
+        """The pairs of pieces as a dict again."""
+        if self._packed:
+            pairs, known = self._packed
+            self._fits.update(zip(pairs.tolist(), known.tolist(), strict=True))
+            self._packed.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, marks as spaces, bytes as UTF-8 (wrong bytes replaced), no space in front."""
         text = b"".join(map(self.text_of.__getitem__, ids.tolist())).decode("utf-8", "replace")

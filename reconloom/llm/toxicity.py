@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import held_out, labelled_sample, slices, small_batches, spread, table
+from reconloom.llm.common import held_out, labelled_sample, slices, small_batches, spread, table, tidy
 
 WORD = re.compile(r"\w+")
 BITS = 22
@@ -57,11 +58,12 @@ class Machine:
     v: np.ndarray
     _cache: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
-    def __post_init__(self):
-        #: The place of a term by its hash, -1 for terms that the machine lacks: of fixed size, unlike a dict of Python numbers.
-        self.place = np.full(1 << BITS, -1, np.int32)
-        self.place[self.terms] = np.arange(len(self.terms))
-        self._at = memoryview(self.place)  # single numbers come out of a view without an array scalar
+    @cached_property
+    def place(self) -> np.ndarray:
+        """The place of a term by its hash, -1 for terms that the machine lacks: of fixed size, unlike a dict of Python numbers. Made where texts are read, not in the descent."""
+        place = np.full(1 << BITS, -1, np.int32)
+        place[self.terms] = np.arange(len(self.terms))
+        return place
 
     def __getstate__(self):
         return (self.terms, self.w0, self.w, self.v)
@@ -69,11 +71,16 @@ class Machine:
     def __setstate__(self, s):
         self.terms, self.w0, self.w, self.v = s
         self._cache = {}
-        self.__post_init__()
 
     def forget(self) -> None:
-        """Drop the remembered words."""
+        """Drop the remembered words and the places of terms."""
         self._cache.clear()
+        self.__dict__.pop("_at", None)
+        self.__dict__.pop("place", None)
+
+    @cached_property
+    def _at(self) -> memoryview:
+        return memoryview(self.place)  # single numbers come out of a view without an array scalar
 
     def indices(self, text: str | None) -> list[int]:
         """The machine's terms in the whole text."""
@@ -101,32 +108,59 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.margin(self.indices(text)), -40, 40))))
 
 
+#: Terms of rows that a task holds before it puts equal ones together.
+HELD = 1_000_000
+
+
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(term, pos, neg): rows of each class with the term, summed within a partition as far as memory allows."""
+    """(term, pos, neg): rows of each class with the term, summed within a partition as far as memory allows: in arrays, as dicts of so many numbers take a worker's memory."""
 
-    def out(both):
-        terms = np.fromiter(set(both[0]) | set(both[1]), np.int64)
-        return pd.DataFrame({"term": terms, "pos": [both[1].get(t, 0) for t in terms.tolist()], "neg": [both[0].get(t, 0) for t in terms.tolist()]})
+    def merged():
+        terms, place = np.unique(np.concatenate([t for t, _ in kept]), return_inverse=True)
+        n = np.concatenate([n for _, n in kept])
+        return terms, np.stack([np.bincount(place, n[:, y], len(terms)) for y in (0, 1)], axis=1).astype(np.int32)
 
-    both: tuple[dict, dict] = ({}, {})
-    seen: dict[str, set[int]] = {}
+    def out(terms, n):
+        return pd.DataFrame({"term": terms.astype(np.int64), "pos": n[:, 1].astype(np.int64), "neg": n[:, 0].astype(np.int64)})
+
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    rows: tuple[list, list] = ([], [])
+    held = 0
+    seen: dict[str, tuple[int, ...]] = {}
     for pdf in batches:
         for text, y in zip(pdf["text"], pdf["y"], strict=True):
-            c, own = both[int(y)], set()
+            own: set[int] = set()
             if len(seen) > 100_000:
                 seen.clear()
             for word in words_of(text):
                 ids = seen.get(word)
                 if ids is None:
-                    ids = seen[word] = term_ids(word)
+                    ids = seen[word] = tuple(term_ids(word))
                 own.update(ids)
-            for t in own:
-                c[t] = c.get(t, 0) + 1
-        if len(both[0]) + len(both[1]) > 1_000_000:
-            yield out(both)
-            both = ({}, {})
-    if both[0] or both[1]:
-        yield out(both)
+            rows[int(y)].append(np.fromiter(own, np.int32, len(own)))
+            held += len(own)
+            if held > HELD:
+                kept = [*kept, *_classes(rows)]
+                kept, rows = [merged()], ([], [])
+                held = len(kept[0][0])
+                if held > HELD // 2:
+                    yield out(*kept[0])
+                    kept, held = [], 0
+    kept = [*kept, *_classes(rows)]
+    if kept:
+        yield out(*merged())
+
+
+def _classes(rows: tuple[list[np.ndarray], list[np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, rows of class 0 and 1 with each) of the terms of the rows of either class."""
+    out = []
+    for y in (0, 1):
+        if rows[y]:
+            terms, n = np.unique(np.concatenate(rows[y]), return_counts=True)
+            both = np.zeros((len(terms), 2), np.int32)
+            both[:, y] = n
+            out.append((terms, both))
+    return out
 
 
 def fit(train: DataFrame, terms: int = TERMS, factors: int = 8, epochs: int = 15, seed: int = 0) -> Machine:
@@ -144,7 +178,7 @@ def fit(train: DataFrame, terms: int = TERMS, factors: int = 8, epochs: int = 15
         return Machine(np.zeros(0, np.int64), base if pos + neg else 0.0, np.zeros(0), np.zeros((0, factors)))
     p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
     z = (F.log(p / (pos + 1)) - F.log(q / (neg + 1))) / F.sqrt(1 / p + 1 / q)
-    counts = train.mapInPandas(_counts, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos + neg >= 3")
+    counts = train.mapInPandas(tidy(_counts), "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos + neg >= 3")
     found = counts.select("term", F.abs(z).alias("z")).toArrow()
     term, clear = (found.column(c).to_numpy() for c in ("term", "z"))
     order = np.lexsort((term, -clear))
@@ -153,9 +187,10 @@ def fit(train: DataFrame, terms: int = TERMS, factors: int = 8, epochs: int = 15
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"h": pdf["h"], "i": [empty.indices(t) for t in pdf["text"]], "y": pdf["y"]})
+            yield pd.DataFrame({"h": pdf["h"], "i": [np.array(empty.indices(t), np.int32) for t in pdf["text"]], "y": pdf["y"]})
+        empty.forget()
 
-    got = train.select(F.xxhash64("text").alias("h"), "text", "y").mapInPandas(rows, "h long, i array<int>, y int").toArrow()
+    got = train.select(F.xxhash64("text").alias("h"), "text", "y").mapInPandas(tidy(rows), "h long, i array<int>, y int").toArrow()
     lists, ys, hashes = got.column("i").combine_chunks(), got.column("y").to_numpy(), got.column("h").to_numpy()
     del got
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -180,13 +215,16 @@ def _penalty(spark, empty: Machine, x: np.ndarray, own: list[np.ndarray], y: np.
         return PENALTIES[1]
     # Bits of x and the terms of the rows, end to end, go along with the tasks; both are bounded by SAMPLE rows.
     bits, width = np.packbits(x, axis=1), x.shape[1]
-    flat, sizes = np.concatenate(own).astype(np.int32), np.array([len(i) for i in own])
+    # As a broadcast: what a function holds by itself is in a worker twice, as bytes and read.
+    sent = spark.sparkContext.broadcast((bits, np.concatenate(own).astype(np.int32), np.array([len(i) for i in own])))
+    del bits
     terms, w0, factors = empty.terms, empty.w0, empty.v.shape[1]
     grid = [(f, float(q)) for f in range(FOLDS) for q in PENALTIES]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
+            bits, flat, sizes = sent.value
             for f, penalty in (grid[k] for k in pdf["id"]):
                 rows, learn = np.split(flat, np.cumsum(sizes)[:-1]), np.flatnonzero(fold != f)
                 m = Machine(terms, w0, np.zeros(width), np.zeros((width, factors)))
@@ -198,7 +236,8 @@ def _penalty(spark, empty: Machine, x: np.ndarray, own: list[np.ndarray], y: np.
             yield pd.DataFrame(out, columns=["penalty", "loss"])
 
     tasks = spark.range(0, len(grid), 1, len(grid))  # one each
-    loss = tasks.mapInPandas(run, "penalty double, loss double").groupBy("penalty").agg(F.sum("loss").alias("loss")).collect()  # three rows
+    loss = tasks.mapInPandas(tidy(run), "penalty double, loss double").groupBy("penalty").agg(F.sum("loss").alias("loss")).collect()  # three rows
+    sent.destroy()
     return min(loss, key=lambda r: (r["loss"], -r["penalty"]))["penalty"]
 
 

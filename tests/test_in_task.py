@@ -67,3 +67,15 @@ def test_generated_chain_moves_no_pairs(spark, monkeypatch, most):
         assert show(d) == want and len(want) == 700
         assert most < 100 or not [line for line in d._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "_c#" in line]  # heavy cells are joined with their list
     assert pairs.count() > 3_000
+
+
+def test_rows_are_made_without_lambdas_or_repeats(spark, sf_dir):
+    """Ledger rows are made, and rows dealt to cells, by generated code: no interpreted function, and no filter that makes an array again."""
+    from reconloom.sources import adapter
+
+    stmt, led = adapter.sides(spark, sf_dir)
+    b, a, _ = blocking.cells(stmt.select("b_id", *blocking.BLOCK, "b_cents", "b_vd"), led.select("a_id", *blocking.BLOCK, "a_cents", "a_vd"), blocking.BLOCK, F.lit(1), 0.08, -7, 7, 4)
+    for d in (led, b, a):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan and not [x for x in plan.splitlines() if "Filter" in x and "size(" in x]
+    assert led.groupBy("b_owner").count().agg(F.max("count")).first()[0] > 10

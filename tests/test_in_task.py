@@ -69,6 +69,32 @@ def test_generated_chain_moves_no_pairs(spark, monkeypatch, most):
     assert pairs.count() > 3_000
 
 
+def test_random_curve_orders_few_rows(spark):
+    """The curve of whole orders by hash, ties of rank and short queues too; only rows of the ranges of points are put in order."""
+    from hashlib import md5
+    from statistics import mean, pstdev
+
+    from reconloom.operators import exposure
+
+    r = random.Random(2)
+    for n in (1, 5, 3000):
+        rows = [(i, r.randrange(1, 10**6)) for i in range(n)]
+        queue = spark.createDataFrame(rows, "b_id long, exposure_cents long").repartition(3)
+        d = exposure.random_curve(queue, 4)
+        want = {}
+        for pct in exposure.DECILES:
+            k, shares = max(1, round(n * pct / 100.0)), []
+            for rep in range(4):
+                order = sorted(rows, key=lambda x: (md5(f"{rep}|{x[0]}".encode()).hexdigest(), x[0]))
+                shares.append(sum(v for _, v in order[:k]) * 100.0 / sum(v for _, v in rows))
+            want[pct] = (mean(shares), pstdev(shares))
+        got = {x.pct: (x.mean_pct, x.sd_pct) for x in d.collect()}
+        assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=6e-4) for p in want)
+    plan = d._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    lines = [x for x in plan if "Window [row_number" in x]
+    assert lines and any("Join Inner" in x for x in plan[plan.index(lines[0]) :])
+
+
 def test_rows_are_made_without_lambdas_or_repeats(spark, sf_dir):
     """Ledger rows are made, and rows dealt to cells, by generated code: no interpreted function, and no filter that makes an array again."""
     from reconloom.sources import adapter
